@@ -69,29 +69,33 @@ def hunk_features(hunks: DataFrame) -> DataFrame:
     return hunks.withColumns(columns)
 
 
-def labelled_features(hunks: DataFrame) -> DataFrame:
-    """Hunks to samples: features MAP<STRING,DOUBLE>, quality_score, is_high_quality, issues, code.
+def with_feature_map(df: DataFrame) -> DataFrame:
+    """Add features MAP<STRING,DOUBLE> to labelled hunks with `code`, `nodes`, `label_nodes` and `issues`.
 
-    Later groups win where names meet: syntax, code graph, hunk features, node counts, cleaning and issue flags.
+    Later groups win where names meet: syntax, code graph, hunk features, cleaning and issue flags, node counts.
     """
-    parsed = with_parses(with_code(hunks))
-    cleaned = parsed.withColumn("clean_code", X.clean_code(F.col("code")))
-    cleaned = cleaned.where(X.not_blank(F.col("clean_code")))
-    labelled = quality_labels(cleaned)
     nodes = F.col("nodes")
     groups = {
         **tree_metrics(nodes),
         **code_graph_features(nodes),
-        **hunk_feature_columns(labelled),
-        "tokenized_length": X.token_count(F.col("clean_code")),
+        **hunk_feature_columns(df),
+        "tokenized_length": X.token_count(X.clean_code(F.col("code"))),
         "has_syntax_errors": 1 - (F.size("label_nodes") > 0).cast("int"),
         **issue_flags(F.col("issues")),
     }
     fixed = F.map_from_arrays(F.array(*[F.lit(n) for n in groups]),
                               F.array(*[c.cast("double") for c in groups.values()]))
-    # node counts are prefixed `ast_`; the fixed names `ast_depth` and `ast_parseable` do not end in `_count`
-    return (labelled.withColumn("features", F.map_concat(fixed, node_count_map(nodes)))
-            .drop("nodes", "label_nodes", "label_status"))
+    # node counts are named ast_<type>_count, which no fixed name is
+    return df.withColumn("features", F.map_concat(fixed, node_count_map(nodes)))
+
+
+def labelled_features(hunks: DataFrame) -> DataFrame:
+    """Hunks to samples: code, features, quality_score, is_high_quality, issues.
+
+    Hunks without added text, or with nothing left after cleaning, are no samples.
+    """
+    parsed = with_parses(with_code(hunks).where(X.not_blank(X.clean_code(F.col("code")))))
+    return with_feature_map(quality_labels(parsed)).drop("nodes", "label_nodes", "label_status")
 
 
 def flatten_numeric(df: DataFrame, column: str, separator: str = "_") -> DataFrame:
@@ -112,12 +116,15 @@ def flatten_numeric(df: DataFrame, column: str, separator: str = "_") -> DataFra
     return df.select(*[c for c in df.columns if c != column], *out)
 
 
+def _without_keys(entries: Column, other: Column) -> Column:
+    return F.map_filter(entries, lambda k, v: ~F.array_contains(F.map_keys(other), k))
+
+
 def merge_maps(*maps: Column) -> Column:
     """Merge feature maps; the later map wins for a shared key (independent of the session's map policy)."""
     merged = maps[0]
     for later in maps[1:]:
-        kept = F.map_filter(merged, lambda k, v, m=later: ~F.map_contains_key(m, k))
-        merged = F.map_concat(kept, later)
+        merged = F.map_concat(_without_keys(merged, later), later)
     return merged
 
 
