@@ -93,7 +93,7 @@ def explain_samples(df: DataFrame, importance: DataFrame, key: list[str], n: int
                     seed: int = 42) -> DataFrame:
     """Per sample: code preview, label, score, issues and the model's top features with the sample's values."""
     best = importance.orderBy(F.desc("importance"), "feature").limit(top).agg(F.transform(
-        F.sort_array(F.collect_list(F.struct("importance", "feature")), asc=False), lambda s: s["feature"]))
+        F.array_sort(F.collect_list(F.struct((-F.col("importance")).alias("i"), "feature"))), lambda s: s["feature"]))
     rows = hash_sample(df, key, n, seed) if n else df
     return (rows.withColumn("_top", best.scalar()).select(
         *key, preview(F.col("code")).alias("code_snippet"), F.col("is_high_quality").alias("predicted_quality"),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from diffscope.functions.review_text import NO_REMOVED, PROMPT
+from diffscope.sources.tables import TEMPLATES
+
 # Lines of each document with the statements that `derive.code_line` makes of them.
 _CODE = """
 WITH base AS (
@@ -327,12 +330,33 @@ def _messages() -> str:
     ], lambda x: x IS NOT NULL)"""
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _prompt() -> str:
+    removed = "array_to_string(list_filter(lines, lambda x, j: j % 2 = 0), chr(10))"
+    shown = f"CASE WHEN {removed} = '' THEN {_quoted(NO_REMOVED)} ELSE {removed} END"
+    fields = [f"'src/doc_' || doc_id || '.py'", shown, "code", "array_to_string(lines, chr(10))"]
+    parts = [_quoted(p) for p in PROMPT.split("%s")]
+    return " || ".join(x for pair in zip(parts, [f"({f})" for f in fields] + ["''"]) for x in pair)
+
+
+_PROMPT = _prompt()
+
+
+def _template_case(field: int) -> str:
+    cases = " ".join(f"WHEN {i} THEN {_quoted(t[field])}" for i, t in enumerate(TEMPLATES))
+    return f"CASE doc_id % {len(TEMPLATES)} {cases} END"
+
+
 _GOOD = "'✅ Code looks good! No significant issues detected'"
 
 ORACLE: dict[str, str] = {
     # patches
     "hunk_parse": _PATCH + """SELECT h.commit_hash, file_path, change_type, hunk_type, hunk_idx::BIGINT AS hunk_idx,
-      old_start::BIGINT AS old_start, old_count::BIGINT AS old_count, new_start::BIGINT AS new_start, new_count::BIGINT AS new_count,
+      coalesce(old_start, -1)::BIGINT AS old_start, coalesce(old_count, -1)::BIGINT AS old_count,
+      coalesce(new_start, -1)::BIGINT AS new_start, coalesce(new_count, -1)::BIGINT AS new_count,
       (CASE WHEN hunk_type = 'hunk' THEN new_start ELSE 1 END)::BIGINT AS line_start,
       (CASE WHEN hunk_type = 'hunk' THEN new_start + new_count - 1 ELSE 1 END)::BIGINT AS line_end,
       files_changed, total_hunks, commit_size, md5(array_to_string(added, chr(10))) AS added,
@@ -536,6 +560,18 @@ ORACLE: dict[str, str] = {
           CASE WHEN contains(code, 'print(') OR contains(code, 'console.log') THEN 'Debug statements detected - remove before production' END],
           lambda x: x IS NOT NULL)) AS feedback FROM c)
       SELECT doc_id, array_to_string(feedback, '|') AS feedback FROM f""",
+    "review_rows": _LABEL + f""", c AS (SELECT *, {_messages()} AS local FROM labels_of),
+      f AS (SELECT doc_id, list_concat(
+        ['Added ' || (len(added) - (added[-1] = '')::INT) || ' new lines'],
+        CASE WHEN len(local) = 0 THEN [{_GOOD}] ELSE local END,
+        list_filter([CASE WHEN len(added) > 20 THEN 'Large change detected - consider breaking into smaller commits' END,
+          CASE WHEN contains(code, 'TODO') OR contains(code, 'FIXME') THEN 'Contains TODO/FIXME - ensure these are addressed' END,
+          CASE WHEN contains(code, 'print(') OR contains(code, 'console.log') THEN 'Debug statements detected - remove before production' END],
+          lambda x: x IS NOT NULL)) AS feedback FROM c)
+      SELECT md5(doc_id::VARCHAR) AS commit_hash, 'src/doc_' || doc_id || '.py' AS file_path, 1::BIGINT AS line_number,
+      (generate_subscripts(feedback, 1) - 1)::BIGINT AS comment_idx, unnest(feedback) AS comment FROM f""",
+    "review_prompt": _CODE + f"SELECT doc_id, md5({_PROMPT}) AS prompt FROM kinds",
+    "external_review": _CODE + f"SELECT doc_id, length({_PROMPT}) || ' characters' AS assessment FROM kinds",
     "external_parse": """SELECT doc_id, CASE WHEN doc_id % 4 < 2 THEN 'a' || doc_id END AS assessment, CASE WHEN doc_id % 4 < 2 THEN 'i' END AS issues,
       CASE WHEN doc_id % 4 = 2 THEN 'plain ' || doc_id END AS analysis, CASE WHEN doc_id % 4 = 3 THEN 'down' END AS error FROM documents""",
     "explain_samples": _LABEL + """, avgs AS (SELECT unnest([{'f': 'num_functions', 'v': avg(c0 + c5)}, {'f': 'num_classes', 'v': avg(c5)}, {'f': 'num_loops', 'v': avg(2 * c3)},
@@ -546,4 +582,7 @@ ORACLE: dict[str, str] = {
       SELECT doc_id, CASE WHEN length(code) > 200 THEN substr(code, 1, 200) || '...' ELSE code END AS code_snippet,
       score > 0.45::DOUBLE AS predicted_quality, coalesce(array_to_string(issues, ','), '') AS issues,
       array_to_string(list_transform(names, lambda n: n || '=' || v[n]), ',') AS top FROM vals, top""",
+    "synthetic_commits": f"""WITH t AS (SELECT doc_id, replace({_template_case(1)}, 'user', 'user_' || doc_id) AS code, {_template_case(0)} AS quality FROM documents)
+      SELECT 'synthetic_' || doc_id AS commit_hash, 'Synthetic ' || quality || ' quality commit' AS message,
+      len(string_split(code, chr(10)))::BIGINT AS line_end, md5(code) AS added FROM t""",
 }

@@ -25,6 +25,7 @@ from diffscope.operators import sampling as S
 from diffscope.operators import syntax_metrics as SM
 from diffscope.operators import text_metrics as TM
 from diffscope.plans import derive as V
+from diffscope.plans import pipeline as PL
 from diffscope.session import configure
 from diffscope.sources import patches as SP
 from diffscope.sources import tables as ST
@@ -64,8 +65,9 @@ def hunk_parse(spark, folder):
     hunks = D.patch_hunks(V.document_patches(_docs(spark, folder)))
     return hunks.select(
         "commit_hash", "file_path", "change_type", "hunk_type",
-        *_longs({c: F.col(c) for c in ("hunk_idx", "old_start", "old_count", "new_start", "new_count", "line_start",
-                                       "line_end", "files_changed", "total_hunks", "commit_size")}),
+        *_longs({c: F.coalesce(F.col(c), F.lit(-1)) for c in (
+            "hunk_idx", "old_start", "old_count", "new_start", "new_count", "line_start", "line_end", "files_changed",
+            "total_hunks", "commit_size")}),
         F.md5(_lined("added_lines")).alias("added"), F.md5(_lined("removed_lines")).alias("removed"),
         F.md5(_lined("context_lines")).alias("context"))
 
@@ -697,12 +699,25 @@ def combined_feedback(spark, folder):
     return reviewed.select("doc_id", F.array_join("review.combined_feedback", "|").alias("feedback"))
 
 
+def _code_patches(spark, folder) -> DataFrame:
+    code = V.document_code(_docs(spark, folder))
+    path = F.concat(F.lit("src/doc_"), F.col("doc_id").cast("string"), F.lit(".py"))
+    return code.select(V.document_hash(F.col("doc_id")).alias("commit_hash"),
+                       D.snapshot_patch(path, F.lit("A"), F.col("code")).alias("patch"))
+
+
 @query
 def review_rows(spark, folder):
-    """Patches to review rows, end to end (prose rarely parses): comments per change type."""
-    from diffscope.plans.pipeline import review
+    """Patches of new code files to comment rows, end to end."""
+    return PL.review_table(_code_patches(spark, folder)).select(
+        "commit_hash", "file_path", F.col("line_number").cast("long").alias("line_number"),
+        F.col("comment_idx").cast("long").alias("comment_idx"), "comment")
+
 
-    reviewed = review(V.document_patches(_docs(spark, folder)))
+@query
+def review_prose(spark, folder):
+    """The same over patches of the documents themselves: comments per change type."""
+    reviewed = PL.review(V.document_patches(_docs(spark, folder)))
     rows = reviewed.select("change_type", F.explode("review.combined_feedback").alias("comment"))
     kind = F.when(F.col("comment").rlike("^(Added|Removed|Modified) "),
                   F.regexp_extract("comment", "^(Added|Removed|Modified)", 1)).otherwise(F.col("comment"))
