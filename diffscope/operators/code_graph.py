@@ -85,7 +85,8 @@ def code_graph_features(nodes: Column) -> dict[str, Column]:
 
 
 def _edge_table(df: DataFrame, key: list[str], pairs: Column, kind: str) -> DataFrame:
-    return (df.select(*key, F.explode(pairs).alias("p"))
+    # outer: a plain explode would make the optimizer repeat the parse in a not-empty filter
+    return (df.select(*key, F.explode_outer(pairs).alias("p")).where("p is not null")
             .select(*key, F.substring_index("p", ARROW, 1).alias("src"), F.substring_index("p", ARROW, -1).alias("dst"),
                     F.lit(kind).alias("kind")))
 
@@ -121,8 +122,8 @@ def definition_graph(df: DataFrame, key: list[str], nodes: str = "nodes") -> tup
         F.transform(methods, lambda x: F.struct(full_name(x).alias("node"))))["node"])
     method_names = F.array_distinct(F.transform(methods, full_name))
     class_names = F.array_distinct(F.transform(classes, lambda x: x["name"]))
-    node_table = (df.select(*key, F.explode(named).alias("node"), method_names.alias("_m"), class_names.alias("_c"))
-                  .select(*key, "node",
+    node_table = (df.select(*key, F.explode_outer(named).alias("node"), method_names.alias("_m"), class_names.alias("_c"))
+                  .where("node is not null").select(*key, "node",
                           F.when(F.array_contains("_m", F.col("node")), "method")
                           .when(F.array_contains("_c", F.col("node")), "class").otherwise("function").alias("kind")))
     owns = _edge_table(df, key, F.array_distinct(_pairs(methods, lambda x: x["owner"], full_name)), "owns")

@@ -38,10 +38,20 @@ def file_sections(patch: Column) -> Column:
     return F.filter(F.split(patch, FILE_BREAK), lambda x: x.rlike(FILE_HEADER))
 
 
+def _let(value: Column, body) -> Column:
+    """Bind `value` to a lambda variable, so that it is computed once inside an array function's body."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _file_struct(section: Column) -> Column:
-    parts = F.split(section, HUNK_BREAK)
-    header = F.element_at(parts, 1)
-    first = _first_line(section)
+    def described(parts: Column) -> Column:
+        return _let(F.element_at(parts, 1), lambda header: _header_struct(section, header, parts))
+
+    return _let(F.split(section, HUNK_BREAK), described)
+
+
+def _header_struct(section: Column, header: Column, parts: Column) -> Column:
+    first = _first_line(header)
     old, new = F.regexp_extract(first, FILE_HEADER, 1), F.regexp_extract(first, FILE_HEADER, 2)
     return F.struct(
         F.when(new == "/dev/null", old).otherwise(new).alias("file_path"),
@@ -74,34 +84,40 @@ def _body_length(raw: Column, old_count: Column, new_count: Column) -> Column:
 
 
 def _hunk_struct(part: Column, strict: bool) -> Column:
-    head = _first_line(part)
-    lines = F.split(part, "\n")
+    return _let(F.split(part, "\n"), lambda lines: _let(
+        F.element_at(lines, 1), lambda head: _hunk_fields(head, lines, strict)))
+
+
+def _hunk_fields(head: Column, lines: Column, strict: bool) -> Column:
     raw = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
     old_count, new_start, new_count = _count(head, 2), _count(head, 3), _count(head, 4)
-    if strict:
-        body = F.slice(raw, F.lit(1), _body_length(raw, old_count, new_count))
-        added, removed = (lambda x: x.startswith("+")), (lambda x: x.startswith("-"))
-    else:
-        body = raw
-        added = lambda x: x.startswith("+") & ~x.startswith("+++")
-        removed = lambda x: x.startswith("-") & ~x.startswith("---")
+    body = F.slice(raw, F.lit(1), _body_length(raw, old_count, new_count)) if strict else raw
 
-    def pick(test):
-        return F.transform(F.filter(body, test), lambda x: F.substring(x, 2, 2147483647))
+    def added(x: Column) -> Column:
+        return x.startswith("+") if strict else x.startswith("+") & ~x.startswith("+++")
 
-    return F.struct(
-        F.lit("hunk").alias("hunk_type"),
-        _count(head, 1).alias("old_start"),
-        old_count.alias("old_count"),
-        new_start.alias("new_start"),
-        new_count.alias("new_count"),
-        new_start.alias("line_start"),
-        (new_start + new_count - 1).alias("line_end"),
-        pick(added).alias("added_lines"),
-        pick(removed).alias("removed_lines"),
-        pick(lambda x: x.startswith(" ")).alias("context_lines"),
-        raw.alias("raw_lines"),
-    )
+    def removed(x: Column) -> Column:
+        return x.startswith("-") if strict else x.startswith("-") & ~x.startswith("---")
+
+    def content(of: Column) -> Column:
+        def pick(test):
+            return F.transform(F.filter(of, test), lambda x: F.substring(x, 2, 2147483647))
+
+        return F.struct(
+            F.lit("hunk").alias("hunk_type"),
+            _count(head, 1).alias("old_start"),
+            old_count.alias("old_count"),
+            new_start.alias("new_start"),
+            new_count.alias("new_count"),
+            new_start.alias("line_start"),
+            (new_start + new_count - 1).alias("line_end"),
+            pick(added).alias("added_lines"),
+            pick(removed).alias("removed_lines"),
+            pick(lambda x: x.startswith(" ")).alias("context_lines"),
+            raw.alias("raw_lines"),
+        )
+
+    return _let(body, content)
 
 
 def _placeholder_struct() -> Column:
@@ -132,14 +148,18 @@ def parse_files(patches: DataFrame, extensions=DEFAULT_EXTENSIONS, drop_binary:
     if drop_binary:
         files = F.filter(files, lambda f: ~f["is_binary"])
     kept = [c for c in patches.columns if c != "patch"]
-    return (patches.select(*kept, F.posexplode(files).alias("file_idx", "f"))
-            .select(*kept, "file_idx", *[f"f.{c}" for c in ("file_path", "old_file", "new_file", "change_type",
-                                                           "is_binary", "diff")]))
+    return _explode(patches, kept, files, "file_idx", "f").select(
+        *kept, "file_idx", *[f"f.{c}" for c in ("file_path", "old_file", "new_file", "change_type", "is_binary", "diff")])
 
 
 def _explode_hunks(df: DataFrame, keys: list[str], hunks: Column) -> DataFrame:
-    return (df.select(*keys, F.posexplode(hunks).alias("hunk_idx", "h"))
-            .select(*keys, "hunk_idx", "h.*"))
+    return _explode(df, keys, hunks, "hunk_idx", "h").select(*keys, "hunk_idx", "h.*")
+
+
+def _explode(df: DataFrame, keys: list[str], items: Column, index: str, item: str) -> DataFrame:
+    """posexplode without the not-empty filter that the optimizer would derive from it: that filter would repeat the
+    whole parse below the explode."""
+    return df.select(*keys, F.posexplode_outer(items).alias(index, item)).where(F.col(index).isNotNull())
 
 
 def parse_hunks(file_diffs: DataFrame, placeholder: bool = True, strict: bool = False) -> DataFrame:
@@ -175,8 +195,8 @@ def patch_hunks(patches: DataFrame, extensions=DEFAULT_EXTENSIONS, placeholder:
         F.size("_files").alias("files_changed"),
         total(lambda f: F.size(f["hunks"])).alias("total_hunks"),
         total(added).alias("commit_size"))
-    per_file = (context.select(*kept, *CONTEXT_COLUMNS, F.posexplode("_files").alias("file_idx", "f"))
-                .select(*kept, *CONTEXT_COLUMNS, "file_idx", "f.*"))
+    per_file = _explode(context, [*kept, *CONTEXT_COLUMNS], F.col("_files"), "file_idx", "f").select(
+        *kept, *CONTEXT_COLUMNS, "file_idx", "f.*")
     keys = [c for c in per_file.columns if c != "hunks"]
     return _explode_hunks(per_file, keys, F.col("hunks"))
 

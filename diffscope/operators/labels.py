@@ -103,8 +103,8 @@ def issue_flags(issues: Column) -> dict[str, Column]:
 
 
 def top_issues(labels: DataFrame, k: int = 5) -> DataFrame:
-    """Most frequent issues; ties by name."""
-    return (labels.select(F.explode("issues").alias("issue")).groupBy("issue").agg(F.count(F.lit(1)).alias("n"))
+    """Most frequent issues; ties by name. (A plain explode would make the optimizer repeat the labelling as a filter.)"""
+    return (labels.select(F.explode_outer("issues").alias("issue")).where("issue is not null").groupBy("issue").agg(F.count(F.lit(1)).alias("n"))
             .orderBy(F.desc("n"), "issue").limit(k))
 
 

@@ -55,6 +55,11 @@ def bag_prediction(pooled: DataFrame, weights: list[float], bias: float = 0.0, v
 
 def attention_report(weights: DataFrame, hunks: DataFrame, on: list[str]) -> DataFrame:
     """Attention per hunk with its file and change size, ready for a CSV sink."""
-    info = hunks.select(*on, "file_path", F.size("added_lines").alias("lines_added"),
-                        F.size("removed_lines").alias("lines_removed"))
+    if "lines_added" not in hunks.columns:
+        hunks = with_line_counts(hunks)
+    info = hunks.select(*on, "file_path", "lines_added", "lines_removed")
     return weights.select(*on, "attention_weight").join(info, on)
+
+
+def with_line_counts(hunks: DataFrame) -> DataFrame:
+    return hunks.withColumns({"lines_added": F.size("added_lines"), "lines_removed": F.size("removed_lines")})

@@ -61,6 +61,7 @@ def comprehensive_review(df: DataFrame, answer: str | None = None, word_counts:
 def comment_rows(reviews: DataFrame, key: list[str]) -> DataFrame:
     """One row per feedback line: file_path, line_number, comment, commit_hash, comment_idx plus `key`."""
     kept = list(dict.fromkeys([*key, "commit_hash", "file_path"]))
+    # outer: feedback is never empty, and a plain explode would make the optimizer repeat the review in a filter
     return reviews.select(
         *kept, F.col("line_start").alias("line_number"),
-        F.posexplode("review.combined_feedback").alias("comment_idx", "comment"))
+        F.posexplode_outer("review.combined_feedback").alias("comment_idx", "comment"))

@@ -23,7 +23,9 @@ def with_nodes(df: DataFrame, code: str, mode: str = "extractor", column: str =
 def ast_nodes(df: DataFrame, code: str, key: list[str], mode: str = "extractor") -> DataFrame:
     """Node table: one row per syntax node, keyed by `key`."""
     nodes = with_nodes(df.select(*key, code), code, mode)
-    return nodes.select(*key, F.lit(mode).alias("mode"), F.explode("nodes").alias("n")).select(*key, "mode", "n.*")
+    # outer: a plain explode would make the optimizer repeat the parse in a not-empty filter
+    return (nodes.select(*key, F.lit(mode).alias("mode"), F.explode_outer("nodes").alias("n"))
+            .where("n is not null").select(*key, "mode", "n.*"))
 
 
 def _types(nodes: Column) -> Column:

@@ -77,7 +77,7 @@ def pair_scores(df: DataFrame, key: list[str], generated: str = "generated", ref
         *[_grams(F.col("rr"), n, f"r{n}", "r") for n in (1, 2)],
         F.array(F.struct(F.lit("l").alias("kind"), F.lit("").alias("gram"),
                          lcs_length(F.col("rg"), F.col("rr")).alias("g"), F.lit(0).alias("r"))))
-    counted = (tokens.select(*key, F.explode(items).alias("x")).select(*key, "x.*")
+    counted = (tokens.select(*key, F.explode_outer(items).alias("x")).select(*key, "x.*")
                .groupBy(*key, "kind", "gram").agg(F.sum("g").alias("g"), F.sum("r").alias("r")))
 
     def total(kind: str, value: Column) -> Column:

@@ -26,7 +26,7 @@ from diffscope.operators import syntax_metrics as SM
 from diffscope.operators import text_metrics as TM
 from diffscope.plans import derive as V
 from diffscope.plans import pipeline as PL
-from diffscope.session import configure
+from diffscope.session import checkpointed, configure
 from diffscope.sources import patches as SP
 from diffscope.sources import tables as ST
 
@@ -588,8 +588,10 @@ def mil_pool(spark, folder):
 @query
 def attention_report(spark, folder):
     """Attention of each hunk within its commit, with file and size."""
-    hunks = D.patch_hunks(V.document_patches(_docs(spark, folder)))
-    scored = hunks.select("commit_hash", "file_idx", "hunk_idx", (F.size("added_lines") / 10.0).alias("score"))
+    parsed = D.patch_hunks(V.document_patches(_docs(spark, folder)))
+    hunks = checkpointed(P.with_line_counts(parsed).select(
+        "commit_hash", "file_idx", "hunk_idx", "file_path", "lines_added", "lines_removed"))
+    scored = hunks.select("commit_hash", "file_idx", "hunk_idx", (F.col("lines_added") / 10.0).alias("score"))
     weights = P.attention_weights(scored, "commit_hash", "score")
     report = P.attention_report(weights, hunks, ["commit_hash", "file_idx", "hunk_idx"])
     return report.select("commit_hash", "file_path", *_longs({c: F.col(c) for c in ("hunk_idx", "lines_added", "lines_removed")}),
@@ -609,7 +611,7 @@ def _matrix(spark, folder) -> tuple[DataFrame, list[str]]:
 
 def _split_matrix(spark, folder):
     matrix, names = _matrix(spark, folder)
-    split = S.stratified_split(matrix, ["doc_id"])
+    split = checkpointed(S.stratified_split(checkpointed(matrix), ["doc_id"]))
     return split.where("split = 'train'"), split.where("split = 'test'"), names
 
 

@@ -34,6 +34,18 @@ def get_session(app: str = "diffscope", master: str | None = None, **conf: str)
     return configure(builder.getOrCreate())
 
 
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """Give every core work when the input is stored in fewer pieces than there are cores.
+
+    A scan with at least as many partitions as the cluster has cores (any large table) is left alone, so large data is
+    never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(3 * cores, *key)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise `df` in the shared checkpoint folder and cut its lineage.
 
