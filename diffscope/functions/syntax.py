@@ -28,6 +28,7 @@ NODE_DDL = (
     "owner:string,cfg_parent:int,is_docstr:boolean>>"
 )
 RESULT_DDL = f"struct<status:string,nodes:{NODE_DDL}>"
+BOTH_DDL = f"struct<status:string,nodes:{NODE_DDL},label_status:string,label_nodes:{NODE_DDL}>"
 
 _INT, _STR, _BOOL = pa.int32(), pa.string(), pa.bool_()
 _FIELDS = [
@@ -36,7 +37,8 @@ _FIELDS = [
     ("last_fn", _STR), ("open_fn", _STR), ("known", _BOOL), ("owner", _STR), ("cfg_parent", _INT),
     ("is_docstr", _BOOL),
 ]
-_CONTROL = (ast.If, ast.For, ast.While, ast.Try, ast.With)
+_CONTROL = frozenset((ast.If, ast.For, ast.While, ast.Try, ast.With))
+_WITH_CTX = frozenset((ast.Name, ast.Attribute, ast.Subscript, ast.Starred, ast.List, ast.Tuple))
 _FLOW = {ast.FunctionDef: ("body",), ast.If: ("body", "orelse"), ast.For: ("body",), ast.While: ("body",)}
 _BROKEN = (ValueError, RecursionError, MemoryError)
 
@@ -52,28 +54,32 @@ def _dedented(lines: list[str]) -> list[str]:
     return [x[margin:] if x.strip() else "" for x in lines]
 
 
+def candidates(code: str, mode: str) -> list[tuple[str, str]]:
+    """Texts to try in turn, with the status that each would give.
+
+    extractor keeps inner blank lines, label drops them; both fall back to a function wrapper. raw parses as given.
+    """
+    if mode == "raw":
+        return [("ok", code)]
+    lines = code.split("\n")
+    if mode == "label":
+        lines = [x for x in lines if x.strip()]
+    else:
+        first = next(i for i, x in enumerate(lines) if x.strip())
+        lines = lines[first:]
+    lines = _dedented(lines)
+    return [("ok", "\n".join(lines)), ("wrapped", "def wrapper():\n" + "".join(f"    {x}\n" for x in lines))]
+
+
 def parse_snippet(code: str | None, mode: str):
     """(status, tree): status is ok, wrapped, blank, syntax or limit; tree is None unless ok or wrapped.
 
-    extractor keeps inner blank lines, label drops them; both fall back to a function wrapper. raw parses as given.
     limit means that the parser gave up for a reason other than the syntax.
     """
     if code is None or (mode != "raw" and not code.strip()):
         return "blank", None
-    if mode == "raw":
-        tries = [("ok", code)]
-    else:
-        lines = code.split("\n")
-        if mode == "label":
-            lines = [x for x in lines if x.strip()]
-        else:
-            first = next(i for i, x in enumerate(lines) if x.strip())
-            lines = lines[first:]
-        lines = _dedented(lines)
-        wrapped = "def wrapper():\n" + "".join(f"    {x}\n" for x in lines)
-        tries = [("ok", "\n".join(lines)), ("wrapped", wrapped)]
     status = "syntax"
-    for name, text in tries:
+    for name, text in candidates(code, mode):
         try:
             return name, _parse(text)
         except SyntaxError:
@@ -85,10 +91,6 @@ def parse_snippet(code: str | None, mode: str):
     return status, None
 
 
-def _called_name(node):
-    return node.func.id if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) else None
-
-
 def walk_nodes(tree) -> list[tuple]:
     """Node tuples in the order of `_FIELDS`, pre-order, children in the order of the syntax fields."""
     rows: list[tuple] = []
@@ -102,85 +104,136 @@ def walk_nodes(tree) -> list[tuple]:
             open_fn = None
             continue
         node, parent, depth, field, ctl, calls, defs, scope, flow, owner = item
-        kind = type(node)
+        kind = node.__class__
         me = len(rows)
-        is_fn, is_class, is_call = kind is ast.FunctionDef, kind is ast.ClassDef, kind is ast.Call
-        if is_call:
+        if not kind._fields:  # contexts and operators
+            rows.append((me, parent, depth, field, kind.__name__, None, None, ctl, calls, defs, -1, last_fn, open_fn,
+                         False, None, None, False))
+            continue
+        name = ctx = holder = None
+        known = docstr = is_fn = False
+        local = -1
+        if kind is ast.Name:
+            name = node.id
+            ctx = node.ctx.__class__.__name__
+            if ctx == "Store":
+                local = scope
+        elif kind is ast.Call:
             calls += 1
-        if is_fn or is_class:
+            if node.func.__class__ is ast.Name:
+                name = node.func.id
+                known = name in defined
+        elif kind is ast.FunctionDef:
+            is_fn = True
             defs += 1
-        if is_fn:
-            last_fn = open_fn = node.name
-            defined.add(node.name)
-        called = _called_name(node)
-        if is_fn or is_class:
-            name = node.name
-        elif kind is ast.Name:
-            name = node.id
+            last_fn = open_fn = name = node.name
+            defined.add(name)
+        elif kind is ast.ClassDef:
+            defs += 1
+            name = holder = node.name
         elif kind is ast.arg:
             name = node.arg
-        else:
-            name = called
-        ctx = type(node.ctx).__name__ if hasattr(node, "ctx") else None
-        local = -1
-        if kind is ast.Name and ctx == "Store":
-            local = scope
-        elif kind is ast.arg and field == "args" and rows[parent][3] == "args" \
-                and rows[rows[parent][1]][4] == "FunctionDef":
-            local = scope
-        docstr = kind is ast.Expr and isinstance(node.value, ast.Constant) and isinstance(node.value.value, str)
+            if field == "args" and rows[parent][3] == "args" and rows[rows[parent][1]][4] == "FunctionDef":
+                local = scope
+        elif kind is ast.Expr:
+            docstr = node.value.__class__ is ast.Constant and isinstance(node.value.value, str)
+        elif kind in _WITH_CTX:
+            ctx = node.ctx.__class__.__name__
         fields = _FLOW.get(kind)
         rows.append((me, parent, depth, field, kind.__name__, name, ctx, ctl, calls, defs, local, last_fn, open_fn,
-                     called is not None and called in defined, owner if is_fn else None,
-                     flow if fields and flow is not None else None, docstr))
+                     known, owner if is_fn else None, flow if fields and flow is not None else None, docstr))
         if is_fn:
             stack.append(None)
             scope = me
-        if isinstance(node, _CONTROL):
+        if kind in _CONTROL:
             ctl += 1
         children = []
-        for child_field in node._fields:
+        for child_field in kind._fields:
             value = getattr(node, child_field, None)
-            if isinstance(value, ast.AST):
+            if value.__class__ is not list:
+                if not isinstance(value, ast.AST):
+                    continue
                 value = (value,)
-            elif not isinstance(value, list):
-                continue
-            if flow is None:
-                below = None
-            elif fields is None:
+            if flow is None or fields is None:
                 below = flow
             else:
                 below = me if child_field in fields else None
-            holder = node.name if is_class and child_field == "body" else None
+            inside = holder if child_field == "body" else None
             for child in value:
                 if isinstance(child, ast.AST):
-                    children.append((child, me, depth + 1, child_field, ctl, calls, defs, scope, below, holder))
-        stack.extend(reversed(children))
+                    children.append((child, me, depth + 1, child_field, ctl, calls, defs, scope, below, inside))
+        children.reverse()
+        stack.extend(children)
     return rows
 
 
+class _NodeLists:
+    """Collects node rows of many snippets into one Arrow list array."""
+
+    def __init__(self):
+        self.offsets, self.rows, self.missing = [0], [], []
+
+    def add(self, rows: list | None) -> None:
+        self.rows.extend(rows or ())
+        self.offsets.append(len(self.rows))
+        self.missing.append(rows is None)
+
+    def array(self) -> pa.Array:
+        columns = list(zip(*self.rows)) if self.rows else [()] * len(_FIELDS)
+        nodes = pa.StructArray.from_arrays([pa.array(c, type=t) for c, (_, t) in zip(columns, _FIELDS)],
+                                           fields=[pa.field(n, t) for n, t in _FIELDS])
+        return pa.ListArray.from_arrays(pa.array(self.offsets, type=pa.int32()), nodes,
+                                        mask=pa.array(self.missing, type=_BOOL) if any(self.missing) else None)
+
+
+def _rows(tree) -> list:
+    return walk_nodes(tree) if tree is not None else []
+
+
 def _batch_parser(mode: str):
     def parse_batch(codes: pa.Array) -> pa.Array:
         distinct = codes.dictionary_encode()
-        offsets, status, flat = [0], [], []
+        status, lists = [], _NodeLists()
         for code in distinct.dictionary.to_pylist():
             state, tree = parse_snippet(code, mode)
             status.append(state)
-            if tree is not None:
-                flat.extend(walk_nodes(tree))
-            offsets.append(len(flat))
-        columns = list(zip(*flat)) if flat else [()] * len(_FIELDS)
-        nodes = pa.StructArray.from_arrays([pa.array(c, type=t) for c, (_, t) in zip(columns, _FIELDS)],
-                                           fields=[pa.field(n, t) for n, t in _FIELDS])
-        lists = pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), nodes)
-        parsed = pa.StructArray.from_arrays([pa.array(status, type=_STR), lists], names=["status", "nodes"])
+            lists.add(_rows(tree))
+        parsed = pa.StructArray.from_arrays([pa.array(status, type=_STR), lists.array()], names=["status", "nodes"])
         return parsed.take(distinct.indices)
 
     return parse_batch
 
 
+def _parse_both_batch(codes: pa.Array) -> pa.Array:
+    distinct = codes.dictionary_encode()
+    status, label_status, lists, label_lists = [], [], _NodeLists(), _NodeLists()
+    for code in distinct.dictionary.to_pylist():
+        state, tree = parse_snippet(code, "extractor")
+        status.append(state)
+        lists.add(_rows(tree))
+        if code and code.strip() and candidates(code, "extractor") == candidates(code, "label"):
+            label_status.append(state)
+            label_lists.add(None)
+        else:
+            state, tree = parse_snippet(code, "label")
+            label_status.append(state)
+            label_lists.add(_rows(tree))
+    parsed = pa.StructArray.from_arrays(
+        [pa.array(status, type=_STR), lists.array(), pa.array(label_status, type=_STR), label_lists.array()],
+        names=["status", "nodes", "label_status", "label_nodes"])
+    return parsed.take(distinct.indices)
+
+
+def parse_both(code: Column) -> Column:
+    """STRUCT<status, nodes, label_status, label_nodes>: extractor and label mode in one pass.
+
+    label_nodes is null where both modes parse the same text (no blank lines), which is then parsed and sent once.
+    """
+    return F.arrow_udf(_parse_both_batch, BOTH_DDL)(code)
+
+
 def parse_nodes(code: Column, mode: str = "extractor") -> Column:
-    """STRUCT<status, nodes> for a code column. Not deterministic on purpose: the optimizer must not copy the parse."""
+    """STRUCT<status, nodes> for a code column."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     return F.arrow_udf(_batch_parser(mode), RESULT_DDL)(code)

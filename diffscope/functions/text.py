@@ -20,6 +20,11 @@ def _word(body: str) -> str:
     return f"(?<!{WORD})(?:{body})(?!{WORD})"
 
 
+def let(value: Column, body) -> Column:
+    """Bind `value` to a lambda variable, so that it is computed once however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def trim_py(text: Column) -> Column:
     """`str.strip()`."""
     return F.regexp_replace(text, F.lit(f"(?U)^{WS}+|{WS}+$"), F.lit(""))
@@ -99,10 +104,13 @@ def jaccard_words(left: Column, right: Column) -> Column:
     def words(text: Column) -> Column:
         return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"({WORD}+)"), F.lit(0)))
 
-    a, b = words(F.coalesce(left, F.lit(""))), words(F.coalesce(right, F.lit("")))
-    both = F.size(F.array_intersect(a, b))
-    either = F.size(a) + F.size(b) - both
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(both / either)
+    def similarity(a: Column, b: Column) -> Column:
+        total = F.size(a) + F.size(b)
+        shared = let(F.size(F.array_intersect(a, b)), lambda both: both / (total - both))
+        return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(shared)
+
+    left, right = F.coalesce(left, F.lit("")), F.coalesce(right, F.lit(""))
+    return let(words(left), lambda a: let(words(right), lambda b: similarity(a, b)))
 
 
 def line_metrics(lines: Column) -> dict[str, Column]:

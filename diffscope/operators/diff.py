@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from diffscope.functions.text import let, splitlines
+
 # File extensions read by default.
 DEFAULT_EXTENSIONS = (".py", ".html", ".css", ".js", ".json", ".md")
 PLACEHOLDER_LINE = "[New file or binary change]"
@@ -38,16 +40,11 @@ def file_sections(patch: Column) -> Column:
     return F.filter(F.split(patch, FILE_BREAK), lambda x: x.rlike(FILE_HEADER))
 
 
-def _let(value: Column, body) -> Column:
-    """Bind `value` to a lambda variable, so that it is computed once inside an array function's body."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _file_struct(section: Column) -> Column:
     def described(parts: Column) -> Column:
-        return _let(F.element_at(parts, 1), lambda header: _header_struct(section, header, parts))
+        return let(F.element_at(parts, 1), lambda header: _header_struct(section, header, parts))
 
-    return _let(F.split(section, HUNK_BREAK), described)
+    return let(F.split(section, HUNK_BREAK), described)
 
 
 def _header_struct(section: Column, header: Column, parts: Column) -> Column:
@@ -84,7 +81,7 @@ def _body_length(raw: Column, old_count: Column, new_count: Column) -> Column:
 
 
 def _hunk_struct(part: Column, strict: bool) -> Column:
-    return _let(F.split(part, "\n"), lambda lines: _let(
+    return let(F.split(part, "\n"), lambda lines: let(
         F.element_at(lines, 1), lambda head: _hunk_fields(head, lines, strict)))
 
 
@@ -117,7 +114,7 @@ def _hunk_fields(head: Column, lines: Column, strict: bool) -> Column:
             raw.alias("raw_lines"),
         )
 
-    return _let(body, content)
+    return let(body, content)
 
 
 def _placeholder_struct() -> Column:
@@ -216,8 +213,6 @@ def with_commit_context(hunks: DataFrame, commit: str = "commit_hash") -> DataFr
 
 def full_file_hunks(files: DataFrame, path: str = "path", content: str = "value") -> DataFrame:
     """A whole file as one hunk in which every line is added."""
-    from diffscope.functions.text import splitlines
-
     lines = splitlines(F.col(content))
     empty = F.array().cast("array<string>")
     return files.select(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from diffscope.functions import text as X
-from diffscope.functions.syntax import parse_nodes
+from diffscope.functions.syntax import parse_both
 from diffscope.operators.code_graph import code_graph_features
 from diffscope.operators.labels import issue_flags, quality_labels
 from diffscope.operators.syntax_metrics import label_metrics, node_count_map, tree_metrics
@@ -26,12 +26,12 @@ def with_code(hunks: DataFrame) -> DataFrame:
 
 
 def with_parses(hunks: DataFrame) -> DataFrame:
-    """Parse `code` once per mode; both modes share one pass through the Python workers."""
-    parsed = (hunks.withColumn("_extractor", parse_nodes(F.col("code"), "extractor"))
-              .withColumn("_label", parse_nodes(F.col("code"), "label")))
-    return (parsed.withColumn("nodes", F.col("_extractor.nodes"))
-            .withColumn("label_nodes", F.col("_label.nodes"))
-            .withColumn("label_status", F.col("_label.status")).drop("_extractor", "_label"))
+    """Add `nodes`, `label_nodes` and `label_status` of `code`, in one pass through the Python workers."""
+    parsed = hunks.withColumn("_parsed", parse_both(F.col("code")))
+    return parsed.withColumns({
+        "nodes": F.col("_parsed.nodes"),
+        "label_nodes": F.coalesce("_parsed.label_nodes", "_parsed.nodes"),
+        "label_status": F.col("_parsed.label_status")}).drop("_parsed")
 
 
 def context_features(df: DataFrame, lines_added: Column) -> dict[str, Column]:
