@@ -6,7 +6,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from diffscope.functions.text import preview
+from diffscope.functions.text import let, preview
 from diffscope.operators.features import feature_names
 from diffscope.operators.ordered import row_numbers
 from diffscope.operators.sampling import hash_sample, key_digest
@@ -98,6 +98,6 @@ def explain_samples(df: DataFrame, importance: DataFrame, key: list[str], n: int
     return (rows.withColumn("_top", best.scalar()).select(
         *key, preview(F.col("code")).alias("code_snippet"), F.col("is_high_quality").alias("predicted_quality"),
         "quality_score", F.col("issues").alias("key_issues"),
-        F.transform("_top", lambda name: F.struct(
-            name.alias("feature"), F.coalesce(F.try_element_at("features", name), F.lit(0.0)).alias("value")))
+        let(F.col("features"), lambda features: F.transform("_top", lambda name: F.struct(
+            name.alias("feature"), F.coalesce(F.try_element_at(features, name), F.lit(0.0)).alias("value"))))
         .alias("top_features")))

@@ -147,7 +147,9 @@ def assemble(df: DataFrame, vocabulary: list[str], column: str = "features", out
     The names travel in the vector's column metadata, where importances and attributions find them.
     """
     names = F.array(*[F.lit(n) for n in vocabulary])
-    values = F.transform(names, lambda n: F.coalesce(F.try_element_at(F.col(column), n), F.lit(0.0)))
+    # bound once: inside the lambda the optimizer would otherwise put the whole feature computation, once per name
+    values = X.let(F.col(column), lambda features: F.transform(
+        names, lambda n: F.coalesce(F.try_element_at(features, n), F.lit(0.0))))
     attributes = {"ml_attr": {"attrs": {"numeric": [{"idx": i, "name": n} for i, n in enumerate(vocabulary)]},
                               "num_attrs": len(vocabulary)}}
     return df.withColumn(output, array_to_vector(values).alias(output, metadata=attributes)) \

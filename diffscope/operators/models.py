@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from diffscope.operators.evaluate import class_weights
 from diffscope.operators.sampling import key_digest
 
+ROWS_PER_TASK = 20_000
 MODEL_NAMES = ("logistic", "random_forest", "svm")
 OUTPUT_COLUMNS = ("scaled", "mapped", "margin", "margin_prediction", "raw", "probability_vector", "model_prediction")
 
@@ -137,9 +138,11 @@ def train_baselines(df: DataFrame, key: list[str], features: str = "vector", lab
         flat = df.select(*key, label, vector_to_array(features).alias(features))
         flat = oversample_single_class(flat, key, features, label, seed)
         df = flat.withColumn(features, array_to_vector(features)).withMetadata(features, width)
-    train = with_class_weight(df.select(*key, F.col(label).cast("double").alias(label), features), label).persist()
+    rows = df.count()
+    weighted = with_class_weight(df.select(*key, F.col(label).cast("double").alias(label), features), label)
+    # every optimizer step is a job: few rows go into few partitions, many rows keep theirs
+    train = weighted.coalesce(max(1, rows // ROWS_PER_TASK)).persist()
     try:
-        rows = train.count()
         size = len(train.select(features).first()[0])
         fitted: dict[str, PipelineModel] = {}
         for name in models:

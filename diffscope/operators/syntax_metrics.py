@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from diffscope.functions.syntax import parse_nodes
+from diffscope.functions.text import let, line_metrics
 
 CONTROL = ("If", "For", "While", "Try", "With")
 
@@ -89,11 +90,12 @@ def function_names(nodes: Column) -> Column:
 
 def node_count_map(nodes: Column) -> Column:
     """MAP ast_<type>_count -> count for the node types present."""
-    types = _types(nodes)
-    return F.map_from_entries(F.transform(
-        F.array_distinct(types),
-        lambda t: F.struct(F.concat(F.lit("ast_"), F.lower(t), F.lit("_count")),
-                           F.size(F.filter(types, lambda x: x == t)).cast("double"))))
+    def entry(types: Column, t: Column) -> Column:
+        return F.struct(F.concat(F.lit("ast_"), F.lower(t), F.lit("_count")),
+                        F.size(F.filter(types, lambda x: x == t)).cast("double"))
+
+    return let(_types(nodes), lambda types: F.map_from_entries(
+        F.transform(F.array_distinct(types), lambda t: entry(types, t))))
 
 
 def raw_metrics(nodes: Column) -> dict[str, Column]:
@@ -133,8 +135,6 @@ def ast_metrics(df: DataFrame, code: str, key: list[str]) -> DataFrame:
 
 def code_metrics(df: DataFrame, code: str, key: list[str]) -> DataFrame:
     """Line metrics plus definition counts of the code as given."""
-    from diffscope.functions.text import line_metrics
-
     parsed = with_nodes(df.select(*key, code), code, "raw")
     lines = F.split(F.col(code), "\n")
     return parsed.select(*key, *[c.alias(n) for n, c in {**line_metrics(lines),
