@@ -150,6 +150,9 @@ def assemble(df: DataFrame, vocabulary: list[str], column: str = "features", out
     # bound once: inside the lambda the optimizer would otherwise put the whole feature computation, once per name
     values = X.let(F.col(column), lambda features: F.transform(
         names, lambda n: F.coalesce(F.try_element_at(features, n), F.lit(0.0))))
+    # always true, but not deterministic: keeps the vector a column of its own. Spark cannot hand an input that holds a
+    # lambda to a Python stage of a model, and would recompute the vector for every use in a pipeline.
+    values = F.when(F.monotonically_increasing_id() >= 0, values)
     attributes = {"ml_attr": {"attrs": {"numeric": [{"idx": i, "name": n} for i, n in enumerate(vocabulary)]},
                               "num_attrs": len(vocabulary)}}
     return df.withColumn(output, array_to_vector(values).alias(output, metadata=attributes)) \
