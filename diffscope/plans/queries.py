@@ -380,7 +380,8 @@ def labelled_features(spark, folder):
 # ------------------------------------------------------------------ graphs
 
 def _event_graph(spark, folder) -> tuple[DataFrame, DataFrame]:
-    edges = G.distinct_edges(V.event_edges(V.table(spark, folder, "events")))
+    # the edges are read once per level and round: at most 25 per graph, written once instead of derived each time
+    edges = checkpointed(G.distinct_edges(V.event_edges(V.table(spark, folder, "events"))))
     return G.edge_nodes(edges), edges
 
 
@@ -436,7 +437,7 @@ def graph_paths(spark, folder):
 
 @query
 def graph_features(spark, folder):
-    """Everything per graph, with a zero row for users without a graph edge."""
+    """Everything per graph."""
     nodes, edges = _event_graph(spark, folder)
     metrics = G.graph_metrics(nodes, edges)
     flat = FE.flatten_numeric(metrics.select("graph_id", F.struct(
