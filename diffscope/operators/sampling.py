@@ -17,7 +17,7 @@ def key_digest(key: list[str], seed: int) -> Column:
     return F.md5(F.concat_ws("-", *[F.col(k).cast("string") for k in key], F.lit(str(seed))))
 
 
-def _cut_points(df: DataFrame, by: list[str], share: float, digits: int) -> DataFrame:
+def _cut_points(df: DataFrame, by: list[str], share: float) -> DataFrame:
     """(by, _cut): the digest of the ceil(share * n)-th row of each group, in digest order.
 
     Counts per digest prefix find the one prefix in which the cut falls; only that prefix's rows are ranked.
@@ -48,7 +48,7 @@ def stratified_split(df: DataFrame, key: list[str], label: str | None = "label",
     out = marked
     split = None
     for name, share in shares:
-        cut = _cut_points(narrow, by, share, digits).withColumnRenamed("_cut", f"_cut_{name}")
+        cut = _cut_points(narrow, by, share).withColumnRenamed("_cut", f"_cut_{name}")
         # one row per class
         out = out.join(cut, by, "left") if by else out.withColumn(f"_cut_{name}", cut.scalar())
         chosen = F.col("_digest") <= F.col(f"_cut_{name}")

@@ -758,7 +758,8 @@ def external_review(spark, folder):
 @query
 def explain_samples(spark, folder):
     """Explanation rows for all samples, with importance taken from mean feature values."""
-    samples = FE.labelled_features(V.code_hunks(_docs(spark, folder)))
+    samples = checkpointed(FE.labelled_features(V.code_hunks(_docs(spark, folder))).select(
+        "doc_id", "code", "features", "is_high_quality", "quality_score", "issues"))
     names = ("num_functions", "num_classes", "num_loops", "returns", "assignments", "function_calls")
     means = samples.select(F.explode(F.array(*[F.struct(
         F.lit(n).alias("feature"), F.element_at("features", n).alias("value")) for n in names])).alias("x"))
