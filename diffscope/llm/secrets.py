@@ -172,7 +172,7 @@ ORACLE_SQL = f"""
 WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 spans AS ({_sql_spans(0, 'assign', _ASSIGN, f"regexp_extract(m[i], '{_ASSIGN}', 2)", 6)}
   UNION ALL {_sql_spans(1, 'access', 'AKIA[A-Z0-9]+', 'm[i]', 20)}
-  UNION ALL {_sql_spans(2, 'hex', '[0-9a-f]{{24,}}', 'm[i]', 24)}),
+  UNION ALL {_sql_spans(2, 'hex', '[0-9a-f]{24,}', 'm[i]', 24)}),
 joined AS (SELECT doc_id, count(*) FILTER (number = 0) AS n_assign, count(*) FILTER (number = 1) AS n_access,
                   count(*) FILTER (number = 2) AS n_hex,
                   string_agg(kind || ':' || s || ':' || (s + length(hit)), ',' ORDER BY s, number) AS spans
