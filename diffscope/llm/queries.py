@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from diffscope.llm import secrets
+from diffscope.llm import ngram_join, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,4 +26,9 @@ def op6_secret_scan(spark, folder):
     return secrets.digest(secrets.find_secrets(table(spark, folder, "documents")))
 
 
-SQL = {"op6_secret_scan": secrets.ORACLE_SQL}
+@query
+def op2_ngram_join(spark, folder):
+    return ngram_join.jaccard_join(table(spark, folder, "documents"))
+
+
+SQL = {"op2_ngram_join": ngram_join.ORACLE_SQL, "op6_secret_scan": secrets.ORACLE_SQL}
