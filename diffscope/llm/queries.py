@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from diffscope.llm import ngram_join, secrets
+from diffscope.llm import ngram_join, secrets, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,4 +31,9 @@ def op2_ngram_join(spark, folder):
     return ngram_join.jaccard_join(table(spark, folder, "documents"))
 
 
-SQL = {"op2_ngram_join": ngram_join.ORACLE_SQL, "op6_secret_scan": secrets.ORACLE_SQL}
+@query
+def op3_substring_dedup(spark, folder):
+    return substring_dedup.remove_repeats(table(spark, folder, "documents"))
+
+
+SQL = {"op2_ngram_join": ngram_join.ORACLE_SQL, "op3_substring_dedup": substring_dedup.ORACLE_SQL, "op6_secret_scan": secrets.ORACLE_SQL}
