@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from diffscope.llm import ngram_join, secrets, substring_dedup
+from diffscope.llm import decontaminate, ngram_join, secrets, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,4 +36,11 @@ def op3_substring_dedup(spark, folder):
     return substring_dedup.remove_repeats(table(spark, folder, "documents"))
 
 
-SQL = {"op2_ngram_join": ngram_join.ORACLE_SQL, "op3_substring_dedup": substring_dedup.ORACLE_SQL, "op6_secret_scan": secrets.ORACLE_SQL}
+@query
+def op5_decontaminate(spark, folder):
+    return decontaminate.digest(decontaminate.contamination(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark")))
+
+
+SQL = {"op2_ngram_join": ngram_join.ORACLE_SQL, "op3_substring_dedup": substring_dedup.ORACLE_SQL,
+       "op5_decontaminate": decontaminate.ORACLE_SQL, "op6_secret_scan": secrets.ORACLE_SQL}
