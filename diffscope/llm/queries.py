@@ -6,14 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from diffscope.llm import decontaminate, ngram_join, secrets, substring_dedup
+from diffscope.llm import decontaminate, ngram_join, secrets, substring_dedup, wavelet
+
+# Batches that are exchanged with Python are bounded by bytes, as single texts can be very long.
+RUNTIME_CONF = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+                "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        for key, value in RUNTIME_CONF.items():
+            spark.conf.set(key, value)
+        return fn(spark, folder)
+
+    QUERIES[fn.__name__] = run
     return fn
 
 
@@ -42,5 +51,12 @@ def op5_decontaminate(spark, folder):
         table(spark, folder, "documents"), table(spark, folder, "benchmark")))
 
 
+@query
+def op8_token_ids(spark, folder):
+    import public_tokenizers
+
+    return wavelet.round_trip(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 SQL = {"op2_ngram_join": ngram_join.ORACLE_SQL, "op3_substring_dedup": substring_dedup.ORACLE_SQL,
        "op5_decontaminate": decontaminate.ORACLE_SQL, "op6_secret_scan": secrets.ORACLE_SQL}
