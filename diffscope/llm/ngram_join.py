@@ -116,7 +116,7 @@ def _rarity(texts: DataFrame, n: int, total: int) -> tuple[str, float]:
                     [pa.array([block]), pa.array([os.getpid() % 16]), pa.array([part.astype(np.uint32).tobytes()])],
                     ["block", "salt", "cells"])
 
-    def add(batches):
+    def summed(batches):
         sums: dict[tuple[int, int], np.ndarray] = {}
         for b in batches:
             for block, salt, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
@@ -125,27 +125,25 @@ def _rarity(texts: DataFrame, n: int, total: int) -> tuple[str, float]:
                     sums[block, salt] += part
                 else:
                     sums[block, salt] = part.astype(np.uint64)
-        for (block, salt), part in sums.items():
+        return sums
+
+    def add(batches):
+        for (block, salt), part in summed(batches).items():
             yield pa.RecordBatch.from_arrays(
                 [pa.array([block]), pa.array([salt]), pa.array([np.minimum(part, 2**32 - 1).astype(np.uint32).tobytes()])],
                 ["block", "salt", "cells"])
 
+    def rank(batches):
+        for (block, _), part in summed(batches).items():
+            part = part.astype(np.float64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block]), pa.array([np.rint(4 * np.log2(part + 1)).astype(np.uint8).tobytes()]),
+                 pa.array([part.sum()]), pa.array([(part * part).sum()])], ["block", "ranks", "ones", "twos"])
+
     schema = "block long, salt long, cells binary"
     parts = texts.select("text").mapInArrow(count, schema).repartition("block", "salt").mapInArrow(add, schema)
-    sums = parts.withColumn("salt", F.lit(0).cast("long")).repartition("block").mapInArrow(add, schema)
-
-    def rank(batches):
-        for b in batches:
-            ranks, ones, twos = [], [], []
-            for raw in b.column(2):
-                part = np.frombuffer(raw.as_buffer(), dtype=np.uint32).astype(np.float64)
-                ranks.append(np.rint(4 * np.log2(part + 1)).astype(np.uint8).tobytes())
-                ones.append(part.sum())
-                twos.append((part * part).sum())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ranks), pa.array(ones), pa.array(twos)],
-                                             ["block", "ranks", "ones", "twos"])
-
-    found = sums.mapInArrow(rank, "block long, ranks binary, ones double, twos double").collect()
+    found = parts.withColumn("salt", F.lit(0).cast("long")).repartition("block").mapInArrow(
+        rank, "block long, ranks binary, ones double, twos double").collect()
     table = np.zeros((blocks, 1 << BLOCK_BITS), dtype=np.uint8)
     for row in found:
         table[row.block] = np.frombuffer(row.ranks, dtype=np.uint8)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from diffscope.llm import decontaminate, ngram_join, secrets, substring_dedup, wavelet
+from diffscope.llm import decontaminate, ngram_join, secrets, substring_dedup, warc, wavelet
 
 # Batches that are exchanged with Python are bounded by bytes, as single texts can be very long.
 RUNTIME_CONF = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
@@ -51,6 +51,11 @@ def op5_decontaminate(spark, folder):
         table(spark, folder, "documents"), table(spark, folder, "benchmark")))
 
 
+@query
+def op1_warc(spark, folder):
+    return warc.round_trip(table(spark, folder, "pages"))
+
+
 @query
 def op8_token_ids(spark, folder):
     import public_tokenizers
@@ -58,5 +63,5 @@ def op8_token_ids(spark, folder):
     return wavelet.round_trip(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-SQL = {"op2_ngram_join": ngram_join.ORACLE_SQL, "op3_substring_dedup": substring_dedup.ORACLE_SQL,
+SQL = {"op1_warc": warc.ORACLE_SQL, "op2_ngram_join": ngram_join.ORACLE_SQL, "op3_substring_dedup": substring_dedup.ORACLE_SQL,
        "op5_decontaminate": decontaminate.ORACLE_SQL, "op6_secret_scan": secrets.ORACLE_SQL}

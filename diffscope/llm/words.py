@@ -15,7 +15,7 @@ FINAL = 0x94D049BB133111EB
 
 WHITE_SPACE = bytes([0x20, *range(0x09, 0x0E)])
 NOT_ALPHANUMERIC = bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
