@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from diffscope.llm import decontaminate, ngram_join, secrets, substring_dedup, warc, wavelet
+from diffscope.llm import decontaminate, imatch, ngram_join, secrets, substring_dedup, warc, wavelet
 
 # Batches that are exchanged with Python are bounded by bytes, as single texts can be very long.
 RUNTIME_CONF = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
@@ -56,6 +56,11 @@ def op1_warc(spark, folder):
     return warc.round_trip(table(spark, folder, "pages"))
 
 
+@query
+def op10_imatch(spark, folder):
+    return imatch.edited_fingerprints(table(spark, folder, "documents"))
+
+
 @query
 def op8_token_ids(spark, folder):
     import public_tokenizers
