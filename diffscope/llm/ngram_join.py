@@ -36,6 +36,7 @@ from diffscope.llm.words import Hasher, chunks, mixed, signed
 LARGEST_LIGHT = 16  # sizes considered for the boundary: subsets of larger sets are too many to be the cheaper way
 CELL_BITS = (16, 26)  # least and most bits of the rarity table: 64 KB to 64 MB in each worker
 BLOCK_BITS = 16
+FILTER_BITS = 1 << 29  # 64 MB in each worker
 
 
 def needed(size: int, threshold: tuple[int, int]) -> int:
@@ -221,10 +222,14 @@ def _postings(texts: DataFrame, n: int, threshold: tuple[int, int], folder: str,
 
 
 def _lists(postings: DataFrame) -> DataFrame:
-    """Postings of the keys that two different sets share. Streams over sorted rows, whatever a key's length."""
+    """Postings of the keys that two different sets share, with the first set of the list (centre, of m shingles).
+
+    Streams over sorted rows, whatever a key's length.
+    """
+    names = ["key", "set", "n", "centre", "m"]
 
     def run(batches):
-        last = None  # the row before: key, set, n, and whether it was sent
+        last = None  # the row before: key, set; centre of its key and its size; whether the centre was sent
         for b in batches:
             if b.num_rows == 0:
                 continue
@@ -232,24 +237,32 @@ def _lists(postings: DataFrame) -> DataFrame:
             codes = ids.dictionary_encode().indices.to_numpy()
             first = np.concatenate(([True], key[1:] != key[:-1]))
             again = np.concatenate(([False], (key[1:] == key[:-1]) & (codes[1:] == codes[:-1])))
-            if last is not None and last[0] == key[0]:
+            joins = last is not None and last[0] == key[0]
+            if joins:
                 first[0] = False
                 again[0] = last[1] == ids[0].as_py()
             run_no = np.cumsum(first)
-            fresh = ~again
-            members = np.bincount(run_no, weights=fresh, minlength=run_no[-1] + 1)
-            send_last = False
-            if last is not None and not first[0]:
-                send_last = not last[3] and members[0] > 0
-                members[0] += 2 if last[3] else 1
-            keep = fresh & (members[run_no] > 1)
-            if send_last:
-                yield pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int64()), pa.array([last[1]], pa.binary()),
-                                                  pa.array([last[2]], pa.int64())], ["key", "set", "n"])
-            yield b.filter(pa.array(keep))
-            last = (int(key[-1]), ids[len(ids) - 1].as_py(), n[len(n) - 1].as_py(), bool(members[run_no[-1]] > 1))
-
-    return postings.repartition("key").sortWithinPartitions("key", "set").mapInArrow(run, "key long, set binary, n long")
+            heads = np.concatenate(([0], np.flatnonzero(first)))
+            members = np.bincount(run_no, weights=~again, minlength=run_no[-1] + 1)
+            if joins:
+                if not last[4] and members[0] > 0:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([last[0]]), pa.array([last[2]], pa.binary()), pa.array([last[3]]),
+                         pa.array([last[2]], pa.binary()), pa.array([last[3]])], names)
+                members[0] += 2 if last[4] else 1
+            centres, sizes = ids.take(pa.array(heads)), n.take(pa.array(heads))
+            if joins:
+                centres = pa.concat_arrays([pa.array([last[2]], pa.binary()), centres[1:]])
+                sizes = pa.concat_arrays([pa.array([last[3]]), sizes[1:]])
+            keep = pa.array(~again & (members[run_no] > 1))
+            at = pa.array(run_no)
+            yield pa.RecordBatch.from_arrays([*b.columns, centres.take(at), sizes.take(at)], names).filter(keep)
+            end = int(run_no[-1])
+            last = (int(key[-1]), ids[len(ids) - 1].as_py(), centres[end].as_py(), sizes[end].as_py(),
+                    bool(members[end] > 1))
+
+    return postings.repartition("key").sortWithinPartitions("key", "set").mapInArrow(
+        run, "key long, set binary, n long, centre binary, m long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
@@ -305,6 +318,53 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def _members(texts: DataFrame, lists: DataFrame, classes: DataFrame, n: int) -> DataFrame:
+    """(set, text): one text of each set that is in a list.
+
+    A filter of at most `FILTER_BITS` bits keeps most other texts out of the shuffle; beyond that size it lets more pass.
+    """
+    involved = written(lists.select("set").distinct().join(classes, "set").select("set", "class_id"), "involved")
+    spark = texts.sparkSession
+    bits = min(FILTER_BITS, max(1 << 16, 1 << (16 * max(1, involved.count()) - 1).bit_length()))
+    folder = shared_folder(spark, "involved-filter")
+    files = Files(folder)
+    files.make()
+    spots = [F.pmod(F.xxhash64(F.lit(i), F.coalesce(F.col("class_id").cast("long"), F.lit(-1))), F.lit(bits)) for i in (1, 2)]
+    words = involved.select(F.explode(F.array(*spots)).alias("bit")).select(
+        F.expr("bit div 64").alias("word"), (F.col("bit") % 64).cast("int").alias("place")).groupBy("word").agg(
+        F.bit_or(F.expr("shiftleft(1L, place)")).alias("value"))
+    table = np.zeros(bits // 64, dtype=np.uint64)
+    for word, value in words.toLocalIterator(prefetchPartitions=False):
+        table[word] = np.uint64(value & (2**64 - 1))
+    files.write("bits", table.tobytes())
+
+    def some(batches):
+        held = np.frombuffer(Files(folder).read("bits"), dtype=np.uint64)
+        for b in batches:
+            keep = np.ones(b.num_rows, dtype=bool)
+            for i in (2, 3):
+                bit = b.column(i).to_numpy()
+                keep &= (held[bit // 64] >> (bit % 64).astype(np.uint64) & np.uint64(1)).astype(bool)
+            yield pa.RecordBatch.from_arrays(b.columns[:2], ["doc_id", "text"]).filter(pa.array(keep))
+
+    def right_set(batches):
+        hasher, seen = Hasher(fold=True), set()
+        for b in batches:
+            keep = []
+            for want, s in zip(b.column(0).to_pylist(), shingles(hasher, b.column(1), n)):
+                keep.append(set_id(s) == want and want not in seen)
+                seen.add(want)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    marked = texts.withColumnRenamed("doc_id", "class_id")
+    passed = marked.select("class_id", "text", *[c.alias(f"s{i}") for i, c in enumerate(spots)]).mapInArrow(
+        some, f"doc_id {kind}, text string")
+    same = passed["doc_id"].eqNullSafe(involved["class_id"])
+    chosen = passed.join(involved, same).select("set", "text")
+    return written(chosen.mapInArrow(right_set, "set binary, text string").dropDuplicates(["set"]), "members")
+
+
 def jaccard_join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5,
                  threshold: tuple[int, int] = (75, 100), stars: int = 3) -> DataFrame:
     """One row per row of `documents`: doc_id, n_shingles, class_id (least id with the same set), component_id.
@@ -321,44 +381,22 @@ def jaccard_join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     x = boundary({r["n"]: r["count"] for r in sizes.collect()}, mean_list, threshold)
     lists = written(_lists(_postings(texts, n, threshold, folder, x)), "lists")
 
-    # one text of each set that is in a list, for verification; equal texts of one class may share its least id
-    involved = lists.select("set").distinct().join(classes, "set").select("set", "class_id")
-    same = texts["doc_id"].eqNullSafe(involved["class_id"])
-    chosen = texts.join(involved, same).select("set", "text")
-
-    def right_set(batches):
-        hasher, seen = Hasher(fold=True), set()
-        for b in batches:
-            keep = []
-            for want, s in zip(b.column(0).to_pylist(), shingles(hasher, b.column(1), n)):
-                keep.append(set_id(s) == want and want not in seen)
-                seen.add(want)
-            yield b.filter(pa.array(keep, pa.bool_()))
-
-    members = written(chosen.mapInArrow(right_set, "set binary, text string").dropDuplicates(["set"]), "members")
+    members = _members(texts, lists, classes, n)
 
     def near(a: str, b: str):
-        return (F.least(a, b) * q >= F.greatest(a, b) * p)
+        return F.least(a, b) * q >= F.greatest(a, b) * p
 
     links = tested = None
-    labelled = lists.withColumn("c", F.col("set"))
+    open_lists = lists.withColumn("c", F.col("set")).withColumn("d", F.col("centre"))
     for turn in range(stars + 1):
-        mixed_keys = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"),
-                                                 F.min_by("set", F.xxhash64("set", F.lit(turn))).alias("centre")
-                                                 ).where("low != high")
         if turn < stars:
-            centre = mixed_keys.join(labelled.select("key", F.col("set").alias("centre"), F.col("n").alias("m"),
-                                                     F.col("c").alias("d")), ["key", "centre"])
-            pairs = labelled.join(centre.select("key", "centre", "m", "d"), "key").where(
-                (F.col("c") != F.col("d")) & near("n", "m")).select(
+            pairs = open_lists.where((F.col("c") != F.col("d")) & near("n", "m")).select(
                 F.least("set", "centre").alias("u"), F.greatest("set", "centre").alias("v"))
         else:
-            counted = labelled.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"))
-            largest = counted.groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("largest"),
-                                                 F.count(F.lit(1)).alias("parts")).where("parts > 1")
-            tagged = labelled.join(largest.select("key", "largest"), "key")
-            outside = tagged.where("c != largest")
-            pairs = outside.select("key", "c", "set", "n").join(
+            counted = open_lists.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"))
+            largest = counted.groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("largest"))
+            tagged = open_lists.select("key", "set", "n", "c").join(largest, "key")
+            pairs = tagged.where("c != largest").select("key", "c", "set", "n").join(
                 tagged.select("key", F.col("c").alias("d"), F.col("set").alias("other"), F.col("n").alias("m"),
                               (F.col("c") == F.col("largest")).alias("main")), "key").where(
                 (F.col("c") != F.col("d")) & (F.col("main") | (F.col("set") < F.col("other"))) & near("n", "m")).select(
@@ -371,8 +409,15 @@ def jaccard_join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
         new = written(_verified(pairs, members, n, threshold), "links")
         links = new if links is None else links.unionByName(new)
         roots = written(components(links), "roots")
-        labelled = lists.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").select(
-            "key", "set", "n", F.coalesce("root", "set").alias("c"))
+        if turn < stars:  # lists of one component are settled; the others get another centre
+            labelled = open_lists.select("key", "set", "n").join(
+                roots.select(F.col("node").alias("set"), "root"), "set", "left").select(
+                "key", "set", "n", F.coalesce("root", "set").alias("c"))
+            centre = F.min_by(F.struct(F.col("set").alias("centre"), F.col("n").alias("m"), F.col("c").alias("d")),
+                              F.xxhash64("set", F.lit(turn)))
+            mixed_keys = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"),
+                                                     centre.alias("x")).where("low != high").select("key", "x.*")
+            open_lists = written(labelled.join(mixed_keys, "key"), "open-lists")
 
     named = classes.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").select(
         "set", "class_id", F.coalesce("root", "set").alias("root"))

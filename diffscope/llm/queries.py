@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from diffscope.llm import decontaminate, imatch, ngram_join, secrets, substring_dedup, warc, wavelet
+from diffscope.llm import decontaminate, imatch, ngram_join, quality, secrets, substring_dedup, toxicity, training, warc, wavelet
 
 # Batches that are exchanged with Python are bounded by bytes, as single texts can be very long.
 RUNTIME_CONF = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
@@ -61,6 +61,20 @@ def op10_imatch(spark, folder):
     return imatch.edited_fingerprints(table(spark, folder, "documents"))
 
 
+@query
+def op7_toxicity(spark, folder):
+    documents = table(spark, folder, "documents")
+    model = toxicity.train(documents, table(spark, folder, "labels"))
+    return training.digest(toxicity.scores(documents, model), toxicity.OF, toxicity.HELD_OUT, toxicity.LEAST)
+
+
+@query
+def op9_quality(spark, folder):
+    documents = table(spark, folder, "documents")
+    model = quality.train(documents, table(spark, folder, "labels"))
+    return training.digest(quality.scores(documents, model), quality.OF, quality.HELD_OUT, quality.LEAST)
+
+
 @query
 def op8_token_ids(spark, folder):
     import public_tokenizers
