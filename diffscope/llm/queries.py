@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from diffscope.llm import decontaminate, imatch, ngram_join, quality, secrets, substring_dedup, toxicity, training, warc, wavelet
+from diffscope.llm import decontaminate, imatch, ngram_join, packing, quality, secrets, substring_dedup, toxicity, training, warc, wavelet
 
 # Batches that are exchanged with Python are bounded by bytes, as single texts can be very long.
 RUNTIME_CONF = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
@@ -16,11 +16,15 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
+def configure(spark: SparkSession) -> SparkSession:
+    for key, value in RUNTIME_CONF.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def query(fn: Query) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        for key, value in RUNTIME_CONF.items():
-            spark.conf.set(key, value)
-        return fn(spark, folder)
+        return fn(configure(spark), folder)
 
     QUERIES[fn.__name__] = run
     return fn
@@ -75,6 +79,11 @@ def op9_quality(spark, folder):
     return training.digest(quality.scores(documents, model), quality.OF, quality.HELD_OUT, quality.LEAST)
 
 
+@query
+def op4_best_fit_packing(spark, folder):
+    return packing.pack(packing.with_lengths(table(spark, folder, "documents")))
+
+
 @query
 def op8_token_ids(spark, folder):
     import public_tokenizers
