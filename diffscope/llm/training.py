@@ -60,8 +60,10 @@ def fitted(rows: DataFrame, share: float, fit: Callable[[list[str], np.ndarray],
         np.savez(out, **model)
         yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()])], ["model"])
 
-    raw = rows.repartition(1).mapInArrow(run, "model binary").first()["model"]
-    Files(folder).write("model.npz", bytes(raw))
+    found = rows.repartition(1).mapInArrow(run, "model binary").first()
+    if found is None:  # no labelled rows
+        found = {"model": next(run([])).column(0)[0].as_py()}
+    Files(folder).write("model.npz", bytes(found["model"]))
     return folder
 
 
