@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 WS = r"[\s\x1c-\x1f]"
 NOT_WS = r"[^\s\x1c-\x1f]"
 WORD = r"[\p{L}\p{N}_]"
-MAX_TOKENS = 512
 
 
 def _word(body: str) -> str:
@@ -72,9 +71,10 @@ def clean_code(code: Column) -> Column:
     return trim_py(code)
 
 
-def token_count(code: Column, limit: int = MAX_TOKENS) -> Column:
-    """Number of word or punctuation tokens, at most `limit`."""
-    return F.least(F.lit(limit), F.regexp_count(code, F.lit(rf"(?U){WORD}+|[^\s\p{{L}}\p{{N}}_\x1c-\x1f]")))
+def token_count(code: Column, limit: int | None = None) -> Column:
+    """Number of word or punctuation tokens, at most `limit` if one is given."""
+    count = F.regexp_count(code, F.lit(rf"(?U){WORD}+|[^\s\p{{L}}\p{{N}}_\x1c-\x1f]"))
+    return count if limit is None else F.least(F.lit(limit), count)
 
 
 def count_nonblank(lines: Column) -> Column:

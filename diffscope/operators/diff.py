@@ -19,8 +19,10 @@ from diffscope.functions.text import let, splitlines
 DEFAULT_EXTENSIONS = (".py", ".html", ".css", ".js", ".json", ".md")
 PLACEHOLDER_LINE = "[New file or binary change]"
 
-FILE_HEADER = r"(?d)^diff --git a/(.*?) b/(.*)"
-FILE_BREAK = r"\n(?=diff --git a/[^\n]*? b/)"
+# Either path may be quoted, then with C-style escapes.
+QUOTED = r'"%s/((?:[^"\\]|\\.)*)"'
+FILE_HEADER = rf"(?d)^diff --git (?:{QUOTED % 'a'}|a/(.*?)) (?:{QUOTED % 'b'}|b/(.*))"
+FILE_BREAK = r'\n(?=diff --git "?a/[^\n]*? "?b/)'
 HUNK_HEADER = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 HUNK_BREAK = r"\n(?=@@ -\d+(?:,\d+)? \+\d+(?:,\d+)? @@)"
 
@@ -35,6 +37,30 @@ def _first_line(text: Column) -> Column:
     return F.substring_index(text, "\n", 1)
 
 
+# The escapes of quoted paths and their bytes; other bytes are three octal digits.
+ESCAPES = {"a": "07", "b": "08", "t": "09", "n": "0A", "v": "0B", "f": "0C", "r": "0D", '"': "22", "\\": "5C"}
+
+
+def unquote_path(path: Column) -> Column:
+    """The path that a quoted one stands for."""
+    parts = F.regexp_extract_all(path, F.lit(r"\\[0-7]{3}|\\.|[^\\]+"), F.lit(0))
+    known = F.create_map(*[F.lit(x) for pair in ESCAPES.items() for x in pair])
+
+    def as_hex(part):
+        code = F.substring(part, 2, 3)
+        return F.when(part.rlike(r"^\\[0-7]{3}$"), F.lpad(F.conv(code, 8, 16), 2, "0")).when(
+            part.startswith("\\"), F.coalesce(known[F.substring(part, 2, 1)], F.hex(F.substring(part, 2, 1)))).otherwise(
+            F.hex(part))
+
+    return F.unhex(F.array_join(F.transform(parts, as_hex), "")).cast("string")
+
+
+def _path(header: Column, quoted: int) -> Column:
+    """Path of a file header from its quoted group or the plain group that follows it."""
+    inside = F.regexp_extract(header, FILE_HEADER, quoted)
+    return F.when(inside != "", unquote_path(inside)).otherwise(F.regexp_extract(header, FILE_HEADER, quoted + 1))
+
+
 def file_sections(patch: Column) -> Column:
     """ARRAY<STRING>: the text of each file's part of a patch, headers included."""
     return F.filter(F.split(patch, FILE_BREAK), lambda x: x.rlike(FILE_HEADER))
@@ -49,13 +75,14 @@ def _file_struct(section: Column) -> Column:
 
 def _header_struct(section: Column, header: Column, parts: Column) -> Column:
     first = _first_line(header)
-    old, new = F.regexp_extract(first, FILE_HEADER, 1), F.regexp_extract(first, FILE_HEADER, 2)
+    old, new = _path(first, 1), _path(first, 3)
     return F.struct(
         F.when(new == "/dev/null", old).otherwise(new).alias("file_path"),
         old.alias("old_file"),
         new.alias("new_file"),
         F.when(header.rlike(r"(?dm)^deleted file mode"), "D")
-        .when(header.rlike(r"(?dm)^new file mode"), "A").otherwise("M").alias("change_type"),
+        .when(header.rlike(r"(?dm)^new file mode"), "A").when(header.rlike(r"(?dm)^rename from "), "R")
+        .when(header.rlike(r"(?dm)^copy from "), "C").otherwise("M").alias("change_type"),
         header.rlike(r"(?dm)^(Binary files |GIT binary patch)").alias("is_binary"),
         section.alias("diff"),
         parts.alias("parts"),
@@ -68,7 +95,7 @@ def _count(head: Column, group: int) -> Column:
 
 
 def _body_length(raw: Column, old_count: Column, new_count: Column) -> Column:
-    """Lines of `raw` that the header counts cover (used in strict mode)."""
+    """Lines of `raw` that the header counts cover."""
     start = F.struct(F.lit(0).alias("o"), F.lit(0).alias("n"), F.lit(0).alias("k"))
 
     def step(acc, x):
@@ -80,21 +107,21 @@ def _body_length(raw: Column, old_count: Column, new_count: Column) -> Column:
     return F.aggregate(raw, start, step, lambda acc: acc["k"])
 
 
-def _hunk_struct(part: Column, strict: bool) -> Column:
+def _hunk_struct(part: Column, compat: bool) -> Column:
     return let(F.split(part, "\n"), lambda lines: let(
-        F.element_at(lines, 1), lambda head: _hunk_fields(head, lines, strict)))
+        F.element_at(lines, 1), lambda head: _hunk_fields(head, lines, compat)))
 
 
-def _hunk_fields(head: Column, lines: Column, strict: bool) -> Column:
+def _hunk_fields(head: Column, lines: Column, compat: bool) -> Column:
     raw = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
     old_count, new_start, new_count = _count(head, 2), _count(head, 3), _count(head, 4)
-    body = F.slice(raw, F.lit(1), _body_length(raw, old_count, new_count)) if strict else raw
+    body = raw if compat else F.slice(raw, F.lit(1), _body_length(raw, old_count, new_count))
 
     def added(x: Column) -> Column:
-        return x.startswith("+") if strict else x.startswith("+") & ~x.startswith("+++")
+        return x.startswith("+") & ~x.startswith("+++") if compat else x.startswith("+")
 
     def removed(x: Column) -> Column:
-        return x.startswith("-") if strict else x.startswith("-") & ~x.startswith("---")
+        return x.startswith("-") & ~x.startswith("---") if compat else x.startswith("-")
 
     def content(of: Column) -> Column:
         def pick(test):
@@ -128,9 +155,9 @@ def _placeholder_struct() -> Column:
     )
 
 
-def _hunks_of(parts: Column, change_type: Column, is_binary: Column, placeholder: bool, strict: bool) -> Column:
+def _hunks_of(parts: Column, change_type: Column, is_binary: Column, placeholder: bool, compat: bool) -> Column:
     bodies = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
-    hunks = F.transform(bodies, lambda p: _hunk_struct(p, strict))
+    hunks = F.transform(bodies, lambda p: _hunk_struct(p, compat))
     if not placeholder:
         return hunks
     missing = (F.size(hunks) == 0) & ((change_type == "A") | is_binary)
@@ -159,26 +186,26 @@ def _explode(df: DataFrame, keys: list[str], items: Column, index: str, item: st
     return df.select(*keys, F.posexplode_outer(items).alias(index, item)).where(F.col(index).isNotNull())
 
 
-def parse_hunks(file_diffs: DataFrame, placeholder: bool = True, strict: bool = False) -> DataFrame:
+def parse_hunks(file_diffs: DataFrame, placeholder: bool = True, compat: bool = False) -> DataFrame:
     """One row per hunk of a file-diff table made by `parse_files`.
 
-    `placeholder` adds one row for new or binary files without hunks. By default lines starting `+++` or `---` inside a
-    hunk are treated as headers and dropped; `strict` follows the header's line counts instead.
+    `placeholder` adds one row for new or binary files without hunks. The header's line counts say which lines belong
+    to a hunk; `compat` takes lines starting `+++` or `---` for headers instead and drops them.
     """
     keys = [c for c in file_diffs.columns if c not in ("diff", "is_binary")]
-    hunks = _hunks_of(F.split(F.col("diff"), HUNK_BREAK), F.col("change_type"), F.col("is_binary"), placeholder, strict)
+    hunks = _hunks_of(F.split(F.col("diff"), HUNK_BREAK), F.col("change_type"), F.col("is_binary"), placeholder, compat)
     return _explode_hunks(file_diffs, keys, hunks)
 
 
 def patch_hunks(patches: DataFrame, extensions=DEFAULT_EXTENSIONS, placeholder: bool = True,
-                strict: bool = False) -> DataFrame:
+                compat: bool = False) -> DataFrame:
     """Patches straight to hunks, with the commit context columns computed inside the patch row."""
     files = F.transform(file_sections(F.col("patch")), _file_struct)
     if extensions:
         files = F.filter(files, lambda f: has_extension(f["file_path"], extensions))
     full = F.transform(files, lambda f: F.struct(
         f["file_path"].alias("file_path"), f["change_type"].alias("change_type"),
-        _hunks_of(f["parts"], f["change_type"], f["is_binary"], placeholder, strict).alias("hunks")))
+        _hunks_of(f["parts"], f["change_type"], f["is_binary"], placeholder, compat).alias("hunks")))
     kept = [c for c in patches.columns if c != "patch"]
 
     def total(of):
@@ -225,7 +252,9 @@ def full_file_hunks(files: DataFrame, path: str = "path", content: str = "value"
 
 
 def snapshot_patch(path: Column, change_type: Column, content: Column) -> Column:
-    """Patch text of a wholly added (A) or deleted (D) file, made from its content."""
+    """Patch text of a wholly added (A) or deleted (D) file, made from its content. Other kinds need both versions: an error."""
+    change_type = F.when(change_type.isin("A", "D"), change_type).otherwise(
+        F.raise_error(F.lit("a snapshot is added (A) or deleted (D)")))
     sign = F.when(change_type == "D", "-").otherwise("+")
     lines = F.split(content, "\n")
     n = F.size(lines).cast("string")
@@ -242,15 +271,44 @@ def snapshot_patch(path: Column, change_type: Column, content: Column) -> Column
         F.array_join(F.transform(lines, lambda x: F.concat(sign, x)), "\n"))
 
 
+def _counted_files(extensions) -> Column:
+    files = F.transform(file_sections(F.col("patch")), _file_struct)
+    if extensions:
+        files = F.filter(files, lambda f: has_extension(f["file_path"], extensions))
+
+    def lines(f, column):
+        hunks = _hunks_of(f["parts"], f["change_type"], f["is_binary"], False, False)
+        return F.aggregate(hunks, F.lit(0), lambda acc, h: acc + F.size(h[column]))
+
+    return F.transform(files, lambda f: F.struct(
+        f["file_path"].alias("file_path"), f["change_type"].alias("change_type"),
+        lines(f, "added_lines").alias("insertions"), lines(f, "removed_lines").alias("deletions")))
+
+
+def patch_file_stats(patches: DataFrame, extensions=None) -> DataFrame:
+    """Insertions and deletions of every file of each patch, binary and empty ones included (0), in the patch row."""
+    return _explode(patches, ["commit_hash"], _counted_files(extensions), "_at", "f").select("commit_hash", "f.*")
+
+
+def patch_commit_stats(patches: DataFrame, extensions=None) -> DataFrame:
+    """Totals of each patch over all its files, in the patch row; a patch without files has zeros."""
+    def total(column):
+        return F.aggregate("_files", F.lit(0), lambda acc, f: acc + f[column])
+
+    return patches.select("commit_hash", _counted_files(extensions).alias("_files")).select(
+        "commit_hash", total("insertions").alias("total_insertions"), total("deletions").alias("total_deletions"),
+        F.size(F.array_distinct(F.transform("_files", lambda f: f["file_path"]))).alias("files_changed"))
+
+
 def file_stats(hunks: DataFrame) -> DataFrame:
-    """Insertions and deletions per commit and file."""
+    """Insertions and deletions per commit and file of a hunk table (files without hunks are not in it)."""
     return hunks.groupBy("commit_hash", "file_path", "change_type").agg(
         F.sum(F.size("added_lines")).alias("insertions"),
         F.sum(F.size("removed_lines")).alias("deletions"))
 
 
 def commit_stats(hunks: DataFrame) -> DataFrame:
-    """Totals per commit."""
+    """Totals per commit of a hunk table (commits without hunks are not in it)."""
     return hunks.groupBy("commit_hash").agg(
         F.sum(F.size("added_lines")).alias("total_insertions"),
         F.sum(F.size("removed_lines")).alias("total_deletions"),

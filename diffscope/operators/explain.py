@@ -17,7 +17,7 @@ def _last_with(model, attribute: str):
     return next((s for s in reversed(stages) if hasattr(s, attribute)), None)
 
 
-def feature_importance(model, names: list[str], spark: SparkSession, k: int | None = 20) -> DataFrame:
+def feature_importance(model, names: list[str], spark: SparkSession, k: int | None = None) -> DataFrame:
     """(feature, importance) of a tree model, largest first, ties by name; absolute coefficients for a linear one."""
     tree = _last_with(model, "featureImportances")
     if tree is not None:
@@ -89,7 +89,7 @@ def permutation_importance(model, df: DataFrame, key: list[str], vocabulary: lis
                     (F.col("whole") - F.col("a.accuracy")).alias("importance")))
 
 
-def explain_samples(df: DataFrame, importance: DataFrame, key: list[str], n: int | None = 10, top: int = 5,
+def explain_samples(df: DataFrame, importance: DataFrame, key: list[str], n: int | None = None, top: int = 5,
                     seed: int = 42) -> DataFrame:
     """Per sample: code preview, label, score, issues and the model's top features with the sample's values."""
     best = importance.orderBy(F.desc("importance"), "feature").limit(top).agg(F.transform(

@@ -19,9 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from diffscope.operators.evaluate import class_weights
-from diffscope.operators.sampling import key_digest
+from diffscope.operators.sampling import stratified_split
 
-ROWS_PER_TASK = 20_000
 MODEL_NAMES = ("logistic", "random_forest", "svm")
 OUTPUT_COLUMNS = ("scaled", "mapped", "margin", "margin_prediction", "raw", "probability_vector", "model_prediction")
 
@@ -108,26 +107,30 @@ def fit_svm(df: DataFrame, key: list[str], width: int, features: str = "vector",
             weight: str = "weight", size: int = 256, iterations: int = 100, seed: int = 42) -> PipelineModel:
     """Gaussian-kernel SVM by random Fourier features; probabilities by a logistic fit on held-out margins.
 
-    An approximation by nature: the kernel is sampled and the margins are calibrated on one held-out fifth.
+    An approximation by nature: the kernel is sampled and the margins are calibrated on one held-out fifth of each label.
     """
-    held = F.conv(F.substring(key_digest(key, seed + 7), 1, 8), 16, 10).cast("long") % 5 == 0
-    fit_rows, held_rows = df.where(~held), df.where(held)
+    parts = stratified_split(df, key, label, 0.2, seed=seed + 7)
+    fit_rows, held_rows = (parts.where(F.col("split") == name).drop("split") for name in ("train", "test"))
+    for rows in (fit_rows, held_rows):
+        if rows.select(label).distinct().limit(2).count() < 2:
+            raise ValueError("calibration needs rows of both labels in the fit and in the held-out fifth")
     base = Pipeline(stages=[
         _scaler(features),
         RandomFourierFeatures(inputCol="scaled", outputCol="mapped", size=size, gamma=1.0 / width, seed=seed),
         LinearSVC(featuresCol="mapped", labelCol=label, weightCol=weight, maxIter=iterations, regParam=1e-3,
                   rawPredictionCol="margin", predictionCol="margin_prediction")]).fit(fit_rows)
     scored = base.transform(held_rows)
-    if held_rows.select(label).distinct().limit(2).count() < 2:
-        scored = base.transform(df)
     platt = LogisticRegression(featuresCol="margin", labelCol=label, maxIter=100, rawPredictionCol="raw",
                                probabilityCol="probability_vector", predictionCol="model_prediction").fit(scored)
     return PipelineModel(stages=[*base.stages, platt])
 
 
 def train_baselines(df: DataFrame, key: list[str], features: str = "vector", label: str = "label", trees: int = 100,
-                    depth: int = 10, models=MODEL_NAMES, seed: int = 42) -> dict[str, PipelineModel]:
-    """Fit the baseline models. A single class is first balanced by jittered copies of rows."""
+                    depth: int = 10, models=MODEL_NAMES, seed: int = 42, partitions: int | None = None) -> dict[str, PipelineModel]:
+    """Fit the baseline models. A single class is first balanced by jittered copies of rows.
+
+    Every optimizer step is a job over the rows' partitions; `partitions` deals few rows to few of them.
+    """
     classes = df.select(label).distinct().limit(2).count()
     if classes == 0:
         raise ValueError("no training rows")
@@ -140,8 +143,7 @@ def train_baselines(df: DataFrame, key: list[str], features: str = "vector", lab
         df = flat.withColumn(features, array_to_vector(features)).withMetadata(features, width)
     rows = df.count()
     weighted = with_class_weight(df.select(*key, F.col(label).cast("double").alias(label), features), label)
-    # every optimizer step is a job: few rows go into few partitions, many rows keep theirs
-    train = weighted.coalesce(max(1, rows // ROWS_PER_TASK)).persist()
+    train = (weighted.repartition(partitions) if partitions else weighted).persist()
     try:
         size = len(train.select(features).first()[0])
         fitted: dict[str, PipelineModel] = {}

@@ -24,7 +24,9 @@ def value_buckets(df: DataFrame, by: list[str], order: str, buckets: int = 64) -
         joined = df.withColumn("_marks", df.agg(marks).scalar())
     else:
         bounds = df.groupBy(*by).agg(marks)
-        joined = df.join(bounds, by, "left")
+        named = bounds.withColumnsRenamed({k: f"_same_{k}" for k in by})
+        joined = df.join(named, [df[k].eqNullSafe(named[f"_same_{k}"]) for k in by], "left").drop(
+            *[f"_same_{k}" for k in by])
     number = F.size(F.filter("_marks", lambda m: m < F.col(order)))
     return joined.withColumn(BUCKET, number).drop("_marks")
 
@@ -41,12 +43,20 @@ def _earlier(df: DataFrame, by: list[str], value: Column) -> DataFrame:
     return totals.select(*by, BUCKET, F.coalesce(F.sum("_total").over(w), F.lit(0)).alias("_before"))
 
 
+def _same(df: DataFrame, totals: DataFrame, by: list[str]) -> DataFrame:
+    """Join a row per (by, bucket); null is a group like any other."""
+    keys = [*by, BUCKET]
+    named = totals.withColumnsRenamed({k: f"_same_{k}" for k in keys})
+    match = [df[k].eqNullSafe(named[f"_same_{k}"]) for k in keys]
+    return df.join(named, match).drop(*[f"_same_{k}" for k in keys])
+
+
 def running_total(bucketed: DataFrame, by: list[str], order: list, value: Column, output: str) -> DataFrame:
     """Add the sum of `value` over the rows before and including each row, in `order`, within the group."""
     w = Window.partitionBy(*by, BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = _earlier(bucketed, by, value)
     return (bucketed.withColumn("_inside", F.sum(value).over(w))
-            .join(before, [*by, BUCKET]).withColumn(output, F.col("_before") + F.col("_inside"))
+            .transform(_same, before, by).withColumn(output, F.col("_before") + F.col("_inside"))
             .drop("_inside", "_before", BUCKET))
 
 
@@ -69,5 +79,5 @@ def nearest_at_or_after(points: DataFrame, requests: DataFrame, by: list[str], o
     firsts = cut.groupBy(*by, BUCKET).agg(F.min(here).alias("_first"))
     after = Window.partitionBy(*by).orderBy(BUCKET).rowsBetween(1, Window.unboundedFollowing)
     later = firsts.select(*by, BUCKET, F.min("_first").over(after).alias("_later"))
-    return (inside.where("_low = 0").join(later, [*by, BUCKET])
+    return (_same(inside.where("_low = 0"), later, by)
             .select(*by, order, F.coalesce("_inside", "_later").alias(output)))

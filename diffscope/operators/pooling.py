@@ -30,15 +30,21 @@ def attention_scores(vec: Column, hidden: np.ndarray, output: np.ndarray) -> Col
 def attention_weights(df: DataFrame, bag: str, score: str, output: str = "attention_weight") -> DataFrame:
     """Add the softmax of `score` within each bag."""
     top = df.groupBy(bag).agg(F.max(score).alias("_top"))
-    shifted = df.join(top, bag).withColumn("_e", F.exp(F.col(score) - F.col("_top")))
+    shifted = _with_bag(df, top, bag).withColumn("_e", F.exp(F.col(score) - F.col("_top")))
     total = shifted.groupBy(bag).agg(F.sum("_e").alias("_sum"))
-    return (shifted.join(total, bag).withColumn(output, F.col("_e") / F.col("_sum")).drop("_e", "_sum", "_top"))
+    return _with_bag(shifted, total, bag).withColumn(output, F.col("_e") / F.col("_sum")).drop("_e", "_sum", "_top")
+
+
+def _with_bag(df: DataFrame, per_bag: DataFrame, bag: str) -> DataFrame:
+    """Join one row per bag; rows without a bag id are a bag of their own."""
+    named = per_bag.withColumnRenamed(bag, "_bag")
+    return df.join(named, df[bag].eqNullSafe(named["_bag"])).drop("_bag")
 
 
 def attention_pool(df: DataFrame, bag: str, vec: str, score: str) -> DataFrame:
     """(bag, instances, pooled ARRAY<DOUBLE>): attention-weighted mean vector of each bag."""
     top = df.groupBy(bag).agg(F.max(score).alias("_top"))
-    weighted = df.join(top, bag).select(bag, array_to_vector(F.col(vec).cast("array<double>")).alias("_v"),
+    weighted = _with_bag(df, top, bag).select(bag, array_to_vector(F.col(vec).cast("array<double>")).alias("_v"),
                                         F.exp(F.col(score) - F.col("_top")).alias("_w"))
     return weighted.groupBy(bag).agg(
         F.count(F.lit(1)).alias("instances"),

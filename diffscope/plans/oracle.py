@@ -96,8 +96,8 @@ hunks AS (
     len(list_filter(part, lambda m: m.s <> '+')) AS old_count,
     1 + coalesce(len(list_filter(prior, lambda m: m.s <> '-')), 0) AS new_start,
     len(list_filter(part, lambda m: m.s <> '-')) AS new_count,
-    list_transform(list_filter(part, lambda m: m.s = '+' AND NOT starts_with(m.x, '++')), lambda m: m.x) AS added,
-    list_transform(list_filter(part, lambda m: m.s = '-' AND NOT starts_with(m.x, '--')), lambda m: m.x) AS removed,
+    list_transform(list_filter(part, lambda m: m.s = '+'), lambda m: m.x) AS added,
+    list_transform(list_filter(part, lambda m: m.s = '-'), lambda m: m.x) AS removed,
     list_transform(list_filter(part, lambda m: m.s = ' '), lambda m: m.x) AS context
   FROM parts
   UNION ALL
@@ -116,6 +116,13 @@ commits AS (
     strftime(TIMESTAMP '2024-01-01' + to_minutes(doc_id), '%Y-%m-%dT%H:%M:%SZ') AS date FROM documents)
 """
 
+# All files of a patch, those outside the default extensions and binary ones included.
+_STATS = _PATCH.replace("FROM s WHERE kept AND", "FROM s WHERE").replace(" FROM s WHERE kept", " FROM s").rstrip() + """,
+every_file AS (
+  SELECT commit_hash, file_path, change_type, sum(CASE WHEN hunk_type = 'hunk' THEN len(added) ELSE 0 END)::BIGINT AS insertions,
+    sum(len(removed))::BIGINT AS deletions FROM hunks GROUP BY ALL)
+"""
+
 _RECENT = "commit_hash AS hash, substr(commit_hash, 1, 8) AS short_hash, message, author, date"
 
 # Small graphs of event types, all shortest paths by enumerating simple paths (at most five nodes).
@@ -123,7 +130,7 @@ _GRAPH = """
 WITH RECURSIVE ev AS (
   SELECT user_id::VARCHAR || '-' || (date_trunc('week', ts)::DATE)::VARCHAR AS graph_id, event_type AS src,
     json_extract(props, '$.k')::INT AS k FROM events),
-e AS (SELECT DISTINCT graph_id, src, ['click', 'error', 'purchase', 'signup', 'view'][k % 5 + 1] AS dst FROM ev WHERE k % 3 <> 1),
+e AS (SELECT DISTINCT graph_id, src, ['click', 'error', 'purchase', 'signup', 'view'][k % 5 + 1] AS dst FROM ev),
 n AS (SELECT DISTINCT graph_id, unnest([src, dst]) AS node FROM e),
 sz AS (SELECT graph_id, count(*) AS num_nodes FROM n GROUP BY 1),
 und AS (SELECT DISTINCT graph_id, src, dst FROM (
@@ -197,7 +204,7 @@ ubest AS (SELECT graph_id, s, t, min(dist) AS dist FROM uwalk GROUP BY ALL)"""
 
 
 _SCORED = """
-WITH sc AS (SELECT doc_id, quality AS label, round(least(n_chars, 5000) / 5000.0::DOUBLE, 1) AS probability
+WITH sc AS (SELECT doc_id, quality AS label, round(n_chars / (n_chars + 1500.0::DOUBLE), 1) AS probability
   FROM labels JOIN documents USING (doc_id)),
 p AS (SELECT *, CASE WHEN probability > 0.5::DOUBLE THEN 1 ELSE 0 END AS prediction FROM sc)
 """
@@ -259,7 +266,9 @@ def _rouge(n: int) -> str:
 
 
 _BAGS = """
-WITH b AS (SELECT vec_id, label AS bag, embedding, list_sum(list_transform(embedding[1:8], lambda x: x::DOUBLE)) AS score FROM embeddings),
+WITH b AS (SELECT vec_id, label AS bag, embedding, 
+  list_sum(list_transform([[0, 1.0], [1, -0.5], [2, 0.75], [3, 0.25]], lambda o: o[2]::DOUBLE * tanh(list_sum(list_transform(
+    embedding, lambda x, d: x::DOUBLE * ((o[1]::INT * 7 + (d - 1) * 3) % 5 - 2) / 10.0::DOUBLE))))) AS score FROM embeddings),
 t AS (SELECT bag, max(score) AS top FROM b GROUP BY 1),
 w AS (SELECT vec_id, b.bag, embedding, exp(score - top) AS e FROM b JOIN t ON t.bag = b.bag),
 q AS (SELECT *, e / sum(e) OVER (PARTITION BY bag) AS a FROM w)
@@ -369,10 +378,9 @@ ORACLE: dict[str, str] = {
         OVER (PARTITION BY h.commit_hash))::BIGINT AS commit_size FROM hunks h JOIN ctx USING (commit_hash)""",
     "file_change_types": _PATCH + """SELECT change_type, string_split(file_path, '.')[-1] AS extension, count(*) AS files,
       sum(is_binary)::BIGINT AS binary_files FROM files GROUP BY ALL""",
-    "commit_stats": _PATCH + """SELECT commit_hash, sum(len(added))::BIGINT AS total_insertions, sum(len(removed))::BIGINT AS total_deletions,
-      count(DISTINCT file_path) AS files_changed FROM hunks WHERE hunk_type = 'hunk' GROUP BY 1""",
-    "file_stats": _PATCH + """SELECT commit_hash, file_path, change_type, sum(len(added))::BIGINT AS insertions,
-      sum(len(removed))::BIGINT AS deletions FROM hunks WHERE hunk_type = 'hunk' GROUP BY ALL""",
+    "commit_stats": _STATS + """SELECT commit_hash, sum(insertions)::BIGINT AS total_insertions,
+      sum(deletions)::BIGINT AS total_deletions, count(DISTINCT file_path) AS files_changed FROM every_file GROUP BY 1""",
+    "file_stats": _STATS + "SELECT commit_hash, file_path, change_type, insertions, deletions FROM every_file",
     "recent_commits": _PATCH + f"SELECT {_RECENT} FROM commits WHERE doc_id > 0 AND doc_id % 50 <> 49 ORDER BY doc_id DESC LIMIT 25",
     "commits_touching": _PATCH + f"""SELECT {_RECENT} FROM commits WHERE commit_hash IN
       (SELECT commit_hash FROM files WHERE file_path LIKE '%.md') ORDER BY doc_id DESC LIMIT 40""",
@@ -413,7 +421,7 @@ ORACLE: dict[str, str] = {
       SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(code,
         '\\n\\s*\\n', chr(10), 'g'), '#.*', '', 'g'), '(?s)\"\"\".*?\"\"\"', '', 'g'), '(?s)''''''.*?''''''', '', 'g'),
         '^\\s+|\\s+$', '', 'g')) AS cleaned FROM t""",
-    "token_count": f"SELECT doc_id, least(512, len(regexp_extract_all({_ASCII}, '\\w+|[^\\s\\w]')))::BIGINT AS tokens FROM documents",
+    "token_count": f"SELECT doc_id, len(regexp_extract_all({_ASCII}, '\\w+|[^\\s\\w]'))::BIGINT AS tokens FROM documents",
     "code_preview": "SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS snippet FROM documents",
     "context_similarity": _PAIRS + f"SELECT conv_id, turn, {_jaccard('generated', 'reference')} AS similarity FROM pairs",
     # syntax
@@ -468,7 +476,7 @@ ORACLE: dict[str, str] = {
     "feature_flatten": """SELECT doc_id, n_chars::DOUBLE AS size_chars, (n_chars > 500)::INT::DOUBLE AS size_long,
       (CASE WHEN doc_id % 2 = 0 THEN doc_id ELSE 0 END)::DOUBLE AS info_even, 0::DOUBLE AS info_lang FROM documents""",
     "feature_merge": "SELECT doc_id, n_chars::DOUBLE AS a, (n_chars + 1)::DOUBLE AS b, (n_chars + 2)::DOUBLE AS c FROM documents",
-    "labelled_features": _LABEL + f""", tokens AS (SELECT *, least(512, len(regexp_extract_all(regexp_replace(code, '#.*', '', 'g'), '\\w+|[^\\s\\w]'))) AS tok FROM labels_of)
+    "labelled_features": _LABEL + f""", tokens AS (SELECT *, len(regexp_extract_all(regexp_replace(code, '#.*', '', 'g'), '\\w+|[^\\s\\w]')) AS tok FROM labels_of)
       SELECT lang, count(*) AS samples, sum({_TOTAL_NODES})::BIGINT AS total_nodes, sum({_DEP_EDGES})::BIGINT AS dep_edges, sum(cnt)::BIGINT AS lines_added,
       sum((p_todo > 0)::INT)::BIGINT AS has_todo_markers, sum(tok)::BIGINT AS tokenized_length,
       sum(3 * c0 + c1 + 2 * c2 + 7 * c3 + 2 * c5)::BIGINT AS ast_name_count FROM tokens GROUP BY 1""",

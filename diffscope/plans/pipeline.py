@@ -15,20 +15,21 @@ from diffscope.operators.sampling import stratified_split
 from diffscope.sources.tables import padded_hunks
 
 
-def train(hunks: DataFrame, path: str, force: bool = False, explained: int = 10, **model_options) -> dict:
+def train(hunks: DataFrame, path: str, force: bool = False, explained: int | None = None,
+          pad_to: int | None = None, **model_options) -> dict:
     """Features, labels, split, baselines, evaluation and explanations; models and vocabulary are stored at `path`.
 
     Returns status, metrics, importance, explanations (DataFrames), models and vocabulary. Stored models are reused
-    unless `force` is set. Samples are written next to the models once, so the syntax parse is not repeated for the
+    unless `force` is set. `pad_to` adds generated commits up to that number; `explained` keeps that many explained samples. Samples are written next to the models once, so the syntax parse is not repeated for the
     vocabulary, the split, each fit and the evaluation.
     """
     spark = hunks.sparkSession
     if not force and M.models_exist(path, spark):
         models, vocabulary = M.load_models(path, spark)
         return {"status": "already_trained", "models": models, "vocabulary": vocabulary}
-    commits = hunks.select("commit_hash").distinct().limit(50).count()
-    padded = padded_hunks(hunks, commits)
-    samples = labelled_features(padded.withColumn("snippet_id", hunk_key(padded))).select(
+    if pad_to is not None:
+        hunks = padded_hunks(hunks, hunks.select("commit_hash").distinct().count(), pad_to, pad_to)
+    samples = labelled_features(hunks.withColumn("snippet_id", hunk_key(hunks))).select(
         "snippet_id", "commit_hash", "file_path", "code", "features", "quality_score", "is_high_quality", "issues",
         F.col("is_high_quality").cast("int").alias("label"))
     stratified_split(samples, ["snippet_id"]).write.mode("overwrite").parquet(f"{path}/samples")

@@ -75,7 +75,7 @@ def hunk_parse(spark, folder):
 @query
 def hunk_parse_two_step(spark, folder):
     files = D.parse_files(V.document_patches(_docs(spark, folder)))
-    hunks = D.with_commit_context(D.parse_hunks(files, strict=True))
+    hunks = D.with_commit_context(D.parse_hunks(files))
     return hunks.select(
         "commit_hash", "file_path", *_longs({
             "hunk_idx": F.col("hunk_idx"), "n_added": F.size("added_lines"), "n_removed": F.size("removed_lines"),
@@ -92,15 +92,13 @@ def file_change_types(spark, folder):
 
 @query
 def commit_stats(spark, folder):
-    hunks = D.patch_hunks(V.document_patches(_docs(spark, folder)), placeholder=False)
-    return D.commit_stats(hunks).select("commit_hash", *_longs({
+    return D.patch_commit_stats(V.document_patches(_docs(spark, folder))).select("commit_hash", *_longs({
         c: F.col(c) for c in ("total_insertions", "total_deletions", "files_changed")}))
 
 
 @query
 def file_stats(spark, folder):
-    hunks = D.patch_hunks(V.document_patches(_docs(spark, folder)), placeholder=False)
-    return D.file_stats(hunks).select("commit_hash", "file_path", "change_type",
+    return D.patch_file_stats(V.document_patches(_docs(spark, folder))).select("commit_hash", "file_path", "change_type",
                                       *_longs({c: F.col(c) for c in ("insertions", "deletions")}))
 
 
@@ -133,7 +131,7 @@ def snapshot_diff(spark, folder):
     path = F.concat(F.lit("src/doc_"), F.col("doc_id").cast("string"), F.lit(".py"))
     kind = F.when(F.col("doc_id") % 2 == 0, "A").otherwise("D")
     patches = docs.select("doc_id", D.snapshot_patch(path, kind, F.col("text")).alias("patch"))
-    hunks = D.patch_hunks(patches, strict=True)
+    hunks = D.patch_hunks(patches)
     return hunks.select("doc_id", "change_type", *_longs({"old_count": F.col("old_count"),
                                                           "new_count": F.col("new_count")}),
                         F.md5(_lined("added_lines")).alias("added"), F.md5(_lined("removed_lines")).alias("removed"))
@@ -565,9 +563,16 @@ def generation_metrics(spark, folder):
 
 # ------------------------------------------------------------------ pooling and models
 
+# Width of the embeddings, and output weights of the attention; its hidden weights follow from a rule.
+EMBEDDING_WIDTH = 64
+ATTENTION_OUTPUT = [1.0, -0.5, 0.75, 0.25]
+
+
 def _bags(spark, folder) -> DataFrame:
     table = V.table(spark, folder, "embeddings")
-    score = F.aggregate(F.slice("embedding", 1, 8), F.lit(0.0), lambda acc, x: acc + x.cast("double"))
+    width = F.size("embedding")
+    hidden = [[((h * 7 + d * 3) % 5 - 2) / 10 for d in range(EMBEDDING_WIDTH)] for h in range(len(ATTENTION_OUTPUT))]
+    score = F.when(width == EMBEDDING_WIDTH, P.attention_scores(F.col("embedding"), hidden, ATTENTION_OUTPUT))
     return table.select("vec_id", F.col("label").alias("bag"), "embedding", score.alias("score"))
 
 
@@ -626,7 +631,7 @@ def lr_predict(spark, folder):
 @query
 def rf_importance(spark, folder):
     train, _, names = _split_matrix(spark, folder)
-    models = M.train_baselines(train, ["doc_id"], models=("random_forest",), depth=5)
+    models = M.train_baselines(train, ["doc_id"], models=("random_forest",))
     return XP.feature_importance(models["random_forest"], names, spark)
 
 
@@ -641,7 +646,7 @@ def svm_predict(spark, folder):
 def mlp_quality(spark, folder):
     table = V.table(spark, folder, "embeddings").select(
         "vec_id", "embedding", (F.col("label") >= 5).cast("int").alias("label"))
-    model = M.embedding_quality_head(table, width=64, iterations=50)
+    model = M.embedding_quality_head(table, width=EMBEDDING_WIDTH)
     vectors = table.select("vec_id", "label", array_to_vector(F.col("embedding").cast("array<double>")).alias("vector"))
     return M.predict_all({"embedding_head": model}, vectors, ["vec_id"])
 

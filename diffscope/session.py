@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,10 @@ RUNTIME_CONF = {
 }
 
 
+# Name of a setting: partitions to deal each test table to. Unset by default; large tables need none.
+READ_PARTITIONS = "diffscope.read.partitions"
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to an existing session and return it."""
     for key, value in RUNTIME_CONF.items():
@@ -34,27 +39,17 @@ def get_session(app: str = "diffscope", master: str | None = None, **conf: str)
     return configure(builder.getOrCreate())
 
 
-def spread(df: DataFrame, *key: str) -> DataFrame:
-    """Give every core work when the input is stored in fewer pieces than there are cores.
-
-    A scan with at least as many partitions as the cluster has cores (any large table) is left alone, so large data is
-    never shuffled for this.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(3 * cores, *key)
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise `df` in the shared checkpoint folder and cut its lineage.
 
-    The folder is the one named by `spark.checkpoint.dir`. Only where nothing is set (tests on one machine) a temporary
-    folder is used.
+    The folder is the one named by `spark.checkpoint.dir`. Only where nothing is set and the master is local (tests
+    on one machine) a temporary folder is used; on a cluster the setting is required.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="diffscope-checkpoint-"))
     return df.checkpoint(eager=True)

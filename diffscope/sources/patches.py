@@ -62,6 +62,8 @@ def patch_identity(text: Column, fallback: Column) -> Column:
 def read_patches(spark: SparkSession, path: str, layout: str = "log", limit: int | None = None) -> tuple:
     """(commits, patches). `limit` keeps the newest commits. Merges and parentless commits have no patch."""
     if layout == "files":
+        if limit is not None:
+            raise ValueError("files have no order, so they cannot be limited to the newest")
         patches = read_patch_files(spark, path)
         return None, patches
     found = read_log(spark, path)

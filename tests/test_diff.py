@@ -1,5 +1,6 @@
 """Diff parsing, sources and sinks."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from diffscope.operators import diff as D
@@ -56,8 +57,8 @@ def test_placeholder_and_extension_filter(spark):
 
 
 def test_double_signs(spark):
-    plain = D.patch_hunks(patches(spark, c=SIGNS)).first()
-    strict = D.patch_hunks(patches(spark, c=SIGNS), strict=True).first()
+    plain = D.patch_hunks(patches(spark, c=SIGNS), compat=True).first()
+    strict = D.patch_hunks(patches(spark, c=SIGNS)).first()
     assert (plain.added_lines, plain.removed_lines) == (["x"], ["- "])
     assert (strict.added_lines, strict.removed_lines) == (["++ counter", "x"], ["-- sql comment"])
     assert (plain.old_start, plain.old_count, plain.line_end) == (9, 1, 10)
@@ -121,3 +122,37 @@ def test_commit_stats(spark):
     hunks = D.patch_hunks(patches(spark, c=TWO_FILES))
     assert D.commit_stats(hunks).first().asDict() == {
         "commit_hash": "c", "total_insertions": 2, "total_deletions": 1, "files_changed": 2}
+
+
+PROBE = {
+    "c1": "diff --git a/a.py b/a.py\n--- a/a.py\n+++ b/a.py\n@@ -1,2 +1,2 @@\n--- drop comment\n-- x\n++++i\n+y",
+    "c2": "diff --git a/n.txt b/n.txt\n--- a/n.txt\n+++ b/n.txt\n@@ -0,0 +1 @@\n+one\n"
+          "diff --git a/p.png b/p.png\nnew file mode 100644\nBinary files /dev/null and b/p.png differ\n"
+          "diff --git a/o.md b/m.md\nsimilarity index 100%\nrename from o.md\nrename to m.md",
+    "c3": "diff --git a/a.py b/a.py\n--- a/a.py\n+++ b/a.py\n@@ -1 +1 @@\n-p\n+q\n"
+          'diff --git "a/\\303\\251 \\"t\\".py" "b/\\303\\251 \\"t\\".py"\n--- "a/x"\n+++ "b/x"\n@@ -1 +1 @@\n-q\n+r',
+    "c4": "",
+}
+
+
+def test_stats_keep_every_line_file_and_commit(spark):
+    p = patches(spark, **PROBE)
+    found = {r.commit_hash: tuple(r)[1:] for r in D.patch_commit_stats(p).collect()}
+    assert found == {"c1": (2, 2, 1), "c2": (1, 0, 3), "c3": (2, 2, 2), "c4": (0, 0, 0)}
+    files = {(r.commit_hash, r.file_path): (r.change_type, r.insertions, r.deletions) for r in D.patch_file_stats(p).collect()}
+    assert files[("c2", "p.png")] == ("A", 0, 0) and files[("c2", "m.md")] == ("R", 0, 0)
+    assert files[("c2", "n.txt")] == ("M", 1, 0)
+
+
+def test_quoted_paths_are_files_of_their_own(spark):
+    rows = D.patch_hunks(patches(spark, c3=PROBE["c3"])).collect()
+    assert [(r.file_path, r.hunk_idx, r.added_lines, r.removed_lines) for r in rows] == [
+        ("a.py", 0, ["q"], ["p"]), ('é "t".py', 0, ["r"], ["q"])]
+
+
+def test_snapshots_are_added_or_deleted(spark):
+    from pyspark.errors import PySparkException
+
+    one = spark.range(1).select(D.snapshot_patch(F.lit("a.py"), F.lit("M"), F.lit("x")).alias("patch"))
+    with pytest.raises(PySparkException):
+        one.collect()

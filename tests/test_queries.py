@@ -1,4 +1,4 @@
-"""Registered queries against their SQL statements. PARITY=all runs every one; by default the quicker ones."""
+"""Registered queries against their SQL statements."""
 
 import glob
 import os
@@ -9,8 +9,7 @@ import pytest
 from __spark_entry__ import entry, oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
-SLOW = {n for n in oracle_sql() if n.startswith("graph_") or n in ("explain_samples", "attention_report", "issue_top5")}
-NAMES = sorted(oracle_sql() if os.environ.get("PARITY") == "all" else set(oracle_sql()) - SLOW)
+NAMES = sorted(oracle_sql())
 
 
 @pytest.fixture(scope="module")
