@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from diffscope.operators.ordered import running_total, value_buckets
 
 
+CLASSIFICATION_TASKS = ("quality", "classification")
+GENERATION_TASKS = ("comment", "refinement", "generation")
+
+
 def _zero(value: Column) -> Column:
     return F.coalesce(value, F.lit(0.0))
 
@@ -139,12 +143,38 @@ def positive_share(df: DataFrame, label: str = "is_high_quality") -> DataFrame:
     return df.agg(F.avg(F.col(label).cast("int")).alias("positive_share"))
 
 
+def evaluate_tasks(df: DataFrame, task_col: str = "task", key: list[str] | None = None) -> DataFrame:
+    """(task, metric, value) for all tasks of a table at once.
+
+    Rows of classification tasks carry label, prediction and probability, those of generation tasks generated, reference
+    and `key`; the other columns of a row are null. Tasks of any other name are an error.
+    """
+    from diffscope.operators.text_metrics import generation_metrics
+
+    task = F.col(task_col)
+    known = F.when(task.isin(*CLASSIFICATION_TASKS, *GENERATION_TASKS), task).otherwise(
+        F.raise_error(F.concat(F.lit("unknown task "), F.coalesce(task, F.lit("null")))))
+    df = df.withColumn(task_col, known)
+
+    def long(metrics: DataFrame) -> DataFrame:
+        names = [c for c in metrics.columns if c != task_col]
+        return metrics.select(F.col(task_col).alias("task"), F.explode(F.array(*[
+            F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in names])).alias("m")).select(
+            "task", "m.*")
+
+    out = long(classification_metrics(df.where(F.col(task_col).isin(*CLASSIFICATION_TASKS)), [task_col]))
+    if key:
+        texts = df.where(F.col(task_col).isin(*GENERATION_TASKS))
+        out = out.unionByName(long(generation_metrics(texts, key, by=[task_col])))
+    return out
+
+
 def evaluate(df: DataFrame, task: str, **kwargs) -> DataFrame:
     """Metrics for a task name: classification for quality/classification, text metrics for the generation tasks."""
     from diffscope.operators.text_metrics import generation_metrics
 
-    if task in ("quality", "classification"):
+    if task in CLASSIFICATION_TASKS:
         return classification_metrics(df, **kwargs)
-    if task in ("comment", "refinement", "generation"):
+    if task in GENERATION_TASKS:
         return generation_metrics(df, **kwargs)
     raise ValueError(f"unknown task {task!r}")

@@ -51,12 +51,20 @@ def attention_pool(df: DataFrame, bag: str, vec: str, score: str) -> DataFrame:
         vector_to_array(Summarizer.mean(F.col("_v"), F.col("_w"))).alias("pooled"))
 
 
-def bag_prediction(pooled: DataFrame, weights: list[float], bias: float = 0.0, vec: str = "pooled",
-                   output: str = "probability") -> DataFrame:
-    """Sigmoid of a linear head over the pooled vector."""
+def _dot(vec: Column, weights: list[float], bias: float) -> Column:
     w = F.array(*[F.lit(float(x)) for x in weights])
-    margin = F.aggregate(F.zip_with(vec, w, lambda a, b: a * b), F.lit(float(bias)), lambda acc, x: acc + x)
-    return pooled.withColumn(output, 1 / (1 + F.exp(-margin)))
+    return F.aggregate(F.zip_with(vec, w, lambda a, b: a * b), F.lit(float(bias)), lambda acc, x: acc + x)
+
+
+def bag_prediction(pooled: DataFrame, weights: list[float], bias: float = 0.0, vec: str = "pooled",
+                   output: str = "probability", hidden: list[list[float]] | None = None,
+                   hidden_bias: list[float] | None = None) -> DataFrame:
+    """Sigmoid of a head over the pooled vector; with `hidden` weights the head has a layer of rectified units."""
+    inner = F.col(vec)
+    if hidden is not None:
+        biases = hidden_bias or [0.0] * len(hidden)
+        inner = F.array(*[F.greatest(F.lit(0.0), _dot(inner, w, b)) for w, b in zip(hidden, biases)])
+    return pooled.withColumn(output, 1 / (1 + F.exp(-_dot(inner, weights, bias))))
 
 
 def attention_report(weights: DataFrame, hunks: DataFrame, on: list[str]) -> DataFrame:

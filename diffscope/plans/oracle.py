@@ -376,6 +376,8 @@ ORACLE: dict[str, str] = {
       (CASE WHEN hunk_type = 'hunk' THEN old_count - len(context) ELSE 0 END)::BIGINT AS n_removed, len(context)::BIGINT AS n_context,
       files_changed, total_hunks, (sum(CASE WHEN hunk_type = 'hunk' THEN new_count - len(context) ELSE 1 END)
         OVER (PARTITION BY h.commit_hash))::BIGINT AS commit_size FROM hunks h JOIN ctx USING (commit_hash)""",
+    "hunk_commit_join": _PATCH + """SELECT h.commit_hash, file_path, hunk_idx::BIGINT AS hunk_idx, len(added) AS n_added,
+      md5(message) AS message, author, date FROM hunks h JOIN commits c USING (commit_hash)""",
     "file_change_types": _PATCH + """SELECT change_type, string_split(file_path, '.')[-1] AS extension, count(*) AS files,
       sum(is_binary)::BIGINT AS binary_files FROM files GROUP BY ALL""",
     "commit_stats": _STATS + """SELECT commit_hash, sum(insertions)::BIGINT AS total_insertions,
@@ -523,6 +525,12 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT 'opposite', label, 1 - probability, (1 - probability > 0.5::DOUBLE)::INT FROM p
         UNION ALL SELECT 'constant', label, probability, prediction FROM p),""" + _weighted("mm", "model") + "," + _auc("mm", "model") +
     f" SELECT model, {_METRIC_COLUMNS}, round(min(roc_auc), 6) AS roc_auc FROM cls JOIN auc USING (model) GROUP BY model",
+    "evaluate_tasks": _SCORED + """, mm AS (
+        SELECT 'quality' AS task, label, probability, prediction FROM p
+        UNION ALL SELECT 'classification', label, 1 - probability, 1 - prediction FROM p),""" + _weighted("mm", "task") + "," +
+    _auc("mm", "task") + f""", wide AS (SELECT task, {_METRIC_COLUMNS}, round(min(roc_auc), 6) AS roc_auc
+      FROM cls JOIN auc USING (task) GROUP BY task)
+      UNPIVOT wide ON accuracy, "precision", recall, f1, roc_auc INTO NAME metric VALUE value""",
     "cls_report": _SCORED + "," + _weighted("p") + """
       SELECT label::VARCHAR AS name, round(pr, 6) AS "precision", round(re, 6) AS recall, round(fm, 6) AS f1, support::BIGINT AS support FROM cls
       UNION ALL SELECT 'accuracy', round(sum(hits)::DOUBLE / sum(support), 6), round(sum(hits)::DOUBLE / sum(support), 6),
@@ -542,6 +550,12 @@ ORACLE: dict[str, str] = {
     "rouge12": _PAIRS + "," + _gram_counts(_ROUGE_TOKENS, (1, 2)) + f" SELECT conv_id, turn, {_rouge(1)} AS rouge1, {_rouge(2)} AS rouge2 FROM pairs",
     # pooling
     "mil_attention": _BAGS + "SELECT vec_id, bag::BIGINT AS bag, round(a, 6) AS attention_weight FROM q",
+    "mil_predict": _BAGS + """, u AS (SELECT bag, a, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS d FROM q),
+      v AS (SELECT bag, d, sum(a * x) AS y FROM u GROUP BY ALL),
+      r AS (SELECT bag, h, greatest(0, sum(y * ((h * 5 + d * 2) % 7 - 3) / 10.0::DOUBLE) + any_value([0.0, 0.1, -0.1][h + 1]::DOUBLE)) AS z
+        FROM v, (SELECT unnest([0, 1, 2]) AS h) GROUP BY bag, h)
+      SELECT bag::BIGINT AS bag, round(1 / (1 + exp(-(sum(z * [0.8, -0.6, 0.4][h + 1]::DOUBLE) + 0.1::DOUBLE))), 5) AS probability
+      FROM r GROUP BY bag""",
     "mil_pool": _BAGS + """, u AS (SELECT bag, a, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM q)
       SELECT bag::BIGINT AS bag, count(*) AS instances, dim::BIGINT AS dim, round(sum(a * x::DOUBLE), 5) AS value FROM u GROUP BY bag, dim""",
     "attention_report": _PATCH + """, w AS (SELECT *, exp(len(added) / 10.0::DOUBLE - max(len(added) / 10.0::DOUBLE) OVER (PARTITION BY commit_hash)) AS e FROM hunks)

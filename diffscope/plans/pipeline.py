@@ -52,21 +52,24 @@ def train(hunks: DataFrame, path: str, force: bool = False, explained: int | Non
     return result
 
 
-def review(patches: DataFrame, models: dict | None = None, vocabulary: list[str] | None = None, **parse) -> DataFrame:
+def review(patches: DataFrame, models: dict | None = None, vocabulary: list[str] | None = None,
+           answer: str | None = None, score: str | None = None, **parse) -> DataFrame:
     """Patches (commit_hash, patch) to reviewed hunks: one map-side pass, no shuffle.
 
-    With trained models their flags are part of the comments.
+    With trained models their flags are part of the comments. `answer` (a parsed external answer) and `score` (of a deep
+    model) name columns of the patches, which every hunk of the patch carries.
     """
-    return review_hunks(patch_hunks(patches, **parse), models, vocabulary)
+    return review_hunks(patch_hunks(patches, **parse), models, vocabulary, answer, score)
 
 
-def review_hunks(hunks: DataFrame, models: dict | None = None, vocabulary: list[str] | None = None) -> DataFrame:
-    """Add label, comments and the review struct to hunks."""
+def review_hunks(hunks: DataFrame, models: dict | None = None, vocabulary: list[str] | None = None,
+                 answer: str | None = None, score: str | None = None) -> DataFrame:
+    """Add label, comments and the review struct to hunks; `answer` and `score` as in `review`."""
     if not models:
-        return comprehensive_review(review_comments(with_review_inputs(hunks)))
+        return comprehensive_review(review_comments(with_review_inputs(hunks), score=score), answer)
     featured = with_feature_map(with_review_inputs(hunks, keep_nodes=True)).drop("nodes", "label_nodes", "label_status")
     scored = M.score_columns(assemble(featured, vocabulary), models).drop("vector", "features")
-    return comprehensive_review(review_comments(scored, list(models)))
+    return comprehensive_review(review_comments(scored, list(models), score), answer)
 
 
 def review_table(patches: DataFrame, **options) -> DataFrame:

@@ -83,6 +83,18 @@ def hunk_parse_two_step(spark, folder):
             "total_hunks": F.col("total_hunks"), "commit_size": F.col("commit_size")}))
 
 
+@query
+def hunk_commit_join(spark, folder):
+    """Hunks with the message, author and date of their commit."""
+    docs = _docs(spark, folder)
+    hunks = D.patch_hunks(V.document_patches(docs)).select("commit_hash", "file_path", "hunk_idx", "added_lines")
+    commits = V.document_commits(docs)
+    return hunks.join(commits, "commit_hash").select(
+        "commit_hash", "file_path", *_longs({"hunk_idx": F.col("hunk_idx"), "n_added": F.size("added_lines")}),
+        F.md5("message").alias("message"), "author",
+        F.date_format("committed_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date"))
+
+
 @query
 def file_change_types(spark, folder):
     files = D.parse_files(V.document_patches(_docs(spark, folder)))
@@ -517,6 +529,15 @@ def model_comparison(spark, folder):
         "model", *_doubles({c: F.col(c) for c in ("accuracy", "precision", "recall", "f1", "roc_auc")}))
 
 
+@query
+def evaluate_tasks(spark, folder):
+    """A table with two classification tasks."""
+    scored = _scored(spark, folder).select("label", "prediction", "probability")
+    other = scored.select("label", (1 - F.col("prediction")).alias("prediction"), (1 - F.col("probability")).alias("probability"))
+    both = scored.withColumn("task", F.lit("quality")).unionByName(other.withColumn("task", F.lit("classification")))
+    return E.evaluate_tasks(both).select("task", "metric", F.round("value", 6).alias("value"))
+
+
 @query
 def cls_report(spark, folder):
     report = E.classification_report(_scored(spark, folder))
@@ -591,6 +612,15 @@ def mil_pool(spark, folder):
         "bag", "instances", F.col("dim").cast("long").alias("dim"), F.round("value", 5).alias("value"))
 
 
+@query
+def mil_predict(spark, folder):
+    """Score, softmax, pool and a head with a hidden layer, per bag."""
+    pooled = P.attention_pool(_bags(spark, folder), "bag", "embedding", "score")
+    hidden = [[((h * 5 + d * 2) % 7 - 3) / 10 for d in range(EMBEDDING_WIDTH)] for h in range(3)]
+    found = P.bag_prediction(pooled, [0.8, -0.6, 0.4], 0.1, hidden=hidden, hidden_bias=[0.0, 0.1, -0.1])
+    return found.select(F.col("bag").cast("long").alias("bag"), F.round("probability", 5).alias("probability"))
+
+
 @query
 def attention_report(spark, folder):
     """Attention of each hunk within its commit, with file and size."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -20,26 +21,37 @@ def patch_stream(spark: SparkSession, folder: str, max_files: int | None = None)
                         F.col("value").alias("patch"))
 
 
+def _earlier(session: SparkSession, folder: str) -> DataFrame | None:
+    """What earlier batches reviewed; None before the first."""
+    try:
+        return session.read.schema("commit_hash string, digest string, batch_id long").parquet(folder)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def review_stream(spark: SparkSession, folder: str, output: str, checkpoint: str, available_now: bool = True,
                   max_files: int | None = None, **options) -> StreamingQuery:
     """Review every new patch once and write its comments below `output`.
 
     Each micro-batch owns the folder batch_id=<n> and overwrites it when it is replayed, so a restart neither loses nor
-    repeats comments. Commits that an earlier batch reviewed are dropped by an anti-join on the stored hashes. Patches
-    are whole within a batch; the stream itself keeps no state.
+    repeats comments. A patch is known by its commit and the digest of its text: what an earlier batch reviewed is
+    dropped by an anti-join on these, another patch of the same commit is reviewed. Patches are whole within a batch; the
+    stream itself keeps no state.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        fresh = batch.dropDuplicates(["commit_hash"])
+        known = ["commit_hash", "digest"]
+        fresh = batch.withColumn("digest", F.sha2("patch", 256)).dropDuplicates(known)
         done = f"{output}/commits"
-        path = session._jvm.org.apache.hadoop.fs.Path(done)
-        if path.getFileSystem(session._jsc.hadoopConfiguration()).exists(path):
-            earlier = session.read.schema("commit_hash string, batch_id long").parquet(done)
-            fresh = fresh.join(earlier.where(F.col("batch_id") < batch_id), "commit_hash", "left_anti")
+        earlier = _earlier(session, done)
+        if earlier is not None:
+            fresh = fresh.join(earlier.where(F.col("batch_id") < batch_id), known, "left_anti")
         fresh = fresh.persist()
         try:
-            review_table(fresh, **options).write.mode("overwrite").parquet(f"{output}/comments/batch_id={batch_id}")
-            fresh.select("commit_hash").write.mode("overwrite").parquet(f"{done}/batch_id={batch_id}")
+            review_table(fresh.drop("digest"), **options).write.mode("overwrite").parquet(f"{output}/comments/batch_id={batch_id}")
+            fresh.select(*known).write.mode("overwrite").parquet(f"{done}/batch_id={batch_id}")
         finally:
             fresh.unpersist()
 
