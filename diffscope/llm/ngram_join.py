@@ -7,9 +7,10 @@
    met by heavy ones. x is the size at which the estimated rows and list scans are fewest (`boundary`).
 3. Postings are dealt by key and sorted; keys with one class vanish in a streaming pass. What is left are the inverted
    lists: every pair that reaches the threshold is in one of them.
-4. Links are verified on whole texts. A list is first joined as a star around one member, so a group of near copies costs
-   its size, not its square. Then all pairs of a list whose components still differ are verified: members outside the
-   list's largest component against all. No pair is left out, so the components are exact.
+4. Links are verified on whole texts. A list is first joined as a star around its least member, so a group of near copies
+   costs its size, not its square. Lists of three or more whose members are not in one component then are cut into
+   blocks, and the overlaps of all their members computed block by block inside tasks; only links that join components
+   come out. No pair is left out, so the components are exact.
 
 Rarity is a count over all documents in a fixed number of hash cells. It only orders the shingles: whatever its
 precision, results are the same. Defined cases: null text is empty text, without shingles and linked with nothing;
@@ -224,9 +225,9 @@ def _postings(texts: DataFrame, n: int, threshold: tuple[int, int], folder: str,
 def _lists(postings: DataFrame) -> DataFrame:
     """Postings of the keys that two different sets share, with the first set of the list (centre, of m shingles).
 
-    Streams over sorted rows, whatever a key's length.
+    `more` is false for a list that is known to have two members only. Streams over sorted rows, whatever a key's length.
     """
-    names = ["key", "set", "n", "centre", "m"]
+    names = ["key", "set", "n", "centre", "m", "more"]
 
     def run(batches):
         last = None  # the row before: key, set; centre of its key and its size; whether the centre was sent
@@ -248,7 +249,7 @@ def _lists(postings: DataFrame) -> DataFrame:
                 if not last[4] and members[0] > 0:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([last[0]]), pa.array([last[2]], pa.binary()), pa.array([last[3]]),
-                         pa.array([last[2]], pa.binary()), pa.array([last[3]])], names)
+                         pa.array([last[2]], pa.binary()), pa.array([last[3]]), pa.array([True])], names)
                 members[0] += 2 if last[4] else 1
             centres, sizes = ids.take(pa.array(heads)), n.take(pa.array(heads))
             if joins:
@@ -256,13 +257,17 @@ def _lists(postings: DataFrame) -> DataFrame:
                 sizes = pa.concat_arrays([pa.array([last[3]]), sizes[1:]])
             keep = pa.array(~again & (members[run_no] > 1))
             at = pa.array(run_no)
-            yield pa.RecordBatch.from_arrays([*b.columns, centres.take(at), sizes.take(at)], names).filter(keep)
+            more = members > 2
+            more[-1] = True  # the last list may go on
+            more[0] |= joins
+            yield pa.RecordBatch.from_arrays([*b.columns, centres.take(at), sizes.take(at), pa.array(more[run_no])],
+                                             names).filter(keep)
             end = int(run_no[-1])
             last = (int(key[-1]), ids[len(ids) - 1].as_py(), centres[end].as_py(), sizes[end].as_py(),
                     bool(members[end] > 1))
 
     return postings.repartition("key").sortWithinPartitions("key", "set").mapInArrow(
-        run, "key long, set binary, n long, centre binary, m long")
+        run, "key long, set binary, n long, centre binary, m long, more boolean")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
@@ -290,6 +295,83 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, threshold: tuple[int,
     return joined.select("u", "v", "u_text", "v_text").mapInArrow(run, "u binary, v binary")
 
 
+def _rest(groups: DataFrame, members: DataFrame, n: int, threshold: tuple[int, int], block: tuple[int, int]) -> DataFrame:
+    """Links (u, v) that join the components c within each group (rows centre, set, n, c).
+
+    A group is cut into blocks of about `block` members and shingles, and each pair of blocks is a task's unit, so none is
+    larger than two blocks. Inside, all overlaps come from products of the member-by-shingle matrix; per component of
+    the result one star of links is returned, never all pairs.
+    """
+    p, q = threshold
+    most, room = block
+    sizes = groups.groupBy("centre").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("total"),
+                                         F.min(F.xxhash64("c")).alias("low"), F.max(F.xxhash64("c")).alias("high"))
+    sizes = sizes.where("low != high").select("centre", F.greatest(
+        F.ceil(F.col("k") / most), F.ceil(F.col("total") / room)).cast("int").alias("blocks"))
+    mine = F.pmod(F.xxhash64("set", F.lit(3)), F.col("blocks")).cast("int")
+    placed = groups.join(sizes, "centre").select("centre", "set", "c", mine.alias("mine"), F.explode(
+        F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+        "set", "c", "mine", F.xxhash64("centre", F.least("mine", "other"), F.greatest("mine", "other")).alias("unit"),
+        (F.col("mine") == F.col("other")).alias("alone"))
+    rows = placed.join(members, "set").repartition("unit").sortWithinPartitions("unit", "set").select(
+        "unit", "set", "c", "mine", "alone", "text")
+
+    def run(batches):
+        hasher, unit, held = Hasher(fold=True), None, []
+
+        def solve():
+            if len({r[1] for r in held}) < 2 or (len({r[2] for r in held}) == 1 and not held[0][3]):
+                return None
+            sets = [r[4] for r in held]
+            count = np.array([len(s) for s in sets], dtype=np.float64)
+            different, column = np.unique(np.concatenate(sets), return_inverse=True)
+            row = np.repeat(np.arange(len(sets)), count.astype(np.int64))
+            shared = np.bincount(column) > 1
+            keep = shared[column]
+            row, column = row[keep], (np.cumsum(shared) - 1)[column[keep]]
+            order = np.argsort(column, kind="stable")
+            row, column = row[order], column[order]
+            both = np.zeros((len(sets), len(sets)), dtype=np.float32)
+            for low in range(0, int(shared.sum()), 2048):
+                a, z = np.searchsorted(column, (low, low + 2048))
+                part = np.zeros((len(sets), 2048), dtype=np.float32)
+                part[row[a:z], column[a:z] - low] = 1
+                both += part @ part.T
+            linked = q * both >= p * (count[:, None] + count[None, :] - both)
+            colour = {c: i for i, c in enumerate({r[1] for r in held})}
+            group = np.array([colour[r[1]] for r in held])
+            pairs = np.argwhere(linked & (group[:, None] != group[None, :]))
+            found, root = [], list(range(len(colour)))
+
+            def find(i):
+                while root[i] != i:
+                    root[i] = root[root[i]]
+                    i = root[i]
+                return i
+
+            for i, j in pairs.tolist():
+                x, y = find(int(group[i])), find(int(group[j]))
+                if x != y:
+                    root[x] = y
+                    found.append((held[i][0], held[j][0]))
+            # members of one component may be apart here: they are linked by what made the component
+            u, v = zip(*found) if found else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], ["u", "v"])
+
+        for b in batches:
+            units, names, c, mine, alone = (b.column(i).to_pylist() for i in range(5))
+            for at, name, comp, block_no, self_pair, s in zip(units, names, c, mine, alone, shingles(hasher, b.column(5), n)):
+                if at != unit:
+                    if held and (out := solve()) is not None:
+                        yield out
+                    unit, held = at, []
+                held.append((name, comp, block_no, self_pair, s))
+        if held and (out := solve()) is not None:
+            yield out
+
+    return rows.mapInArrow(run, "u binary, v binary")
+
+
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(node, root) for the nodes of the undirected edges (u, v); root is the least node. Alternating star steps.
 
@@ -366,10 +448,10 @@ def _members(texts: DataFrame, lists: DataFrame, classes: DataFrame, n: int) ->
 
 
 def jaccard_join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5,
-                 threshold: tuple[int, int] = (75, 100), stars: int = 3) -> DataFrame:
+                 threshold: tuple[int, int] = (75, 100), block: tuple[int, int] = (512, 200_000)) -> DataFrame:
     """One row per row of `documents`: doc_id, n_shingles, class_id (least id with the same set), component_id.
 
-    `stars` is the most star rounds before all pairs that are still open are verified; it moves work, not results.
+    `block` bounds the members and shingles of a block when the rest is verified; it moves work, not results.
     """
     p, q = threshold
     texts = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -386,38 +468,22 @@ def jaccard_join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     def near(a: str, b: str):
         return F.least(a, b) * q >= F.greatest(a, b) * p
 
-    links = tested = None
-    open_lists = lists.withColumn("c", F.col("set")).withColumn("d", F.col("centre"))
-    for turn in range(stars + 1):
-        if turn < stars:
-            pairs = open_lists.where((F.col("c") != F.col("d")) & near("n", "m")).select(
-                F.least("set", "centre").alias("u"), F.greatest("set", "centre").alias("v"))
-        else:
-            counted = open_lists.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"))
-            largest = counted.groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("largest"))
-            tagged = open_lists.select("key", "set", "n", "c").join(largest, "key")
-            pairs = tagged.where("c != largest").select("key", "c", "set", "n").join(
-                tagged.select("key", F.col("c").alias("d"), F.col("set").alias("other"), F.col("n").alias("m"),
-                              (F.col("c") == F.col("largest")).alias("main")), "key").where(
-                (F.col("c") != F.col("d")) & (F.col("main") | (F.col("set") < F.col("other"))) & near("n", "m")).select(
-                F.least("set", "other").alias("u"), F.greatest("set", "other").alias("v"))
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = written(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        new = written(_verified(pairs, members, n, threshold), "links")
-        links = new if links is None else links.unionByName(new)
-        roots = written(components(links), "roots")
-        if turn < stars:  # lists of one component are settled; the others get another centre
-            labelled = open_lists.select("key", "set", "n").join(
-                roots.select(F.col("node").alias("set"), "root"), "set", "left").select(
-                "key", "set", "n", F.coalesce("root", "set").alias("c"))
-            centre = F.min_by(F.struct(F.col("set").alias("centre"), F.col("n").alias("m"), F.col("c").alias("d")),
-                              F.xxhash64("set", F.lit(turn)))
-            mixed_keys = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"),
-                                                     centre.alias("x")).where("low != high").select("key", "x.*")
-            open_lists = written(labelled.join(mixed_keys, "key"), "open-lists")
+    pairs = lists.where((F.col("set") != F.col("centre")) & near("n", "m")).select(
+        F.least("set", "centre").alias("u"), F.greatest("set", "centre").alias("v")).distinct()
+    links = written(_verified(written(pairs, "pairs"), members, n, threshold), "links")
+    roots = written(components(links), "roots")
+
+    # lists whose members are not in one component yet: every pair of two components is verified, by star centre
+    labelled = lists.where("more").select("key", "set", "n", "centre").join(
+        roots.select(F.col("node").alias("set"), "root"), "set", "left").select(
+        "key", "set", "n", "centre", F.coalesce("root", "set").alias("c"))
+    labelled = written(labelled, "long-lists")
+    mixed_keys = labelled.groupBy("key").agg(F.min(F.xxhash64("c")).alias("low"), F.max(F.xxhash64("c")).alias("high")).where(
+        "low != high").select("key")
+    groups = labelled.join(mixed_keys, "key", "left_semi").select("centre", "set", "n", "c").distinct()
+    more = written(_rest(groups, members, n, threshold, block), "more-links")
+    if not more.isEmpty():
+        roots = written(components(links.unionByName(more)), "roots")
 
     named = classes.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").select(
         "set", "class_id", F.coalesce("root", "set").alias("root"))

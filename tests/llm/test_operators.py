@@ -128,15 +128,15 @@ def test_jaccard_join(docs, rows):
     assert got(found, "doc_id", "n_shingles", "class_id", "component_id") == want(cases.linked(rows))
 
 
-def test_jaccard_join_without_star_rounds(docs, rows):
-    found = ngram_join.jaccard_join(docs, stars=0)
+def test_jaccard_join_in_small_blocks(docs, rows):
+    found = ngram_join.jaccard_join(docs, block=(4, 700))
     assert got(found, "doc_id", "n_shingles", "class_id", "component_id") == want(cases.linked(rows))
 
 
 @pytest.mark.parametrize("x", [0, 6, 12])
 def test_jaccard_join_at_any_boundary(docs, rows, monkeypatch, x):
     monkeypatch.setattr(ngram_join, "boundary", lambda *_: x)
-    found = ngram_join.jaccard_join(docs, stars=1)
+    found = ngram_join.jaccard_join(docs)
     assert got(found, "doc_id", "n_shingles", "class_id", "component_id") == want(cases.linked(rows))
 
 
