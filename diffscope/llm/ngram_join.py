@@ -82,21 +82,23 @@ def set_id(s: np.ndarray) -> bytes:
 
 
 def _sets(documents: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """(doc_id, n, set): the size of each document's set and the digest that names it."""
+    """(doc_id, tag, n, set): the size of each document's set and the digest that names it; tag is a hash of the text."""
 
     def run(batches):
         hasher = Hasher(fold=True)
         for b in batches:
             sizes, ids = [], []
-            for s in shingles(hasher, b.column(1), n):
+            for s in shingles(hasher, b.column(2), n):
                 sizes.append(len(s))
                 ids.append(set_id(s))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())],
-                                             ["doc_id", "n", "set"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())],
+                ["doc_id", "tag", "n", "set"])
 
     kind = documents.schema[id_col].dataType.simpleString()
-    return documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"doc_id {kind}, n long, set binary")
+    text = F.col(text_col)
+    return documents.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text")).mapInArrow(
+        run, f"doc_id {kind}, tag long, n long, set binary")
 
 
 def _rarity(texts: DataFrame, n: int, total: int) -> tuple[str, float]:
@@ -449,7 +451,8 @@ def _members(texts: DataFrame, lists: DataFrame, classes: DataFrame, n: int) ->
 
 def jaccard_join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5,
                  threshold: tuple[int, int] = (75, 100), block: tuple[int, int] = (512, 200_000)) -> DataFrame:
-    """One row per row of `documents`: doc_id, n_shingles, class_id (least id with the same set), component_id.
+    """One row per row of `documents`: doc_id, n_shingles, class_id (least id with the same set), component_id,
+    and tag (xxhash64 of the text, which tells rows with one id apart).
 
     `block` bounds the members and shingles of a block when the rest is verified; it moves work, not results.
     """
@@ -492,7 +495,7 @@ def jaccard_join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     return sets.join(final, "set", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "tag")
 
 
 ORACLE_SQL = r"""

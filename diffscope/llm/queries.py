@@ -41,7 +41,7 @@ def op6_secret_scan(spark, folder):
 
 @query
 def op2_ngram_join(spark, folder):
-    return ngram_join.jaccard_join(table(spark, folder, "documents"))
+    return ngram_join.jaccard_join(table(spark, folder, "documents")).drop("tag")
 
 
 @query
