@@ -29,8 +29,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of linked documents the one with the least id."""
     queries.configure(spark)
     joined = ngram_join.jaccard_join(docs)
-    kept = joined.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept"]), "left_semi")
+    kept = joined.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"), "tag")
+    same = docs["doc_id"].eqNullSafe(kept["_kept"]) & (F.xxhash64(docs["text"]) == kept["tag"])
+    rows = docs.join(kept, same, "left_semi")
     return rows.dropDuplicates(["doc_id", "text"])  # repeated rows are one document
 
 
