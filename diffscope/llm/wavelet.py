@@ -193,19 +193,22 @@ class Encoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
-        found: list[np.ndarray] = []
-        for low in range(0, len(texts), 200):
-            part = texts[low:low + 200]
-            ids = np.array(self._ids(f" {MARK} ".join(part)), dtype=np.uint32)
+        parts = [texts[low:low + 200] for low in range(0, len(texts), 200)]
+        flat, counts = [self.flat], []
+        joined = [f" {MARK} ".join(part) for part in parts]
+        for part, found in zip(parts, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+            ids = np.array(found.ids, dtype=np.uint16)
             ends = np.flatnonzero(ids == self.mark)
             if len(ends) == len(part) - 1:
-                found += [x[x != self.mark] for x in np.split(ids, ends)]
+                counts.append(np.diff(ends, prepend=-1, append=len(ids)) - 1)
+                flat.append(ids[ids != self.mark])
             else:  # a word holds the mark itself
-                found += [np.array(self._ids(x), dtype=np.uint32) for x in part]
-        counts = np.array([len(x) for x in found], dtype=np.int64)
-        slots = len(self.start) - 1 + np.arange(len(found))
-        self.flat = np.concatenate([self.flat, *[x.astype(np.uint16) for x in found]])
-        self.start = np.concatenate((self.start, self.start[-1] + np.cumsum(counts)))
+                alone = [self._ids(x) for x in part]
+                counts.append(np.array([len(x) for x in alone], dtype=np.int64))
+                flat.append(np.array([i for x in alone for i in x], dtype=np.uint16))
+        slots = len(self.start) - 1 + np.arange(len(texts))
+        self.flat = np.concatenate(flat)
+        self.start = np.concatenate((self.start, self.start[-1] + np.cumsum(np.concatenate(counts))))
         place = np.searchsorted(self.known, hashes)
         self.known = np.insert(self.known, place, hashes)
         self.slot = np.insert(self.slot, place, slots)
@@ -238,7 +241,7 @@ class Encoder:
 
 
 def write_ids(documents: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id", text_col: str = "text",
-              end_id: int = END_ID, shard_bytes: int = 48 << 20, roll_ids: int = 1 << 25) -> None:
+              end_id: int = END_ID, shard_bytes: int = 64 << 20, roll_ids: int = 1 << 25) -> None:
     """Encode `documents` and write the files and the manifest to `folder`."""
     rows = documents.select(place(id_col).alias("place"), F.col(id_col).cast("long").alias("doc_id"),
                             F.coalesce(F.col(text_col), F.lit("")).alias("text"))
