@@ -217,8 +217,9 @@ def edited_fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col:
     firsts = sorted((r["shard"], r["key"]["place"], r["key"]["tie"]) for r in firsts)
     before = [(firsts[i - 1][0], at, tie) for i, (_, at, tie) in enumerate(firsts)]
     spark = documents.sparkSession
-    sent = rows.select("place", "tie", "text").join(
-        spark.createDataFrame(before, "shard int, place long, tie long"), ["place", "tie"])
+    heads = spark.createDataFrame(before, "shard int, place long, tie long")
+    # one row per `shard_bytes` of text: 50 MB for 100 TB
+    sent = rows.select("place", "tie", "text").join(F.broadcast(heads), ["place", "tie"])
     every = rows.withColumn("shard", shard_of(where, F.col("place")).cast("int")).withColumn("extra", F.lit(0)).unionByName(
         sent.withColumn("extra", F.lit(1)), allowMissingColumns=True)
 
