@@ -11,6 +11,8 @@
    costs its size, not its square. Lists of three or more whose members are not in one component then are cut into
    blocks, and the overlaps of all their members computed block by block inside tasks; only links that join components
    come out. No pair is left out, so the components are exact.
+5. Where the number of links is asked for (`links`), all pairs of all lists are verified in this way instead, each in one
+   place only: in the least of the centres that both sets have. They are counted, not emitted; a spanning forest comes out.
 
 Rarity is a count over all documents in a fixed number of hash cells. It only orders the shingles: whatever its
 precision, results are the same. Defined cases: null text is empty text, without shingles and linked with nothing;
@@ -374,6 +376,110 @@ def _rest(groups: DataFrame, members: DataFrame, n: int, threshold: tuple[int, i
     return rows.mapInArrow(run, "u binary, v binary")
 
 
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Numbers of common elements of the sets of `left` with those of `right`."""
+    a, b = np.concatenate(left), np.concatenate(right)
+    values = np.intersect1d(a, b)
+    both = np.zeros((len(left), len(right)), dtype=np.float32)
+
+    def cells(sets, flat):
+        column = np.searchsorted(values, flat)
+        keep = column < len(values)
+        keep[keep] = values[column[keep]] == flat[keep]
+        row, column = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[keep], column[keep]
+        order = np.argsort(column, kind="stable")
+        return row[order], column[order]
+
+    sides = [(left, *cells(left, a)), (right, *cells(right, b))]
+    for low in range(0, len(values), 2048):
+        parts = []
+        for sets, row, column in sides:
+            i, j = np.searchsorted(column, (low, low + 2048))
+            part = np.zeros((len(sets), min(2048, len(values) - low)), dtype=np.float32)
+            part[row[i:j], column[i:j] - low] = 1
+            parts.append(part)
+        both += parts[0] @ parts[1].T
+    return both
+
+
+def _counted(lists: DataFrame, members: DataFrame, copies: DataFrame, n: int, threshold: tuple[int, int],
+             block: tuple[int, int]) -> DataFrame:
+    """All links of all lists: (u, v) of a spanning forest, and (u, null, linked) with the documents linked with set u.
+
+    Lists with one centre are a group, and groups are cut into blocks as in `_rest`. A pair may be in several groups and
+    counts in the first of them (by the hash of the centre); a set's groups, no more than its keys, come along with it.
+    """
+    p, q = threshold
+    most, room = block
+    groups = written(lists.select(F.xxhash64("centre").alias("g"), "set", "n").distinct(), "groups")
+    large = groups.groupBy("g").agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / most), F.ceil(F.sum("n") / room)).cast("int").alias("blocks")).where("blocks > 1")
+    sets = groups.groupBy("set").agg(F.collect_list("g").alias("all")).join(copies, "set").join(members, "set")
+    cut = groups.join(large, "g", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    mine = F.pmod(F.xxhash64("set", F.lit(3)), F.col("blocks")).cast("int")
+    placed = cut.select("g", "set", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+        "g", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "mine", "set")
+    rows = placed.join(sets, "set").repartition("g", "a", "b").sortWithinPartitions("g", "a", "b", "set").select(
+        "g", "a", "b", "mine", "set", "all", "copies", "text")
+
+    def run(batches):
+        hasher, unit, held = Hasher(fold=True), None, []
+
+        def solve():
+            g, a, b = unit
+            left, right = [r for r in held if r[0] == a], [r for r in held if r[0] == b]
+            if not left or not right or len(held) < 2:
+                return None
+            size = [np.array([len(r[4]) for r in side], dtype=np.float64) for side in (left, right)]
+            both = overlaps([r[4] for r in left], [r[4] for r in right])
+            linked = q * both >= p * (size[0][:, None] + size[1][None, :] - both)
+            if a == b:
+                linked = np.triu(linked, 1)
+            if not linked.any():
+                return None
+            before = [[r[2][r[2] < g] for r in side] for side in (left, right)]
+            linked &= overlaps(*before) == 0
+            weight = [np.array([r[3] for r in side], dtype=np.int64) for side in (left, right)]
+            found: dict[bytes, int] = {}
+            for side, counts in ((left, linked @ weight[1]), (right, linked.T @ weight[0])):
+                for r, count in zip(side, counts.tolist()):
+                    if count:
+                        found[r[1]] = found.get(r[1], 0) + count
+            if a == b:
+                names, near = [r[1] for r in left], linked | linked.T
+            else:
+                names, k = [r[1] for r in left + right], len(left)
+                near = np.zeros((len(names), len(names)), dtype=bool)
+                near[:k, k:], near[k:, :k] = linked, linked.T
+            u, v, open_ = [], [], near.any(axis=1)
+            while open_.any():
+                start = int(np.argmax(open_))
+                open_[start], ahead = False, [start]
+                while ahead:
+                    i = ahead.pop()
+                    new = np.flatnonzero(near[i] & open_)
+                    open_[new] = False
+                    u += [names[i]] * len(new)
+                    v += [names[j] for j in new.tolist()]
+                    ahead += new.tolist()
+            return pa.RecordBatch.from_arrays(
+                [pa.array([*u, *found], pa.binary()), pa.array([*v, *[None] * len(found)], pa.binary()),
+                 pa.array([*[None] * len(u), *found.values()], pa.int64())], ["u", "v", "linked"])
+
+        for batch in batches:
+            g, a, b, mine, names, groups_of, copies_of = (batch.column(i).to_pylist() for i in range(7))
+            for i, s in enumerate(shingles(hasher, batch.column(7), n)):
+                if (g[i], a[i], b[i]) != unit:
+                    if held and (out := solve()) is not None:
+                        yield out
+                    unit, held = (g[i], a[i], b[i]), []
+                held.append((mine[i], names[i], np.array(groups_of[i], dtype=np.int64), copies_of[i], s))
+        if held and (out := solve()) is not None:
+            yield out
+
+    return rows.mapInArrow(run, "u binary, v binary, linked long")
+
+
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(node, root) for the nodes of the undirected edges (u, v); root is the least node. Alternating star steps.
 
@@ -449,24 +555,9 @@ def _members(texts: DataFrame, lists: DataFrame, classes: DataFrame, n: int) ->
     return written(chosen.mapInArrow(right_set, "set binary, text string").dropDuplicates(["set"]), "members")
 
 
-def jaccard_join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5,
-                 threshold: tuple[int, int] = (75, 100), block: tuple[int, int] = (512, 200_000)) -> DataFrame:
-    """One row per row of `documents`: doc_id, n_shingles, class_id (least id with the same set), component_id,
-    and tag (xxhash64 of the text, which tells rows with one id apart).
-
-    `block` bounds the members and shingles of a block when the rest is verified; it moves work, not results.
-    """
+def _joined(lists: DataFrame, members: DataFrame, n: int, threshold: tuple[int, int], block: tuple[int, int]) -> DataFrame:
+    """(node, root) for the sets of lists that are linked."""
     p, q = threshold
-    texts = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sets = written(_sets(documents, id_col, text_col, n), "sets")
-    classes = sets.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"))
-    sizes = classes.groupBy("n").count().where(F.col("n") <= 2 * LARGEST_LIGHT)
-    total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    folder, mean_list = _rarity(texts, n, total)
-    x = boundary({r["n"]: r["count"] for r in sizes.collect()}, mean_list, threshold)
-    lists = written(_lists(_postings(texts, n, threshold, folder, x)), "lists")
-
-    members = _members(texts, lists, classes, n)
 
     def near(a: str, b: str):
         return F.least(a, b) * q >= F.greatest(a, b) * p
@@ -487,15 +578,51 @@ def jaccard_join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     more = written(_rest(groups, members, n, threshold, block), "more-links")
     if not more.isEmpty():
         roots = written(components(links.unionByName(more)), "roots")
+    return roots
+
+
+def jaccard_join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5,
+                 threshold: tuple[int, int] = (75, 100), block: tuple[int, int] = (512, 200_000),
+                 links: bool = False) -> DataFrame:
+    """One row per row of `documents`: doc_id, n_shingles, class_id (least id with the same set), component_id,
+    and tag (xxhash64 of the text, which tells rows with one id apart).
+
+    With `links` also n_links, the number of other rows at or above the threshold: every pair of different sets is
+    verified, so a group of near copies takes its square of comparisons, though not of rows.
+
+    `block` bounds the members and shingles of a block when the rest is verified; it moves work, not results.
+    """
+    texts = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    sets = written(_sets(documents, id_col, text_col, n), "sets")
+    classes = sets.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"),
+        F.count(F.lit(1)).alias("copies"))
+    sizes = classes.groupBy("n").count().where(F.col("n") <= 2 * LARGEST_LIGHT)
+    total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    folder, mean_list = _rarity(texts, n, total)
+    x = boundary({r["n"]: r["count"] for r in sizes.collect()}, mean_list, threshold)
+    lists = written(_lists(_postings(texts, n, threshold, folder, x)), "lists")
+
+    members = _members(texts, lists, classes, n)
+
+    if links:
+        found = written(_counted(lists, members, classes.select("set", "copies"), n, threshold, block), "counted-links")
+        roots = written(components(found.where("v is not null").select("u", "v")), "roots")
+        linked = found.where("v is null").groupBy("u").agg(F.sum("linked").alias("linked"))
+    else:
+        roots, linked = _joined(lists, members, n, threshold, block), None
 
     named = classes.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").select(
-        "set", "class_id", F.coalesce("root", "set").alias("root"))
+        "set", "class_id", F.coalesce("root", "set").alias("root"), "copies")
     least = named.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    final = named.join(least, "root").select("set", "class_id", "component_id")
+    final = named.join(least, "root").select("set", "class_id", "component_id", "copies")
+    counts = []
+    if linked is not None:
+        final = final.join(linked.withColumnRenamed("u", "set"), "set", "left")
+        counts = [F.coalesce(F.col("copies") - 1 + F.coalesce("linked", F.lit(0)), F.lit(0)).alias("n_links")]
     return sets.join(final, "set", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "tag")
+        F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *counts, "tag")
 
 
 ORACLE_SQL = r"""

@@ -44,6 +44,12 @@ def op2_ngram_join(spark, folder):
     return ngram_join.jaccard_join(table(spark, folder, "documents")).drop("tag")
 
 
+@query
+def ngram_links(spark, folder):
+    """op2_ngram_join with the number of links of each document, which that query's SQL does not have."""
+    return ngram_join.jaccard_join(table(spark, folder, "documents"), links=True).drop("tag")
+
+
 @query
 def op3_substring_dedup(spark, folder):
     return substring_dedup.remove_repeats(table(spark, folder, "documents"))

@@ -144,6 +144,22 @@ def test_jaccard_join_empty(none):
     assert ngram_join.jaccard_join(none).collect() == []
 
 
+@pytest.mark.parametrize("block, x", [((512, 200_000), None), ((4, 700), None), ((7, 200_000), 6), ((512, 200_000), 12)])
+def test_jaccard_join_counts_links(docs, rows, monkeypatch, block, x):
+    if x is not None:
+        monkeypatch.setattr(ngram_join, "boundary", lambda *_: x)
+    sets = [cases.shingles(t) for _, t in rows]
+    n_links = [sum(bool(a) and 100 * len(a & b) >= 75 * len(a | b) for b in sets) - bool(a) for a in sets]
+    assert max(n_links) > 10
+    found = ngram_join.jaccard_join(docs, block=block, links=True)
+    assert got(found, "doc_id", "n_shingles", "class_id", "component_id", "n_links") == want(
+        (*r, k) for r, k in zip(cases.linked(rows), n_links))
+
+
+def test_jaccard_join_counts_links_of_nothing(none):
+    assert ngram_join.jaccard_join(none, links=True).collect() == []
+
+
 def test_boundary_follows_the_cost():
     counts = {n: 10 for n in range(1, 30)}
     assert ngram_join.boundary(counts, 0.0, (75, 100)) <= ngram_join.boundary(counts, 1000.0, (75, 100))
