@@ -585,7 +585,8 @@ def jaccard_join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
                  threshold: tuple[int, int] = (75, 100), block: tuple[int, int] = (512, 200_000),
                  links: bool = False) -> DataFrame:
     """One row per row of `documents`: doc_id, n_shingles, class_id (least id with the same set), component_id,
-    and tag (xxhash64 of the text, which tells rows with one id apart).
+    root (one set of the component, which names it also where ids are null or repeated; null without shingles) and tag
+    (xxhash64 of the text, which tells rows with one id apart).
 
     With `links` also n_links, the number of other rows at or above the threshold: every pair of different sets is
     verified, so a group of near copies takes its square of comparisons, though not of rows.
@@ -614,7 +615,7 @@ def jaccard_join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     named = classes.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").select(
         "set", "class_id", F.coalesce("root", "set").alias("root"), "copies")
     least = named.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    final = named.join(least, "root").select("set", "class_id", "component_id", "copies")
+    final = named.join(least, "root").select("set", "class_id", "component_id", "copies", "root")
     counts = []
     if linked is not None:
         final = final.join(linked.withColumnRenamed("u", "set"), "set", "left")
@@ -622,7 +623,7 @@ def jaccard_join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     return sets.join(final, "set", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *counts, "tag")
+        F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *counts, "root", "tag")
 
 
 ORACLE_SQL = r"""

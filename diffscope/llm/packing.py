@@ -1,7 +1,8 @@
 """Conflict-constrained best-fit packing of documents into fixed-size sequences.
 
 A document longer than a bin fills whole bins; what is left of it (or a shorter document) goes to the tightest bin that
-has room and no conflict: no document of the same source and none of the same duplicate cluster. Longest first.
+has room and no conflict: no document of the same source and none of the same duplicate cluster. Longest first. Clusters
+are the components of near copies (`with_clusters`) or, where duplicates are gone, equal texts (`with_lengths`).
 
 Open bins stand in a tree ordered by residual room. A bin carries a bitmap of its sources and clusters, a tree node the
 intersection of the bitmaps below it: where that holds a bit of the document, all bins below conflict and are passed at
@@ -23,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from diffscope.llm.ngram_join import jaccard_join
 from diffscope.llm.store import written
 
 CAPACITY = 2048
@@ -133,6 +135,17 @@ def with_lengths(documents: DataFrame, text_col: str = "text") -> DataFrame:
         "cluster", F.xxhash64(F.lower(text)))
 
 
+def with_clusters(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`with_lengths`, the cluster being the component of near copies (five words, 0.75) of the lower-cased text."""
+    lengths = with_lengths(documents, text_col)
+    lower = documents.select(F.col(id_col).alias("doc_id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
+    found = jaccard_join(lower).where(F.col("root").isNotNull()).select(
+        F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), "root").dropDuplicates(["_id", "_tag"])
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("cluster") == F.col("_tag"))
+    return lengths.drop(text_col).join(found, same, "left").withColumn(
+        "cluster", F.coalesce(F.xxhash64("root"), F.col("cluster"))).drop("_id", "_tag", "root")
+
+
 def pack(documents: DataFrame, id_col: str = "doc_id", length_col: str = "length", source_col: str = "source",
          cluster_col: str = "cluster", capacity: int = CAPACITY, group_bins: int = GROUP_BINS) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, bin_id, position (bin_id and position null for empty documents)."""

@@ -41,13 +41,13 @@ def op6_secret_scan(spark, folder):
 
 @query
 def op2_ngram_join(spark, folder):
-    return ngram_join.jaccard_join(table(spark, folder, "documents")).drop("tag")
+    return ngram_join.jaccard_join(table(spark, folder, "documents")).drop("root", "tag")
 
 
 @query
 def ngram_links(spark, folder):
     """op2_ngram_join with the number of links of each document, which that query's SQL does not have."""
-    return ngram_join.jaccard_join(table(spark, folder, "documents"), links=True).drop("tag")
+    return ngram_join.jaccard_join(table(spark, folder, "documents"), links=True).drop("root", "tag")
 
 
 @query
@@ -87,7 +87,7 @@ def op9_quality(spark, folder):
 
 @query
 def op4_best_fit_packing(spark, folder):
-    return packing.pack(packing.with_lengths(table(spark, folder, "documents")))
+    return packing.pack(packing.with_clusters(table(spark, folder, "documents")))
 
 
 @query

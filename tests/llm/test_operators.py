@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from diffscope.llm import decontaminate, imatch, ngram_join, packing, quality, secrets, substring_dedup, toxicity
+from diffscope.llm import decontaminate, imatch, ngram_join, packing, quality, queries, secrets, substring_dedup, toxicity
 from diffscope.llm import training, warc, wavelet
 from diffscope.llm.store import Files
 from diffscope.llm.words import NOT_ALPHANUMERIC, Hasher, chunks
@@ -226,10 +226,29 @@ def test_packing_of_a_table(docs, rows):
     assert len(by_id) > 50
 
 
+def test_packing_keeps_near_copies_apart(spark, tmp_path):
+    rng = random.Random(5)
+    words = cases.prose(rng, 60).split()
+    texts = [" ".join(words), " ".join([*words[:30], "changed", *words[31:]]), "  ".join(words), " ".join(words).upper() + " É",
+             " ".join(words) + " é", *[cases.prose(rng, 60) for _ in range(5)], "", None]
+    rows = [(i if i < 4 else None, t) for i, t in enumerate(texts)]
+    near = spark.createDataFrame([(*r, None) for r in rows], "doc_id long, text string, source string")
+    clusters = packing.with_clusters(near).select("doc_id", "length", "cluster").collect()
+    assert got(packing.with_lengths(near), "doc_id", "length") == want((r.doc_id, r.length) for r in clusters)
+    assert sorted(Counter(r.cluster for r in clusters if r.length).values()) == [1] * 5 + [5]
+    near.write.parquet(f"{tmp_path}/documents.parquet")
+    bins = [r.bin_id for r in queries.QUERIES["op4_best_fit_packing"](spark, str(tmp_path)).where("doc_id < 4").collect()]
+    assert len(bins) == len(set(bins)) == 4
+
+
 def test_packing_empty(none):
     assert packing.pack(packing.with_lengths(none)).collect() == []
 
 
+def test_packing_empty_with_clusters(none):
+    assert packing.pack(packing.with_clusters(none)).collect() == []
+
+
 # ------------------------------------------------------------------ 5: decontamination
 
 def items(rows):
