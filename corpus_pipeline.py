@@ -26,10 +26,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least id."""
+    """Of each group of linked documents the one with the least id (null last), of equal ids that of the least text hash.
+
+    Documents without words are linked with nothing and stay.
+    """
     queries.configure(spark)
-    joined = ngram_join.jaccard_join(docs)
-    kept = joined.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"), "tag")
+    joined = ngram_join.jaccard_join(docs).select("doc_id", "tag", "root")
+    first = joined.where(F.col("root").isNotNull()).groupBy("root").agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("no_id"), "doc_id", "tag")).alias("first")).select("first.doc_id", "first.tag")
+    kept = first.unionByName(joined.where(F.col("root").isNull()).select("doc_id", "tag")).withColumnRenamed("doc_id", "_kept")
+    # a null text has a hash as well (the seed), so it is met by equality
     same = docs["doc_id"].eqNullSafe(kept["_kept"]) & (F.xxhash64(docs["text"]) == kept["tag"])
     rows = docs.join(kept, same, "left_semi")
     return rows.dropDuplicates(["doc_id", "text"])  # repeated rows are one document

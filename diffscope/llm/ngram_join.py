@@ -542,8 +542,9 @@ def _members(texts: DataFrame, lists: DataFrame, classes: DataFrame, n: int) ->
         for b in batches:
             keep = []
             for want, s in zip(b.column(0).to_pylist(), shingles(hasher, b.column(1), n)):
-                keep.append(set_id(s) == want and want not in seen)
-                seen.add(want)
+                keep.append(want not in seen and set_id(s) == want)
+                if keep[-1]:  # not before: texts of other sets come with an id that is taken or null
+                    seen.add(want)
             yield b.filter(pa.array(keep, pa.bool_()))
 
     kind = texts.schema["doc_id"].dataType.simpleString()

@@ -2,6 +2,7 @@
 
 import glob
 import os
+import random
 import re
 
 import duckdb
@@ -79,6 +80,21 @@ def test_stages(spark, folder):
     assert total == words
 
 
+def test_one_document_of_each_group_stays(spark, folder):
+    words = cases.prose(random.Random(7), 120).split()
+    near = [" ".join([*words[:k], "changed", *words[k + 1:]]) for k in (10, 20, 30)]
+    other = cases.prose(random.Random(8), 120).split()
+    taken = [" ".join([*other[:k], "changed", *other[k + 1:]]) for k in (10, 20, 30)]
+    alone = [cases.prose(random.Random(k), 60) for k in (9, 10)]
+    rows = [*[(None, t) for t in near], *[(5, t) for t in taken], (6, taken[0]), (None, taken[1]), (None, alone[0]),
+            (5, alone[1]), (None, ""), (None, None), (7, ""), (7, ""), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, folder).collect()]
+    stay = [r for r in found if r[1] in near], [r for r in found if r[1] in taken], [r for r in found if r[1] not in near + taken]
+    assert len(stay[0]) == len(stay[1]) == 1 and stay[0][0][0] is None and stay[1][0][0] == 5
+    assert plain(stay[2]) == plain([(None, alone[0]), (5, alone[1]), (None, ""), (None, None), (7, ""), (8, None)])
+
+
 def test_run_is_the_stages_one_after_the_other(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
