@@ -186,6 +186,12 @@ def regex_features(spark, folder):
     return _docs(spark, folder).select("doc_id", *_longs(X.regex_features(_ascii("text"))))
 
 
+@query
+def regex_features_unicode(spark, folder):
+    """`regex_features` of the texts as they are; the SQL of that query has `z` for every other than ASCII character."""
+    return _docs(spark, folder).select("doc_id", *_longs(X.regex_features(F.col("text"))))
+
+
 @query
 def code_regex_features(spark, folder):
     return V.document_code(_docs(spark, folder)).select("doc_id", *_longs(X.regex_features(F.col("code"))))
@@ -221,6 +227,12 @@ def token_count(spark, folder):
     return _docs(spark, folder).select("doc_id", X.token_count(_ascii("text")).cast("long").alias("tokens"))
 
 
+@query
+def token_count_unicode(spark, folder):
+    """`token_count` of the texts as they are."""
+    return _docs(spark, folder).select("doc_id", X.token_count(F.col("text")).cast("long").alias("tokens"))
+
+
 @query
 def code_preview(spark, folder):
     return _docs(spark, folder).select("doc_id", X.preview(F.col("text")).alias("snippet"))
