@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from diffscope.llm import decontaminate, imatch, ngram_join, packing, quality, secrets, substring_dedup, toxicity, training, warc, wavelet
+from diffscope.llm import decontaminate, fim, imatch, near_dedup, ngram_join, packing, quality, secrets, substring_dedup
+from diffscope.llm import toxicity, training, warc, wavelet, whitening
 
 # Batches that are exchanged with Python are bounded by bytes, as single texts can be very long.
 RUNTIME_CONF = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
@@ -97,5 +98,23 @@ def op8_token_ids(spark, folder):
     return wavelet.round_trip(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op11_fill_in_middle(spark, folder):
+    return fim.digests(fim.pieces(table(spark, folder, "documents")))
+
+
+@query
+def op12_near_duplicates(spark, folder):
+    found = near_dedup.near_duplicates(table(spark, folder, "documents"), n=3, threshold=(85, 100),
+                                       bands=near_dedup.BANDS, rows=near_dedup.ROWS)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query
+def op13_whitening(spark, folder):
+    return whitening.table(table(spark, folder, "embeddings"))
+
+
 SQL = {"op1_warc": warc.ORACLE_SQL, "op2_ngram_join": ngram_join.ORACLE_SQL, "op3_substring_dedup": substring_dedup.ORACLE_SQL,
-       "op5_decontaminate": decontaminate.ORACLE_SQL, "op6_secret_scan": secrets.ORACLE_SQL}
+       "op5_decontaminate": decontaminate.ORACLE_SQL, "op6_secret_scan": secrets.ORACLE_SQL,
+       "op11_fill_in_middle": fim.ORACLE_SQL, "op12_near_duplicates": near_dedup.ORACLE_SQL}

@@ -56,16 +56,16 @@ def split(text):
     return re.findall("[^\x20\x09-\x0D]+", text or "")
 
 
-def shingles(text):
+def shingles(text, k=5):
     w = split(fold(text))
-    if len(w) < 5:
+    if len(w) < k:
         return frozenset([tuple(w)] if w else [])
-    return frozenset(tuple(w[i:i + 5]) for i in range(len(w) - 4))
+    return frozenset(tuple(w[i:i + k]) for i in range(len(w) - k + 1))
 
 
-def linked(rows):
+def linked(rows, k=5, least_share=75):
     """component and class of each row (ids may be null)."""
-    sets = [shingles(t) for _, t in rows]
+    sets = [shingles(t, k) for _, t in rows]
     root = list(range(len(rows)))
 
     def find(i):
@@ -75,7 +75,7 @@ def linked(rows):
         return i
 
     for i, j in combinations(range(len(rows)), 2):
-        if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+        if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= least_share * len(sets[i] | sets[j]):
             root[find(i)] = find(j)
 
     def least(members):
