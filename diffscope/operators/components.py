@@ -20,6 +20,12 @@ from pyspark.sql import functions as F
 LIMIT = 1_000_000  # edges of one union-find: about 100 MB in a worker
 
 
+def _values(column: pa.Array) -> list:
+    """Python values that can be keys; those of a struct as tuples."""
+    found = column.to_pylist()
+    return [x if x is None else tuple(x.values()) for x in found] if pa.types.is_struct(column.type) else found
+
+
 class Forest:
     """Union-find over any hashable values, by path halving."""
 
@@ -51,7 +57,7 @@ def spanning(edges: DataFrame, limit: int = LIMIT) -> DataFrame:
         for b in batches:
             if (seen := seen + b.num_rows) > limit:
                 forest, seen = Forest(), b.num_rows
-            keep = [u == v or forest.join(u, v) for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            keep = [u == v or forest.join(u, v) for u, v in zip(_values(b.column(0)), _values(b.column(1)))]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return edges.select("u", "v").mapInArrow(run, edges.select("u", "v").schema)
@@ -60,19 +66,18 @@ def spanning(edges: DataFrame, limit: int = LIMIT) -> DataFrame:
 def _solved(edges: DataFrame) -> DataFrame:
     """(node, root) of a graph that fits in one task."""
     kind = edges.schema["u"].dataType.simpleString()
-    arrow: list = []
 
     def run(batches):
-        forest = Forest()
+        forest, arrow = Forest(), None
         for b in batches:
-            arrow[:] = [b.schema.field(0).type]
-            for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            arrow = b.schema.field(0).type
+            for u, v in zip(_values(b.column(0)), _values(b.column(1))):
                 forest.join(u, v)
         nodes = list(forest.parent)
         for low in range(0, len(nodes), 10_000):
             part = nodes[low:low + 10_000]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(part, arrow[0]), pa.array([forest.find(x) for x in part], arrow[0])], ["node", "root"])
+                [pa.array(part, arrow), pa.array([forest.find(x) for x in part], arrow)], ["node", "root"])
 
     return edges.select("u", "v").repartition(1).mapInArrow(run, f"node {kind}, root {kind}")
 

@@ -1,10 +1,8 @@
-"""Metrics of many graphs at once over an edge table keyed by `graph_id`.
+"""Metrics of many graphs at once over an edge table keyed by `graph_id`; a null graph or node is one like any other.
 
-Paths are found level by level: a frontier is joined with the edges, counted and reduced to unseen nodes, and each level
-is written to the checkpoint folder so that plans stay short and lost executors replay little. The pair table of all
-(source, target) distances is the result itself, as asked for by all-pairs metrics; nothing larger is built: betweenness
-is accumulated backwards over shortest-path edges rather than over node triples, and triangles are found from
-degree-ordered edges so that a hub does not pair up all of its neighbours.
+Components come from union-find inside tasks and contraction between them, distances and betweenness from searches that
+return sums per node (`distances`), triangles from degree-ordered edges, so that a hub does not pair up all of its
+neighbours.
 """
 
 from __future__ import annotations
@@ -14,9 +12,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from diffscope.session import checkpointed
+from diffscope.operators.components import connected
+from diffscope.operators.distances import G, distance_sums, levels_from, matched
+from diffscope.session import written
 
-G = "graph_id"
 
 
 def distinct_edges(edges: DataFrame, graph_id: str = G) -> DataFrame:
@@ -30,7 +29,7 @@ def edge_nodes(edges: DataFrame) -> DataFrame:
 
 def undirected(edges: DataFrame) -> DataFrame:
     """Both directions of every edge, without self-loops."""
-    forward = edges.where("src <> dst").select(G, F.explode(F.array(
+    forward = edges.where("NOT (src <=> dst)").select(G, F.explode(F.array(
         F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e"))
     return forward.select(G, "e.src", "e.dst").distinct()
 
@@ -42,113 +41,46 @@ def _sizes(nodes: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- components
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(graph_id, node, component): smallest node of each weakly connected component.
+    """(graph_id, node, component): smallest node of each weakly connected component."""
+    def end(name: str) -> Column:
+        return F.struct(F.col(G), F.col(name).isNull().alias("none"), F.col(name).alias("node"))  # null is the last node
 
-    Alternates the two star operations of the map-reduce connectivity literature until the edge set is stable; the
-    number of rounds grows with the logarithm of the graph, not with its diameter.
-    """
-    def fingerprint(df: DataFrame):
-        row = df.agg(F.count(F.lit(1)).alias("n"),
-                     F.sum(F.xxhash64(G, "u", "v").cast("decimal(38,0)")).alias("h")).first()
-        return row["n"], row["h"]
-
-    # u is always the larger end
-    links = checkpointed(edges.where("src <> dst").select(
-        G, F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
-    seen = fingerprint(links)
-    while seen[0]:
-        both = links.select(G, "u", "v").unionByName(links.select(G, F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy(G, "u").agg(F.min(F.least("u", "v")).alias("m"))
-        large = (both.where("v > u").join(low, [G, "u"])
-                 .select(G, F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        low = large.groupBy(G, "u").agg(F.min("v").alias("m"))
-        small = large.join(low, [G, "u"]).select(
-            G, F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
-                                 F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
-        links = checkpointed(small.select(G, "e.u", "e.v").where("u <> v").distinct())
-        now = fingerprint(links)
-        if now == seen:
-            break
-        seen = now
-    roots = links.groupBy(G, F.col("u").alias("node")).agg(F.min("v").alias("component"))
-    return nodes.join(roots, [G, "node"], "left").select(
-        G, "node", F.coalesce("component", "node").alias("component"))
+    linked = edges.where(~F.col("src").eqNullSafe(F.col("dst")))
+    roots = connected(linked.select(end("src").alias("u"), end("dst").alias("v")), written).select(
+        f"node.{G}", "node.node", F.col("root.node").alias("component"))
+    return matched(nodes, roots, [G, "node"], "left").select(G, "node", F.coalesce("component", "node").alias("component"))
 
 
 # ---------------------------------------------------------------- distances
 
-def _levels(nodes: DataFrame, edges: DataFrame) -> list[DataFrame]:
-    """Breadth-first levels from every node: (graph_id, s, t, dist, sigma), one table per distance.
-
-    sigma counts the shortest paths from s to t.
-    """
-    steps = edges.where("src <> dst")
-    levels = [nodes.select(G, F.col("node").alias("s"), F.col("node").alias("t"), F.lit(0).alias("dist"),
-                           F.lit(1.0).alias("sigma"))]
-    seen = levels[0].select(G, "s", "t")
-    while True:
-        last = levels[-1].withColumnRenamed("t", "src")
-        reached = (last.join(steps, [G, "src"])
-                   .groupBy(G, "s", F.col("dst").alias("t"))
-                   .agg((F.first("dist") + 1).alias("dist"), F.sum("sigma").alias("sigma")))
-        level = checkpointed(reached.join(seen, [G, "s", "t"], "left_anti"))
-        if level.isEmpty():
-            return levels
-        levels.append(level)
-        seen = seen.unionByName(level.select(G, "s", "t"))
-
-
 def shortest_paths(nodes: DataFrame, edges: DataFrame, directed: bool = True) -> DataFrame:
-    """(graph_id, s, t, dist, sigma) for every reachable ordered pair, s itself at distance 0."""
-    return reduce(DataFrame.unionByName, _levels(nodes, edges if directed else undirected(edges)))
+    """(graph_id, s, t, dist, sigma) for every reachable ordered pair, s itself at distance 0: for those who want the pairs."""
+    return reduce(DataFrame.unionByName, levels_from(nodes, edges if directed else undirected(edges)))
 
 
 def degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(graph_id, node, degree_centrality): in plus out degree over n-1; 1 for a single node."""
     ends = edges.select(G, F.explode(F.array("src", "dst")).alias("node")).groupBy(G, "node").agg(
         F.count(F.lit(1)).alias("d"))
-    sized = nodes.join(_sizes(nodes), G).join(ends, [G, "node"], "left")
+    sized = matched(matched(nodes, _sizes(nodes), [G]), ends, [G, "node"], "left")
     return sized.select(G, "node", F.when(F.col("num_nodes") <= 1, F.lit(1.0)).otherwise(
         F.coalesce("d", F.lit(0)) / (F.col("num_nodes") - 1)).alias("degree_centrality"))
 
 
-def closeness(nodes: DataFrame, paths: DataFrame) -> DataFrame:
-    """(graph_id, node, closeness) from directed `paths`: incoming distances, scaled by the reachable share."""
-    incoming = paths.groupBy(G, F.col("t").alias("node")).agg(
-        F.sum("dist").alias("total"), (F.count(F.lit(1)) - 1).alias("r"))
-    sized = nodes.join(_sizes(nodes), G).join(incoming, [G, "node"], "left")
-    value = F.col("r") / F.col("total") * F.col("r") / (F.col("num_nodes") - 1)
+def closeness(nodes: DataFrame, sums: DataFrame) -> DataFrame:
+    """(graph_id, node, closeness) from `distance_sums`: incoming distances, scaled by the reachable share."""
+    sized = matched(matched(nodes, _sizes(nodes), [G]), sums.select(G, "node", "reached", "total"), [G, "node"], "left")
+    value = F.col("reached") / F.col("total") * F.col("reached") / (F.col("num_nodes") - 1)
     return sized.select(G, "node", F.when((F.col("total") > 0) & (F.col("num_nodes") > 1), value)
                         .otherwise(F.lit(0.0)).alias("closeness"))
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, levels: list[DataFrame] | None = None) -> DataFrame:
-    """(graph_id, node, betweenness): directed, unweighted, over (n-1)(n-2).
-
-    Each level hands its dependency back to the level before it along the shortest-path edges, so the work is one join
-    of the distance table with the edges, as in the forward pass.
-    """
-    levels = _levels(nodes, edges) if levels is None else levels
-    steps = edges.where("src <> dst")
-    below: DataFrame | None = None
-    parts: list[DataFrame] = []
-    for level in reversed(levels):
-        if below is None:
-            here = level.withColumn("delta", F.lit(0.0))
-        else:
-            back = (below.withColumnRenamed("t", "dst").join(steps, [G, "dst"])
-                    .select(G, "s", F.col("src").alias("t"), "share"))
-            handed = (level.select(G, "s", "t", "sigma").join(back, [G, "s", "t"])
-                      .groupBy(G, "s", "t").agg((F.first("sigma") * F.sum("share")).alias("delta")))
-            here = checkpointed(level.join(handed, [G, "s", "t"], "left").withColumn(
-                "delta", F.coalesce("delta", F.lit(0.0))))
-        parts.append(here.where("s <> t and delta > 0").select(G, F.col("t").alias("node"), "delta"))
-        below = here.select(G, "s", "t", ((1 + F.col("delta")) / F.col("sigma")).alias("share"))
-    total = reduce(DataFrame.unionByName, parts).groupBy(G, "node").agg(F.sum("delta").alias("raw"))
+def betweenness(nodes: DataFrame, sums: DataFrame) -> DataFrame:
+    """(graph_id, node, betweenness) from `distance_sums`: directed, unweighted, over (n-1)(n-2)."""
     n = F.col("num_nodes").cast("double")
     value = F.coalesce("raw", F.lit(0.0)) * F.when(n > 2, 1 / ((n - 1) * (n - 2))).otherwise(F.lit(1.0))
-    return (nodes.join(_sizes(nodes), G).join(total, [G, "node"], "left")
-            .select(G, "node", value.alias("betweenness")))
+    sized = matched(matched(nodes, _sizes(nodes), [G]), sums.select(G, "node", "raw"), [G, "node"], "left")
+    return sized.select(G, "node", value.alias("betweenness"))
 
 
 def clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -159,19 +91,19 @@ def clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     both = undirected(edges)
     deg = both.groupBy(G, F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("d"))
-    ranked = (both.where("src < dst")
-              .join(deg.select(G, F.col("node").alias("src"), F.col("d").alias("ds")), [G, "src"])
-              .join(deg.select(G, F.col("node").alias("dst"), F.col("d").alias("dd")), [G, "dst"]))
+    ranked = matched(matched(both.where("least(src, dst) <=> src OR src IS NULL"), deg.select(
+        G, F.col("node").alias("src"), F.col("d").alias("ds")), [G, "src"]), deg.select(
+        G, F.col("node").alias("dst"), F.col("d").alias("dd")), [G, "dst"])
     swap = F.struct("ds", "src") > F.struct("dd", "dst")
     out = ranked.select(G, F.when(swap, F.col("dst")).otherwise(F.col("src")).alias("a"),
-                        F.when(swap, F.col("src")).otherwise(F.col("dst")).alias("b"))
-    wedges = (out.join(out.withColumnRenamed("b", "c"), [G, "a"]).where("b < c"))
-    closed = wedges.join(both.select(G, F.col("src").alias("b"), F.col("dst").alias("c")), [G, "b", "c"])
+                        F.when(swap, F.col("src")).otherwise(F.col("dst")).alias("b")).distinct()
+    wedges = matched(out, out.withColumnRenamed("b", "c"), [G, "a"]).where(F.struct("b") < F.struct("c"))
+    closed = matched(wedges, both.select(G, F.col("src").alias("b"), F.col("dst").alias("c")), [G, "b", "c"])
     triangles = (closed.select(G, F.explode(F.array("a", "b", "c")).alias("node"))
                  .groupBy(G, "node").agg(F.count(F.lit(1)).alias("t")))
     value = F.when(F.col("d") > 1, 2.0 * F.coalesce("t", F.lit(0)) / (F.col("d") * (F.col("d") - 1)))
-    return (nodes.join(deg, [G, "node"], "left").join(triangles, [G, "node"], "left")
-            .select(G, "node", F.coalesce(value, F.lit(0.0)).alias("clustering")))
+    return matched(matched(nodes, deg, [G, "node"], "left"), triangles, [G, "node"], "left").select(
+        G, "node", F.coalesce(value, F.lit(0.0)).alias("clustering"))
 
 
 # ---------------------------------------------------------------- one row per graph
@@ -180,22 +112,23 @@ def basic_metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(graph_id, num_nodes, num_edges, density, is_connected)."""
     groups = components(nodes, edges).groupBy(G).agg(
         F.count(F.lit(1)).alias("num_nodes"),
-        F.sum((F.col("node") == F.col("component")).cast("long")).alias("parts"))
+        F.sum(F.col("node").eqNullSafe(F.col("component")).cast("long")).alias("parts"))
     counted = edges.groupBy(G).agg(F.count(F.lit(1)).alias("num_edges"))
     n, m = F.col("num_nodes"), F.coalesce("num_edges", F.lit(0))
-    return groups.join(counted, G, "left").select(
+    return matched(groups, counted, [G], "left").select(
         G, "num_nodes", m.cast("long").alias("num_edges"),
         F.when(n > 1, m / (n * (n - 1))).otherwise(F.lit(0.0)).alias("density"),
         (F.col("parts") == 1).alias("is_connected"))
 
 
-def path_metrics(basic: DataFrame, paths: DataFrame) -> DataFrame:
-    """(graph_id, avg_path_length, diameter) from undirected `paths`; 0 where the graph is not connected."""
-    lengths = paths.where("dist > 0").groupBy(G).agg(F.avg("dist").alias("mean"), F.max("dist").alias("longest"))
-    joined = basic.join(lengths, G, "left")
+def path_metrics(basic: DataFrame, sums: DataFrame) -> DataFrame:
+    """(graph_id, avg_path_length, diameter) from `distance_sums`, edges taken both ways; 0 where the graph is not connected."""
+    lengths = sums.groupBy(G).agg((F.sum("length") / F.nullif(F.sum("pairs"), F.lit(0))).alias("mean"),
+                                  F.max("longest").alias("far"))
+    joined = matched(basic, lengths, [G], "left")
     linked = F.col("is_connected") & F.col("mean").isNotNull()
     return joined.select(G, F.when(linked, F.col("mean")).otherwise(F.lit(0.0)).alias("avg_path_length"),
-                         F.when(linked, F.col("longest")).otherwise(F.lit(0)).alias("diameter"))
+                         F.when(linked, F.col("far")).otherwise(F.lit(0)).alias("diameter"))
 
 
 def summarize(values: DataFrame, column: str, name: str) -> DataFrame:
@@ -209,19 +142,17 @@ def graph_metrics(nodes: DataFrame, edges: DataFrame, graph_id: str = G, graphs:
     Node tables must be distinct per graph. `graphs`, if given, lists the graph ids to report, so that graphs without
     nodes get a row of zeros.
     """
-    nodes = checkpointed(nodes.select(F.col(graph_id).alias(G), F.col("node").cast("string")))
-    edges = checkpointed(distinct_edges(edges, graph_id))
-    levels = _levels(nodes, edges)
-    directed = reduce(DataFrame.unionByName, levels)
-    basic = checkpointed(basic_metrics(nodes, edges))
-    joined = (basic
-              .join(summarize(degree(nodes, edges), "degree_centrality", "degree_centrality"), G, "left")
-              .join(summarize(betweenness(nodes, edges, levels), "betweenness", "betweenness_centrality"), G, "left")
-              .join(summarize(closeness(nodes, directed), "closeness", "closeness_centrality"), G, "left")
-              .join(summarize(clustering(nodes, edges), "clustering", "clustering_coefficient"), G, "left")
-              .join(path_metrics(basic, shortest_paths(nodes, edges, directed=False)), G, "left"))
+    nodes = written(nodes.select(F.col(graph_id).cast("string").alias(G), F.col("node").cast("string")))
+    edges = written(distinct_edges(edges, graph_id).withColumn(G, F.col(G).cast("string")))
+    sums = written(distance_sums(nodes, edges))
+    basic = written(basic_metrics(nodes, edges))
+    parts = [summarize(degree(nodes, edges), "degree_centrality", "degree_centrality"),
+             summarize(betweenness(nodes, sums), "betweenness", "betweenness_centrality"),
+             summarize(closeness(nodes, sums), "closeness", "closeness_centrality"),
+             summarize(clustering(nodes, edges), "clustering", "clustering_coefficient"), path_metrics(basic, sums)]
+    joined = reduce(lambda a, b: matched(a, b, [G], "left"), parts, basic)
     if graphs is not None:
-        joined = graphs.select(F.col(graph_id).alias(G)).join(joined, G, "left")
+        joined = matched(graphs.select(F.col(graph_id).cast("string").alias(G)), joined, [G], "left")
 
     def group(*names: str) -> Column:
         def default(name):
