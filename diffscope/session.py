@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import posixpath
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +17,7 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
 }
 
 
@@ -39,17 +42,31 @@ def get_session(app: str = "diffscope", master: str | None = None, **conf: str)
     return configure(builder.getOrCreate())
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared checkpoint folder and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by `spark.checkpoint.dir`.
 
-    The folder is the one named by `spark.checkpoint.dir`. Only where nothing is set and the master is local (tests
-    on one machine) a temporary folder is used; on a cluster the setting is required.
+    Only where nothing is set and the master is local (tests on one machine) a temporary folder is used; on a cluster the
+    setting is required.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="diffscope-checkpoint-"))
+        folder = tempfile.mkdtemp(prefix="diffscope-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Materialise `df` in the shared folder and cut its lineage."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write `df` as Parquet below the shared folder and read it back: computed once, lineage cut, columns prunable."""
+    path = posixpath.join(shared_folder(df.sparkSession), "diffscope", uuid.uuid4().hex)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
