@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from diffscope.operators.ordered import running_total, value_buckets
+from diffscope.operators.distances import matched
+from diffscope.operators.ordered import BOUND, order_key, running_total
 
 
 CLASSIFICATION_TASKS = ("quality", "classification")
@@ -88,16 +89,17 @@ def classification_report(df: DataFrame, by=None, label: str = "label", predicti
 
 
 def roc_auc(df: DataFrame, by=None, label: str = "label", probability: str = "probability",
-            buckets: int = 64) -> DataFrame:
+            bound: int = BOUND) -> DataFrame:
     """(by, roc_auc): exact area with ties averaged; 0 when the truth has one class.
 
-    Rows are first counted per distinct score. The ranks come from running sums over ordered buckets of scores.
+    Rows are first counted per distinct score. The ranks come from running sums over prefixes of the scores' bits, of at
+    most `bound` distinct scores each.
     """
     by = _by(by)
     positive = (F.col(label) == 1).cast("long")
     scores = df.groupBy(*by, F.col(probability).alias("score")).agg(
         F.sum(positive).alias("pos"), F.sum(1 - positive).alias("neg"))
-    ranked = running_total(value_buckets(scores, by, "score", buckets), by, ["score"], F.col("neg"), "neg_upto")
+    ranked = running_total(scores, by, order_key(scores, "score"), [], F.col("neg"), "neg_upto", bound)
     wins = F.col("pos").cast("double") * (F.col("neg_upto") - F.col("neg") * 0.5)
     totals = ranked.groupBy(*by).agg(F.sum(wins).alias("wins"), F.sum("pos").alias("p"), F.sum("neg").alias("q"))
     pairs = F.col("p").cast("double") * F.col("q").cast("double")
@@ -143,11 +145,12 @@ def positive_share(df: DataFrame, label: str = "is_high_quality") -> DataFrame:
     return df.agg(F.avg(F.col(label).cast("int")).alias("positive_share"))
 
 
-def evaluate_tasks(df: DataFrame, task_col: str = "task", key: list[str] | None = None) -> DataFrame:
+def evaluate_tasks(df: DataFrame, task_col: str = "task", key: list[str] | None = None, **text_options) -> DataFrame:
     """(task, metric, value) for all tasks of a table at once.
 
     Rows of classification tasks carry label, prediction and probability, those of generation tasks generated, reference
-    and `key`; the other columns of a row are null. Tasks of any other name are an error.
+    and `key`; the other columns of a row are null. Tasks of any other name are an error. `text_options` go to
+    `generation_metrics`.
     """
     from diffscope.operators.text_metrics import generation_metrics
 
@@ -165,7 +168,7 @@ def evaluate_tasks(df: DataFrame, task_col: str = "task", key: list[str] | None
     out = long(classification_metrics(df.where(F.col(task_col).isin(*CLASSIFICATION_TASKS)), [task_col]))
     if key:
         texts = df.where(F.col(task_col).isin(*GENERATION_TASKS))
-        out = out.unionByName(long(generation_metrics(texts, key, by=[task_col])))
+        out = out.unionByName(long(generation_metrics(texts, key, by=[task_col], **text_options)))
     return out
 
 

@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from diffscope.functions.text import (_word, count_comments, count_nonblank, indents, join_lines, not_blank)
+from diffscope.operators.distances import matched
+from diffscope.operators.ordered import order_key, running_total
 from diffscope.operators.syntax_metrics import has_docstring, nesting_depth
+from diffscope.session import written
 
 GOOD_ABOVE = 0.45
 
@@ -113,25 +116,43 @@ def score_counts(labels: DataFrame, by: list[str] | None = None) -> DataFrame:
     return labels.groupBy(*(by or []), "quality_score").agg(F.count(F.lit(1)).alias("n"))
 
 
+def percentiles(counts: DataFrame, by: list[str], value: str, n: str, shares: dict[str, float]) -> DataFrame:
+    """(by, one column per share): exact percentiles, linear between neighbours, of values with their frequencies.
+
+    The values at a rank are the least whose running count is above it, so no group is sorted or held as a whole.
+    """
+    ranked = running_total(counts.select(*by, value, n), by, order_key(counts, value), [], F.col(n), "_upto")
+    totals = counts.groupBy(*by).agg(F.sum(n).alias("_all"))
+    placed = matched(ranked, totals, by)
+
+    def at(rank: Column) -> Column:
+        return F.min(F.when(F.col("_upto") > rank, F.col(value)))
+
+    def between(share: float) -> Column:
+        place = F.lit(share) * (F.col("_all") - 1)
+        low, high, part = at(F.floor(place)), at(F.ceil(place)), F.min(place - F.floor(place))
+        return low + (high - low) * part
+
+    return placed.groupBy(*by).agg(*[between(share).alias(name) for name, share in shares.items()])
+
+
 def label_report(labels: DataFrame, threshold: float = GOOD_ABOVE, by: list[str] | None = None) -> DataFrame:
     """Score statistics and threshold analysis, one row (per group); no row for an empty input.
 
-    Percentiles are exact, taken over the distinct scores with their frequencies.
+    Percentiles are exact. The deviation is taken from the mean in a second pass over the counts.
     """
     s, n = F.col("quality_score"), F.col("n")
+    counts = written(score_counts(labels, by).withColumn("_one", F.lit(1)))
+    wanted, by = by or [], by or ["_one"]
     total = F.sum("n")
-    report = score_counts(labels, by).groupBy(*(by or [])).agg(
-        total.alias("total_samples"),
-        (F.sum(s * n) / total).alias("mean"),
-        (F.sum(s * s * n) / total).alias("_square"),
-        F.min(s).alias("min"),
-        F.max(s).alias("max"),
-        F.percentile(s, F.lit(0.5), n).alias("median"),
-        F.sum(F.when(s > F.lit(threshold), n).otherwise(0)).alias("positive_samples"),
-        F.percentile(s, F.lit(0.7), n).alias("recommended_threshold"),
-    ).where(F.col("total_samples") > 0)
-    variance = F.greatest(F.col("_square") - F.col("mean") * F.col("mean"), F.lit(0.0))
-    return report.select(
-        *(by or []), "total_samples", "mean", F.sqrt(variance).alias("std"), "min", "max", "median",
-        F.lit(threshold).alias("current_threshold"), "positive_samples",
-        (F.col("positive_samples") / F.col("total_samples")).alias("positive_ratio"), "recommended_threshold")
+    means = counts.groupBy(*by).agg((F.sum(s * n) / total).alias("mean"))
+    report = matched(counts, means, by).groupBy(*by).agg(
+        total.alias("total_samples"), F.max("mean").alias("mean"),
+        F.sqrt(F.sum((s - F.col("mean")) * (s - F.col("mean")) * n) / total).alias("std"),
+        F.min(s).alias("min"), F.max(s).alias("max"),
+        F.sum(F.when(s > F.lit(threshold), n).otherwise(0)).alias("positive_samples")).where(F.col("total_samples") > 0)
+    ranks = percentiles(counts, by, "quality_score", "n", {"median": 0.5, "recommended_threshold": 0.7})
+    return matched(report, ranks, by).select(
+        *wanted, "total_samples", "mean", "std", "min", "max", "median", F.lit(threshold).alias("current_threshold"),
+        "positive_samples", (F.col("positive_samples") / F.col("total_samples")).alias("positive_ratio"),
+        "recommended_threshold")

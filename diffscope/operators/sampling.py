@@ -5,10 +5,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from diffscope.operators.ordered import hash_buckets, row_numbers
+from diffscope.operators.distances import matched
+from diffscope.operators.ordered import hash_buckets
+from diffscope.session import written
 
 BUCKET = "_bucket"
 
@@ -30,7 +35,7 @@ def _cut_points(df: DataFrame, by: list[str], share: float) -> DataFrame:
         F.ceil(F.lit(share) * F.sum("_n").over(Window.partitionBy(*by))).alias("_want"))
     hit = (ranked.where((F.col("_before") < F.col("_want")) & (F.col("_want") <= F.col("_before") + F.col("_n")))
            .select(*by, BUCKET, (F.col("_want") - F.col("_before")).alias("_rank")))
-    inside = df.join(hit, [*by, BUCKET])
+    inside = matched(df, hit, [*by, BUCKET])
     place = F.row_number().over(Window.partitionBy(*by).orderBy("_digest"))
     return inside.withColumn("_place", place).where("_place = _rank").select(*by, F.col("_digest").alias("_cut"))
 
@@ -39,6 +44,7 @@ def stratified_split(df: DataFrame, key: list[str], label: str | None = "label",
                      validation: float = 0.0, seed: int = 42, digits: int = 4) -> DataFrame:
     """Add `split`: exactly ceil(share * n) rows of each class become test (and validation), the rest train.
 
+    Rows without a label are a class of their own.
     No class is ever sorted as a whole: see `_cut_points`. `digits` hex digits give 16**digits prefixes.
     """
     by = [label] if label else []
@@ -50,7 +56,7 @@ def stratified_split(df: DataFrame, key: list[str], label: str | None = "label",
     for name, share in shares:
         cut = _cut_points(narrow, by, share).withColumnRenamed("_cut", f"_cut_{name}")
         # one row per class
-        out = out.join(cut, by, "left") if by else out.withColumn(f"_cut_{name}", cut.scalar())
+        out = matched(out, cut, by, "left") if by else out.withColumn(f"_cut_{name}", cut.scalar())
         chosen = F.col("_digest") <= F.col(f"_cut_{name}")
         split = F.when(chosen, name) if split is None else split.when(chosen, name)
     return out.withColumn("split", split.otherwise("train")).drop(
@@ -67,25 +73,81 @@ def _uniform(*parts: Column) -> Column:
     return (F.pmod(F.xxhash64(*parts), F.lit(1 << 53)).cast("double") + 0.5) / float(1 << 53)
 
 
+DIGITS = 3  # hex digits of a digest that one level of drawing looks at
+LEAF_ROWS = 4096
+
+
+def _allotted(sizes: pa.Array, draws: pa.Array, seeds: pa.Array) -> pa.Array:
+    """Draws of each child of some parents: multinomial by the children's sizes, decided by the parent's seed."""
+    out = [np.random.default_rng(s % 2**64).multinomial(m, np.array(n) / sum(n)).tolist()
+           for n, m, s in zip(sizes.to_pylist(), draws.to_pylist(), seeds.to_pylist())]
+    return pa.array(out, pa.list_(pa.int64()))
+
+
+def drawn_with_replacement(df: DataFrame, digest: str, total: int, copies: int, seed: int = 42) -> DataFrame:
+    """`copies` rows of the `total` rows of `df`, drawn with replacement, with a distinct number `_copy` from 0 on.
+
+    Rows are grouped by the leading digits of a digest, at most a few thousand to a group. Draws are dealt from the whole to
+    the groups by multinomials over the groups' sizes, three digits at a time, and within a group to its rows by local
+    rank. Each draw is uniform over all rows, and nothing is numbered over the whole table.
+    """
+    levels = 0
+    while total > LEAF_ROWS * 16 ** (DIGITS * levels):
+        levels += 1
+    leaf = F.substring(digest, 1, DIGITS * levels) if levels else F.lit("")
+    rows = df.withColumn("_leaf", leaf)
+    sizes = written(rows.groupBy("_leaf").agg(F.count(F.lit(1)).alias("_n")))
+    dealt = df.sparkSession.createDataFrame([("", copies)], "_leaf string, _draws long")
+    for level in range(levels):
+        def prefix(n):
+            return F.substring("_leaf", 1, DIGITS * n) if n else F.lit("")
+
+        children = sizes.groupBy(prefix(level + 1).alias("_leaf")).agg(F.sum("_n").alias("_n")).withColumn(
+            "_up", prefix(level))
+        lists = children.groupBy("_up").agg(F.sort_array(F.collect_list(F.struct("_leaf", "_n"))).alias("_all"))  # at most 4096
+        both = lists.join(dealt.withColumnRenamed("_leaf", "_up"), "_up")
+        share = F.arrow_udf(_allotted, "array<long>")(
+            F.col("_all")["_n"], F.col("_draws"), F.xxhash64("_up", F.lit(seed)))
+        dealt = written(both.select(F.explode(F.arrays_zip(F.col("_all")["_leaf"].alias("leaf"), share.alias("draws"))).alias(
+            "_x")).select(F.col("_x.leaf").alias("_leaf"), F.col("_x.draws").alias("_draws")))
+    width = 1 if levels == 0 else 16 ** (DIGITS * levels)
+    place = F.coalesce(F.conv("_leaf", 16, 10).cast("long"), F.lit(0)) if levels else F.lit(0).cast("long")
+    draws = sizes.join(dealt.where("_draws > 0"), "_leaf").select("_leaf", "_n", place.alias("_place"), F.explode(
+        F.sequence(F.lit(0).cast("long"), F.col("_draws") - 1)).alias("_i")).select(
+        "_leaf", (F.col("_i") * width + F.col("_place")).alias("_copy"), "_n")
+    draws = draws.withColumn("_rank", (F.floor(_uniform(F.col("_copy"), F.lit(seed)) * F.col("_n")) + 1).cast("int"))
+    rank = F.row_number().over(Window.partitionBy("_leaf").orderBy(digest))
+    return rows.withColumn("_rank", rank).join(draws.drop("_n"), ["_leaf", "_rank"]).drop("_leaf", "_rank")
+
+
+def _new_key(df: DataFrame, key: list[str]) -> dict[str, Column]:
+    """Key columns of copies that no row has: the first text or integer column of the key gets a new value."""
+    for name in key:
+        kind = df.schema[name].dataType
+        if isinstance(kind, T.StringType):
+            return {name: F.concat_ws("-", name, F.lit("copy"), F.col("_copy").cast("string"))}
+        if isinstance(kind, T.IntegralType):
+            top = df.agg(F.coalesce(F.max(name), F.lit(0)).cast("long")).scalar()
+            return {name: (top + 1 + F.col("_copy")).cast(kind)}
+    raise ValueError("the key needs a text or an integer column, which tells copies apart")
+
+
 def oversample_single_class(df: DataFrame, key: list[str], features: str = "features", label: str = "label",
                             seed: int = 42, spread: float = 0.1) -> DataFrame:
     """If the data has one class only, add max(10, n // 4) jittered copies of random rows under the other class.
 
     The rows drawn (with replacement) and the Gaussian noise, `spread` times each feature's population deviation, come
-    from hashes. `features` is an ARRAY<DOUBLE>. With two classes the input is returned unchanged.
+    from hashes. Copies get keys of their own. `features` is an ARRAY<DOUBLE>. With two classes the input is returned
+    unchanged.
     """
     classes = [r[0] for r in df.select(label).distinct().limit(2).collect()]
     if len(classes) != 1:
         return df
     total = df.count()
-    copies = max(10, total // 4)
     deviations = (df.select(F.posexplode(features).alias("i", "x")).groupBy("i").agg(F.stddev_pop("x").alias("sd"))
                   .agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "sd"))), lambda s: s["sd"])))  # one number per feature
-    numbered = row_numbers(df.withColumn("_digest", key_digest(key, seed)), "_digest", "_row")
-    drawn = df.sparkSession.range(copies).select(
-        F.col("id").alias("_copy"),
-        (F.floor(_uniform(F.col("id"), F.lit(seed)) * total) + 1).cast("long").alias("_row"))
-    picked = numbered.join(drawn, "_row").withColumn("_sd", deviations.scalar())
+    marked = df.withColumn("_digest", key_digest(key, seed))
+    picked = drawn_with_replacement(marked, "_digest", total, max(10, total // 4), seed).withColumn("_sd", deviations.scalar())
 
     def noise(i: Column) -> Column:
         u, v = _uniform(F.col("_copy"), i, F.lit(seed + 1)), _uniform(F.col("_copy"), i, F.lit(seed + 2))
@@ -93,8 +155,5 @@ def oversample_single_class(df: DataFrame, key: list[str], features: str = "feat
 
     shaken = F.transform(features, lambda x, i: x + noise(i) * spread * F.element_at("_sd", i + 1))
     other = (1 - F.col(label)).cast(df.schema[label].dataType)
-    extra = picked.withColumn(features, shaken).withColumn(label, other)
-    for name in key:
-        if dict(df.dtypes)[name] == "string":
-            extra = extra.withColumn(name, F.concat_ws("-", name, F.lit("copy"), F.col("_copy").cast("string")))
+    extra = picked.withColumns({features: shaken, label: other, **_new_key(df, key)})
     return df.unionByName(extra.select(*df.columns))

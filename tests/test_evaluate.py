@@ -39,7 +39,7 @@ def test_classification(spark):
 def test_auc_is_exact_and_mirrored(spark):
     rows = [(m, (i * 7919) % 3 % 2, ((i * 104729) % 211) / 211.0) for m in ("a", "b") for i in range(600)]
     df = spark.createDataFrame(rows, "model string, label int, probability double")
-    got = {r.model: r.roc_auc for r in E.roc_auc(df, ["model"], buckets=7).collect()}
+    got = {r.model: r.roc_auc for r in E.roc_auc(df, ["model"], bound=7).collect()}
     pos = [p for m, y, p in rows if m == "a" and y == 1]
     neg = [p for m, y, p in rows if m == "a" and y == 0]
     expect = sum((p > q) + 0.5 * (p == q) for p in pos for q in neg) / (len(pos) * len(neg))
@@ -50,13 +50,34 @@ def test_auc_is_exact_and_mirrored(spark):
 
 def test_row_numbers_and_running_totals(spark):
     df = spark.range(500).withColumn("d", F.md5(F.col("id").cast("string"))).withColumn("g", F.col("id") % 2)
-    rows = sorted(O.row_numbers(df, "d", digits=1).collect(), key=lambda r: r.d)
+    rows = sorted(O.row_numbers(df, "d", bound=40).collect(), key=lambda r: r.d)
     assert [r.row_idx for r in rows] == list(range(1, 501))
-    cut = O.value_buckets(spark.range(300).withColumn("g", F.col("id") % 3), ["g"], "id", 5)
-    total = O.running_total(cut, ["g"], ["id"], F.col("id"), "sum")
+    grouped = spark.range(300).withColumn("g", F.col("id") % 3)
+    total = O.running_total(grouped, ["g"], O.order_key(grouped, "id"), [], F.col("id"), "sum", bound=9)
     assert all(r["sum"] == sum(range(r.g, r.id + 1, 3)) for r in total.collect())
 
 
+def test_running_totals_of_a_hot_value(spark):
+    """A third of the rows have one value: they are split by the digest of their ties, and each gets a place of its own."""
+    values = [0.25] * 60 + [float("nan"), float("-inf"), float("inf"), -0.0, 0.0, 1e-300, -1e300, None, None] + [
+        i / 7 - 5 for i in range(100)]
+    df = spark.createDataFrame([(i, v, "ab"[i % 2] if i % 5 else None) for i, v in enumerate(values)], "k long, v double, g string")
+    for bound in (5, 10**6):
+        found = O.running_total(df, ["g"], O.order_key(df, "v"), ["k"], F.lit(1), "n", bound=bound).collect()
+        for g in ("a", "b", None):
+            mine = sorted((r for r in found if r.g == g), key=lambda r: r.n)
+            assert [r.n for r in mine] == list(range(1, len(mine) + 1))
+            order = [-math.inf if r.v is None else math.inf if math.isnan(r.v) else r.v for r in mine]
+            assert order == sorted(order)
+
+
+def test_no_window_holds_more_rows_than_the_bound(spark):
+    df = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("v"))
+    plan = O.running_total(df, [], O.order_key(df, "v"), ["id"], F.lit(1), "n", bound=100)
+    assert sorted(r.n for r in plan.collect()) == list(range(1, 3001))
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("Window") > 3  # refined where a value is hot
+
+
 @pytest.mark.parametrize("digits", [1, 3])
 def test_split_sizes_and_order(spark, digits):
     df = spark.range(237).withColumn("label", (F.col("id") % 5 == 0).cast("int"))
@@ -74,6 +95,12 @@ def test_oversample_only_for_one_class(spark):
     assert {(r["label"], r["count"]) for r in grown.groupBy("label").count().collect()} == {(1, 60), (0, 15)}
     assert {r.features[1] for r in grown.collect()} == {2.0}
     assert sorted(map(str, grown.collect())) == sorted(map(str, S.oversample_single_class(one, ["k"]).collect()))
+    assert grown.select("k").distinct().count() == 75
+    whole = one.select(F.col("k").cast("int").alias("k"), "label", "features")
+    numbers = S.oversample_single_class(whole, ["k"])
+    assert numbers.select("k").distinct().count() == 75 and numbers.schema == whole.schema
+    with pytest.raises(ValueError):
+        S.oversample_single_class(one.select(F.col("k").cast("double").alias("k"), "label", "features"), ["k"])
     two = one.withColumn("label", (F.col("k") == "1").cast("int"))
     assert S.oversample_single_class(two, ["k"]) is two
 
@@ -168,3 +195,55 @@ def test_parse_review(spark):
         "i", R.parse_review(F.col("t")).alias("r")).orderBy("i").collect()
     assert rows[0].r.assessment == "ok" and rows[0].r["issues"] == '["a"]' and rows[1].r.security == "s"
     assert rows[2].r.analysis == "free text" and rows[3].r.analysis == "[1]" and rows[4].r is None
+
+
+@pytest.mark.parametrize("leaf", [4096, 30])
+def test_draws_are_uniform_with_replacement(spark, monkeypatch, leaf):
+    monkeypatch.setattr(S, "LEAF_ROWS", leaf)
+    monkeypatch.setattr(S, "DIGITS", 1)
+    df = spark.range(400).withColumn("_digest", F.md5(F.col("id").cast("string")))
+    found = S.drawn_with_replacement(df, "_digest", 400, 4000).collect()
+    assert len(found) == 4000 and sorted({r["_copy"] for r in found}) == sorted(r["_copy"] for r in found)
+    counts = [0] * 400
+    for r in found:
+        counts[r.id] += 1
+    spread = sum((c - 10) ** 2 for c in counts) / 400
+    assert 7 < spread < 13 and max(counts) < 30 and min(counts) < 10  # variance of a multinomial: 10
+
+
+def test_splits_of_rows_without_a_label(spark):
+    df = spark.range(100).withColumn("label", F.when(F.col("id") % 2 == 0, F.lit(1)))
+    counts = {(r["label"], r["split"]): r["count"] for r in S.stratified_split(df, ["id"]).groupBy("label", "split").count().collect()}
+    assert counts == {(None, "test"): 10, (None, "train"): 40, (1, "test"): 10, (1, "train"): 40}
+
+
+@given(st.lists(st.tuples(st.lists(st.sampled_from("abcd"), max_size=9), st.lists(st.sampled_from("abcd"), max_size=9)), max_size=6))
+@settings(max_examples=150, deadline=None)
+def test_shared_grams(pairs):
+    from collections import Counter
+
+    import pyarrow as pa
+
+    kind = pa.list_(pa.string())
+    found = TM._overlaps(pa.array([a for a, _ in pairs], kind), pa.array([b for _, b in pairs], kind), 3)
+    for n in (1, 2, 3):
+        grams = [[Counter(tuple(x[i:i + n]) for i in range(len(x) - n + 1)) for x in p] for p in pairs]
+        assert found[n - 1].tolist() == [sum((a & b).values()) for a, b in grams]
+
+
+def test_text_scores_stay_in_the_row(spark):
+    df = spark.createDataFrame([(1, "a b", "a c"), (1, None, "x"), (1, "a b", "a c")], "k int, generated string, reference string")
+    scores = TM.pair_scores(df, ["k"], stem=False, scores=("bleu", "rouge1", "rouge2"))
+    plan = scores._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "_lcs_batch" not in plan and scores.count() == 3
+
+
+def test_percentiles_by_group(spark):
+    import numpy as np
+
+    rows = [(g, float(v)) for g, values in (("a", [1, 5, 5, 5, 9, 2]), (None, [3.5]), ("b", range(40))) for v in values]
+    df = spark.createDataFrame(rows, "lang string, quality_score double")
+    for r in L.label_report(df, 1.5, ["lang"]).collect():
+        mine = [v for g, v in rows if g == r.lang]
+        assert (r["median"], r.recommended_threshold, r["std"]) == pytest.approx(
+            (np.quantile(mine, 0.5), np.quantile(mine, 0.7), np.std(mine)))
