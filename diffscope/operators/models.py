@@ -7,6 +7,7 @@ import json
 import numpy as np
 import pyarrow as pa
 from pyspark import keyword_only
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (LinearSVC, LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
@@ -198,7 +199,7 @@ def save_models(models: dict, vocabulary: list[str], path: str, spark: SparkSess
     """Write every model and the feature names under `path` (any file system Spark can write)."""
     for name, model in models.items():
         model.write().overwrite().save(f"{path}/{name}")
-    row = json.dumps({"models": list(models), "vocabulary": vocabulary})
+    row = json.dumps({"models": list(models), "vocabulary": vocabulary})  # written last: it marks the models as complete
     spark.createDataFrame([(row,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/vocabulary")
 
 
@@ -209,5 +210,10 @@ def load_models(path: str, spark: SparkSession) -> tuple[dict, list[str]]:
 
 
 def models_exist(path: str, spark: SparkSession) -> bool:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/vocabulary/_SUCCESS")
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+    """Whether `save_models` wrote to `path` to the end."""
+    try:
+        return not spark.read.text(f"{path}/vocabulary").isEmpty()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
