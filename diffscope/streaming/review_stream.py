@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -21,40 +20,28 @@ def patch_stream(spark: SparkSession, folder: str, max_files: int | None = None)
                         F.col("value").alias("patch"))
 
 
-def _earlier(session: SparkSession, folder: str) -> DataFrame | None:
-    """What earlier batches reviewed; None before the first."""
-    try:
-        return session.read.schema("commit_hash string, digest string, batch_id long").parquet(folder)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
+def unseen(patches: DataFrame, remember: str = "30 days") -> DataFrame:
+    """Patches whose commit and text did not come within the time before, by keys in the stream's state store.
+
+    The time is that of arrival (the batch's clock, which a replayed batch keeps), so no patch is ever too late. A key
+    leaves the state when its time is over, which bounds the state by the patches of that time.
+    """
+    return (patches.withColumns({"digest": F.sha2("patch", 256), "seen_at": F.current_timestamp()})
+            .withWatermark("seen_at", remember).dropDuplicatesWithinWatermark(["commit_hash", "digest"])
+            .drop("digest", "seen_at"))
 
 
 def review_stream(spark: SparkSession, folder: str, output: str, checkpoint: str, available_now: bool = True,
-                  max_files: int | None = None, **options) -> StreamingQuery:
+                  max_files: int | None = None, remember: str = "30 days", **options) -> StreamingQuery:
     """Review every new patch once and write its comments below `output`.
 
+    A patch is known by its commit and its text for the time `remember`; another patch of the same commit is reviewed.
     Each micro-batch owns the folder batch_id=<n> and overwrites it when it is replayed, so a restart neither loses nor
-    repeats comments. A patch is known by its commit and the digest of its text: what an earlier batch reviewed is
-    dropped by an anti-join on these, another patch of the same commit is reviewed. Patches are whole within a batch; the
-    stream itself keeps no state.
+    repeats comments. Nothing that earlier batches wrote is read again.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        known = ["commit_hash", "digest"]
-        fresh = batch.withColumn("digest", F.sha2("patch", 256)).dropDuplicates(known)
-        done = f"{output}/commits"
-        earlier = _earlier(session, done)
-        if earlier is not None:
-            fresh = fresh.join(earlier.where(F.col("batch_id") < batch_id), known, "left_anti")
-        fresh = fresh.persist()
-        try:
-            review_table(fresh.drop("digest"), **options).write.mode("overwrite").parquet(f"{output}/comments/batch_id={batch_id}")
-            fresh.select(*known).write.mode("overwrite").parquet(f"{done}/batch_id={batch_id}")
-        finally:
-            fresh.unpersist()
-
-    writer = (patch_stream(spark, folder, max_files).writeStream.foreachBatch(write)
+        review_table(batch, **options).write.mode("overwrite").parquet(f"{output}/comments/batch_id={batch_id}")
+
+    writer = (unseen(patch_stream(spark, folder, max_files), remember).writeStream.foreachBatch(write)
               .option("checkpointLocation", checkpoint))
     return (writer.trigger(availableNow=True) if available_now else writer).start()
