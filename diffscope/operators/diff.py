@@ -229,13 +229,25 @@ def with_commit_context(hunks: DataFrame, commit: str = "commit_hash") -> DataFr
     """Add the commit context to a hunk table that lacks it.
 
     A partial aggregation gives one narrow row per commit, joined back; adaptive execution broadcasts it when small and
-    splits the partition of a commit that holds very many hunks.
+    splits the partition of a commit that holds very many hunks. Where only counts of lines go on, replace the line arrays
+    by their counts first (`line_counts`), so that no text is shuffled.
     """
+    if "added_lines" not in hunks.columns:
+        added = F.col("n_added")
+    else:
+        added = F.size("added_lines")
     per_commit = hunks.groupBy(commit).agg(
         F.count_distinct("file_idx").cast("int").alias("files_changed"),
         F.count(F.lit(1)).cast("int").alias("total_hunks"),
-        F.sum(F.size("added_lines")).cast("int").alias("commit_size"))
-    return hunks.drop(*CONTEXT_COLUMNS).join(per_commit, commit, "left")
+        F.sum(added).cast("int").alias("commit_size")).withColumnRenamed(commit, "_commit")
+    plain = hunks.drop(*CONTEXT_COLUMNS)
+    return plain.join(per_commit, plain[commit].eqNullSafe(per_commit["_commit"]), "left").drop("_commit")
+
+
+def line_counts(hunks: DataFrame) -> DataFrame:
+    """Hunks with n_added, n_removed and n_context instead of the line arrays."""
+    return hunks.withColumns({f"n_{k}": F.size(f"{k}_lines") for k in ("added", "removed", "context")}).drop(
+        "added_lines", "removed_lines", "context_lines", "raw_lines")
 
 
 def full_file_hunks(files: DataFrame, path: str = "path", content: str = "value") -> DataFrame:

@@ -17,9 +17,6 @@ from diffscope.operators.code_graph import code_graph_features
 from diffscope.operators.labels import issue_flags, quality_labels
 from diffscope.operators.syntax_metrics import label_metrics, node_count_map, tree_metrics
 
-MAX_VOCABULARY = 10_000
-
-
 def with_code(hunks: DataFrame) -> DataFrame:
     """Keep hunks with added text and add their code."""
     return hunks.where(X.has_added_text(F.col("added_lines"))).withColumn("code", X.join_lines(F.col("added_lines")))
@@ -128,17 +125,14 @@ def merge_maps(*maps: Column) -> Column:
     return merged
 
 
-def fit_vocabulary(df: DataFrame, column: str = "features", limit: int = MAX_VOCABULARY) -> list[str]:
+def fit_vocabulary(df: DataFrame, column: str = "features") -> list[str]:
     """Sorted distinct feature names, learned once and stored with the models.
 
-    Names come from a fixed set of metrics and the node types of the Python grammar. The distinct runs on the cluster,
-    and more than `limit` names is refused instead of being collected.
+    They are the positions of a dense vector, so they come to the driver as the width of every row's vector does; names come
+    from a fixed set of metrics and the node types of a grammar. The distinct runs on the cluster, combined in tasks first.
     """
-    names = df.select(F.explode(F.map_keys(column)).alias("name")).distinct()
-    rows = names.orderBy("name").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} feature names: not a bounded vocabulary")
-    return [r["name"] for r in rows]
+    names = df.select(F.explode(F.map_keys(column)).alias("name")).where("name IS NOT NULL").distinct()
+    return [r["name"] for r in names.orderBy("name").collect()]
 
 
 def assemble(df: DataFrame, vocabulary: list[str], column: str = "features", output: str = "vector") -> DataFrame:

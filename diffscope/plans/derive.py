@@ -99,10 +99,52 @@ def document_commits(documents: DataFrame) -> DataFrame:
         F.substring_index("text", "\n", 1).alias("message"),
         F.col("source").alias("author"),
         F.timestamp_seconds(F.lit(1704067200) + doc * 60).alias("committed_at"),
+        F.when(doc % 2 == 1, F.date_format(F.timestamp_seconds(F.lit(1704067200 + 7200) + doc * 60), "yyyy-MM-dd'T'HH:mm:ss'+02:00'"))
+        .otherwise(F.date_format(F.timestamp_seconds(F.lit(1704067200) + doc * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("committed_date"),
         F.when(doc > 0, document_hash(doc - 1)).alias("parent_hash"),
         (doc % 50 == 49).alias("is_merge"))
 
 
+def document_log(documents: DataFrame) -> DataFrame:
+    """`document_commits` with their patches as the text of a log, one commit a row; merges show no patch."""
+    commits = document_commits(documents).join(document_patches(documents), "commit_hash")
+    parent = F.coalesce(F.concat(F.lit(" "), _long_hash(F.col("parent_hash"))), F.lit(""))
+    second = F.when(F.col("is_merge"), F.concat(F.lit(" "), F.repeat(F.lit("0"), 40))).otherwise("")
+    message = F.array_join(F.transform(F.split("message", "\n"), lambda x: F.concat(F.lit("    "), x)), "\n")
+    head = F.concat(F.lit("commit "), _long_hash(F.col("commit_hash")), parent, second, F.lit("\nAuthor: "), F.col("author"),
+                    F.lit(" <mail@host>\nDate:   "), F.col("committed_date"), F.lit("\n\n"), message, F.lit("\n"))
+    return commits.select(F.when(F.col("is_merge"), head).otherwise(F.concat(head, F.lit("\n"), F.col("patch"))).alias("value"))
+
+
+def _long_hash(value: Column) -> Column:
+    """A 40-digit hash from one of 32 digits."""
+    return F.concat(value, F.substring(value, 1, 8))
+
+
+# Code snippets with known syntax, each document takes the one of its number.
+SNIPPETS = (
+    "for i in range(3):\n    pass",
+    "def fact(n):\n    if n <= 1:\n        return 1\n    return n * fact(n - 1)",
+    "def f(a, b):\n    try:\n        if a:\n            x = g(h(a))\n        elif b:\n            x = 2\n        else:\n"
+    "            x = 3\n    except ValueError:\n        raise\n    return x",
+    "import os\n\ndef one(p):\n    q = p + 1\n    return q\n\ndef two(p):\n    r = one(p)\n    print(r)\n    return r\nz = two(4)",
+    "class A:\n    def m(self):\n        def inner(v):\n            w = v\n            return w\n        while True:\n"
+    "            for k in [1]:\n                with open('f') as fh:\n                    inner(k)\n        else:\n"
+    "            if k:\n                pass",
+    "# note\n    x = 1\n    y = x",
+    "def (:\n  ===",
+    "print(1)  # TODO\nwhile x:\n    if x:\n        print(22)\nfrom m import *",
+)
+
+
+def document_snippets(documents: DataFrame) -> DataFrame:
+    """(doc_id, code): a snippet, then the lines of the document as comments (control characters as blanks)."""
+    snippet = F.element_at(F.array(*[F.lit(s) for s in SNIPPETS]), (F.col("doc_id") % len(SNIPPETS) + 1).cast("int"))
+    lines = F.transform(F.split("text", "\n"), lambda x: F.concat(
+        F.lit("# "), F.regexp_replace(x, F.lit(r"[\x00-\x1f\x7f-\x9f]"), F.lit(" "))))
+    return documents.select("doc_id", F.concat(snippet, F.lit("\n"), F.array_join(lines, "\n")).alias("code"))
+
+
 def code_line(line: Column, i: Column, doc: Column) -> Column:
     """A statement for line `i` of a document, carrying the line's ASCII letters, digits and spaces."""
     w = F.regexp_replace(line, F.lit("[^A-Za-z0-9 ]"), F.lit(""))

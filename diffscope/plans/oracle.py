@@ -113,7 +113,9 @@ files AS (
   UNION ALL SELECT md5(doc_id::VARCHAR), 'img/pic_' || doc_id || '.css', 'A', 1 FROM s WHERE doc_id % 7 = 0),
 commits AS (
   SELECT md5(doc_id::VARCHAR) AS commit_hash, string_split(text, chr(10))[1] AS message, source AS author, doc_id,
-    strftime(TIMESTAMP '2024-01-01' + to_minutes(doc_id), '%Y-%m-%dT%H:%M:%SZ') AS date FROM documents)
+    strftime(TIMESTAMP '2024-01-01' + to_minutes(doc_id), '%Y-%m-%dT%H:%M:%SZ') AS date,
+    CASE WHEN doc_id % 2 = 1 THEN strftime(TIMESTAMP '2024-01-01 02:00:00' + to_minutes(doc_id), '%Y-%m-%dT%H:%M:%S+02:00')
+      ELSE strftime(TIMESTAMP '2024-01-01' + to_minutes(doc_id), '%Y-%m-%dT%H:%M:%SZ') END AS own_date FROM documents)
 """
 
 # All files of a patch, those outside the default extensions and binary ones included.
@@ -123,7 +125,7 @@ every_file AS (
     sum(len(removed))::BIGINT AS deletions FROM hunks GROUP BY ALL)
 """
 
-_RECENT = "commit_hash AS hash, substr(commit_hash, 1, 8) AS short_hash, message, author, date"
+_RECENT = "commit_hash AS hash, substr(commit_hash, 1, 8) AS short_hash, message, author, own_date AS date"
 
 # Small graphs of event types, all shortest paths by enumerating simple paths (at most five nodes).
 _GRAPH = """
@@ -294,21 +296,77 @@ _UNIQUE = f"""(SELECT count(*) FROM (VALUES {_TYPE_VALUES}) v(node_type, m, k0,
 
 _LINES = "string_split(text, chr(10))"
 _NOT_BLANK = "regexp_matches(x, '[^\\s]')"
-_ASCII = "regexp_replace(text, '[^\\x00-\\x7F]', 'z', 'g')"
+_WORD = r"[\p{L}\p{N}_]"
+# White space as Python's patterns have it.
+_SPACES = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
 
 def _regex_columns(code: str) -> str:
+    words = f"regexp_extract_all({code}, '{_WORD}+')"  # whole words, as there is no look-around
+
     def count(pattern):
         return f"len(regexp_extract_all({code}, '{pattern}'))::BIGINT"
 
-    def flag(pattern):
-        return f"regexp_matches({code}, '{pattern}')::BIGINT"
+    def counted(test):
+        return f"len(list_filter({words}, lambda x: {test}))::BIGINT"
+
+    return f"""list_contains({words}, 'def')::BIGINT AS has_functions, list_contains({words}, 'class')::BIGINT AS has_classes,
+      regexp_matches({code}, '(?m)^[{_SPACES}]*(import|from)')::BIGINT AS has_imports,
+      {counted("x IN ('if', 'elif')")} AS conditional_statements, {counted("x IN ('for', 'while')")} AS loop_statements,
+      {counted("x IN ('try', 'except', 'finally')")} AS exception_handling,
+      {count(f"print[{_SPACES}]*" + "[(]")} AS debug_prints, {count('(?i)TODO|FIXME|XXX')} AS todo_comments,
+      {counted(f"regexp_full_match(x, '[\\p{{Nd}}]{{2,}}')")} AS magic_numbers"""
+
+
+# What the snippets of the derived code have, in their order (the sixth parses in a wrapper, the seventh never).
+_SNIPPET_STATUS = ["ok", "ok", "ok", "ok", "ok", "wrapped", "syntax", "ok"]
+_SNIPPET_LINES = [2, 4, 11, 11, 12, 3, 2, 5]
+_SNIPPET_METRICS = {
+    "ast_depth": [4, 7, 8, 5, 9, 4, 0, 6], "total_nodes": [9, 25, 38, 44, 42, 12, 0, 19],
+    "num_functions": [0, 1, 1, 2, 2, 1, 0, 0], "num_classes": [0, 0, 0, 0, 1, 0, 0, 0],
+    "num_imports": [0, 0, 0, 1, 0, 0, 0, 1], "num_loops": [1, 0, 0, 0, 2, 0, 0, 1],
+    "num_conditionals": [0, 1, 2, 0, 1, 0, 0, 1], "num_try_blocks": [0, 0, 1, 0, 0, 0, 0, 0],
+    "cyclomatic_complexity": [2, 2, 5, 1, 5, 1, 0, 3], "cognitive_complexity": [1, 1, 6, 0, 8, 0, 0, 3],
+    "function_calls": [1, 1, 2, 3, 2, 0, 0, 2], "assignments": [0, 0, 3, 3, 1, 2, 0, 0],
+    "returns": [0, 2, 1, 2, 1, 0, 0, 0], "exceptions": [0, 0, 1, 0, 0, 0, 0, 0],
+    "cfg_nodes": [1, 2, 3, 2, 4, 1, 0, 2], "cfg_edges": [0, 1, 2, 0, 2, 0, 0, 1],
+    "cfg_connected_components": [1, 1, 1, 2, 2, 1, 0, 1], "dep_nodes": [2, 2, 7, 7, 7, 3, 0, 2],
+    "dep_edges": [0, 2, 9, 12, 9, 3, 0, 0], "function_connectivity": [0, 1, 0, 1, 0, 0, 0, 0],
+    "variable_scope_complexity": [0, 1, 3, 4, 5, 2, 0, 0], "call_chain_depth": [1, 1, 2, 1, 1, 0, 0, 1],
+    "unique_variables": [0, 0, 1, 3, 1, 2, 0, 0],
+}
+_SNIPPET_FUNCTIONS = ["", "fact", "f", "one,two", "m,inner", "wrapper", "", ""]
+# Control flow: kind of node and its number in the tree, counted from 0 in reading order.
+_SNIPPET_FLOW = {1: ["FunctionDef 1>If 4"], 2: ["FunctionDef 1>If 6", "If 6>If 20"],
+                 4: ["FunctionDef 2>While 16", "While 16>For 18"], 7: ["While 6>If 9"]}
+# Names: a function points at what it stores and calls, what it reads points at the function.
+_SNIPPET_NAMES = {
+    1: ["n>fact", "fact>fact"],
+    2: ["a>f", "f>x", "f>g", "g>f", "f>h", "h>f", "b>f", "ValueError>f", "x>f"],
+    3: ["one>q", "p>one", "q>one", "two>r", "two>one", "one>two", "p>two", "two>print", "print>two", "r>two", "two>z", "two>two"],
+    4: ["inner>w", "v>inner", "w>inner", "inner>k", "inner>open", "open>inner", "inner>fh", "inner>inner", "k>inner"],
+    5: ["wrapper>x", "wrapper>y", "x>wrapper"]}
+_SNIPPET_DEFINITIONS = {
+    1: ["function:fact>", "calls:fact>fact"], 2: ["function:f>"], 3: ["function:one>", "function:two>", "calls:two>one"],
+    4: ["class:A>", "method:A.m>", "function:m>", "function:inner>", "owns:A>A.m"]}
+
+
+def _snippet_rows(table: dict) -> str:
+    rows = [(k, *(e.split(":") if ":" in e else ("", e))) for k, edges in table.items() for e in edges]
+    values = ", ".join(f"({k}, '{kind}', '{e.split('>')[0]}', '{e.split('>')[1]}')" for k, kind, e in rows)
+    return f"documents JOIN (VALUES {values}) v(k, kind, src, dst) ON doc_id % 8 = k"
+
+
+def _snippet_metrics() -> str:
+    def pick(values):
+        return f"[{', '.join(map(repr, values))}][doc_id % 8 + 1]"
+
+    metrics = ", ".join(f"{pick(v)}::BIGINT AS {name}" for name, v in _SNIPPET_METRICS.items())
+    return (f"SELECT doc_id, {pick(_SNIPPET_STATUS)} AS status, {pick(_SNIPPET_FUNCTIONS)} AS functions, {metrics}, "
+            f"({pick(_SNIPPET_LINES)} + len(string_split(text, chr(10))))::BIGINT AS lines FROM documents")
 
-    return f"""{flag(r'\bdef\b')} AS has_functions, {flag(r'\bclass\b')} AS has_classes,
-      {flag(r'(?m)^\s*(import|from)')} AS has_imports, {count(r'\b(if|elif)\b')} AS conditional_statements,
-      {count(r'\b(for|while)\b')} AS loop_statements, {count(r'\b(try|except|finally)\b')} AS exception_handling,
-      {count(r'print\s*\(')} AS debug_prints, {count('(?i)TODO|FIXME|XXX')} AS todo_comments,
-      {count(r'\b\d{2,}\b')} AS magic_numbers"""
+
+_LONG_HASH = "md5({0}::VARCHAR) || substr(md5({0}::VARCHAR), 1, 8)"
 
 
 _WORD_SET = "list_distinct(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+'))"
@@ -387,6 +445,32 @@ ORACLE: dict[str, str] = {
     "commits_touching": _PATCH + f"""SELECT {_RECENT} FROM commits WHERE commit_hash IN
       (SELECT commit_hash FROM files WHERE file_path LIKE '%.md') ORDER BY doc_id DESC LIMIT 40""",
     "commit_sequence": "SELECT md5(doc_id::VARCHAR) AS commit_hash, row_number() OVER (ORDER BY doc_id DESC) - 1 AS seq FROM documents",
+    "log_commits": _PATCH + f"""SELECT {_LONG_HASH.format('doc_id')} AS commit_hash,
+      CASE WHEN doc_id > 0 THEN {_LONG_HASH.format('(doc_id - 1)')} END AS parent_hash, doc_id % 50 = 49 AS is_merge, author,
+      md5(regexp_replace(message, '[{_SPACES}]+$', '')) AS message, own_date AS date FROM commits WHERE doc_id >= 100""",
+    "log_patches": _STATS + """SELECT commit_hash || substr(commit_hash, 1, 8) AS commit_hash, sum(insertions)::BIGINT AS total_insertions,
+      sum(deletions)::BIGINT AS total_deletions, count(DISTINCT file_path) AS files_changed FROM every_file
+      WHERE commit_hash NOT IN (SELECT md5(doc_id::VARCHAR) FROM documents WHERE doc_id % 50 = 49) GROUP BY ALL""",
+    "text_file_types": _STATS + """SELECT change_type, string_split(file_path, '.')[-1] AS extension, count(*) AS files FROM files
+      WHERE is_binary = 0 GROUP BY ALL""",
+    "staged_diffs": _STATS + """SELECT substr(commit_hash, 1, 12) AS commit_hash, sum(insertions)::BIGINT AS total_insertions,
+      sum(deletions)::BIGINT AS total_deletions, count(DISTINCT file_path) AS files_changed FROM every_file GROUP BY 1""",
+    "comment_file": """SELECT doc_id::VARCHAR AS commit_hash, 'a,' || source AS file_path, (doc_id % 100)::BIGINT AS line_number,
+      md5(text) AS comment, (doc_id % 8) / 8.0::DOUBLE AS quality_score FROM documents""",
+    "comment_sink": """SELECT source AS file_path, length(text)::BIGINT AS line_number, md5(text) AS comment,
+      CASE WHEN length(text) % 2 = 0 THEN doc_id::VARCHAR ELSE 'current' END AS commit_hash FROM documents""",
+    "result_sinks": """SELECT 'results' AS sink, quality::VARCHAR AS key, count(*)::DOUBLE AS value FROM labels GROUP BY quality
+      UNION ALL SELECT 'attention', doc_id || ':' || source, (doc_id % 16) / 16.0::DOUBLE FROM documents""",
+    "snippet_metrics": _snippet_metrics(),
+    "snippet_flow": f"SELECT doc_id, src, dst FROM {_snippet_rows(_SNIPPET_FLOW)}",
+    "snippet_dependencies": f"SELECT doc_id, src, dst FROM {_snippet_rows(_SNIPPET_NAMES)}",
+    "snippet_definitions": f"SELECT doc_id, kind, src, dst FROM {_snippet_rows(_SNIPPET_DEFINITIONS)}",
+    "model_round_trip": _SPLIT.replace("{part}", "PARTITION BY quality") + """ SELECT doc_id, unnest(['logistic', 'random_forest']) AS model,
+      true AS same, true AS consistent FROM r WHERE rn <= ceil(0.2 * n)""",
+    "shap_forest": "SELECT doc_id, true AS adds_up, true AS bounded FROM labels JOIN documents USING (doc_id)",
+    "graph_defaults": _UNDIRECTED + "," + _BASIC + "," + _LENGTHS + """SELECT b.graph_id, b.num_nodes, b.num_edges, b.is_connected,
+      round(avg_path_length, 6)::DOUBLE AS avg_path_length, diameter::BIGINT AS diameter FROM basic b JOIN lens USING (graph_id)
+      UNION ALL SELECT DISTINCT user_id::VARCHAR || '-none', 0, 0, false, 0, 0 FROM events""",
     "snapshot_diff": """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'A' ELSE 'D' END AS change_type,
       (CASE WHEN doc_id % 2 = 0 THEN 0 ELSE len(string_split(text, chr(10))) END)::BIGINT AS old_count,
       (CASE WHEN doc_id % 2 = 0 THEN len(string_split(text, chr(10))) ELSE 0 END)::BIGINT AS new_count,
@@ -396,6 +480,12 @@ ORACLE: dict[str, str] = {
       k AS (SELECT doc_id, CASE WHEN a[-1] = '' THEN a[1:len(a) - 1] ELSE a END AS a FROM l)
       SELECT 'doc_' || doc_id AS file_path, 'full_file' AS hunk_type, len(a)::BIGINT AS line_end, len(a)::BIGINT AS n_added,
       md5(array_to_string(a, chr(10))) AS added FROM k""",
+    "version_diff": """WITH v AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS old
+        FROM conversations WHERE role = 'assistant'),
+      n AS (SELECT *, CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) - (text LIKE '%' || chr(10))::INT END AS here,
+        CASE WHEN coalesce(old, '') = '' THEN 0 ELSE len(string_split(old, chr(10))) - (old LIKE '%' || chr(10))::INT END AS there FROM v)
+      SELECT conv_id, turn, CASE WHEN old IS NULL THEN 'A' WHEN old <> text THEN 'M' END AS change_type, sha256(text) AS forward,
+        sha256(coalesce(old, '')) AS backward, (here - there)::BIGINT AS grown FROM n""",
     "file_asof": """SELECT conv_id::VARCHAR AS file_path, turn AS seq, md5(coalesce((SELECT arg_min(s.text, s.turn) FROM conversations s
       WHERE s.conv_id = r.conv_id AND s.role = 'assistant' AND s.turn >= r.turn), '')) AS content
       FROM conversations r WHERE role <> 'assistant'""",
@@ -405,7 +495,7 @@ ORACLE: dict[str, str] = {
       len(list_filter({_LINES}, lambda x: NOT {_NOT_BLANK}))::BIGINT AS blank_lines,
       list_max(list_transform({_LINES}, lambda x: length(x)))::BIGINT AS max_line_length,
       round(list_sum(list_transform({_LINES}, lambda x: length(x)))::DOUBLE / len({_LINES}), 6) AS avg_line_length FROM documents""",
-    "regex_features": f"SELECT doc_id, {_regex_columns(_ASCII)} FROM documents",
+    "regex_features": f"SELECT doc_id, {_regex_columns('text')} FROM documents",
     "code_regex_features": _CODE + f"SELECT doc_id, {_regex_columns('code')} FROM kinds",
     "indent_features": f"""WITH i AS (SELECT doc_id, list_transform(list_filter(list_transform({_LINES}, lambda x, j:
         repeat(' ', ((j - 1) % 7)::INT) || x), lambda x: {_NOT_BLANK}),
@@ -423,7 +513,7 @@ ORACLE: dict[str, str] = {
       SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(code,
         '\\n\\s*\\n', chr(10), 'g'), '#.*', '', 'g'), '(?s)\"\"\".*?\"\"\"', '', 'g'), '(?s)''''''.*?''''''', '', 'g'),
         '^\\s+|\\s+$', '', 'g')) AS cleaned FROM t""",
-    "token_count": f"SELECT doc_id, len(regexp_extract_all({_ASCII}, '\\w+|[^\\s\\w]'))::BIGINT AS tokens FROM documents",
+    "token_count": f"SELECT doc_id, len(regexp_extract_all(text, '{_WORD}+|[^\\p{{L}}\\p{{N}}_{_SPACES}]'))::BIGINT AS tokens FROM documents",
     "code_preview": "SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS snippet FROM documents",
     "context_similarity": _PAIRS + f"SELECT conv_id, turn, {_jaccard('generated', 'reference')} AS similarity FROM pairs",
     # syntax
@@ -517,7 +607,8 @@ ORACLE: dict[str, str] = {
     " SELECT doc_id, CASE WHEN rn <= ceil(0.1 * n) THEN 'test' WHEN rn <= ceil(0.2 * n) THEN 'validation' ELSE 'train' END AS split FROM r",
     "hash_sample": "SELECT doc_id FROM documents ORDER BY md5(doc_id || '-42') LIMIT 100",
     "oversample": """WITH g AS (SELECT count(*) AS n FROM labels JOIN documents USING (doc_id) WHERE quality = 1)
-      SELECT 1::BIGINT AS label, n, 1::DOUBLE AS constant_feature FROM g UNION ALL SELECT 0, greatest(10, n // 4), 1 FROM g""",
+      SELECT 1::BIGINT AS label, n, n AS n_keys, (SELECT sum(doc_id)::BIGINT FROM labels JOIN documents USING (doc_id) WHERE quality = 1)
+        AS sum_of_kept_keys, 1::DOUBLE AS constant_feature FROM g UNION ALL SELECT 0, greatest(10, n // 4), greatest(10, n // 4), 0, 1 FROM g""",
     "cls_metrics": _SCORED + "," + _weighted("p") + "," + _auc("p") +
     f" SELECT {_METRIC_COLUMNS}, round(min(roc_auc), 6) AS roc_auc FROM cls, auc",
     "model_comparison": _SCORED + """, mm AS (
@@ -525,12 +616,6 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT 'opposite', label, 1 - probability, (1 - probability > 0.5::DOUBLE)::INT FROM p
         UNION ALL SELECT 'constant', label, probability, prediction FROM p),""" + _weighted("mm", "model") + "," + _auc("mm", "model") +
     f" SELECT model, {_METRIC_COLUMNS}, round(min(roc_auc), 6) AS roc_auc FROM cls JOIN auc USING (model) GROUP BY model",
-    "evaluate_tasks": _SCORED + """, mm AS (
-        SELECT 'quality' AS task, label, probability, prediction FROM p
-        UNION ALL SELECT 'classification', label, 1 - probability, 1 - prediction FROM p),""" + _weighted("mm", "task") + "," +
-    _auc("mm", "task") + f""", wide AS (SELECT task, {_METRIC_COLUMNS}, round(min(roc_auc), 6) AS roc_auc
-      FROM cls JOIN auc USING (task) GROUP BY task)
-      UNPIVOT wide ON accuracy, "precision", recall, f1, roc_auc INTO NAME metric VALUE value""",
     "cls_report": _SCORED + "," + _weighted("p") + """
       SELECT label::VARCHAR AS name, round(pr, 6) AS "precision", round(re, 6) AS recall, round(fm, 6) AS f1, support::BIGINT AS support FROM cls
       UNION ALL SELECT 'accuracy', round(sum(hits)::DOUBLE / sum(support), 6), round(sum(hits)::DOUBLE / sum(support), 6),
@@ -608,3 +693,15 @@ ORACLE: dict[str, str] = {
       SELECT 'synthetic_' || doc_id AS commit_hash, 'Synthetic ' || quality || ' quality commit' AS message,
       len(string_split(code, chr(10)))::BIGINT AS line_end, md5(code) AS added FROM t""",
 }
+
+_EXACT_BLEU = ORACLE["bleu"].replace("round(coalesce((SELECT", "(coalesce((SELECT").replace(", 0), 6)::DOUBLE AS bleu", ", 0))::DOUBLE AS bleu")
+_EXACT_ROUGE = ORACLE["rouge12"].replace("THEN round(2 *", "THEN (2 *").replace("(hit / gen + hit / ref), 6)", "(hit / gen + hit / ref))")
+ORACLE["evaluate_tasks"] = _SCORED + """, mm AS (
+        SELECT 'quality' AS task, label, probability, prediction FROM p
+        UNION ALL SELECT 'classification', label, 1 - probability, 1 - prediction FROM p),""" + _weighted("mm", "task") + "," + _auc(
+    "mm", "task") + f""", wide AS (SELECT task, {_METRIC_COLUMNS}, round(min(roc_auc), 6) AS roc_auc
+      FROM cls JOIN auc USING (task) GROUP BY task)
+      SELECT task, metric, value FROM (UNPIVOT wide ON accuracy, "precision", recall, f1, roc_auc INTO NAME metric VALUE value)
+      UNION ALL SELECT 'comment', 'bleu', round(avg(bleu), 6) FROM ({_EXACT_BLEU})
+      UNION ALL SELECT 'comment', 'rouge1', round(avg(rouge1), 6) FROM ({_EXACT_ROUGE})
+      UNION ALL SELECT 'comment', 'rouge2', round(avg(rouge2), 6) FROM ({_EXACT_ROUGE})"""

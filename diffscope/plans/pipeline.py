@@ -12,6 +12,7 @@ from diffscope.operators.explain import explain_samples, feature_importance
 from diffscope.operators.features import assemble, fit_vocabulary, labelled_features, with_feature_map
 from diffscope.operators.review import comment_rows, comprehensive_review, review_comments, with_review_inputs
 from diffscope.operators.sampling import stratified_split
+from diffscope.sources.patches import METADATA
 from diffscope.sources.tables import padded_hunks
 
 
@@ -20,8 +21,9 @@ def train(hunks: DataFrame, path: str, force: bool = False, explained: int | Non
     """Features, labels, split, baselines, evaluation and explanations; models and vocabulary are stored at `path`.
 
     Returns status, metrics, importance, explanations (DataFrames), models and vocabulary. Stored models are reused
-    unless `force` is set. `pad_to` adds generated commits up to that number; `explained` keeps that many explained samples. Samples are written next to the models once, so the syntax parse is not repeated for the
-    vocabulary, the split, each fit and the evaluation.
+    unless `force` is set. `pad_to` adds generated commits up to that number; `explained` keeps that many explained
+    samples. Message, author and date of the commit stay with a sample where the hunks have them. Samples are written next
+    to the models once, so the syntax parse is not repeated for the vocabulary, the split, each fit and the evaluation.
     """
     spark = hunks.sparkSession
     if not force and M.models_exist(path, spark):
@@ -30,8 +32,8 @@ def train(hunks: DataFrame, path: str, force: bool = False, explained: int | Non
     if pad_to is not None:
         hunks = padded_hunks(hunks, hunks.select("commit_hash").distinct().count(), pad_to, pad_to)
     samples = labelled_features(hunks.withColumn("snippet_id", hunk_key(hunks))).select(
-        "snippet_id", "commit_hash", "file_path", "code", "features", "quality_score", "is_high_quality", "issues",
-        F.col("is_high_quality").cast("int").alias("label"))
+        "snippet_id", "commit_hash", *[c for c in METADATA if c in hunks.columns], "file_path", "code", "features",
+        "quality_score", "is_high_quality", "issues", F.col("is_high_quality").cast("int").alias("label"))
     stratified_split(samples, ["snippet_id"]).write.mode("overwrite").parquet(f"{path}/samples")
     samples = spark.read.parquet(f"{path}/samples")
     if samples.isEmpty():

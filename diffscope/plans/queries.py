@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import posixpath
+import uuid
 from collections.abc import Callable
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -24,11 +26,13 @@ from diffscope.operators import review as RV
 from diffscope.operators import sampling as S
 from diffscope.operators import syntax_metrics as SM
 from diffscope.operators import text_metrics as TM
+from diffscope.operators import versions as VS
 from diffscope.plans import derive as V
 from diffscope.plans import pipeline as PL
-from diffscope.session import checkpointed, configure
+from diffscope.session import checkpointed, configure, shared_folder, written
 from diffscope.sources import patches as SP
 from diffscope.sources import tables as ST
+from diffscope.sources.log_dump import read_dump
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -46,6 +50,11 @@ def _docs(spark, folder) -> DataFrame:
     return V.table(spark, folder, "documents")
 
 
+def _folder(spark) -> str:
+    """A new path in the shared folder."""
+    return posixpath.join(shared_folder(spark), "diffscope", uuid.uuid4().hex)
+
+
 def _longs(columns: dict[str, Column]) -> list[Column]:
     return [c.cast("long").alias(n) for n, c in columns.items()]
 
@@ -75,22 +84,19 @@ def hunk_parse(spark, folder):
 @query
 def hunk_parse_two_step(spark, folder):
     files = D.parse_files(V.document_patches(_docs(spark, folder)))
-    hunks = D.with_commit_context(D.parse_hunks(files))
-    return hunks.select(
-        "commit_hash", "file_path", *_longs({
-            "hunk_idx": F.col("hunk_idx"), "n_added": F.size("added_lines"), "n_removed": F.size("removed_lines"),
-            "n_context": F.size("context_lines"), "files_changed": F.col("files_changed"),
-            "total_hunks": F.col("total_hunks"), "commit_size": F.col("commit_size")}))
+    hunks = D.with_commit_context(D.line_counts(D.parse_hunks(files)))
+    return hunks.select("commit_hash", "file_path", *_longs({c: F.col(c) for c in (
+        "hunk_idx", "n_added", "n_removed", "n_context", "files_changed", "total_hunks", "commit_size")}))
 
 
 @query
 def hunk_commit_join(spark, folder):
     """Hunks with the message, author and date of their commit."""
     docs = _docs(spark, folder)
-    hunks = D.patch_hunks(V.document_patches(docs)).select("commit_hash", "file_path", "hunk_idx", "added_lines")
+    hunks = D.line_counts(D.patch_hunks(V.document_patches(docs))).select("commit_hash", "file_path", "hunk_idx", "n_added")
     commits = V.document_commits(docs)
     return hunks.join(commits, "commit_hash").select(
-        "commit_hash", "file_path", *_longs({"hunk_idx": F.col("hunk_idx"), "n_added": F.size("added_lines")}),
+        "commit_hash", "file_path", *_longs({c: F.col(c) for c in ("hunk_idx", "n_added")}),
         F.md5("message").alias("message"), "author",
         F.date_format("committed_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date"))
 
@@ -149,6 +155,80 @@ def snapshot_diff(spark, folder):
                         F.md5(_lined("added_lines")).alias("added"), F.md5(_lined("removed_lines")).alias("removed"))
 
 
+@query
+def log_commits(spark, folder):
+    """Commits of a log dump, newer ones only, without reading their patches into the JVM."""
+    path = _folder(spark)
+    V.document_log(_docs(spark, folder)).write.text(path)
+    found = read_dump(spark, path, patch=False, split_bytes=1 << 20)
+    return found.where(F.col("committed_at") >= F.timestamp_seconds(F.lit(1704067200 + 6000))).select(
+        "commit_hash", "parent_hash", "is_merge", "author", F.md5("message").alias("message"), F.col("committed_date").alias("date"))
+
+
+@query
+def log_patches(spark, folder):
+    """Statistics of every commit's patch, read from a log dump."""
+    path = _folder(spark)
+    V.document_log(_docs(spark, folder)).write.text(path)
+    found = read_dump(spark, path)
+    return D.patch_commit_stats(found.where(SP.has_patch()).select("commit_hash", "patch")).select("commit_hash", *_longs({
+        c: F.col(c) for c in ("total_insertions", "total_deletions", "files_changed")}))
+
+
+@query
+def text_file_types(spark, folder):
+    """Changed files without the binary ones."""
+    files = D.parse_files(V.document_patches(_docs(spark, folder)), extensions=None, drop_binary=True)
+    return files.groupBy("change_type", F.substring_index("file_path", ".", -1).alias("extension")).agg(F.count(F.lit(1)).alias("files"))
+
+
+@query
+def staged_diffs(spark, folder):
+    """Diff texts from a column of a table, as patches."""
+    staged = V.document_patches(_docs(spark, folder)).select(F.substring("commit_hash", 1, 12).alias("change"), F.col("patch").alias("staged"))
+    return D.patch_commit_stats(SP.patch_column(staged, "staged", "change")).select("commit_hash", *_longs({
+        c: F.col(c) for c in ("total_insertions", "total_deletions", "files_changed")}))
+
+
+@query
+def comment_file(spark, folder):
+    """Review comments written as CSV, texts with quotes and line ends included, and read with the declared schema."""
+    path = _folder(spark)
+    _docs(spark, folder).select(
+        F.col("doc_id").cast("string").alias("commit_hash"), F.concat(F.lit("a,"), F.col("source")).alias("file_path"),
+        (F.col("doc_id") % 100).cast("int").alias("line_number"), F.col("text").alias("comment"),
+        (F.col("doc_id") % 8 / 8).alias("quality_score")).write.csv(
+        path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    found = ST.read_review_comments(spark, path)
+    return found.select("commit_hash", "file_path", F.col("line_number").cast("long").alias("line_number"),
+                        F.md5("comment").alias("comment"), "quality_score")
+
+
+@query
+def comment_sink(spark, folder):
+    """Comments appended in two batches, one of them without commits."""
+    path = _folder(spark)
+    rows = _docs(spark, folder).select(F.col("source").alias("file_path"), F.length("text").alias("line_number"),
+                                       F.col("text").alias("comment"), F.col("doc_id").cast("string").alias("commit_hash"))
+    ST.append_comments(rows.where("line_number % 2 = 0"), path)
+    ST.append_comments(rows.where("line_number % 2 = 1").drop("commit_hash"), path)
+    return spark.read.parquet(path).select("file_path", F.col("line_number").cast("long").alias("line_number"),
+                                           F.md5("comment").alias("comment"), "commit_hash")
+
+
+@query
+def result_sinks(spark, folder):
+    """Metrics as JSON and an attention table as CSV, written and read back."""
+    one, two = _folder(spark), _folder(spark)
+    ST.write_results(E.class_distribution(V.table(spark, folder, "labels"), "quality"), one)
+    ST.write_attention(_docs(spark, folder).select("doc_id", "source", (F.col("doc_id") % 16 / 16).alias("attention_weight")), two)
+    results = spark.read.schema("label int, n long, total long, has_both boolean").json(one).select(
+        F.lit("results").alias("sink"), F.col("label").cast("string").alias("key"), F.col("n").cast("double").alias("value"))
+    attention = spark.read.csv(two, header=True, schema="doc_id long, source string, attention_weight double").select(
+        F.lit("attention").alias("sink"), F.concat_ws(":", "doc_id", "source").alias("key"), F.col("attention_weight").alias("value"))
+    return results.unionByName(attention)
+
+
 @query
 def full_file_hunks(spark, folder):
     docs = _docs(spark, folder).select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("path"),
@@ -157,6 +237,23 @@ def full_file_hunks(spark, folder):
         "line_end": F.col("line_end"), "n_added": F.size("added_lines")}), F.md5(_lined("added_lines")).alias("added"))
 
 
+@query
+def version_diff(spark, folder):
+    """Each reply of the assistant against its reply before, as a patch: what the patch makes of either of the two."""
+    turns = V.table(spark, folder, "conversations").where("role = 'assistant'")
+    versions = SP.previous_versions(turns.select(
+        "conv_id", "turn", F.col("conv_id").cast("string").alias("file_path"), F.col("turn").alias("seq"), F.col("text").alias("content")))
+    path = F.concat(F.lit("chat/"), F.col("file_path"), F.lit(".md"))
+    patched = versions.withColumn("patch", VS.version_patch(path, F.col("old_content"), F.col("content"))).withColumn(
+        "change_type", VS.change_type(F.col("old_content"), F.col("content")))
+    stats = D.patch_commit_stats(patched.select(F.struct("conv_id", "turn").alias("commit_hash"), "patch"))
+    texts = patched.select("conv_id", "turn", "change_type",
+                           F.sha2(VS.patched(F.col("old_content"), F.col("patch")), 256).alias("forward"),
+                           F.sha2(VS.patched(F.col("content"), F.col("patch"), reverse=True), 256).alias("backward"))
+    grown = (F.col("total_insertions") - F.col("total_deletions")).cast("long")
+    return texts.join(stats.select("commit_hash.*", grown.alias("grown")), ["conv_id", "turn"])
+
+
 @query
 def file_asof(spark, folder):
     turns = V.table(spark, folder, "conversations")
@@ -177,18 +274,8 @@ def line_metrics(spark, folder):
     return doc.select("doc_id", *_longs(metrics), *_doubles({"avg_line_length": average}))
 
 
-def _ascii(text: str) -> Column:
-    return F.regexp_replace(text, F.lit("[^\\x00-\\x7F]"), F.lit("z"))
-
-
 @query
 def regex_features(spark, folder):
-    return _docs(spark, folder).select("doc_id", *_longs(X.regex_features(_ascii("text"))))
-
-
-@query
-def regex_features_unicode(spark, folder):
-    """`regex_features` of the texts as they are; the SQL of that query has `z` for every other than ASCII character."""
     return _docs(spark, folder).select("doc_id", *_longs(X.regex_features(F.col("text"))))
 
 
@@ -224,12 +311,6 @@ def clean_code(spark, folder):
 
 @query
 def token_count(spark, folder):
-    return _docs(spark, folder).select("doc_id", X.token_count(_ascii("text")).cast("long").alias("tokens"))
-
-
-@query
-def token_count_unicode(spark, folder):
-    """`token_count` of the texts as they are."""
     return _docs(spark, folder).select("doc_id", X.token_count(F.col("text")).cast("long").alias("tokens"))
 
 
@@ -298,6 +379,44 @@ def cfg_edge_rows(spark, folder):
     return CG.cfg_edges(_code_nodes(spark, folder), ["doc_id"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("edges"))
 
 
+def _snippet_nodes(spark, folder, mode="extractor") -> DataFrame:
+    return SM.with_nodes(V.document_snippets(_docs(spark, folder)), "code", mode, status="status")
+
+
+@query
+def snippet_metrics(spark, folder):
+    """Syntax and graph metrics of code with tries, raises, classes, wrapped and broken snippets, and its text's lines."""
+    f = CG.code_graph_features(F.col("nodes"))
+    return _snippet_nodes(spark, folder).select(
+        "doc_id", "status", F.array_join(SM.function_names(F.col("nodes")), ",").alias("functions"), *_longs(SM.tree_metrics(F.col("nodes"))), *_longs({n: c for n, c in f.items() if not n.endswith("density")}),
+        F.size(F.split("code", "\n")).cast("long").alias("lines"))
+
+
+@query
+def snippet_flow(spark, folder):
+    """Control-flow edges, with the kind of node at both ends."""
+    nodes = _snippet_nodes(spark, folder).select("doc_id", "nodes")
+    edges = CG.cfg_edges(nodes, ["doc_id", "nodes"])
+
+    def end(name):
+        return F.concat(F.element_at("nodes", F.col(name).cast("int") + 1)["node_type"], F.lit(" "), F.col(name))
+
+    return edges.select("doc_id", end("src").alias("src"), end("dst").alias("dst"))
+
+
+@query
+def snippet_dependencies(spark, folder):
+    return CG.dep_edges(_snippet_nodes(spark, folder), ["doc_id"]).select("doc_id", "src", "dst")
+
+
+@query
+def snippet_definitions(spark, folder):
+    """Nodes and edges of the definition graph."""
+    nodes, edges = CG.definition_graph(_snippet_nodes(spark, folder, "raw"), ["doc_id"])
+    return nodes.select("doc_id", "kind", F.col("node").alias("src"), F.lit("").alias("dst")).unionByName(
+        edges.select("doc_id", "kind", "src", "dst"))
+
+
 @query
 def definition_graph(spark, folder):
     nodes, edges = CG.definition_graph(_code_nodes(spark, folder, "raw"), ["doc_id"])
@@ -402,8 +521,8 @@ def labelled_features(spark, folder):
 # ------------------------------------------------------------------ graphs
 
 def _event_graph(spark, folder) -> tuple[DataFrame, DataFrame]:
-    # the edges are read once per level and round: at most 25 per graph, written once instead of derived each time
-    edges = checkpointed(G.distinct_edges(V.event_edges(V.table(spark, folder, "events"))))
+    # at most 25 edges per graph, read several times: written once instead of derived each time
+    edges = written(G.distinct_edges(V.event_edges(V.table(spark, folder, "events"))))
     return G.edge_nodes(edges), edges
 
 
@@ -434,13 +553,13 @@ def graph_degree(spark, folder):
 @query
 def graph_closeness(spark, folder):
     nodes, edges = _event_graph(spark, folder)
-    return _summary(G.closeness(nodes, G.shortest_paths(nodes, edges)), "closeness")
+    return _summary(G.closeness(nodes, G.distance_sums(nodes, edges)), "closeness")
 
 
 @query
 def graph_betweenness(spark, folder):
     nodes, edges = _event_graph(spark, folder)
-    return _summary(G.betweenness(nodes, edges), "betweenness")
+    return _summary(G.betweenness(nodes, G.distance_sums(nodes, edges)), "betweenness")
 
 
 @query
@@ -452,11 +571,24 @@ def graph_clustering(spark, folder):
 @query
 def graph_paths(spark, folder):
     nodes, edges = _event_graph(spark, folder)
-    paths = G.path_metrics(G.basic_metrics(nodes, edges), G.shortest_paths(nodes, edges, directed=False))
+    paths = G.path_metrics(G.basic_metrics(nodes, edges), G.distance_sums(nodes, edges))
     return paths.select("graph_id", F.round("avg_path_length", 6).alias("avg_path_length"),
                         F.col("diameter").cast("long").alias("diameter"))
 
 
+@query
+def graph_defaults(spark, folder):
+    """Metrics of listed graphs: those without events have zeros. One graph a user, and one more for every user."""
+    events = V.table(spark, folder, "events")
+    edges = written(V.event_edges(events))
+    wanted = events.select(F.explode(F.array(F.concat(F.col("user_id").cast("string"), F.lit("-none")), F.concat_ws(
+        "-", F.col("user_id").cast("string"), F.date_trunc("week", "ts").cast("date").cast("string")))).alias("graph_id")).distinct()
+    found = G.graph_metrics(G.edge_nodes(edges), edges, graphs=wanted)
+    return found.select("graph_id", *[F.col(f"basic_metrics.{c}") for c in ("num_nodes", "num_edges", "is_connected")],
+                        F.round("structural_metrics.avg_path_length", 6).alias("avg_path_length"),
+                        F.col("structural_metrics.diameter").cast("long").alias("diameter"))
+
+
 @query
 def graph_features(spark, folder):
     """Everything per graph."""
@@ -512,13 +644,14 @@ def hash_sample(spark, folder):
 
 @query
 def oversample(spark, folder):
-    """One-class rows doubled up with jittered rows of the other class: counts per class."""
+    """One-class rows and jittered rows of the other class: rows, distinct keys, and the kept rows' keys."""
     good = V.table(spark, folder, "labels").where("quality = 1").join(_docs(spark, folder), "doc_id").select(
-        F.col("doc_id").cast("string").alias("doc_id"), F.col("quality").alias("label"),
-        F.array(F.col("n_chars").cast("double"), F.lit(1.0)).alias("features"))
+        "doc_id", F.col("quality").alias("label"), F.array(F.col("n_chars").cast("double"), F.lit(1.0)).alias("features"))
     grown = S.oversample_single_class(good, ["doc_id"])
     return grown.groupBy(F.col("label").cast("long").alias("label")).agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.element_at("features", 2)).alias("constant_feature"))
+        F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("n_keys"),
+        F.sum(F.when(F.col("label") == 1, F.col("doc_id")).otherwise(0)).alias("sum_of_kept_keys"),
+        F.min(F.element_at("features", 2)).alias("constant_feature"))
 
 
 @query
@@ -543,11 +676,14 @@ def model_comparison(spark, folder):
 
 @query
 def evaluate_tasks(spark, folder):
-    """A table with two classification tasks."""
+    """A table with two classification tasks and a generation task."""
     scored = _scored(spark, folder).select("label", "prediction", "probability")
     other = scored.select("label", (1 - F.col("prediction")).alias("prediction"), (1 - F.col("probability")).alias("probability"))
-    both = scored.withColumn("task", F.lit("quality")).unionByName(other.withColumn("task", F.lit("classification")))
-    return E.evaluate_tasks(both).select("task", "metric", F.round("value", 6).alias("value"))
+    texts = V.turn_pairs(V.table(spark, folder, "conversations")).withColumn("task", F.lit("comment"))
+    rows = scored.withColumn("task", F.lit("quality")).unionByName(other.withColumn("task", F.lit("classification"))).unionByName(
+        texts, allowMissingColumns=True)
+    found = E.evaluate_tasks(rows, key=["conv_id", "turn"], stem=False, scores=("bleu", "rouge1", "rouge2"))
+    return found.select("task", "metric", F.round("value", 6).alias("value"))
 
 
 @query
@@ -575,14 +711,14 @@ def roc_auc(spark, folder):
 @query
 def bleu(spark, folder):
     pairs = V.turn_pairs(V.table(spark, folder, "conversations"))
-    scores = TM.pair_scores(pairs, ["conv_id", "turn"], stem=False)
+    scores = TM.pair_scores(pairs, ["conv_id", "turn"], stem=False, scores=("bleu",))
     return scores.select("conv_id", "turn", F.round("bleu", 6).alias("bleu"))
 
 
 @query
 def rouge12(spark, folder):
     pairs = V.turn_pairs(V.table(spark, folder, "conversations"))
-    scores = TM.pair_scores(pairs, ["conv_id", "turn"], stem=False)
+    scores = TM.pair_scores(pairs, ["conv_id", "turn"], stem=False, scores=("rouge1", "rouge2"))
     return scores.select("conv_id", "turn", F.round("rouge1", 6).alias("rouge1"), F.round("rouge2", 6).alias("rouge2"))
 
 
@@ -670,6 +806,21 @@ def lr_predict(spark, folder):
     return M.predict_all(models, test, ["doc_id"])
 
 
+@query
+def model_round_trip(spark, folder):
+    """Models saved, loaded and asked again: every test row gets the same answer, and the vocabulary is that of the fit."""
+    train, test, names = _split_matrix(spark, folder)
+    models = M.train_baselines(train, ["doc_id"], models=("logistic", "random_forest"), trees=10, depth=5)
+    path = _folder(spark)
+    M.save_models(models, names, path, spark)
+    loaded, vocabulary = M.load_models(path, spark)
+    again = M.predict_all(loaded, test, ["doc_id"]).withColumnsRenamed({"prediction": "p2", "probability": "q2"}).drop("label")
+    both = M.predict_all(models, test, ["doc_id"]).join(again, ["doc_id", "model"])
+    known = vocabulary == names and M.models_exist(path, spark) and not M.models_exist(f"{path}/none", spark)
+    return both.select("doc_id", "model", ((F.col("prediction") == F.col("p2")) & (F.col("probability") == F.col("q2")) & F.lit(
+        known)).alias("same"), (F.col("prediction") == (F.col("probability") > 0.5).cast("int")).alias("consistent"))
+
+
 @query
 def rf_importance(spark, folder):
     train, _, names = _split_matrix(spark, folder)
@@ -686,9 +837,12 @@ def svm_predict(spark, folder):
 
 @query
 def mlp_quality(spark, folder):
-    table = V.table(spark, folder, "embeddings").select(
+    """Half of the classes against the other half: fitted on four fifths of the vectors, predictions for the last fifth."""
+    whole = V.table(spark, folder, "embeddings").select(
         "vec_id", "embedding", (F.col("label") >= 5).cast("int").alias("label"))
-    model = M.embedding_quality_head(table, width=EMBEDDING_WIDTH)
+    split = written(S.stratified_split(whole, ["vec_id"]))
+    model = M.embedding_quality_head(split.where("split = 'train'").coalesce(8), width=EMBEDDING_WIDTH)
+    table = split.where("split = 'test'")
     vectors = table.select("vec_id", "label", array_to_vector(F.col("embedding").cast("array<double>")).alias("vector"))
     return M.predict_all({"embedding_head": model}, vectors, ["vec_id"])
 
@@ -700,6 +854,20 @@ def shap_linear(spark, folder):
     return XP.mean_absolute(XP.linear_attributions(models["logistic"], test, ["doc_id"]))
 
 
+@query
+def shap_forest(spark, folder):
+    """Attributions of the forest's probability for every row: do they add up, and is every feature's share a number?"""
+    train, test, _ = _split_matrix(spark, folder)
+    model = M.train_baselines(train, ["doc_id"], models=("random_forest",))["random_forest"]
+    rows = train.unionByName(test)
+    found = XP.forest_attributions(model, rows, ["doc_id"])
+    scored = M.predict_all({"forest": model}, rows, ["doc_id"], None).select("doc_id", "probability")
+    total = F.col("base") + F.aggregate("attributions", F.lit(0.0), lambda acc, x: acc + x)
+    return found.join(scored, "doc_id").select(
+        "doc_id", (F.abs(total - F.col("probability")) < 1e-9).alias("adds_up"),
+        F.forall("attributions", lambda x: F.abs(x) <= 1).alias("bounded"))
+
+
 @query
 def permutation_importance(spark, folder):
     train, test, names = _split_matrix(spark, folder)

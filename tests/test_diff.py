@@ -78,7 +78,10 @@ def test_log_source(spark, tmp_path):
     assert [r.commit_hash for r in found.collect()] == [c]
     assert D.patch_hunks(found).count() == 2
     recent = SP.recent_commits(commits, D.parse_files(found), "x.py").collect()
-    assert [(r.short_hash, r.date) for r in recent] == [("c" * 8, "2024-05-03T08:00:00Z")]
+    assert [(r.short_hash, r.date) for r in recent] == [("c" * 8, "2024-05-03T10:00:00+02:00")]
+    assert SP.recent_commits(commits.drop("committed_date")).first().date == "2024-05-03T08:00:00Z"
+    _, kept = SP.read_patches(spark, str(tmp_path / "log.txt"), metadata=True)
+    assert {(r.message, r.author) for r in D.patch_hunks(kept).collect()} == {("third\n\ncommit in text", "Ann")}
     assert {r.commit_hash: r.seq for r in SP.with_sequence(commits).collect()} == {c: 0, b: 1, a: 2}
 
 

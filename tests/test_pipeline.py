@@ -1,6 +1,7 @@
 """Training, review and streaming, end to end."""
 
 import os
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from diffscope.operators.review import comprehensive_review, review_comments, wi
 from diffscope.plans import derive as V
 from diffscope.plans import pipeline as PL
 from diffscope.sources.tables import write_results
-from diffscope.streaming.review_stream import review_stream
+from diffscope.streaming.review_stream import review_stream, unseen
 
 SF = "/root/testdata/sf0.001"
 
@@ -110,8 +111,14 @@ def test_stream(spark, tmp_path):
     put("4.patch", "a" * 40, "x = 2")  # another patch of that commit
     put("3.patch", "b" * 40, "x = 3")
     review_stream(spark, source, out, ckpt).awaitTermination(120)
+    put("5.patch", "a" * 40, "x = 2")  # reviewed before, in the second run
+    shutil.rmtree(f"{ckpt}/commits")  # the last batch was not confirmed: it runs again
+    review_stream(spark, source, out, ckpt).awaitTermination(120)
     rows = spark.read.parquet(f"{out}/comments").collect()
     of_a = [r.comment for r in rows if r.commit_hash == "a" * 40]
     assert "Added 1 new lines" in of_a and "Debug statements detected - remove before production" in of_a
     assert len([r for r in rows if r.commit_hash == "b" * 40 and r.comment_idx == 0]) == 1
     assert len([r for r in rows if r.commit_hash == "a" * 40 and r.comment_idx == 0]) == 2
+    assert not os.path.exists(f"{out}/commits") and len(os.listdir(f"{ckpt}/state")) > 0
+    plan = unseen(spark.readStream.text(source, wholetext=True).selectExpr("'c' AS commit_hash", "value AS patch"))
+    assert plan.isStreaming and plan.columns == ["commit_hash", "patch"]

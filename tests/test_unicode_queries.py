@@ -16,7 +16,7 @@ def table(spark, folder):
 
 
 def test_token_count_of_the_text_itself(spark, tmp_path):
-    rows = REGISTRY["token_count_unicode"](spark, table(spark, tmp_path)).collect()
+    rows = REGISTRY["token_count"](spark, table(spark, tmp_path)).collect()
     assert {r.doc_id: r.tokens for r in rows} == {i: len(re.findall(r"\w+|[^\w\s]", t)) for i, t in enumerate(TEXTS)}
 
 
@@ -25,7 +25,7 @@ def test_regex_features_of_the_text_itself(spark, tmp_path):
               "exception_handling": r"\b(?:try|except|finally)\b", "debug_prints": r"print\s*\(",
               "todo_comments": "(?i)TODO|FIXME|XXX", "magic_numbers": r"\b\d{2,}\b"}
     flags = {"has_functions": r"\bdef\b", "has_classes": r"\bclass\b", "has_imports": r"(?m)^\s*(?:import|from)"}
-    rows = REGISTRY["regex_features_unicode"](spark, table(spark, tmp_path)).collect()
+    rows = REGISTRY["regex_features"](spark, table(spark, tmp_path)).collect()
     assert len(rows) == len(TEXTS)
     for r in rows:
         text = TEXTS[r.doc_id]
