@@ -32,7 +32,8 @@ from diffscope.llm.words import Hasher, chunks
 MAGIC = b"WAVELET1"
 BLOCK = 512  # bits per counted block
 END_ID = 2
-MARK = "<|startoftext|>"  # fixed value: a special token that parts words in a joined call
+# What may part words in a joined call, a control character that is one id, else a special token.
+MARKS = ("\x01", "\x02", "\x1e", "\x7f", "<|startoftext|>")
 
 
 class WaveletMatrix:
@@ -45,15 +46,19 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray, bits: int) -> "WaveletMatrix":
         planes, ones, zeros, x = [], [], [], ids
         for level in range(bits - 1, -1, -1):
-            bit = ((x >> x.dtype.type(level)) & x.dtype.type(1)).astype(bool)
+            bit = (x & x.dtype.type(1 << level)) != 0
             packed = np.packbits(bit)
-            per_block = np.add.reduceat(np.bitwise_count(packed).astype(np.int64), np.arange(0, len(packed), BLOCK // 8)
-                                        ) if len(packed) else np.zeros(0, dtype=np.int64)
+            blocks = np.zeros(-(-len(packed) * 8 // BLOCK) * (BLOCK // 8), dtype=np.uint8)
+            blocks[:len(packed)] = packed
+            per_block = np.bitwise_count(blocks.view(np.uint64)).reshape(-1, BLOCK // 64).sum(axis=1, dtype=np.int64)
             planes.append(packed)
             ones.append(np.concatenate(([0], np.cumsum(per_block))).astype(np.uint32))
-            low = x[~bit]
-            zeros.append(len(low))
-            x = np.concatenate((low, x[bit]))
+            zeros.append(len(x) - int(ones[-1][-1]))
+            y = np.empty_like(x)
+            y[zeros[-1]:] = x[bit]
+            np.logical_not(bit, out=bit)
+            y[:zeros[-1]] = x[bit]
+            x = y
         return cls(len(ids), planes, ones, zeros)
 
     def _ones_before(self, level: int, i: int) -> int:
@@ -128,10 +133,12 @@ class WaveletMatrix:
         kind = np.uint16 if len(self.planes) <= 16 else np.uint32
         x = np.zeros(self.n, dtype=kind)
         for i, level in enumerate(range(len(self.planes) - 1, -1, -1)):
-            bit = np.unpackbits(self.planes[level], count=self.n).astype(bool)
+            bit = np.unpackbits(self.planes[level], count=self.n).view(bool)
+            x[self.zeros[level]:] |= kind(1 << i)
             y = np.empty(self.n, dtype=kind)
-            y[~bit] = x[:self.zeros[level]]
-            y[bit] = x[self.zeros[level]:] | kind(1 << i)
+            y[bit] = x[self.zeros[level]:]
+            np.logical_not(bit, out=bit)
+            y[bit] = x[:self.zeros[level]]
             x = y
         return x
 
@@ -179,7 +186,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.mark = self.tokenizer.token_to_id(MARK)
+        self.text, self.mark = next((m, ids[0]) for m in MARKS if len(ids := self._ids(m)) == 1
+                                    and self._ids(f"a {m} b") == [*self._ids("a"), *ids, *self._ids("b")])
         self.hasher, self.most = Hasher(), most_words
         self._forget()
 
@@ -195,7 +203,7 @@ class Encoder:
     def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
         parts = [texts[low:low + 200] for low in range(0, len(texts), 200)]
         flat, counts = [self.flat], []
-        joined = [f" {MARK} ".join(part) for part in parts]
+        joined = [f" {self.text} ".join(part) for part in parts]
         for part, found in zip(parts, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
             ids = np.array(found.ids, dtype=np.uint16)
             ends = np.flatnonzero(ids == self.mark)
@@ -259,6 +267,7 @@ def write_ids(documents: DataFrame, tokenizer: str, folder: str, id_col: str = "
         def close():
             name, temporary = f"ids-{shard:06d}-{roll:04d}.wm", f"_temporary/{uuid.uuid4().hex}"
             ids = np.concatenate(held)
+            held.clear()
             with out.create(temporary) as f:
                 for part in WaveletMatrix.build(ids, bits).to_bytes(docs, np.concatenate(counts)):
                     f.write(part)
