@@ -648,3 +648,8 @@ classes AS (SELECT members, min(doc_id) AS class_id FROM same GROUP BY members)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, coalesce(class_id, d.doc_id) AS class_id
 FROM documents d JOIN names USING (doc_id) LEFT JOIN sizes USING (doc_id) LEFT JOIN same USING (doc_id)
 LEFT JOIN classes USING (members)"""
+
+# the same with the number of other documents at or above the threshold
+LINKS_SQL = ORACLE_SQL.replace("\nSELECT d.doc_id, coalesce(n, 0) AS n_shingles", """, linked AS (SELECT u AS doc_id, count(*) AS n_links FROM links GROUP BY u)
+SELECT d.doc_id, coalesce(n_links, 0) AS n_links, coalesce(n, 0) AS n_shingles""").replace(
+    "LEFT JOIN sizes USING", "LEFT JOIN linked USING (doc_id) LEFT JOIN sizes USING")

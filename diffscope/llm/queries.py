@@ -115,6 +115,6 @@ def op13_whitening(spark, folder):
     return whitening.table(table(spark, folder, "embeddings"))
 
 
-SQL = {"op1_warc": warc.ORACLE_SQL, "op2_ngram_join": ngram_join.ORACLE_SQL, "op3_substring_dedup": substring_dedup.ORACLE_SQL,
+SQL = {"op1_warc": warc.ORACLE_SQL, "op2_ngram_join": ngram_join.ORACLE_SQL, "ngram_links": ngram_join.LINKS_SQL, "op3_substring_dedup": substring_dedup.ORACLE_SQL,
        "op5_decontaminate": decontaminate.ORACLE_SQL, "op6_secret_scan": secrets.ORACLE_SQL,
        "op11_fill_in_middle": fim.ORACLE_SQL, "op12_near_duplicates": near_dedup.ORACLE_SQL}

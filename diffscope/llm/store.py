@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+import re
 import tempfile
 import uuid
 from urllib.parse import urlparse
@@ -13,9 +14,11 @@ FOLDER = "diffscope-llm"
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path below `spark.checkpoint.dir`. Only where that is unset (tests on one machine) a local folder is used."""
+    """A new path below `spark.checkpoint.dir`. Only where that is unset and the master is local a local folder is used."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="diffscope-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return posixpath.join(base, FOLDER, f"{name}-{uuid.uuid4().hex}")

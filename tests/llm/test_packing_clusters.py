@@ -35,8 +35,3 @@ def test_empty_texts_are_dealt_to_no_group(spark):
     assert found.where("bin_id IS NULL AND length = 0 AND piece = 0").count() == 3000
     assert "length#" in (plan := found._jdf.queryExecution().optimizedPlan().toString()) and "Union" in plan
 
-
-def test_rarity_table_does_not_grow_with_the_corpus(spark):
-    docs = cases.table(spark, cases.documents(copies=5))
-    folder, mean = ngram_join._rarity(docs.select("text"), 5, 10**12)
-    assert len(ngram_join.Files(folder).read("ranks")) == 1 << 20 and 1 <= mean < 20
