@@ -5,19 +5,19 @@ from __future__ import annotations
 import posixpath
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from diffscope.functions.text import let, preview
 from diffscope.operators.features import feature_names
-from diffscope.operators.ordered import row_numbers
 from diffscope.operators.sampling import hash_sample, key_digest
-from diffscope.session import shared_folder
+from diffscope.session import shared_folder, written
 
 
 def _last_with(model, attribute: str):
@@ -66,35 +66,40 @@ def mean_absolute(attributions: DataFrame) -> DataFrame:
     return attributions.groupBy("feature").agg(F.avg(F.abs("attribution")).alias("mean_abs"))
 
 
+GROUP_ROWS = 1000
+
+
 def permutation_importance(model, df: DataFrame, key: list[str], vocabulary: list[str], label: str = "label",
                            features: str = "vector", seed: int = 42) -> DataFrame:
     """(feature, importance): loss of accuracy when one feature takes the value of another random row.
 
-    The permutation is a shift by one in a random order: rows are numbered on the cluster and joined with their
-    successor, so nothing is shuffled on one machine. All features are scored in a single pass.
+    Rows are dealt at random to groups of about a thousand and take the value of the next row of their group in a random
+    order (the last that of the first). A row goes through the model once per feature, one vector at a time: a pass over
+    the rows with their partner's vector for each feature, all in one query.
     """
     base = df.select(*key, F.col(label).cast("double").alias("label"), vector_to_array(features).alias("x"),
                      key_digest(key, seed).alias("_digest"))
-    numbered = row_numbers(base, "_digest", "_row").select("label", "x", "_row")
-    total = df.agg(F.count(F.lit(1)).cast("long")).scalar()
-    partner = numbered.select(F.col("x").alias("y"), (F.col("_row") % total + 1).alias("_row"))
-    paired = numbered.join(partner, "_row")
-    variants = F.concat(
-        F.array(F.struct(F.lit(-1).alias("i"), F.col("x").alias("v"))),
-        F.transform(F.sequence(F.lit(0), F.lit(len(vocabulary) - 1)), lambda i: F.struct(
-            i.alias("i"), F.transform("x", lambda v, j: F.when(j == i, F.element_at("y", j + 1)).otherwise(v))
-            .alias("v"))))
+    groups = max(1, df.count() // GROUP_ROWS)
+    group = Window.partitionBy("_group").orderBy("_digest")
+    whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    paired = written(base.withColumn("_group", F.pmod(F.xxhash64("_digest"), F.lit(groups))).select(
+        "label", "x", F.coalesce(F.lead("x").over(group), F.first("x").over(whole)).alias("y")))
     metadata = df.schema[features].metadata
-    trials = paired.select("label", F.explode(variants).alias("t")).select(
-        "label", "t.i", array_to_vector("t.v").alias(features)).withMetadata(features, metadata)
-    scored = model.transform(trials).groupBy("i").agg(
-        F.avg((F.col("model_prediction") == F.col("label")).cast("double")).alias("accuracy"))
+
+    def accuracy(feature: int) -> DataFrame:
+        x = F.col("x") if feature < 0 else F.transform("x", lambda v, j: F.when(
+            j == feature, F.element_at("y", feature + 1)).otherwise(v))
+        # always true, but not deterministic: keeps the vector a column of its own (see features.assemble)
+        x = F.when(F.monotonically_increasing_id() >= 0, x)
+        trial = paired.select("label", array_to_vector(x).alias(features)).withMetadata(features, metadata)
+        return model.transform(trial).agg(F.avg((F.col("model_prediction") == F.col("label")).cast("double")).alias("a")).select(
+            F.lit(feature).alias("i"), "a")
+
+    found = reduce(DataFrame.unionByName, [accuracy(i) for i in range(-1, len(vocabulary))])  # one row per feature
     names = F.array(*[F.lit(n) for n in vocabulary])
-    whole = F.max(F.when(F.col("i") < 0, F.col("accuracy")))
-    spread = scored.agg(whole.alias("whole"), F.collect_list(F.struct("i", "accuracy")).alias("all"))  # one per feature
+    spread = found.agg(F.max(F.when(F.col("i") < 0, F.col("a"))).alias("whole"), F.collect_list(F.struct("i", "a")).alias("all"))
     return (spread.select("whole", F.explode("all").alias("a")).where("a.i >= 0")
-            .select(F.element_at(names, F.col("a.i") + 1).alias("feature"),
-                    (F.col("whole") - F.col("a.accuracy")).alias("importance")))
+            .select(F.element_at(names, F.col("a.i") + 1).alias("feature"), (F.col("whole") - F.col("a.a")).alias("importance")))
 
 
 def explain_samples(df: DataFrame, importance: DataFrame, key: list[str], n: int | None = None, top: int = 5,

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
-from pyspark import keyword_only
+from pyspark import inheritable_thread_target, keyword_only
 from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (LinearSVC, LogisticRegression, MultilayerPerceptronClassifier,
@@ -14,47 +16,67 @@ from pyspark.ml.classification import (LinearSVC, LogisticRegression, Multilayer
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.param.shared import HasInputCol, HasOutputCol, HasSeed
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from diffscope.operators.evaluate import class_weights
-from diffscope.operators.sampling import stratified_split
+from diffscope.operators.sampling import hash_sample, key_digest
 
 MODEL_NAMES = ("logistic", "random_forest", "svm")
 OUTPUT_COLUMNS = ("scaled", "mapped", "margin", "margin_prediction", "raw", "probability_vector", "model_prediction")
 
 
-class RandomFourierFeatures(Transformer, HasInputCol, HasOutputCol, HasSeed, DefaultParamsReadable,
-                            DefaultParamsWritable):
-    """Maps a vector so that inner products approximate a Gaussian kernel; the frequencies follow from the seed."""
+class LandmarkFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Maps a vector so that inner products are those of a Gaussian kernel on the span of some landmark rows (Nystroem).
+
+    `landmarks` and `projection` are matrices row by row; rows of the map are kernel values with the landmarks times the
+    projection. For the landmarks themselves the kernel is exact.
+    """
 
-    size = Param(Params._dummy(), "size", "number of output features", TypeConverters.toInt)
     gamma = Param(Params._dummy(), "gamma", "kernel coefficient", TypeConverters.toFloat)
+    size = Param(Params._dummy(), "size", "number of landmarks", TypeConverters.toInt)
+    landmarks = Param(Params._dummy(), "landmarks", "landmark rows", TypeConverters.toListFloat)
+    projection = Param(Params._dummy(), "projection", "projection of kernel values", TypeConverters.toListFloat)
 
     @keyword_only
-    def __init__(self, *, inputCol=None, outputCol=None, seed=42, size=128, gamma=1.0):
+    def __init__(self, *, inputCol=None, outputCol=None, gamma=1.0, size=0, landmarks=None, projection=None):
         super().__init__()
-        self._setDefault(seed=42, size=128, gamma=1.0)
-        self._set(**self._input_kwargs)
+        self._setDefault(gamma=1.0, size=0)
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        size, gamma, seed = self.getOrDefault("size"), self.getOrDefault("gamma"), self.getSeed()
-
-        def project(batch: pa.Array) -> pa.Array:
-            if len(batch) == 0:
-                return pa.array([], type=pa.list_(pa.float64()))
-            x = np.asarray(batch.flatten(), dtype="float64").reshape(len(batch), -1)
-            rng = np.random.default_rng(seed)
-            w = rng.normal(scale=np.sqrt(2 * gamma), size=(x.shape[1], size))
-            b = rng.uniform(0, 2 * np.pi, size=size)
-            z = np.sqrt(2.0 / size) * np.cos(x @ w + b)
-            offsets = pa.array(np.arange(0, z.size + 1, size, dtype="int32"))
+        size, gamma = self.getOrDefault("size"), self.getOrDefault("gamma")
+        marks = np.array(self.getOrDefault("landmarks")).reshape(size, -1)
+        project = np.array(self.getOrDefault("projection")).reshape(size, -1)
+
+        def mapped(batch: pa.Array) -> pa.Array:
+            x = np.asarray(batch.flatten(), dtype="float64").reshape(len(batch), -1) if len(batch) else np.zeros((0, marks.shape[1]))
+            z = gaussian(x, marks, gamma) @ project
+            offsets = pa.array(np.arange(len(z) + 1, dtype="int32") * project.shape[1])
             return pa.ListArray.from_arrays(offsets, pa.array(z.ravel()))
 
-        mapped = F.arrow_udf(project, "array<double>")(vector_to_array(F.col(self.getInputCol())))
-        return dataset.withColumn(self.getOutputCol(), array_to_vector(mapped))
+        values = F.arrow_udf(mapped, "array<double>")(vector_to_array(F.col(self.getInputCol())))
+        return dataset.withColumn(self.getOutputCol(), array_to_vector(values))
+
+
+def gaussian(x: np.ndarray, y: np.ndarray, gamma: float) -> np.ndarray:
+    """exp(-gamma |x - y|^2) for all rows of x and y."""
+    distance = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * x @ y.T
+    return np.exp(-gamma * np.maximum(distance, 0))
+
+
+def landmark_features(rows: DataFrame, key: list[str], gamma: float, size: int, seed: int, inputCol: str = "scaled",
+                      outputCol: str = "mapped") -> LandmarkFeatures:
+    """A map with `size` landmarks: a bounded sample, the rows with the least digests. Its matrices are size x size."""
+    sample = hash_sample(rows, key, size, seed).select(vector_to_array(inputCol).alias("x")).collect()
+    marks = np.unique(np.array([r["x"] for r in sample], dtype="float64"), axis=0)
+    values, vectors = np.linalg.eigh(gaussian(marks, marks, gamma))
+    keep = values > 1e-10 * values.max()
+    project = vectors[:, keep] / np.sqrt(values[keep])
+    return LandmarkFeatures(inputCol=inputCol, outputCol=outputCol, gamma=gamma, size=len(marks),
+                            landmarks=marks.ravel().tolist(), projection=project.ravel().tolist())
 
 
 class MajorityClass(Transformer, DefaultParamsReadable, DefaultParamsWritable):
@@ -105,25 +127,39 @@ def forest_pipeline(features: str = "vector", label: str = "label", weight: str
 
 
 def fit_svm(df: DataFrame, key: list[str], width: int, features: str = "vector", label: str = "label",
-            weight: str = "weight", size: int = 256, iterations: int = 100, seed: int = 42) -> PipelineModel:
-    """Gaussian-kernel SVM by random Fourier features; probabilities by a logistic fit on held-out margins.
+            weight: str = "weight", size: int = 256, iterations: int = 100, seed: int = 42, folds: int = 5) -> PipelineModel:
+    """Gaussian-kernel SVM of unit cost on the span of `size` landmark rows, probabilities by Platt scaling.
 
-    An approximation by nature: the kernel is sampled and the margins are calibrated on one held-out fifth of each label.
+    With no more rows than landmarks the kernel is exact. The margins that the logistic fit sees are out of fold: each row's
+    comes from a machine fitted on the other folds (by key digest), and the machine that stays is fitted on all rows.
     """
-    parts = stratified_split(df, key, label, 0.2, seed=seed + 7)
-    fit_rows, held_rows = (parts.where(F.col("split") == name).drop("split") for name in ("train", "test"))
-    for rows in (fit_rows, held_rows):
-        if rows.select(label).distinct().limit(2).count() < 2:
-            raise ValueError("calibration needs rows of both labels in the fit and in the held-out fifth")
-    base = Pipeline(stages=[
-        _scaler(features),
-        RandomFourierFeatures(inputCol="scaled", outputCol="mapped", size=size, gamma=1.0 / width, seed=seed),
-        LinearSVC(featuresCol="mapped", labelCol=label, weightCol=weight, maxIter=iterations, regParam=1e-3,
-                  rawPredictionCol="margin", predictionCol="margin_prediction")]).fit(fit_rows)
-    scored = base.transform(held_rows)
-    platt = LogisticRegression(featuresCol="margin", labelCol=label, maxIter=100, rawPredictionCol="raw",
-                               probabilityCol="probability_vector", predictionCol="model_prediction").fit(scored)
-    return PipelineModel(stages=[*base.stages, platt])
+    scaler = _scaler(features).fit(df)
+    scaled = scaler.transform(df)
+    mapping = landmark_features(scaled, key, 1.0 / width, size, seed)
+    fold = F.pmod(F.xxhash64(key_digest(key, seed + 7)), F.lit(folds))
+    rows = mapping.transform(scaled).select(*key, label, weight, "mapped", fold.alias("_fold")).persist()
+
+    def machine(some: DataFrame):
+        total = some.agg(F.sum(weight)).first()[0]
+        return LinearSVC(featuresCol="mapped", labelCol=label, weightCol=weight, maxIter=iterations, regParam=1.0 / total,
+                         standardization=False, rawPredictionCol="margin", predictionCol="margin_prediction").fit(some)
+
+    def held(i: int) -> DataFrame:
+        model = machine(rows.where(F.col("_fold") != i))
+        return model.transform(rows.where(F.col("_fold") == i)).select(label, "margin")
+
+    try:
+        counts = rows.groupBy("_fold", label).count().collect()  # folds x labels rows
+        for i in range(folds):
+            if len({r[label] for r in counts if r["_fold"] != i}) < 2:
+                raise ValueError("calibration needs rows of both labels outside each fold")
+        with ThreadPool(folds) as pool:
+            margins = reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(held), range(folds)))
+        platt = LogisticRegression(featuresCol="margin", labelCol=label, maxIter=100, rawPredictionCol="raw",
+                                   probabilityCol="probability_vector", predictionCol="model_prediction").fit(margins)
+        return PipelineModel(stages=[scaler, mapping, machine(rows), platt])
+    finally:
+        rows.unpersist()
 
 
 def train_baselines(df: DataFrame, key: list[str], features: str = "vector", label: str = "label", trees: int = 100,

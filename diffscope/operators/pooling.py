@@ -1,7 +1,8 @@
 """Attention pooling of instance vectors into bags.
 
-Two aggregations with partial sums: the largest score per bag (for a stable softmax), then the weighted mean vector. A
-bag with very many instances is reduced on the map side; its maximum is one row joined back.
+Scores are grouped in steps of `STEP` below which exponentials cannot overflow; each (bag, step) has a partial sum, combined
+in tasks before the shuffle, and the few steps of a bag are put together relative to its highest one. So the softmax is
+stable, the input is read once, and a bag with very many instances is no single task.
 """
 
 from __future__ import annotations
@@ -27,28 +28,53 @@ def attention_scores(vec: Column, hidden: np.ndarray, output: np.ndarray) -> Col
     return F.arrow_udf(score, "double")(vec)
 
 
-def attention_weights(df: DataFrame, bag: str, score: str, output: str = "attention_weight") -> DataFrame:
-    """Add the softmax of `score` within each bag."""
-    top = df.groupBy(bag).agg(F.max(score).alias("_top"))
-    shifted = _with_bag(df, top, bag).withColumn("_e", F.exp(F.col(score) - F.col("_top")))
-    total = shifted.groupBy(bag).agg(F.sum("_e").alias("_sum"))
-    return _with_bag(shifted, total, bag).withColumn(output, F.col("_e") / F.col("_sum")).drop("_e", "_sum", "_top")
+STEP = 32.0  # exp(32) times any number of rows is far from the end of doubles
+
+
+def _steps(score: str) -> tuple[Column, Column]:
+    """Number of a score's step, and the exponential of its height above the step."""
+    step = F.floor(F.col(score) / STEP)
+    return step, F.exp(F.col(score) - step * STEP)
 
 
-def _with_bag(df: DataFrame, per_bag: DataFrame, bag: str) -> DataFrame:
-    """Join one row per bag; rows without a bag id are a bag of their own."""
-    named = per_bag.withColumnRenamed(bag, "_bag")
-    return df.join(named, df[bag].eqNullSafe(named["_bag"])).drop("_bag")
+def _bag_sums(df: DataFrame, bag: str, score: str) -> DataFrame:
+    """(bag, _top, _sum): highest step of each bag, and the sum of exp(score - _top * STEP)."""
+    step, height = _steps(score)
+    parts = df.where(F.col(score).isNotNull()).groupBy(bag, step.alias("_step")).agg(F.sum(height).alias("_part"))
+    tops = F.max("_step")
+    listed = parts.groupBy(bag).agg(tops.alias("_top"), F.collect_list(F.struct("_step", "_part")).alias("_parts"))  # few per bag
+    return listed.select(bag, "_top", F.aggregate("_parts", F.lit(0.0), lambda acc, p: acc + p["_part"] * F.exp(
+        (p["_step"] - F.col("_top")) * STEP)).alias("_sum"))
+
+
+def attention_weights(df: DataFrame, bag: str, score: str, output: str = "attention_weight") -> DataFrame:
+    """Add the softmax of `score` within each bag (null is a bag). A null score has a null weight and counts for nothing."""
+    sums = _bag_sums(df, bag, score).withColumnRenamed(bag, "_bag")
+    joined = df.join(sums, df[bag].eqNullSafe(sums["_bag"]), "left")
+    return joined.withColumn(output, F.exp(F.col(score) - F.col("_top") * STEP) / F.col("_sum")).drop("_bag", "_top", "_sum")
 
 
 def attention_pool(df: DataFrame, bag: str, vec: str, score: str) -> DataFrame:
-    """(bag, instances, pooled ARRAY<DOUBLE>): attention-weighted mean vector of each bag."""
-    top = df.groupBy(bag).agg(F.max(score).alias("_top"))
-    weighted = _with_bag(df, top, bag).select(bag, array_to_vector(F.col(vec).cast("array<double>")).alias("_v"),
-                                        F.exp(F.col(score) - F.col("_top")).alias("_w"))
-    return weighted.groupBy(bag).agg(
-        F.count(F.lit(1)).alias("instances"),
-        vector_to_array(Summarizer.mean(F.col("_v"), F.col("_w"))).alias("pooled"))
+    """(bag, instances, pooled ARRAY<DOUBLE>): attention-weighted mean vector of each bag.
+
+    Instances without a score are counted, but have no weight; a bag without any score has a null vector.
+    """
+    step, height = _steps(score)
+    known = F.col(score).isNotNull()
+    # rows without a score are a step of their own, whose mean is not used: any vector will do there
+    rows = df.select(bag, step.alias("_step"), F.coalesce(height, F.lit(1.0)).alias("_w"), array_to_vector(
+        F.when(known, F.col(vec).cast("array<double>")).otherwise(F.array(F.lit(0.0)))).alias("_v"))
+    parts = rows.groupBy(bag, "_step").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("_w").alias("_part"), Summarizer.mean(F.col("_v"), F.col("_w")).alias("_mean"))
+    counts = parts.groupBy(bag).agg(F.sum("_n").alias("instances"), F.max("_step").alias("_top"), F.collect_list(F.when(
+        F.col("_step").isNotNull(), F.struct("_step", "_part", vector_to_array("_mean").alias("mean")))).alias("_parts"))
+    weighted = F.transform("_parts", lambda p: F.struct((p["_part"] * F.exp((p["_step"] - F.col("_top")) * STEP)).alias("w"),
+                                                        p["mean"].alias("mean")))
+    total = F.aggregate("_weighted", F.lit(0.0), lambda acc, p: acc + p["w"])
+    first = F.transform(F.element_at("_weighted", 1)["mean"], lambda x: F.lit(0.0))
+    summed = F.aggregate("_weighted", first, lambda acc, p: F.zip_with(acc, p["mean"], lambda x, y: x + y * p["w"]))
+    pooled = F.when(F.size("_weighted") > 0, F.transform(summed, lambda x: x / F.col("_total")))
+    return counts.withColumn("_weighted", weighted).withColumn("_total", total).select(bag, "instances", pooled.alias("pooled"))
 
 
 def _dot(vec: Column, weights: list[float], bias: float) -> Column:
@@ -67,12 +93,10 @@ def bag_prediction(pooled: DataFrame, weights: list[float], bias: float = 0.0, v
     return pooled.withColumn(output, 1 / (1 + F.exp(-_dot(inner, weights, bias))))
 
 
-def attention_report(weights: DataFrame, hunks: DataFrame, on: list[str]) -> DataFrame:
-    """Attention per hunk with its file and change size, ready for a CSV sink."""
-    if "lines_added" not in hunks.columns:
-        hunks = with_line_counts(hunks)
-    info = hunks.select(*on, "file_path", "lines_added", "lines_removed")
-    return weights.select(*on, "attention_weight").join(info, on)
+def attention_report(weighted: DataFrame, on: list[str]) -> DataFrame:
+    """Attention per hunk with its file and change size, ready for a CSV sink, from hunks with their `attention_weight`."""
+    rows = weighted if "lines_added" in weighted.columns else with_line_counts(weighted)
+    return rows.select(*on, "attention_weight", "file_path", "lines_added", "lines_removed")
 
 
 def with_line_counts(hunks: DataFrame) -> DataFrame:

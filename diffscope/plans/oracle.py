@@ -705,3 +705,31 @@ ORACLE["evaluate_tasks"] = _SCORED + """, mm AS (
       UNION ALL SELECT 'comment', 'bleu', round(avg(bleu), 6) FROM ({_EXACT_BLEU})
       UNION ALL SELECT 'comment', 'rouge1', round(avg(rouge1), 6) FROM ({_EXACT_ROUGE})
       UNION ALL SELECT 'comment', 'rouge2', round(avg(rouge2), 6) FROM ({_EXACT_ROUGE})"""
+
+# Features of whole documents, by the statement that has each.
+_FEATURES_OF = {
+    "ast_metrics": ["ast_depth", "total_nodes", "num_functions", "num_classes", "num_imports", "num_loops", "num_conditionals",
+                    "num_try_blocks", "cyclomatic_complexity", "cognitive_complexity", "function_calls", "assignments", "returns",
+                    "exceptions", "unique_variables"],
+    "cfg_metrics": ["cfg_nodes", "cfg_edges", "cfg_connected_components", "cfg_density"],
+    "dep_metrics": ["dep_nodes", "dep_edges", "function_connectivity", "variable_scope_complexity", "call_chain_depth", "dep_density"],
+    "code_regex_features": ["has_functions", "has_classes", "has_imports", "conditional_statements", "loop_statements",
+                            "exception_handling", "debug_prints", "todo_comments", "magic_numbers"],
+    "hunk_features": ["lines_added", "lines_removed", "max_indentation", "nesting_depth", "ast_parseable", "unique_ast_nodes",
+                      "total_ast_nodes", "files_changed", "total_hunks", "commit_size", "context_similarity", "comment_density",
+                      "avg_indentation"],
+    "issue_flags": [f"has_{n}" for n in _FLAGS],
+}
+_NODE_FEATURES = [f"ast_{t[0].lower()}_count" for t in _TYPES]
+FEATURE_NAMES = [n for names in _FEATURES_OF.values() for n in names] + _NODE_FEATURES
+
+
+def _feature_rows() -> str:
+    parts = " JOIN ".join(f"({ORACLE[name]}) {name}" + (" USING (doc_id)" if i else "") for i, name in enumerate(_FEATURES_OF))
+    columns = ", ".join(f"round({table}.{n}::DOUBLE, 6) AS {n}" for table, names in _FEATURES_OF.items() for n in names)
+    counts = ", ".join(f"max(CASE WHEN node_type = '{t[0]}' THEN n ELSE 0 END)::DOUBLE AS ast_{t[0].lower()}_count" for t in _TYPES)
+    nodes = f"(SELECT doc_id, {counts} FROM ({ORACLE['ast_node_counts']}) GROUP BY doc_id) node_counts"
+    return f"SELECT doc_id, {columns}, {', '.join(_NODE_FEATURES)} FROM {parts} JOIN {nodes} USING (doc_id)"
+
+
+ORACLE["feature_rows"] = _feature_rows()

@@ -29,6 +29,7 @@ from diffscope.operators import text_metrics as TM
 from diffscope.operators import versions as VS
 from diffscope.plans import derive as V
 from diffscope.plans import pipeline as PL
+from diffscope.plans.oracle import FEATURE_NAMES
 from diffscope.session import checkpointed, configure, shared_folder, written
 from diffscope.sources import patches as SP
 from diffscope.sources import tables as ST
@@ -506,6 +507,14 @@ def feature_merge(spark, folder):
     return docs.select("doc_id", *[F.element_at(merged, k).alias(k) for k in ("a", "b", "c")])
 
 
+@query
+def feature_rows(spark, folder):
+    """Every feature of every document that SQL can tell: syntax, graphs, patterns, lines, context, issues, node counts."""
+    samples = FE.labelled_features(V.code_hunks(_docs(spark, folder)))
+    return samples.select("doc_id", *[F.round(F.coalesce(F.try_element_at("features", F.lit(n)), F.lit(0.0)), 6).alias(n)
+                                      for n in FEATURE_NAMES])
+
+
 @query
 def labelled_features(spark, folder):
     """All features of all hunks in one map-side pass: vocabulary-free summary per language."""
@@ -773,11 +782,9 @@ def mil_predict(spark, folder):
 def attention_report(spark, folder):
     """Attention of each hunk within its commit, with file and size."""
     parsed = D.patch_hunks(V.document_patches(_docs(spark, folder)))
-    hunks = checkpointed(P.with_line_counts(parsed).select(
-        "commit_hash", "file_idx", "hunk_idx", "file_path", "lines_added", "lines_removed"))
-    scored = hunks.select("commit_hash", "file_idx", "hunk_idx", (F.col("lines_added") / 10.0).alias("score"))
-    weights = P.attention_weights(scored, "commit_hash", "score")
-    report = P.attention_report(weights, hunks, ["commit_hash", "file_idx", "hunk_idx"])
+    hunks = written(P.with_line_counts(parsed).select(
+        "commit_hash", "file_idx", "hunk_idx", "file_path", "lines_added", "lines_removed", (F.col("lines_added") / 10.0).alias("score")))
+    report = P.attention_report(P.attention_weights(hunks, "commit_hash", "score"), ["commit_hash", "file_idx", "hunk_idx"])
     return report.select("commit_hash", "file_path", *_longs({c: F.col(c) for c in ("hunk_idx", "lines_added", "lines_removed")}),
                          F.round("attention_weight", 6).alias("attention_weight"))
 
