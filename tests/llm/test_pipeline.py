@@ -111,7 +111,7 @@ def test_empty_tables(spark, folder, tmp_path):
 
 def test_every_operator_is_registered():
     names = [n for n in queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 14))
     assert "pipeline" in queries() and set(SQL) <= set(QUERIES) and "pipeline" not in oracle_sql()
 
 
