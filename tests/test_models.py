@@ -45,7 +45,7 @@ def rows(spark):
 
 
 def test_decision_values_are_those_of_an_exact_kernel_machine(spark, rows):
-    model = M.fit_svm(rows, ["k"], 4, size=500, iterations=100, folds=2)
+    model = M.fit_svm(rows, ["k"], 4, size=500, iterations=300, folds=2)
     scored = model.transform(rows).select(
         "label", "weight", vector_to_array("scaled").alias("x"), vector_to_array("margin")[1].alias("m"),
         vector_to_array("probability_vector")[1].alias("p")).collect()
