@@ -1,9 +1,10 @@
 """Token ids as wavelet matrices: one compressed, searchable file per shard.
 
 A file holds the ids of consecutive documents as bit planes, highest bit first. In each plane the ids stand in the order
-the planes above have left them in: zeros before ones, both in their old order. With counts of ones per 512 bits, a file
-answers access (id at a position), rank and count (how often an id occurs before a position), select (place of the k-th
-occurrence) and lists of occurrences, without decoding the rest.
+the planes above have left them in: zeros before ones, both in their old order. A plane is cut into blocks of 65,536 bits,
+each compressed on its own and stored with its size and the number of ones before it. So a file answers access (id at a
+position), rank and count (how often an id occurs before a position), select (place of the k-th occurrence) and lists of
+occurrences by opening one block of each plane, without decoding the rest.
 
 Documents are dealt to shards by id range (ascending, null ids last, equal ids by a hash of the text); a shard rolls to a
 new file at `roll_ids` ids, so memory is bounded whatever a shard holds. Tasks write under temporary names; the driver
@@ -27,52 +28,100 @@ from pyspark.sql import functions as F
 
 from diffscope.llm.ranges import cuts, dealt, place, shard_of
 from diffscope.llm.store import Files, shared_folder, written
-from diffscope.llm.words import Hasher, chunks
+from diffscope.llm.words import BlockHasher, chunks
 
-MAGIC = b"WAVELET1"
-BLOCK = 512  # bits per counted block
+MAGIC = b"WAVELET2"
+BLOCK = 1 << 16  # bits of a compressed block
+LEVEL = 1
 END_ID = 2
 # What may part words in a joined call, a control character that is one id, else a special token.
 MARKS = ("\x01", "\x02", "\x1e", "\x7f", "<|startoftext|>")
 
 
+class Plane:
+    """Bits in blocks, each compressed alone (as it is where that is no longer), and the number of ones before each."""
+
+    def __init__(self, n: int, blocks: list, ones: np.ndarray):
+        self.n, self.blocks, self.ones = n, blocks, ones
+        self.codec, self.opened = pa.Codec("zstd", LEVEL), (-1, b"")
+
+    @classmethod
+    def of(cls, bit: np.ndarray) -> "Plane":
+        packed, step = np.packbits(bit), BLOCK // 8
+        whole = np.zeros(-(-len(packed) // step) * step, dtype=np.uint8)
+        whole[:len(packed)] = packed
+        ones = np.bitwise_count(whole.view(np.uint64)).reshape(-1, step // 8).sum(axis=1, dtype=np.int64)
+        plane = cls(len(bit), [], np.concatenate(([0], np.cumsum(ones))).astype(np.uint32))
+        for low in range(0, len(packed), step):
+            raw = packed[low:low + step].tobytes()
+            short = plane.codec.compress(raw, asbytes=True)
+            plane.blocks.append(short if len(short) < len(raw) else raw)
+        return plane
+
+    def block(self, number: int) -> np.ndarray:
+        """Packed bits of a block; the last one opened is kept."""
+        if self.opened[0] != number:
+            size = min(BLOCK // 8, -(-self.n // 8) - number * (BLOCK // 8))
+            raw = self.blocks[number]
+            if len(raw) < size:
+                raw = self.codec.decompress(raw, size, asbytes=True)
+            self.opened = number, np.frombuffer(raw, dtype=np.uint8)
+        return self.opened[1]
+
+    def bits(self) -> np.ndarray:
+        """All bits as booleans."""
+        parts = [self.block(i) for i in range(len(self.blocks))]
+        return np.unpackbits(np.concatenate(parts) if parts else np.zeros(0, np.uint8), count=self.n).view(bool)
+
+    def bit(self, i: int) -> int:
+        return int(self.block(i // BLOCK)[i % BLOCK // 8]) >> (7 - i % 8) & 1
+
+    def ones_before(self, i: int) -> int:
+        number, rest = divmod(i, BLOCK)
+        count = int(self.ones[number])
+        if rest:
+            part = self.block(number)[:-(-rest // 8)]
+            count += int(np.bitwise_count(part).sum()) - int(part[-1] & ((1 << -rest % 8) - 1)).bit_count()
+        return count
+
+    def select(self, bit: int, ranks: np.ndarray) -> np.ndarray:
+        """Positions of the k-th (from 0) `bit` for ascending k."""
+        before = self.ones.astype(np.int64)
+        if not bit:
+            before = np.minimum(np.arange(len(before)) * BLOCK, self.n) - before
+        number = np.searchsorted(before, ranks, side="right") - 1
+        found = np.empty(len(ranks), dtype=np.int64)
+        edges = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(ranks)]
+        for low, high in zip(edges, edges[1:]):
+            if low < high:
+                at = int(number[low])
+                places = np.flatnonzero(np.unpackbits(self.block(at)) == bit)
+                found[low:high] = at * BLOCK + places[ranks[low:high] - before[at]]
+        return found
+
+
 class WaveletMatrix:
-    """Bit planes with rank and select. `planes[l]` are packed bits, `ones[l]` the ones before each block."""
+    """Bit planes, highest bit first, and the number of zeros of each."""
 
-    def __init__(self, n: int, planes: list[np.ndarray], ones: list[np.ndarray], zeros: list[int]):
-        self.n, self.planes, self.ones, self.zeros = n, planes, ones, zeros
+    def __init__(self, n: int, planes: list[Plane], zeros: list[int]):
+        self.n, self.planes, self.zeros = n, planes, zeros
 
     @classmethod
     def build(cls, ids: np.ndarray, bits: int) -> "WaveletMatrix":
-        planes, ones, zeros, x = [], [], [], ids
+        planes, zeros, x = [], [], ids
         for level in range(bits - 1, -1, -1):
             bit = (x & x.dtype.type(1 << level)) != 0
-            packed = np.packbits(bit)
-            blocks = np.zeros(-(-len(packed) * 8 // BLOCK) * (BLOCK // 8), dtype=np.uint8)
-            blocks[:len(packed)] = packed
-            per_block = np.bitwise_count(blocks.view(np.uint64)).reshape(-1, BLOCK // 64).sum(axis=1, dtype=np.int64)
-            planes.append(packed)
-            ones.append(np.concatenate(([0], np.cumsum(per_block))).astype(np.uint32))
-            zeros.append(len(x) - int(ones[-1][-1]))
+            planes.append(Plane.of(bit))
+            zeros.append(len(x) - int(planes[-1].ones[-1]))
             y = np.empty_like(x)
             y[zeros[-1]:] = x[bit]
             np.logical_not(bit, out=bit)
             y[:zeros[-1]] = x[bit]
             x = y
-        return cls(len(ids), planes, ones, zeros)
-
-    def _ones_before(self, level: int, i: int) -> int:
-        block = i // BLOCK
-        count = int(self.ones[level][block])
-        part = self.planes[level][block * BLOCK // 8:-(-i // 8)]
-        count += int(np.bitwise_count(part).sum())
-        extra = -i % 8
-        if extra and len(part):
-            count -= int(part[-1] & ((1 << extra) - 1)).bit_count()
-        return count
+        return cls(len(ids), planes, zeros)
 
     def _down(self, level: int, bit: int, i: int) -> int:
-        ones = self._ones_before(level, i)
+        ones = self.planes[level].ones_before(i)
         return self.zeros[level] + ones if bit else i - ones
 
     def access(self, i: int) -> int:
@@ -80,8 +129,8 @@ class WaveletMatrix:
         if not 0 <= i < self.n:
             raise IndexError(i)
         value = 0
-        for level in range(len(self.planes)):
-            bit = int(self.planes[level][i // 8]) >> (7 - i % 8) & 1
+        for level, plane in enumerate(self.planes):
+            bit = plane.bit(i)
             value = value << 1 | bit
             i = self._down(level, bit, i)
         return value
@@ -106,34 +155,30 @@ class WaveletMatrix:
     def count(self, value: int) -> int:
         return self.rank(value, self.n)
 
-    def _select_bit(self, level: int, bit: int, k: int) -> int:
-        """Position of the k-th (from 0) `bit` of a plane."""
-        before = self.ones[level].astype(np.int64)
-        if not bit:
-            before = np.minimum(np.arange(len(before)) * BLOCK, self.n) - before
-        block = int(np.searchsorted(before, k, side="right")) - 1
-        part = np.unpackbits(self.planes[level][block * BLOCK // 8:(block + 1) * BLOCK // 8])
-        return block * BLOCK + int(np.flatnonzero(part == bit)[k - int(before[block])])
+    def _places(self, value: int, ranks: np.ndarray) -> np.ndarray:
+        """Positions of the occurrences of `value` with these ascending numbers."""
+        at = ranks + self._range(value, 0, self.n)[0]
+        for level, bit in reversed(list(self._bits(value))):
+            at = self.planes[level].select(bit, at - self.zeros[level] if bit else at)
+        return at
 
     def select(self, value: int, k: int) -> int:
         """Position of the k-th (from 0) occurrence of `value`."""
         if not 0 <= k < self.count(value):
             raise IndexError(k)
-        i = self._range(value, 0, self.n)[0] + k
-        for level, bit in reversed(list(self._bits(value))):
-            i = self._select_bit(level, bit, i - self.zeros[level] if bit else i)
-        return i
+        return int(self._places(value, np.array([k], dtype=np.int64))[0])
 
     def occurrences(self, value: int) -> np.ndarray:
         """All positions of `value`, ascending."""
-        return np.array([self.select(value, k) for k in range(self.count(value))], dtype=np.int64)
+        count = self.count(value)
+        return self._places(value, np.arange(count, dtype=np.int64)) if count else np.zeros(0, dtype=np.int64)
 
     def decode(self) -> np.ndarray:
         """All ids, from the lowest plane up."""
         kind = np.uint16 if len(self.planes) <= 16 else np.uint32
         x = np.zeros(self.n, dtype=kind)
         for i, level in enumerate(range(len(self.planes) - 1, -1, -1)):
-            bit = np.unpackbits(self.planes[level], count=self.n).view(bool)
+            bit = self.planes[level].bits()
             x[self.zeros[level]:] |= kind(1 << i)
             y = np.empty(self.n, dtype=kind)
             y[bit] = x[self.zeros[level]:]
@@ -142,25 +187,27 @@ class WaveletMatrix:
             x = y
         return x
 
-    def to_bytes(self, doc_ids: list, counts: np.ndarray) -> list[bytes]:
-        """File content in parts: magic, header, documents, then each plane with its counts."""
+    def to_bytes(self, doc_ids: list, counts: np.ndarray) -> Iterator[bytes]:
+        """File content in parts: magic, header, documents, then each plane's block sizes, counts and blocks."""
         head = json.dumps({"n": self.n, "bits": len(self.planes), "zeros": self.zeros, "documents": len(counts)}).encode()
         valid = np.array([d is not None for d in doc_ids], dtype=np.uint8)
         ids = np.array([d or 0 for d in doc_ids], dtype="<i8")
-        parts = [MAGIC, len(head).to_bytes(4, "little"), head, valid.tobytes(), ids.tobytes(),
-                 counts.astype("<u4").tobytes()]
-        for plane, ones in zip(self.planes, self.ones):
-            parts += [plane.tobytes(), ones.astype("<u4").tobytes()]
-        return parts
+        yield from (MAGIC, len(head).to_bytes(4, "little"), head, valid.tobytes(), ids.tobytes(),
+                    counts.astype("<u4").tobytes())
+        for plane in self.planes:
+            yield np.array([len(b) for b in plane.blocks], dtype="<u4").tobytes()
+            yield plane.ones.astype("<u4").tobytes()
+            yield b"".join(plane.blocks)
 
     @classmethod
     def from_bytes(cls, data: bytes) -> tuple["WaveletMatrix", list, np.ndarray]:
-        """The matrix, the document ids, and the number of ids of each document."""
+        """The matrix, the document ids, and the number of ids of each document. Blocks are opened when asked for."""
         if data[:8] != MAGIC:
             raise ValueError("not a wavelet file")
         size = int.from_bytes(data[8:12], "little")
         head = json.loads(data[12:12 + size])
         n, docs, at = head["n"], head["documents"], 12 + size
+        whole = memoryview(data)
 
         def take(kind, count):
             nonlocal at
@@ -169,11 +216,13 @@ class WaveletMatrix:
             return found
 
         valid, ids, counts = take(np.uint8, docs), take("<i8", docs), take("<u4", docs)
-        planes, ones, blocks = [], [], -(-n // BLOCK)
+        planes, blocks = [], -(-n // BLOCK)
         for _ in range(head["bits"]):
-            planes.append(take(np.uint8, -(-n // 8)))
-            ones.append(take("<u4", blocks + 1))
-        return cls(n, planes, ones, head["zeros"]), [i if v else None for i, v in zip(ids.tolist(), valid)], counts
+            sizes, ones = take("<u4", blocks), take("<u4", blocks + 1)
+            ends = at + np.cumsum(sizes, dtype=np.int64)
+            planes.append(Plane(n, [whole[e - s:e] for s, e in zip(sizes.tolist(), ends.tolist())], ones))
+            at = int(ends[-1]) if blocks else at
+        return cls(n, planes, head["zeros"]), [i if v else None for i, v in zip(ids.tolist(), valid)], counts
 
 
 class Encoder:
@@ -188,7 +237,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.text, self.mark = next((m, ids[0]) for m in MARKS if len(ids := self._ids(m)) == 1
                                     and self._ids(f"a {m} b") == [*self._ids("a"), *ids, *self._ids("b")])
-        self.hasher, self.most = Hasher(), most_words
+        self.hasher, self.most = BlockHasher(), most_words
         self._forget()
 
     def _forget(self) -> None:
