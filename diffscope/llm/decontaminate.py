@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from diffscope.llm.store import Files, shared_folder, written
-from diffscope.llm.words import NOT_ALPHANUMERIC, Hasher, Words, chunks, signed
+from diffscope.llm.words import NOT_ALPHANUMERIC, BlockHasher, Words, chunks, signed
 
 LENGTH = 10
 SHINGLE = 3
@@ -38,7 +38,7 @@ def _windows(items: DataFrame, id_col: str, text_col: str, length: int) -> DataF
     """(item, window: word hashes) of every window, each once per item."""
 
     def run(batches):
-        hasher = Hasher(NOT_ALPHANUMERIC, fold=True)
+        hasher = BlockHasher(NOT_ALPHANUMERIC, fold=True)
         for b in batches:
             for low, data, offsets in chunks(b.column(1)):
                 words = hasher.words(data, offsets)
@@ -63,7 +63,7 @@ class Block:
     def __init__(self, windows: list[np.ndarray], items: list[list[str]]):
         self.windows, self.items = windows, items
 
-    def shingles(self, hasher: Hasher) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def shingles(self, hasher: BlockHasher) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(window number, position, hash) of all shingles of all windows."""
         no, at, hashes = [], [], []
         for i, w in enumerate(self.windows):
@@ -85,7 +85,7 @@ class Block:
         files.write(f"{name}.items", json.dumps(flat).encode())
 
 
-def shingle_hashes(hasher: Hasher, words: np.ndarray, first: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_hashes(hasher: BlockHasher, words: np.ndarray, first: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
     return hasher.grams(Words(words, words, words, first), q, 20)
 
 
@@ -106,7 +106,7 @@ class Index:
         self.shift = shift
         self.lengths = sorted({min(SHINGLE, int(s)) for s in set(self.sizes.tolist())})
 
-    def matches(self, hasher: Hasher, words) -> Iterator[tuple[int, int, int]]:
+    def matches(self, hasher: BlockHasher, words) -> Iterator[tuple[int, int, int]]:
         """(document, first word, window) of every verified occurrence."""
         doc_of = np.repeat(np.arange(len(words.first) - 1), words.counts)
         for q in self.lengths:
@@ -130,7 +130,7 @@ def _counts(texts: DataFrame, folder: str, name: str) -> DataFrame:
     """(shingle, count): how often each shingle of a block occurs in the documents."""
 
     def run(batches):
-        hasher = Hasher(NOT_ALPHANUMERIC, fold=True)
+        hasher = BlockHasher(NOT_ALPHANUMERIC, fold=True)
         wanted = np.load(io.BytesIO(Files(folder).read(name)))
         bitmap = np.zeros(1 << BITMAP_BITS, dtype=bool)
         shift = np.uint64(64 - BITMAP_BITS)
@@ -163,7 +163,7 @@ def build_index(documents: DataFrame, items: DataFrame, text_col: str = "text",
     folder = shared_folder(documents.sparkSession, "item-index")
     files = Files(folder)
     files.make()
-    hasher = Hasher(NOT_ALPHANUMERIC, fold=True)
+    hasher = BlockHasher(NOT_ALPHANUMERIC, fold=True)
     texts = documents.select(F.col(text_col).alias("text"))
     for i in range(blocks):
         rows = windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == i).orderBy("window").collect()
@@ -193,7 +193,7 @@ def contamination(documents: DataFrame, items: DataFrame, id_col: str = "doc_id"
     folder, blocks = build_index(documents, items, text_col, item_id, item_text, length, block_windows)
 
     def run(batches):
-        hasher = Hasher(NOT_ALPHANUMERIC, fold=True)
+        hasher = BlockHasher(NOT_ALPHANUMERIC, fold=True)
         files, held = Files(folder), {}
         for b in batches:
             n_words: list[int] = []

@@ -1,15 +1,16 @@
 """I-Match fingerprints: terms within a band of inverse document frequency, hashed under several random lexicons.
 
 The lexicon holds the terms that occur in at least `least` and at most `most` of all documents. Document frequencies are
-exact counts over all documents in two passes: a term with that share of all documents has it in at least one task, so
-the first pass names the candidates and the second counts them. As every term of the lexicon fills a fixed share of the
-documents, the lexicon has at most (distinct terms of a document, on average) / `least` terms, however many documents
-there are; candidates are counted in blocks of bounded size.
+exact counts over all documents in two passes. The first names candidates: each task sends the terms that reach half that
+share of its own documents, and a term stays if the counts sent exceed half the share by as much as they must for a term
+of the whole share. As every candidate fills a fixed share of the documents, there are at most (distinct terms of a
+document, on average) x 2 / `least` of them, however many documents and tasks there are. The second pass counts them, in
+blocks of bounded size.
 
 A fingerprint is the hash of all lexicon terms of a text, sorted and distinct, and 48 hashes of the terms that fall into
 a random part of the lexicon (a 16th, a 64th or a 256th, 16 each). Parts without a term of the text are empty. The
-likeness of two fingerprints is the share of equal parts among those not empty in both; it estimates how many of their
-terms the texts share. Texts without lexicon terms are compared by the hash of all their terms.
+likeness of two fingerprints is the share of equal parts among those not empty in both; a part is
+equal only if all its terms are. Texts without lexicon terms are compared by the hash of all their terms.
 
 Defined cases: null text is empty text; equal texts have equal fingerprints; empty texts are alike; rows with the same id
 are ordered by a hash of the text; null ids sort last; a single document follows itself; an empty table gives an empty
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from diffscope.llm.ranges import cuts, dealt, place, shard_of
 from diffscope.llm.store import Files, shared_folder, written
-from diffscope.llm.words import MULTIPLIER, NOT_ALPHANUMERIC, Hasher, chunks, mixed, signed
+from diffscope.llm.words import MULTIPLIER, NOT_ALPHANUMERIC, BlockHasher, chunks, mixed, signed
 
 LEAST, MOST = 1 / 1000, 1 / 20
 RATES = (16, 64, 256)
@@ -37,7 +38,7 @@ BLOCK_TERMS = 1 << 22  # candidates counted at a time: 32 MB in a task
 BITMAP_BITS = 22
 
 
-def _document_terms(hasher: Hasher, texts: pa.Array):
+def _document_terms(hasher: BlockHasher, texts: pa.Array):
     """Per chunk of texts: (first text, number of texts, text and hash of each distinct term, sorted by text and hash)."""
     for low, data, offsets in chunks(texts):
         words = hasher.words(data, offsets)
@@ -49,11 +50,16 @@ def _document_terms(hasher: Hasher, texts: pa.Array):
         yield low, len(offsets) - 1, d[new], h[new]
 
 
-def _candidates(texts: DataFrame, least: float) -> DataFrame:
-    """(term) whose share of the documents of some task reaches `least`."""
+def _candidates(texts: DataFrame, least: float, total: int) -> DataFrame:
+    """(term): all that reach the share `least` of the `total` documents, and others, but none below half of it.
+
+    A task with d documents sends a term that at least d x least / 2 of them hold. What tasks do not send is less than that
+    for each of them, so a term of the whole share has sent counts that exceed their tasks' d x least / 2 by total x least / 2.
+    """
+    half = least / 2
 
     def run(batches):
-        hasher, documents = Hasher(NOT_ALPHANUMERIC, fold=True), 0
+        hasher, documents = BlockHasher(NOT_ALPHANUMERIC, fold=True), 0
         terms, counts = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
         held, size = [], 0
 
@@ -75,16 +81,19 @@ def _candidates(texts: DataFrame, least: float) -> DataFrame:
                     held, size = [], 0
         if size:
             terms, counts = merge()
-        yield pa.RecordBatch.from_arrays([pa.array(signed(terms[counts >= least * documents]))], ["term"])
+        some = counts >= half * documents
+        yield pa.RecordBatch.from_arrays([pa.array(signed(terms[some])), pa.array(counts[some] - half * documents)],
+                                         ["term", "above"])
 
-    return texts.mapInArrow(run, "term long").distinct()
+    sent = texts.mapInArrow(run, "term long, above double").groupBy("term").agg(F.sum("above").alias("above"))
+    return sent.where(F.col("above") >= half * total * (1 - 1e-9)).select("term")  # sums of doubles: a margin
 
 
 def _counted(texts: DataFrame, folder: str, name: str) -> DataFrame:
     """(term, count): documents that hold each term of a sorted list in the shared folder."""
 
     def run(batches):
-        hasher = Hasher(NOT_ALPHANUMERIC, fold=True)
+        hasher = BlockHasher(NOT_ALPHANUMERIC, fold=True)
         known = Lexicon(np.frombuffer(Files(folder).read(name), dtype=np.uint64))
         counts = np.zeros(len(known.terms), dtype=np.int64)
         for b in batches:
@@ -105,7 +114,7 @@ def build_lexicon(documents: DataFrame, text_col: str = "text", least: float = L
     files = Files(folder)
     files.make()
     total = texts.count()
-    candidates = written(_candidates(texts, least), "candidate-terms")
+    candidates = written(_candidates(texts, least, total), "candidate-terms")
     blocks = max(1, -(-candidates.count() // block_terms))
     lexicon = [np.zeros(0, dtype=np.uint64)]
     for i in range(blocks):
@@ -137,7 +146,7 @@ class Lexicon:
 
 class Fingerprinter:
     def __init__(self, terms: np.ndarray):
-        self.hasher, self.lexicon = Hasher(NOT_ALPHANUMERIC, fold=True), Lexicon(terms)
+        self.hasher, self.lexicon = BlockHasher(NOT_ALPHANUMERIC, fold=True), Lexicon(terms)
         self.member = np.zeros(len(terms), dtype=np.uint64)  # bit k: the term is in random lexicon k
         for k in range(PARTS):
             inside = mixed(terms, 1000 + k) < np.uint64(2**64 // RATES[k // PER_RATE])
@@ -218,8 +227,7 @@ def edited_fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col:
     before = [(firsts[i - 1][0], at, tie) for i, (_, at, tie) in enumerate(firsts)]
     spark = documents.sparkSession
     heads = spark.createDataFrame(before, "shard int, place long, tie long")
-    # one row per `shard_bytes` of text: 50 MB for 100 TB
-    sent = rows.select("place", "tie", "text").join(F.broadcast(heads), ["place", "tie"])
+    sent = rows.select("place", "tie", "text").join(heads, ["place", "tie"])  # one row per `shard_bytes` of text
     every = rows.withColumn("shard", shard_of(where, F.col("place")).cast("int")).withColumn("extra", F.lit(0)).unionByName(
         sent.withColumn("extra", F.lit(1)), allowMissingColumns=True)
 

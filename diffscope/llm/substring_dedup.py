@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from diffscope.llm.store import written
-from diffscope.llm.words import Hasher, chunks, mixed, signed
+from diffscope.llm.words import BlockHasher, chunks, mixed, signed
 
 LENGTH = 20
 # A difference cover (a perfect difference set) and its period.
@@ -44,7 +44,7 @@ def _ids(words) -> list[bytes]:
 
 def _sequences(texts: DataFrame) -> DataFrame:
     def run(batches):
-        hasher = Hasher()
+        hasher = BlockHasher()
         for b in batches:
             ids, sizes = [], []
             for _, data, offsets in chunks(b.column(1)):
@@ -79,7 +79,7 @@ def _anchors(texts: DataFrame, length: int, cover: tuple[int, ...], period: int)
     on = np.isin(np.arange(period), cover)
 
     def run(batches):
-        hasher, seen = Hasher(), set()
+        hasher, seen = BlockHasher(), set()
         held, ids, count = [], [], 0
 
         def flush():
@@ -154,7 +154,7 @@ def _windows(flagged: DataFrame, length: int, period: int) -> DataFrame:
     """
 
     def run(batches):
-        hasher, seen = Hasher(), set()
+        hasher, seen = BlockHasher(), set()
         held, ids, count = [], [], 0
 
         def flush():
@@ -241,7 +241,7 @@ def _later(windows: DataFrame) -> DataFrame:
 
 def _kept(rows: DataFrame, length: int, keep_text: bool) -> DataFrame:
     def run(batches):
-        hasher = Hasher()
+        hasher = BlockHasher()
         for b in batches:
             texts = b.column(1)
             n_words, n_removed, digests, kept_texts = [], [], [], []

@@ -100,7 +100,7 @@ class BlockHasher(Hasher):
 
     def __init__(self, separators: bytes = WHITE_SPACE, fold: bool = False):
         super().__init__(separators, fold)
-        self.letter = np.arange(256, dtype=np.uint8)
+        self.fold, self.letter = fold, np.arange(256, dtype=np.uint8)
         if fold:
             self.letter[65:91] = self.letter[97:123]
 
@@ -114,14 +114,23 @@ class BlockHasher(Hasher):
         start = np.flatnonzero(inside & ~before)
         end = np.flatnonzero(inside & ~after) + 1
         size = end - start
-        blocks = (size + 7) // 8
-        heads = np.cumsum(blocks) - blocks
-        number = np.arange(int(blocks.sum())) - np.repeat(heads, blocks)
-        padded = np.concatenate((self.letter[data], np.zeros(8, dtype=np.uint8)))
-        block = np.ndarray(n + 1, dtype="<u8", buffer=padded, strides=(1,))[np.repeat(start, blocks) + 8 * number]
-        spare = np.clip(8 * (number + 1) - np.repeat(size, blocks), 0, 7).astype(np.uint64) * np.uint64(8)
-        block = (block << spare) + (number + 1).astype(np.uint64) * np.uint64(MULTIPLIER)
-        sums = np.add.reduceat(mixed(block), heads) if len(start) else np.zeros(0, dtype=np.uint64)
+        padded = np.zeros(n + 8, dtype=np.uint8)
+        padded[:n] = self.letter[data] if self.fold else data
+        eight = np.ndarray(n + 1, dtype="<u8", buffer=padded, strides=(1,))  # the 8 bytes from each place on
+
+        def hashed(at: np.ndarray, left: np.ndarray, number: np.ndarray | int) -> np.ndarray:
+            spare = (8 * np.maximum(8 - left, 0)).astype(np.uint64)
+            return mixed((eight[at] << spare) + np.uint64(MULTIPLIER) * (np.uint64(1) + np.uint64(number)))
+
+        sums = hashed(start, size, 0)
+        long = np.flatnonzero(size > 8)
+        if len(long):
+            more = (size[long] - 1) // 8  # blocks after the first
+            heads = np.cumsum(more) - more
+            number = np.arange(int(more.sum())) - np.repeat(heads, more) + 1
+            found = hashed(np.repeat(start[long], more) + 8 * number, np.repeat(size[long], more) - 8 * number,
+                           number.astype(np.uint64))
+            sums[long] += np.add.reduceat(found, heads)
         return Words(start, end, mixed(sums + size.astype(np.uint64), 2), np.searchsorted(start, offsets))
 
 

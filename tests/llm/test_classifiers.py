@@ -195,8 +195,16 @@ def test_quality_is_follow_the_regularised_leader():
 
 # ------------------------------------------------------------------ fingerprints
 
+def blocks(word):
+    value = 0
+    for i in range(0, len(word), 8):
+        part = word[i:i + 8]
+        value += mix(((int.from_bytes(part, "little") << 8 * (8 - len(part))) + (i // 8 + 1) * MULTIPLIER) & ALL)
+    return mix((value + len(word)) & ALL, 2)
+
+
 def terms(text):
-    return sorted({mix((polynomial(w.encode()) + len(w.encode())) & ALL, 2) for w in cases.alphanumeric(text)})
+    return sorted({blocks(w.encode()) for w in cases.alphanumeric(text)})
 
 
 def sequence(sorted_terms):

@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 from diffscope.llm import decontaminate, imatch, ngram_join, packing, quality, queries, secrets, substring_dedup, toxicity
 from diffscope.llm import training, warc, wavelet
 from diffscope.llm.store import Files
-from diffscope.llm.words import NOT_ALPHANUMERIC, Hasher, chunks
+from diffscope.llm.words import NOT_ALPHANUMERIC, BlockHasher, Hasher, chunks
 from tests.llm import cases
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -496,7 +496,7 @@ def test_lexicon_holds_the_terms_of_the_band(spark):
     folder = imatch.build_lexicon(cases.table(spark, rows, 7), least=0.03, most=0.2, block_terms=50)
     counts = Counter(w for _, t in rows for w in set(t.split()))
     expected = {w for w, c in counts.items() if 6 <= c <= 40}
-    hasher = Hasher(NOT_ALPHANUMERIC, fold=True)
+    hasher = BlockHasher(NOT_ALPHANUMERIC, fold=True)
     _, data, offsets = next(chunks(pa.array([" ".join(sorted(expected))])))
     terms = np.frombuffer(Files(folder).read("terms"), dtype=np.uint64)
     assert set(terms.tolist()) == set(hasher.words(data, offsets).hash.tolist()) and len(terms) == len(expected) > 5
