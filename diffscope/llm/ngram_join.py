@@ -24,21 +24,23 @@ from __future__ import annotations
 
 import hashlib
 import math
-import os
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from diffscope.llm.store import Files, shared_folder, written
-from diffscope.llm.words import Hasher, chunks, mixed, signed
+from diffscope.llm.words import BlockHasher, chunks, mixed, signed
 
 LARGEST_LIGHT = 16  # sizes considered for the boundary: subsets of larger sets are too many to be the cheaper way
 CELL_BITS = (16, 26)  # least and most bits of the rarity table: 64 KB to 64 MB in each worker
 BLOCK_BITS = 16
+HELD_CELLS = 4_000_000  # shingles a task holds before it sends their cells: 16 MB
+SALTS = 16
 FILTER_BITS = 1 << 29  # 64 MB in each worker
 
 
@@ -62,7 +64,7 @@ def light_rows(size: int, threshold: tuple[int, int]) -> int:
     return sum(math.comb(size, subset_size(a, threshold)) for a in range(needed(size, threshold), size + 1))
 
 
-def shingles(hasher: Hasher, texts: pa.Array, n: int) -> Iterator[np.ndarray]:
+def shingles(hasher: BlockHasher, texts: pa.Array, n: int) -> Iterator[np.ndarray]:
     """For each text its sorted distinct shingle hashes."""
     for _, data, offsets in chunks(texts):
         words = hasher.words(data, offsets)
@@ -87,7 +89,7 @@ def _sets(documents: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame
     """(doc_id, tag, n, set): the size of each document's set and the digest that names it; tag is a hash of the text."""
 
     def run(batches):
-        hasher = Hasher(fold=True)
+        hasher = BlockHasher(fold=True)
         for b in batches:
             sizes, ids = [], []
             for s in shingles(hasher, b.column(2), n):
@@ -110,46 +112,68 @@ def _rarity(texts: DataFrame, n: int, total: int) -> tuple[str, float]:
     shift, blocks = np.uint64(64 - bits), 1 << (bits - BLOCK_BITS)
 
     def count(batches):
-        hasher, cells, seen = Hasher(fold=True), np.zeros(1 << bits, dtype=np.int64), set()
+        hasher, seen, held, size = BlockHasher(fold=True), set(), [], 0
+        salt = TaskContext.get().partitionId() % SALTS
+
+        def sent():
+            """Cells that are not empty, by block: their low bits and counts."""
+            cells = np.sort(np.concatenate(held))
+            first = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
+            counts = np.diff(np.append(first, len(cells))).astype(np.uint32)
+            cells = cells[first]
+            edges = np.searchsorted(cells >> BLOCK_BITS, np.arange(blocks + 1))
+            some = [(i, low, high) for i, (low, high) in enumerate(zip(edges, edges[1:])) if low < high]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([i for i, _, _ in some]), pa.array([salt] * len(some)),
+                 pa.array([cells[low:high].astype(np.uint16).tobytes() for _, low, high in some]),
+                 pa.array([counts[low:high].tobytes() for _, low, high in some])], ["block", "salt", "cells", "counts"])
+
         for b in batches:
             for s in shingles(hasher, b.column(0), n):
                 if len(s) and (key := set_id(s)) not in seen:
                     seen.add(key)
-                    np.add.at(cells, (s >> shift).astype(np.int64), 1)
-        if seen:
-            for block, part in enumerate(cells.reshape(blocks, -1)):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block]), pa.array([os.getpid() % 16]), pa.array([part.astype(np.uint32).tobytes()])],
-                    ["block", "salt", "cells"])
+                    held.append((s >> shift).astype(np.uint32))
+                    size += len(s)
+                    if size >= HELD_CELLS:
+                        yield sent()
+                        held, size = [], 0
+        if held:
+            yield sent()
 
     def summed(batches):
-        sums: dict[tuple[int, int], np.ndarray] = {}
+        """(block, salt, counts of its cells) of rows sorted by block and salt: one block is held at a time."""
+        at, cells = None, np.zeros(1 << BLOCK_BITS, dtype=np.uint64)
         for b in batches:
-            for block, salt, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                part = np.frombuffer(raw.as_buffer(), dtype=np.uint32)
-                if (block, salt) in sums:
-                    sums[block, salt] += part
-                else:
-                    sums[block, salt] = part.astype(np.uint64)
-        return sums
+            for block, salt, places, counts in zip(*(c.to_pylist() for c in b.columns)):
+                if (block, salt) != at:
+                    if at is not None:
+                        yield *at, cells
+                    at = block, salt
+                    cells[:] = 0
+                cells[np.frombuffer(places, dtype=np.uint16)] += np.frombuffer(counts, dtype=np.uint32)
+        if at is not None:
+            yield *at, cells
 
     def add(batches):
-        for (block, salt), part in summed(batches).items():
+        for block, salt, cells in summed(batches):
+            places = np.flatnonzero(cells)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([block]), pa.array([salt]), pa.array([np.minimum(part, 2**32 - 1).astype(np.uint32).tobytes()])],
-                ["block", "salt", "cells"])
+                [pa.array([block]), pa.array([salt]), pa.array([places.astype(np.uint16).tobytes()]),
+                 pa.array([np.minimum(cells[places], 2**32 - 1).astype(np.uint32).tobytes()])],
+                ["block", "salt", "cells", "counts"])
 
     def rank(batches):
-        for (block, _), part in summed(batches).items():
-            part = part.astype(np.float64)
+        for block, _, cells in summed(batches):
+            part = cells.astype(np.float64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([block]), pa.array([np.rint(4 * np.log2(part + 1)).astype(np.uint8).tobytes()]),
                  pa.array([part.sum()]), pa.array([(part * part).sum()])], ["block", "ranks", "ones", "twos"])
 
-    schema = "block long, salt long, cells binary"
-    parts = texts.select("text").mapInArrow(count, schema).repartition("block", "salt").mapInArrow(add, schema)
-    found = parts.withColumn("salt", F.lit(0).cast("long")).repartition("block").mapInArrow(
-        rank, "block long, ranks binary, ones double, twos double").collect()
+    schema = "block long, salt long, cells binary, counts binary"
+    parts = texts.select("text").mapInArrow(count, schema).repartition("block", "salt").sortWithinPartitions(
+        "block", "salt").mapInArrow(add, schema)
+    found = parts.withColumn("salt", F.lit(0).cast("long")).repartition("block").sortWithinPartitions("block").mapInArrow(
+        rank, "block long, ranks binary, ones double, twos double").collect()  # a table of at most 2^26 bytes
     table = np.zeros((blocks, 1 << BLOCK_BITS), dtype=np.uint8)
     for row in found:
         table[row.block] = np.frombuffer(row.ranks, dtype=np.uint8)
@@ -180,7 +204,7 @@ def _postings(texts: DataFrame, n: int, threshold: tuple[int, int], folder: str,
     """(key, set, n): subset keys of light sets, prefix shingles of the others. Copies inside a task post once."""
 
     def run(batches):
-        hasher, seen = Hasher(fold=True), set()
+        hasher, seen = BlockHasher(fold=True), set()
         ranks = np.frombuffer(Files(folder).read("ranks"), dtype=np.uint8)
         shift = np.uint64(64 - int(math.log2(len(ranks))))
         chosen: dict[tuple[int, int], np.ndarray] = {}
@@ -279,7 +303,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, threshold: tuple[int,
     p, q = threshold
 
     def run(batches):
-        hasher = Hasher(fold=True)
+        hasher = BlockHasher(fold=True)
         for b in batches:
             keep, held = [], (None, None)
             left = shingles(hasher, b.column(2), n)
@@ -321,7 +345,7 @@ def _rest(groups: DataFrame, members: DataFrame, n: int, threshold: tuple[int, i
         "unit", "set", "c", "mine", "alone", "text")
 
     def run(batches):
-        hasher, unit, held = Hasher(fold=True), None, []
+        hasher, unit, held = BlockHasher(fold=True), None, []
 
         def solve():
             if len({r[1] for r in held}) < 2 or (len({r[2] for r in held}) == 1 and not held[0][3]):
@@ -423,7 +447,7 @@ def _counted(lists: DataFrame, members: DataFrame, copies: DataFrame, n: int, th
         "g", "a", "b", "mine", "set", "all", "copies", "text")
 
     def run(batches):
-        hasher, unit, held = Hasher(fold=True), None, []
+        hasher, unit, held = BlockHasher(fold=True), None, []
 
         def solve():
             g, a, b = unit
@@ -538,7 +562,7 @@ def _members(texts: DataFrame, lists: DataFrame, classes: DataFrame, n: int) ->
             yield pa.RecordBatch.from_arrays(b.columns[:2], ["doc_id", "text"]).filter(pa.array(keep))
 
     def right_set(batches):
-        hasher, seen = Hasher(fold=True), set()
+        hasher, seen = BlockHasher(fold=True), set()
         for b in batches:
             keep = []
             for want, s in zip(b.column(0).to_pylist(), shingles(hasher, b.column(1), n)):
