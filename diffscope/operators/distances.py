@@ -2,8 +2,8 @@
 
 A breadth-first search from every node of a graph takes (nodes x edges) steps. Graphs of at most `WORK` steps are dealt to
 tasks by graph and searched there, many small ones side by side: the state is one cell per node and source, sources go in
-slices so that a slice has at most `CELLS` cells, and only cells of the current level are expanded, so a long chain costs
-its pairs and not its levels times its size. Dependencies (betweenness) are handed back level by level over the same cells.
+slices so that a slice has at most `CELLS` cells and as many steps along edges, and only cells of the current level are
+expanded, so a long chain costs its pairs and not its levels times its size. Dependencies (betweenness) are handed back level by level over the same cells.
 
 Larger graphs are searched on the cluster, level by level. For distances a row is a node with 64 sources as the bits of one
 number, frontiers are united by `bit_or`, and new bits are counted per node and level; the states of `ROWS` rows are open at
@@ -23,7 +23,7 @@ from diffscope.session import written
 
 G = "graph_id"
 WORK = 10**9
-CELLS = 1 << 21
+CELLS = 1 << 18  # cells of a slice, and steps along edges: about 40 MB in a worker
 ROWS = 50_000_000
 SUMS = ("reached", "total", "raw", "pairs", "length", "longest")
 
@@ -107,7 +107,7 @@ def _searched(graphs: list[tuple]) -> pa.RecordBatch:
     directed = np.unique(np.array(edges, dtype=np.int64).reshape(-1, 2), axis=0)
     both = np.unique(np.concatenate((directed, directed[:, ::-1])), axis=0)
     one, two = Search(sizes, directed), Search(sizes, both)
-    width = max(1, min(max(sizes), CELLS // max(1, len(names))))
+    width = max(1, min(max(sizes), CELLS // max(1, len(names), len(both))))
     sums = {name: np.zeros(len(names), dtype=np.float64 if name == "raw" else np.int64) for name in SUMS}
     for low in range(0, max(sizes), width):
         high = min(low + width, max(sizes))
@@ -128,12 +128,12 @@ def _in_tasks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         held: list[tuple] = []
         largest = total = 0
         for graph in graphs(batches):
-            n = len(graph[1])
-            if held and (total + n) * max(largest, n) > CELLS:
+            n, size = len(graph[1]), len(graph[1]) + 2 * len(graph[2])  # edges are also searched both ways
+            if held and (total + size) * max(largest, n) > CELLS:
                 yield _searched(held)
                 held, largest, total = [], 0, 0
             held.append(graph)
-            largest, total = max(largest, n), total + n
+            largest, total = max(largest, n), total + size
         if held:
             yield _searched(held)
 

@@ -140,3 +140,17 @@ def test_long_chain_settles_in_one_union_find(spark):
                                   F.format_string("n%06d", F.col("id") + 1).alias("dst"))
     found = G.components(G.edge_nodes(edges), edges)
     assert found.where("component = 'n000000'").count() == n + 1
+
+
+def test_slices_are_bounded_by_steps_along_edges(monkeypatch):
+    steps, run = [], distances.Search.run
+
+    def noted(self, low, high, dependencies):
+        steps.append((high - low) * len(self.target))
+        return run(self, low, high, dependencies)
+
+    monkeypatch.setattr(distances.Search, "run", noted)
+    names = [f"{i:03d}" for i in range(200)]
+    found = distances._searched([("g", set(names), [(a, b) for a in names for b in names])]).to_pydict()
+    assert found["total"] == found["pairs"] == [199] * 200 and found["longest"] == [1] * 200
+    assert max(steps) <= 1 << 18
