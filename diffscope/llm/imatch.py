@@ -227,7 +227,8 @@ def edited_fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col:
     before = [(firsts[i - 1][0], at, tie) for i, (_, at, tie) in enumerate(firsts)]
     spark = documents.sparkSession
     heads = spark.createDataFrame(before, "shard int, place long, tie long")
-    sent = rows.select("place", "tie", "text").join(heads, ["place", "tie"])  # one row per `shard_bytes` of text
+    # one row per `shard_bytes` of text: its size is unknown to the planner, which would shuffle all texts a second time
+    sent = rows.select("place", "tie", "text").join(F.broadcast(heads), ["place", "tie"])
     every = rows.withColumn("shard", shard_of(where, F.col("place")).cast("int")).withColumn("extra", F.lit(0)).unionByName(
         sent.withColumn("extra", F.lit(1)), allowMissingColumns=True)
 
