@@ -27,8 +27,7 @@ NODE_DDL = (
     "ctl_depth:int,call_depth:int,def_depth:int,scope_fn:int,last_fn:string,open_fn:string,known:boolean,"
     "owner:string,cfg_parent:int,is_docstr:boolean>>"
 )
-RESULT_DDL = f"struct<status:string,nodes:{NODE_DDL}>"
-BOTH_DDL = f"struct<status:string,nodes:{NODE_DDL},label_status:string,label_nodes:{NODE_DDL}>"
+CHUNK_ROWS = 50_000  # node rows held as Python tuples at a time: about 20 MB
 
 _INT, _STR, _BOOL = pa.int32(), pa.string(), pa.bool_()
 _FIELDS = [
@@ -37,6 +36,7 @@ _FIELDS = [
     ("last_fn", _STR), ("open_fn", _STR), ("known", _BOOL), ("owner", _STR), ("cfg_parent", _INT),
     ("is_docstr", _BOOL),
 ]
+FIELDS = tuple(name for name, _ in _FIELDS)
 _CONTROL = frozenset((ast.If, ast.For, ast.While, ast.Try, ast.With))
 _WITH_CTX = frozenset((ast.Name, ast.Attribute, ast.Subscript, ast.Starred, ast.List, ast.Tuple))
 _FLOW = {ast.FunctionDef: ("body",), ast.If: ("body", "orelse"), ast.For: ("body",), ast.While: ("body",)}
@@ -167,21 +167,33 @@ def walk_nodes(tree) -> list[tuple]:
     return rows
 
 
+def _nodes_ddl(fields: tuple[str, ...]) -> str:
+    kinds = dict(part.split(":") for part in NODE_DDL[len("array<struct<"):-2].split(","))
+    return "array<struct<" + ",".join(f"{name}:{kinds[name]}" for name in fields) + ">>"
+
+
 class _NodeLists:
-    """Collects node rows of many snippets into one Arrow list array."""
+    """Collects the given fields of the node rows of many snippets into one Arrow list array, `CHUNK_ROWS` rows at a time."""
 
-    def __init__(self):
-        self.offsets, self.rows, self.missing = [0], [], []
+    def __init__(self, fields: tuple[str, ...]):
+        self.fields = [(FIELDS.index(name), *_FIELDS[FIELDS.index(name)]) for name in fields]
+        self.offsets, self.rows, self.missing, self.chunks = [0], [], [], []
 
     def add(self, rows: list | None) -> None:
         self.rows.extend(rows or ())
-        self.offsets.append(len(self.rows))
+        self.offsets.append(self.offsets[-1] + len(rows or ()))
         self.missing.append(rows is None)
+        if len(self.rows) >= CHUNK_ROWS:
+            self._close()
+
+    def _close(self) -> None:
+        self.chunks.append(pa.StructArray.from_arrays([pa.array([r[i] for r in self.rows], type=t) for i, _, t in self.fields],
+                                                      fields=[pa.field(n, t) for _, n, t in self.fields]))
+        self.rows = []
 
     def array(self) -> pa.Array:
-        columns = list(zip(*self.rows)) if self.rows else [()] * len(_FIELDS)
-        nodes = pa.StructArray.from_arrays([pa.array(c, type=t) for c, (_, t) in zip(columns, _FIELDS)],
-                                           fields=[pa.field(n, t) for n, t in _FIELDS])
+        self._close()
+        nodes = pa.concat_arrays(self.chunks)
         return pa.ListArray.from_arrays(pa.array(self.offsets, type=pa.int32()), nodes,
                                         mask=pa.array(self.missing, type=_BOOL) if any(self.missing) else None)
 
@@ -190,56 +202,67 @@ def _rows(tree) -> list:
     return walk_nodes(tree) if tree is not None else []
 
 
-def _batch_parser(mode: str):
+def _dealt(parsed: pa.Array, indices: pa.Array) -> pa.Array:
+    """The results of the distinct snippets, one for each row."""
+    if len(parsed) == len(indices) and not indices.null_count:  # all distinct, and numbered in their order
+        return parsed
+    return parsed.take(indices)
+
+
+def _batch_parser(mode: str, fields: tuple[str, ...]):
     def parse_batch(codes: pa.Array) -> pa.Array:
         distinct = codes.dictionary_encode()
-        status, lists = [], _NodeLists()
+        status, lists = [], _NodeLists(fields)
         for code in distinct.dictionary.to_pylist():
             state, tree = parse_snippet(code, mode)
             status.append(state)
             lists.add(_rows(tree))
         parsed = pa.StructArray.from_arrays([pa.array(status, type=_STR), lists.array()], names=["status", "nodes"])
-        return parsed.take(distinct.indices)
+        return _dealt(parsed, distinct.indices)
+
+    return parse_batch
+
+
+def _both_parser(fields: tuple[str, ...]):
+    def parse_batch(codes: pa.Array) -> pa.Array:
+        distinct = codes.dictionary_encode()
+        status, label_status, lists, label_lists = [], [], _NodeLists(fields), _NodeLists(fields)
+        for code in distinct.dictionary.to_pylist():
+            state, tree = parse_snippet(code, "extractor")
+            status.append(state)
+            lists.add(_rows(tree))
+            if code and code.strip() and candidates(code, "extractor") == candidates(code, "label"):
+                label_status.append(state)
+                label_lists.add(None)
+            else:
+                state, tree = parse_snippet(code, "label")
+                label_status.append(state)
+                label_lists.add(_rows(tree))
+        parsed = pa.StructArray.from_arrays(
+            [pa.array(status, type=_STR), lists.array(), pa.array(label_status, type=_STR), label_lists.array()],
+            names=["status", "nodes", "label_status", "label_nodes"])
+        return _dealt(parsed, distinct.indices)
 
     return parse_batch
 
 
-def _parse_both_batch(codes: pa.Array) -> pa.Array:
-    distinct = codes.dictionary_encode()
-    status, label_status, lists, label_lists = [], [], _NodeLists(), _NodeLists()
-    for code in distinct.dictionary.to_pylist():
-        state, tree = parse_snippet(code, "extractor")
-        status.append(state)
-        lists.add(_rows(tree))
-        if code and code.strip() and candidates(code, "extractor") == candidates(code, "label"):
-            label_status.append(state)
-            label_lists.add(None)
-        else:
-            state, tree = parse_snippet(code, "label")
-            label_status.append(state)
-            label_lists.add(_rows(tree))
-    parsed = pa.StructArray.from_arrays(
-        [pa.array(status, type=_STR), lists.array(), pa.array(label_status, type=_STR), label_lists.array()],
-        names=["status", "nodes", "label_status", "label_nodes"])
-    return parsed.take(distinct.indices)
-
-
-def parse_both(code: Column) -> Column:
-    """STRUCT<status, nodes, label_status, label_nodes>: extractor and label mode in one pass.
+def parse_both(code: Column, fields: tuple[str, ...] = FIELDS) -> Column:
+    """STRUCT<status, nodes, label_status, label_nodes>: extractor and label mode in one pass; nodes have the given fields.
 
     label_nodes is null where both modes parse the same text (no blank lines), which is then parsed and sent once.
     """
-    return F.arrow_udf(_parse_both_batch, BOTH_DDL)(code)
+    nodes = _nodes_ddl(fields)
+    return F.arrow_udf(_both_parser(fields), f"struct<status:string,nodes:{nodes},label_status:string,label_nodes:{nodes}>")(code)
 
 
-def parse_nodes(code: Column, mode: str = "extractor") -> Column:
-    """STRUCT<status, nodes> for a code column."""
+def parse_nodes(code: Column, mode: str = "extractor", fields: tuple[str, ...] = FIELDS) -> Column:
+    """STRUCT<status, nodes> for a code column; nodes have the given fields, and only these are sent."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
-    return F.arrow_udf(_batch_parser(mode), RESULT_DDL)(code)
+    return F.arrow_udf(_batch_parser(mode, fields), f"struct<status:string,nodes:{_nodes_ddl(fields)}>")(code)
 
 
 def register(spark: SparkSession) -> None:
     """SQL functions parse_extractor(code), parse_label(code) and parse_raw(code)."""
     for mode in MODES:
-        spark.udf.register(f"parse_{mode}", F.arrow_udf(_batch_parser(mode), RESULT_DDL))
+        spark.udf.register(f"parse_{mode}", F.arrow_udf(_batch_parser(mode, FIELDS), f"struct<status:string,nodes:{NODE_DDL}>"))

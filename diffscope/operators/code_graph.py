@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from diffscope.session import written
+
 ARROW = "->"
 
 
@@ -106,8 +108,12 @@ def dep_edges(df: DataFrame, key: list[str], nodes: str = "nodes") -> DataFrame:
 def definition_graph(df: DataFrame, key: list[str], nodes: str = "nodes") -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of functions, classes and methods from `raw` node arrays.
 
-    A method appears both as Class.method and, as any function, under its bare name.
+    A method appears both as Class.method and, as any function, under its bare name. The definitions and calls are written
+    first: three tables come from them, and each would parse the code again.
     """
+    n = F.filter(nodes, lambda x: x["node_type"].isin("FunctionDef", "ClassDef", "Call"))
+    df = written(df.select(*key, F.transform(n, lambda x: F.struct(*[
+        x[f].alias(f) for f in ("node_type", "name", "open_fn", "known", "owner")])).alias(nodes)))
     n = F.col(nodes)
     functions = F.filter(n, lambda x: x["node_type"] == "FunctionDef")
     classes = F.filter(n, lambda x: x["node_type"] == "ClassDef")

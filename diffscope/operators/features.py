@@ -12,19 +12,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from diffscope.functions import text as X
-from diffscope.functions.syntax import parse_both
+from diffscope.functions.syntax import FIELDS, parse_both
 from diffscope.operators.code_graph import code_graph_features
 from diffscope.operators.labels import issue_flags, quality_labels
-from diffscope.operators.syntax_metrics import label_metrics, node_count_map, tree_metrics
+from diffscope.operators.syntax_metrics import label_metrics, node_count_map, node_types, tree_metrics
+
+UNUSED = ("node_id", "parent_id", "def_depth", "owner")  # node fields that no feature and no label reads
 
 def with_code(hunks: DataFrame) -> DataFrame:
     """Keep hunks with added text and add their code."""
     return hunks.where(X.has_added_text(F.col("added_lines"))).withColumn("code", X.join_lines(F.col("added_lines")))
 
 
-def with_parses(hunks: DataFrame) -> DataFrame:
-    """Add `nodes`, `label_nodes` and `label_status` of `code`, in one pass through the Python workers."""
-    parsed = hunks.withColumn("_parsed", parse_both(F.col("code")))
+def with_parses(hunks: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """Add `nodes`, `label_nodes` and `label_status` of `code`, in one pass through the Python workers; nodes have `fields`."""
+    parsed = hunks.withColumn("_parsed", parse_both(F.col("code"), fields))
     return parsed.withColumns({
         "nodes": F.col("_parsed.nodes"),
         "label_nodes": F.coalesce("_parsed.label_nodes", "_parsed.nodes"),
@@ -71,9 +73,10 @@ def with_feature_map(df: DataFrame) -> DataFrame:
 
     Later groups win where names meet: syntax, code graph, hunk features, cleaning and issue flags, node counts.
     """
-    nodes = F.col("nodes")
+    df = df.withColumn("_types", node_types(F.col("nodes")))  # read often, so the optimizer leaves it a column of its own
+    nodes, types = F.col("nodes"), F.col("_types")
     groups = {
-        **tree_metrics(nodes),
+        **tree_metrics(nodes, types),
         **code_graph_features(nodes),
         **hunk_feature_columns(df),
         "tokenized_length": X.token_count(X.clean_code(F.col("code"))),
@@ -83,7 +86,7 @@ def with_feature_map(df: DataFrame) -> DataFrame:
     fixed = F.map_from_arrays(F.array(*[F.lit(n) for n in groups]),
                               F.array(*[c.cast("double") for c in groups.values()]))
     # node counts are named ast_<type>_count, which no fixed name is
-    return df.withColumn("features", F.map_concat(fixed, node_count_map(nodes)))
+    return df.withColumn("features", F.map_concat(fixed, node_count_map(nodes, types))).drop("_types")
 
 
 def labelled_features(hunks: DataFrame) -> DataFrame:
@@ -91,7 +94,8 @@ def labelled_features(hunks: DataFrame) -> DataFrame:
 
     Hunks without added text, or with nothing left after cleaning, are no samples.
     """
-    parsed = with_parses(with_code(hunks).where(X.not_blank(X.clean_code(F.col("code")))))
+    parsed = with_parses(with_code(hunks).where(X.not_blank(X.clean_code(F.col("code")))),
+                         tuple(name for name in FIELDS if name not in UNUSED))
     return with_feature_map(quality_labels(parsed)).drop("nodes", "label_nodes", "label_status")
 
 

@@ -12,6 +12,7 @@ from diffscope.operators.syntax_metrics import has_docstring, nesting_depth
 from diffscope.session import written
 
 GOOD_ABOVE = 0.45
+NODE_FIELDS = ("node_type", "ctl_depth", "is_docstr")  # what a label reads of a node
 
 _TAIL = r".*:[\s\x1c-\x1f]*$"
 

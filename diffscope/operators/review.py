@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from diffscope.functions import review_text as R
+from diffscope.functions.syntax import FIELDS
 from diffscope.functions.text import has_added_text
-from diffscope.operators.labels import quality_labels
+from diffscope.operators.labels import NODE_FIELDS, quality_labels
 from diffscope.operators.features import with_parses
 from diffscope.operators.syntax_metrics import tree_metrics
 
 
 def with_review_inputs(hunks: DataFrame, keep_nodes: bool = False) -> DataFrame:
     """Add code, issues, quality label, cyclomatic_complexity, num_functions and ast_parseable to hunks."""
-    parsed = with_parses(hunks.withColumn("code", F.array_join("added_lines", "\n")))
+    parsed = with_parses(hunks.withColumn("code", F.array_join("added_lines", "\n")), FIELDS if keep_nodes else NODE_FIELDS)
     tree = tree_metrics(F.col("nodes"))
     inputs = quality_labels(parsed).withColumns({
         "cyclomatic_complexity": tree["cyclomatic_complexity"],

@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from diffscope.functions.syntax import parse_nodes
+from diffscope.functions.syntax import FIELDS, parse_nodes
 from diffscope.functions.text import let, line_metrics
 
 CONTROL = ("If", "For", "While", "Try", "With")
 
 
 def with_nodes(df: DataFrame, code: str, mode: str = "extractor", column: str = "nodes",
-               status: str | None = None) -> DataFrame:
-    """Add the node array of `code`; empty when the code does not parse. `status` names an optional status column."""
-    parsed = df.withColumn("_parsed", parse_nodes(F.col(code), mode))
+               status: str | None = None, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """Add the node array of `code`; empty when the code does not parse. `status` names an optional status column.
+
+    `fields` are those the nodes have: what is not used need not be sent from the Python workers.
+    """
+    parsed = df.withColumn("_parsed", parse_nodes(F.col(code), mode, fields))
     out = parsed.withColumn(column, F.col("_parsed.nodes"))
     if status:
         out = out.withColumn(status, F.col("_parsed.status"))
@@ -57,9 +60,12 @@ def unique_node_types(nodes: Column) -> Column:
     return F.size(F.array_distinct(_types(nodes)))
 
 
-def tree_metrics(nodes: Column) -> dict[str, Column]:
-    """Counts, depth and complexity of an `extractor` node array; all 0 when it is empty."""
-    types = _types(nodes)
+def tree_metrics(nodes: Column, types: Column | None = None) -> dict[str, Column]:
+    """Counts, depth and complexity of an `extractor` node array; all 0 when it is empty.
+
+    `types`, if given, is a column with the node types, so that each metric need not take them from the nodes again.
+    """
+    types = _types(nodes) if types is None else types
     control = F.filter(nodes, lambda n: n["node_type"].isin(*CONTROL))
     parsed = F.size(nodes) > 0
     branch = _tally(types, "If", "For", "While", "Try", "With", "ExceptHandler")
@@ -88,13 +94,18 @@ def function_names(nodes: Column) -> Column:
     return F.transform(F.filter(nodes, lambda n: n["node_type"] == "FunctionDef"), lambda n: n["name"])
 
 
-def node_count_map(nodes: Column) -> Column:
-    """MAP ast_<type>_count -> count for the node types present."""
+def node_types(nodes: Column) -> Column:
+    """The node types alone, in the order of the nodes."""
+    return _types(nodes)
+
+
+def node_count_map(nodes: Column, types: Column | None = None) -> Column:
+    """MAP ast_<type>_count -> count for the node types present; `types` as in `tree_metrics`."""
     def entry(types: Column, t: Column) -> Column:
         return F.struct(F.concat(F.lit("ast_"), F.lower(t), F.lit("_count")),
                         F.size(F.filter(types, lambda x: x == t)).cast("double"))
 
-    return let(_types(nodes), lambda types: F.map_from_entries(
+    return let(_types(nodes) if types is None else types, lambda types: F.map_from_entries(
         F.transform(F.array_distinct(types), lambda t: entry(types, t))))
 
 

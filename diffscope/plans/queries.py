@@ -430,7 +430,7 @@ def definition_graph(spark, folder):
 
 def _labelled(spark, folder) -> DataFrame:
     hunks = V.code_hunks(_docs(spark, folder)).withColumn("code", _lined("added_lines"))
-    parsed = SM.with_nodes(hunks, "code", "label", "label_nodes", "label_status")
+    parsed = SM.with_nodes(hunks, "code", "label", "label_nodes", "label_status", L.NODE_FIELDS)
     return L.quality_labels(parsed)
 
 

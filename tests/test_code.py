@@ -2,11 +2,13 @@
 
 import ast
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from diffscope.functions import syntax
 from diffscope.functions.syntax import parse_snippet, register, walk_nodes
 from diffscope.operators.code_graph import code_graph_features, definition_graph
 from diffscope.operators.features import labelled_features, with_code, with_parses
@@ -145,3 +147,20 @@ def test_walk_visits_every_node_once(body):
 def test_parser_never_fails(code):
     for mode in ("extractor", "label", "raw"):
         assert parse_snippet(code, mode)[0] in ("ok", "wrapped", "blank", "syntax", "limit")
+
+
+def test_definition_graph_parses_once(spark):
+    nodes, edges = definition_graph(with_nodes(spark.createDataFrame([(1, "def a():\n    pass")], "k int, code string"), "code", "raw"), ["k"])
+    for table in (nodes, edges):
+        assert "ArrowEvalPython" not in table._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_wanted_fields_of_many_nodes(spark, monkeypatch):
+    codes = ["x = 1", "def f(:", "for i in a:\n    pass", "x = 1"] * 3
+    monkeypatch.setattr(syntax, "CHUNK_ROWS", 4)
+    few = syntax._batch_parser("raw", ("node_type", "ctl_depth"))(pa.array(codes)).to_pylist()
+    monkeypatch.setattr(syntax, "CHUNK_ROWS", 10**6)
+    whole = syntax._batch_parser("raw", syntax.FIELDS)(pa.array(codes)).to_pylist()
+    assert [r["status"] for r in few] == [r["status"] for r in whole]
+    assert [r["nodes"] for r in few] == [[{k: n[k] for k in ("node_type", "ctl_depth")} for n in r["nodes"]] for r in whole]
+    assert set(few[0]["nodes"][0]) == {"node_type", "ctl_depth"} and len(whole[0]["nodes"][0]) == 17
