@@ -69,3 +69,16 @@ def test_nominal_features_are_refused(spark):
 
     with pytest.raises(AttributeError):
         XP.forest_leaves(Model(), spark)
+
+
+def test_short_paths_take_few_points(monkeypatch):
+    inf, points, rule = np.inf, [], np.polynomial.legendre.leggauss
+    monkeypatch.setattr(np.polynomial.legendre, "leggauss", lambda n: points.append(n) or rule(n))
+    feature = np.array([[0, 0, 0, 0], [0, 1, 2, 3]])
+    low = np.array([[0.5, -inf, -inf, -inf], [0.5, 0.5, 0.5, 0.5]])
+    share = np.array([[0.25, 1, 1, 1], [0.5, 0.5, 0.5, 0.5]])
+    leaves = XP.Leaves(feature, low, np.full((2, 4), inf), share, np.array([1.0, 1.0]))
+    got = XP.leaf_attributions(leaves, np.ones((1, 4)), 4)
+    even = (1 - 0.5 ** 4) / 4
+    assert got[0] == pytest.approx([0.75 + even, even, even, even])
+    assert points == [1, 3]
