@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from diffscope.operators.evaluate import class_weights
 from diffscope.operators.sampling import hash_sample, key_digest
+from diffscope.session import written
 
 MODEL_NAMES = ("logistic", "random_forest", "svm")
 OUTPUT_COLUMNS = ("scaled", "mapped", "margin", "margin_prediction", "raw", "probability_vector", "model_prediction")
@@ -155,7 +156,8 @@ def fit_svm(df: DataFrame, key: list[str], width: int, features: str = "vector",
             if len({r[label] for r in counts if r["_fold"] != i}) < 2:
                 raise ValueError("calibration needs rows of both labels outside each fold")
         with ThreadPool(folds) as pool:
-            margins = reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(held), range(folds)))
+            # written: every step of the fit would otherwise carry the plans and partitions of all folds
+            margins = written(reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(held), range(folds))))
         platt = LogisticRegression(featuresCol="margin", labelCol=label, maxIter=100, rawPredictionCol="raw",
                                    probabilityCol="probability_vector", predictionCol="model_prediction").fit(margins)
         return PipelineModel(stages=[scaler, mapping, machine(rows), platt])

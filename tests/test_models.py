@@ -95,3 +95,17 @@ def test_pooling_of_far_scores_and_null_bags(spark, scale):
         assert all(weights[bag, r[1]] is None for r in mine if r[2] is None)
     plan = P.attention_pool(df, "bag", "v", "s")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_calibration_reads_margins_once(spark, monkeypatch):
+    plans, fit = [], M.LogisticRegression.fit
+
+    def noted(self, df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return fit(self, df)
+
+    monkeypatch.setattr(M.LogisticRegression, "fit", noted)
+    rows = spark.range(60).select(F.col("id").alias("k"), (F.col("id") % 2).cast("double").alias("label"), F.lit(1.0).alias("weight"),
+                                  array_to_vector(F.array((F.col("id") % 7).cast("double"), (F.col("id") % 2) * 1.0)).alias("vector"))
+    M.fit_svm(rows, ["k"], 2, iterations=2)
+    assert len(plans) == 1 and "Union" not in plans[0]
