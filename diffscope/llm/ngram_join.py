@@ -12,7 +12,8 @@
    blocks, and the overlaps of all their members computed block by block inside tasks; only links that join components
    come out. No pair is left out, so the components are exact.
 5. Where the number of links is asked for (`links`), all pairs of all lists are verified in this way instead, each in one
-   place only: in the least of the centres that both sets have. They are counted, not emitted; a spanning forest comes out.
+   place only: in the least of the centres that both sets have. Pairs whose sizes and bitmaps (`parity`) rule a link out
+   need no texts, so only sets with another pair are read again. Links are counted, not emitted; a spanning forest comes out.
 
 Rarity is a count over all documents in a fixed number of hash cells. It only orders the shingles: whatever its
 precision, results are the same. Defined cases: null text is empty text, without shingles and linked with nothing;
@@ -30,7 +31,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from diffscope.llm.store import Files, shared_folder, written
@@ -42,6 +43,8 @@ BLOCK_BITS = 16
 HELD_CELLS = 4_000_000  # shingles a task holds before it sends their cells: 16 MB
 SALTS = 16
 FILTER_BITS = 1 << 29  # 64 MB in each worker
+FEW_PAIRS = 200  # pairs of bitmaps that are compared one by one
+COMPARED = 1 << 18  # words of bitmaps compared at once: 2 MB
 
 
 def needed(size: int, threshold: tuple[int, int]) -> int:
@@ -64,6 +67,14 @@ def light_rows(size: int, threshold: tuple[int, int]) -> int:
     return sum(math.comb(size, subset_size(a, threshold)) for a in range(needed(size, threshold), size + 1))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; by a sort, which is faster here than the hash table of `np.unique`."""
+    x = np.sort(x)
+    first = np.ones(len(x), dtype=bool)
+    np.not_equal(x[1:], x[:-1], out=first[1:])
+    return x[first]
+
+
 def shingles(hasher: BlockHasher, texts: pa.Array, n: int) -> Iterator[np.ndarray]:
     """For each text its sorted distinct shingle hashes."""
     for _, data, offsets in chunks(texts):
@@ -73,7 +84,7 @@ def shingles(hasher: BlockHasher, texts: pa.Array, n: int) -> Iterator[np.ndarra
         short = {k: hasher.grams(words, k) for k in set(words.counts.tolist()) if 0 < k < n}
         for d, count in enumerate(words.counts.tolist()):
             if count >= n:
-                yield np.unique(h[cut[d]:cut[d + 1]])
+                yield distinct(h[cut[d]:cut[d + 1]])
             elif count:
                 where, whole = short[count]
                 yield whole[np.searchsorted(where, words.first[d])][None]
@@ -85,24 +96,89 @@ def set_id(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def _sets(documents: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """(doc_id, tag, n, set): the size of each document's set and the digest that names it; tag is a hash of the text."""
+def parity(s: np.ndarray) -> bytes:
+    """Bitmap of a set: each bit tells whether an odd number of its shingles fall on it.
+
+    The length is the least power of two from 64 that is no less than the size. Each shingle that only one of two sets has
+    changes one bit, so no more bits differ than there are such shingles; halves may be added to compare with a shorter one.
+    """
+    size = max(64, 1 << (len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def maybe_linked(sizes: tuple[np.ndarray, np.ndarray], maps: tuple[list[bytes], list[bytes]],
+                 threshold: tuple[int, int]) -> np.ndarray:
+    """Pairs of two lists of sets that sizes and bitmaps do not rule out; every pair that reaches the threshold is one.
+
+    Sets of a and b shingles that reach p/q differ in at most (q - p)(a + b) / (q + p) shingles.
+    """
+    p, q = threshold
+    a, b = sizes[0][:, None], sizes[1][None, :]
+    found = q * np.minimum(a, b) >= p * np.maximum(a, b)
+    pairs = np.argwhere(found)
+    if len(pairs) <= FEW_PAIRS:
+        whole = [[(int.from_bytes(x, "little"), 8 * len(x)) for x in side] for side in maps]
+        for i, j in pairs.tolist():
+            (x, k), (y, m) = whole[0][i], whole[1][j]
+            while k > m:
+                k //= 2
+                x = x >> k ^ x & (1 << k) - 1
+            while m > k:
+                m //= 2
+                y = y >> m ^ y & (1 << m) - 1
+            found[i, j] = (p + q) * (x ^ y).bit_count() <= (q - p) * int(a[i, 0] + b[0, j])
+        return found
+
+    def by_length(side: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        length = np.array([len(x) // 8 for x in side])
+        return {int(k): (at := np.flatnonzero(length == k), np.frombuffer(
+            b"".join([side[i] for i in at]), dtype="<u8").reshape(len(at), -1)) for k in np.unique(length)}
+
+    def folded(rows: np.ndarray, length: int) -> np.ndarray:
+        while rows.shape[1] > length:
+            half = rows.shape[1] // 2
+            rows = rows[:, :half] ^ rows[:, half:]
+        return rows
+
+    left, right = (by_length(side) for side in maps)
+    for k, (i, x) in left.items():
+        for m, (j, y) in right.items():
+            if not found[np.ix_(i, j)].any():
+                continue
+            one, two = folded(x, min(k, m)), folded(y, min(k, m))
+            step = max(1, COMPARED // two.size)
+            for low in range(0, len(i), step):
+                part = i[low:low + step]
+                differ = np.bitwise_count(one[low:low + step, None] ^ two[None]).sum(axis=2, dtype=np.int64)
+                found[np.ix_(part, j)] &= (p + q) * differ <= (q - p) * (sizes[0][part][:, None] + sizes[1][j][None, :])
+    return found
+
+
+def _sets(documents: DataFrame, id_col: str, text_col: str, n: int, maps: bool = False) -> DataFrame:
+    """(doc_id, tag, n, set): the size of each document's set and the digest that names it; tag is a hash of the text.
+
+    With `maps` also the bitmap of the set.
+    """
 
     def run(batches):
         hasher = BlockHasher(fold=True)
         for b in batches:
-            sizes, ids = [], []
+            sizes, ids, bits = [], [], []
             for s in shingles(hasher, b.column(2), n):
                 sizes.append(len(s))
                 ids.append(set_id(s))
+                if maps:
+                    bits.append(parity(s))
+            more = [pa.array(bits, pa.binary())] if maps else []
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())],
-                ["doc_id", "tag", "n", "set"])
+                [b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), *more],
+                ["doc_id", "tag", "n", "set", "bits"][:4 + maps])
 
     kind = documents.schema[id_col].dataType.simpleString()
     text = F.col(text_col)
     return documents.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text")).mapInArrow(
-        run, f"doc_id {kind}, tag long, n long, set binary")
+        run, f"doc_id {kind}, tag long, n long, set binary" + (", bits binary" if maps else ""))
 
 
 def _rarity(texts: DataFrame, n: int, total: int) -> tuple[str, float]:
@@ -254,6 +330,7 @@ def _lists(postings: DataFrame) -> DataFrame:
     """Postings of the keys that two different sets share, with the first set of the list (centre, of m shingles).
 
     `more` is false for a list that is known to have two members only. Streams over sorted rows, whatever a key's length.
+    Most keys have one row: these go before Python sees them, and only the others are sorted by set as well.
     """
     names = ["key", "set", "n", "centre", "m", "more"]
 
@@ -294,7 +371,8 @@ def _lists(postings: DataFrame) -> DataFrame:
             last = (int(key[-1]), ids[len(ids) - 1].as_py(), centres[end].as_py(), sizes[end].as_py(),
                     bool(members[end] > 1))
 
-    return postings.repartition("key").sortWithinPartitions("key", "set").mapInArrow(
+    some = postings.repartition("key").withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("key")))
+    return some.where("rows > 1").drop("rows").sortWithinPartitions("key", "set").mapInArrow(
         run, "key long, set binary, n long, centre binary, m long, more boolean")
 
 
@@ -403,7 +481,7 @@ def _rest(groups: DataFrame, members: DataFrame, n: int, threshold: tuple[int, i
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Numbers of common elements of the sets of `left` with those of `right`."""
     a, b = np.concatenate(left), np.concatenate(right)
-    values = np.intersect1d(a, b)
+    values = np.intersect1d(distinct(a), distinct(b), assume_unique=True)
     both = np.zeros((len(left), len(right)), dtype=np.float32)
 
     def cells(sets, flat):
@@ -426,82 +504,131 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return both
 
 
-def _counted(lists: DataFrame, members: DataFrame, copies: DataFrame, n: int, threshold: tuple[int, int],
-             block: tuple[int, int]) -> DataFrame:
-    """All links of all lists: (u, v) of a spanning forest, and (u, null, linked) with the documents linked with set u.
+def _dealt(groups: DataFrame, block: tuple[int, int]) -> DataFrame:
+    """(g, a, b, mine, set): groups (rows g, set, n) cut into blocks of about `block` members and shingles.
 
-    Lists with one centre are a group, and groups are cut into blocks as in `_rest`. A pair may be in several groups and
-    counts in the first of them (by the hash of the centre); a set's groups, no more than its keys, come along with it.
+    Each pair of blocks a <= b is a unit; a member is in each unit of its own block `mine`.
     """
-    p, q = threshold
     most, room = block
-    groups = written(lists.select(F.xxhash64("centre").alias("g"), "set", "n").distinct(), "groups")
     large = groups.groupBy("g").agg(F.greatest(
         F.ceil(F.count(F.lit(1)) / most), F.ceil(F.sum("n") / room)).cast("int").alias("blocks")).where("blocks > 1")
-    sets = groups.groupBy("set").agg(F.collect_list("g").alias("all")).join(copies, "set").join(members, "set")
     cut = groups.join(large, "g", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     mine = F.pmod(F.xxhash64("set", F.lit(3)), F.col("blocks")).cast("int")
-    placed = cut.select("g", "set", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+    return cut.select("g", "set", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
         "g", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "mine", "set")
-    rows = placed.join(sets, "set").repartition("g", "a", "b").sortWithinPartitions("g", "a", "b", "set").select(
-        "g", "a", "b", "mine", "set", "all", "copies", "text")
+
+
+def _units(rows: DataFrame, kept: str, solve, schema: str) -> DataFrame:
+    """What `solve` makes of each unit of rows (g, a, b, mine and the columns `kept`), from its two sides (twice the same
+    where a = b). A side has a list for each column of `kept`."""
 
     def run(batches):
-        hasher, unit, held = BlockHasher(fold=True), None, []
+        unit, held = None, []
 
-        def solve():
+        def solved():
             g, a, b = unit
-            left, right = [r for r in held if r[0] == a], [r for r in held if r[0] == b]
-            if not left or not right or len(held) < 2:
-                return None
-            size = [np.array([len(r[4]) for r in side], dtype=np.float64) for side in (left, right)]
-            both = overlaps([r[4] for r in left], [r[4] for r in right])
-            linked = q * both >= p * (size[0][:, None] + size[1][None, :] - both)
-            if a == b:
-                linked = np.triu(linked, 1)
-            if not linked.any():
-                return None
-            before = [[r[2][r[2] < g] for r in side] for side in (left, right)]
-            linked &= overlaps(*before) == 0
-            weight = [np.array([r[3] for r in side], dtype=np.int64) for side in (left, right)]
-            found: dict[bytes, int] = {}
-            for side, counts in ((left, linked @ weight[1]), (right, linked.T @ weight[0])):
-                for r, count in zip(side, counts.tolist()):
-                    if count:
-                        found[r[1]] = found.get(r[1], 0) + count
-            if a == b:
-                names, near = [r[1] for r in left], linked | linked.T
-            else:
-                names, k = [r[1] for r in left + right], len(left)
-                near = np.zeros((len(names), len(names)), dtype=bool)
-                near[:k, k:], near[k:, :k] = linked, linked.T
-            u, v, open_ = [], [], near.any(axis=1)
-            while open_.any():
-                start = int(np.argmax(open_))
-                open_[start], ahead = False, [start]
-                while ahead:
-                    i = ahead.pop()
-                    new = np.flatnonzero(near[i] & open_)
-                    open_[new] = False
-                    u += [names[i]] * len(new)
-                    v += [names[j] for j in new.tolist()]
-                    ahead += new.tolist()
-            return pa.RecordBatch.from_arrays(
-                [pa.array([*u, *found], pa.binary()), pa.array([*v, *[None] * len(found)], pa.binary()),
-                 pa.array([*[None] * len(u), *found.values()], pa.int64())], ["u", "v", "linked"])
+            left = [list(c) for c in zip(*(r[1:] for r in held if r[0] == a))]
+            right = left if a == b else [list(c) for c in zip(*(r[1:] for r in held if r[0] == b))]
+            return solve(g, a == b, left, right) if left and right and len(held) > 1 else None
 
         for batch in batches:
-            g, a, b, mine, names, groups_of, copies_of = (batch.column(i).to_pylist() for i in range(7))
-            for i, s in enumerate(shingles(hasher, batch.column(7), n)):
-                if (g[i], a[i], b[i]) != unit:
-                    if held and (out := solve()) is not None:
+            columns = [c.to_pylist() for c in batch.columns]
+            for at, r in zip(zip(*columns[:3]), zip(*columns[3:])):
+                if at != unit:
+                    if held and (out := solved()) is not None:
                         yield out
-                    unit, held = (g[i], a[i], b[i]), []
-                held.append((mine[i], names[i], np.array(groups_of[i], dtype=np.int64), copies_of[i], s))
-        if held and (out := solve()) is not None:
+                    unit, held = at, []
+                held.append(r)
+        if held and (out := solved()) is not None:
             yield out
 
-    return rows.mapInArrow(run, "u binary, v binary, linked long")
+    return rows.repartition("g", "a", "b").sortWithinPartitions("g", "a", "b", "set").select(
+        "g", "a", "b", "mine", *kept.split()).mapInArrow(run, schema)
+
+
+def _first_here(g: int, left: list, right: list) -> np.ndarray:
+    """Pairs that have no group in common before g, from all groups of each member."""
+    before = [[(x := np.array(all_, dtype=np.int64))[x < g] for all_ in side] for side in (left, right)]
+    return overlaps(*before) == 0
+
+
+def _possible(groups: DataFrame, sets: DataFrame, threshold: tuple[int, int], block: tuple[int, int]) -> DataFrame:
+    """Those of the groups' rows (g, set, n) whose set may be linked, by sizes and bitmaps, with one that it meets first in g.
+
+    No text is read, and a bitmap has about a bit for each shingle, so blocks are larger than those of texts.
+    """
+    most, room = block
+
+    def solve(g, alone, left, right):
+        (names, n, all_, maps), (names_, n_, all_2, maps_) = left, right
+        some = maybe_linked((np.array(n), np.array(n_)), (maps, maps_), threshold)
+        if alone:
+            np.fill_diagonal(some, False)
+        if some.any():
+            some &= _first_here(g, all_, all_2)
+        keep = [(names[i], n[i]) for i in np.flatnonzero(some.any(axis=1))]
+        if not alone:
+            keep += [(names_[i], n_[i]) for i in np.flatnonzero(some.any(axis=0))]
+        if not keep:
+            return None
+        found, counts = zip(*keep)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([g] * len(keep)), pa.array(found, pa.binary()), pa.array(counts, pa.int64())], ["g", "set", "n"])
+
+    rows = _dealt(groups, (4 * most, 64 * room)).join(sets, "set")
+    return _units(rows, "set n all bits", solve, "g long, set binary, n long").distinct()
+
+
+def _counted(groups: DataFrame, sets: DataFrame, members: DataFrame, threshold: tuple[int, int],
+             block: tuple[int, int]) -> DataFrame:
+    """All links within groups: (u, v) of a spanning forest, and (u, null, linked) with the documents linked with set u.
+
+    Groups are cut into blocks as in `_rest`. A pair may be in several groups and counts in the first of them; all groups
+    of a set, no more than its keys, come along with it.
+    """
+    p, q = threshold
+
+    def solve(g, alone, left, right):
+        (names, all_, copies, held), (names_, all_2, copies_, held_) = left, right
+        one, two = ([np.frombuffer(s, dtype=np.uint64) for s in side] for side in (held, held_))
+        size = [np.array([len(s) for s in side], dtype=np.float64) for side in (one, two)]
+        both = overlaps(one, two)
+        linked = q * both >= p * (size[0][:, None] + size[1][None, :] - both)
+        if alone:
+            linked = np.triu(linked, 1)
+        if linked.any():
+            linked &= _first_here(g, all_, all_2)
+        if not linked.any():
+            return None
+        weight = [np.array(x, dtype=np.int64) for x in (copies, copies_)]
+        found: dict[bytes, int] = {}
+        for side, counts in ((names, linked @ weight[1]), (names_, linked.T @ weight[0])):
+            for name, count in zip(side, counts.tolist()):
+                if count:
+                    found[name] = found.get(name, 0) + count
+        if alone:
+            nodes, near = names, linked | linked.T
+        else:
+            nodes, k = names + names_, len(names)
+            near = np.zeros((len(nodes), len(nodes)), dtype=bool)
+            near[:k, k:], near[k:, :k] = linked, linked.T
+        u, v, open_ = [], [], near.any(axis=1)
+        while open_.any():
+            start = int(np.argmax(open_))
+            open_[start], ahead = False, [start]
+            while ahead:
+                i = ahead.pop()
+                new = np.flatnonzero(near[i] & open_)
+                open_[new] = False
+                u += [nodes[i]] * len(new)
+                v += [nodes[j] for j in new.tolist()]
+                ahead += new.tolist()
+        return pa.RecordBatch.from_arrays(
+            [pa.array([*u, *found], pa.binary()), pa.array([*v, *[None] * len(found)], pa.binary()),
+             pa.array([*[None] * len(u), *found.values()], pa.int64())], ["u", "v", "linked"])
+
+    rows = _dealt(groups, block).join(sets, "set").join(members, "set")
+    return _units(rows, "set all copies shingles", solve, "u binary, v binary, linked long")
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -532,8 +659,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def _members(texts: DataFrame, lists: DataFrame, classes: DataFrame, n: int) -> DataFrame:
-    """(set, text): one text of each set that is in a list.
+def _members(texts: DataFrame, lists: DataFrame, classes: DataFrame, n: int, whole: bool = True) -> DataFrame:
+    """(set, text): one text of each set that is in a list. Unless `whole`, (set, shingles): its sorted shingle hashes.
 
     A filter of at most `FILTER_BITS` bits keeps most other texts out of the shuffle; beyond that size it lets more pass.
     """
@@ -564,12 +691,15 @@ def _members(texts: DataFrame, lists: DataFrame, classes: DataFrame, n: int) ->
     def right_set(batches):
         hasher, seen = BlockHasher(fold=True), set()
         for b in batches:
-            keep = []
+            keep, found = [], []
             for want, s in zip(b.column(0).to_pylist(), shingles(hasher, b.column(1), n)):
                 keep.append(want not in seen and set_id(s) == want)
                 if keep[-1]:  # not before: texts of other sets come with an id that is taken or null
                     seen.add(want)
-            yield b.filter(pa.array(keep, pa.bool_()))
+                    if not whole:
+                        found.append(s.tobytes())
+            some = b.filter(pa.array(keep, pa.bool_()))
+            yield some if whole else pa.RecordBatch.from_arrays([some.column(0), pa.array(found, pa.binary())], ["set", "shingles"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
     marked = texts.withColumnRenamed("doc_id", "class_id")
@@ -577,7 +707,8 @@ def _members(texts: DataFrame, lists: DataFrame, classes: DataFrame, n: int) ->
         some, f"doc_id {kind}, text string")
     same = passed["doc_id"].eqNullSafe(involved["class_id"])
     chosen = passed.join(involved, same).select("set", "text")
-    return written(chosen.mapInArrow(right_set, "set binary, text string").dropDuplicates(["set"]), "members")
+    kept = "set binary, text string" if whole else "set binary, shingles binary"
+    return written(chosen.mapInArrow(right_set, kept).dropDuplicates(["set"]), "members")
 
 
 def _joined(lists: DataFrame, members: DataFrame, n: int, threshold: tuple[int, int], block: tuple[int, int]) -> DataFrame:
@@ -614,28 +745,32 @@ def jaccard_join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     (xxhash64 of the text, which tells rows with one id apart).
 
     With `links` also n_links, the number of other rows at or above the threshold: every pair of different sets is
-    verified, so a group of near copies takes its square of comparisons, though not of rows.
+    compared, so a group of near copies takes its square of comparisons, though not of rows.
 
     `block` bounds the members and shingles of a block when the rest is verified; it moves work, not results.
     """
     texts = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sets = written(_sets(documents, id_col, text_col, n), "sets")
+    sets = written(_sets(documents, id_col, text_col, n, links), "sets")
+    bits = [F.first("bits").alias("bits")] if links else []
     classes = sets.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"),
-        F.count(F.lit(1)).alias("copies"))
+        F.count(F.lit(1)).alias("copies"), *bits)
     sizes = classes.groupBy("n").count().where(F.col("n") <= 2 * LARGEST_LIGHT)
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     folder, mean_list = _rarity(texts, n, total)
     x = boundary({r["n"]: r["count"] for r in sizes.collect()}, mean_list, threshold)
     lists = written(_lists(_postings(texts, n, threshold, folder, x)), "lists")
 
-    members = _members(texts, lists, classes, n)
-
     if links:
-        found = written(_counted(lists, members, classes.select("set", "copies"), n, threshold, block), "counted-links")
+        groups = written(lists.select(F.xxhash64("centre").alias("g"), "set", "n").distinct(), "groups")
+        placed = groups.groupBy("set").agg(F.collect_list("g").alias("all")).join(
+            classes.select("set", "n", "copies", "bits"), "set")
+        some = written(_possible(groups, placed, threshold, block), "possible")
+        members = _members(texts, some, classes, n, whole=False)
+        found = written(_counted(some, placed.drop("n", "bits"), members, threshold, block), "counted-links")
         roots = written(components(found.where("v is not null").select("u", "v")), "roots")
         linked = found.where("v is null").groupBy("u").agg(F.sum("linked").alias("linked"))
     else:
-        roots, linked = _joined(lists, members, n, threshold, block), None
+        roots, linked = _joined(lists, _members(texts, lists, classes, n), n, threshold, block), None
 
     named = classes.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").select(
         "set", "class_id", F.coalesce("root", "set").alias("root"), "copies")

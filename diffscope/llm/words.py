@@ -100,13 +100,14 @@ class BlockHasher(Hasher):
 
     def __init__(self, separators: bytes = WHITE_SPACE, fold: bool = False):
         super().__init__(separators, fold)
-        self.fold, self.letter = fold, np.arange(256, dtype=np.uint8)
+        self.inside_table, letter = self.inside.tobytes(), np.arange(256, dtype=np.uint8)
         if fold:
-            self.letter[65:91] = self.letter[97:123]
+            letter[65:91] = letter[97:123]
+        self.letter_table = letter.tobytes() if fold else None
 
     def words(self, data: np.ndarray, offsets: np.ndarray) -> Words:
-        n = len(data)
-        inside = self.inside[data]
+        n, raw = len(data), data.tobytes()  # tables of bytes are looked up faster by bytes than by arrays
+        inside = np.frombuffer(raw.translate(self.inside_table), dtype=bool)
         before, after = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
         before[1:], after[:-1] = inside[:-1], inside[1:]
         cuts = offsets[(offsets > 0) & (offsets < n)]
@@ -115,7 +116,7 @@ class BlockHasher(Hasher):
         end = np.flatnonzero(inside & ~after) + 1
         size = end - start
         padded = np.zeros(n + 8, dtype=np.uint8)
-        padded[:n] = self.letter[data] if self.fold else data
+        padded[:n] = np.frombuffer(raw.translate(self.letter_table), dtype=np.uint8) if self.letter_table else data
         eight = np.ndarray(n + 1, dtype="<u8", buffer=padded, strides=(1,))  # the 8 bytes from each place on
 
         def hashed(at: np.ndarray, left: np.ndarray, number: np.ndarray | int) -> np.ndarray:

@@ -156,6 +156,60 @@ def test_jaccard_join_counts_links(docs, rows, monkeypatch, block, x):
         (*r, k) for r, k in zip(cases.linked(rows), n_links))
 
 
+def test_links_read_only_texts_that_may_be_linked(spark, monkeypatch):
+    rng = random.Random(8)
+    common, base = [cases.prose(rng, 30) for _ in range(40)], cases.prose(rng, 90).split()
+    rare = [cases.prose(rng, 12) for _ in range(20)]  # each in three texts, and other passages in about nine
+    texts = [" ".join([rare[i % 20], *rng.sample(common, 6)]) for i in range(60)]
+    for i in range(20):
+        texts.append(" ".join([*base[:40 + i], f"x{i}", *base[41 + i:]]))
+    rows = list(enumerate(texts))
+    sent = {}
+
+    def written(df, name, real=ngram_join.written):
+        sent[name] = real(df, name)
+        return sent[name]
+
+    monkeypatch.setattr(ngram_join, "written", written)
+    found = ngram_join.jaccard_join(cases.table(spark, rows), links=True)
+    sets = [cases.shingles(t) for t in texts]
+    assert got(found, "doc_id", "n_links") == want(
+        (i, sum(100 * len(a & b) >= 75 * len(a | b) for b in sets) - 1) for i, a in enumerate(sets))
+    assert sent["lists"].select("set").distinct().count() == 80  # every text shares something with another
+    assert sent["members"].count() == 20
+
+
+@pytest.mark.parametrize("threshold", [(75, 100), (85, 100), (30, 100)])
+@pytest.mark.parametrize("few", [0, 10**9])
+def test_sizes_and_bitmaps_rule_out_no_link(monkeypatch, threshold, few):
+    monkeypatch.setattr(ngram_join, "FEW_PAIRS", few)
+    monkeypatch.setattr(ngram_join, "COMPARED", 1000)
+    rng, (p, q) = random.Random(4), threshold
+    sets = []
+    for size in (1, 3, 60, 64, 65, 130, 700, 1500):
+        base = [rng.getrandbits(64) for _ in range(size)]
+        for change in (0, 0.02, 0.1, 0.14, 0.2, 0.4, 0.7):
+            some = {rng.getrandbits(64) if rng.random() < change else x for x in base}
+            sets += [some, set(sorted(some)[:max(1, int(len(some) * 0.8))])]
+    sets += [{x + (y << 40) for x in range(4) for y in range(k)} for k in (9, 10, 30)]  # few different low bits
+    arrays = [np.array(sorted(s), dtype=np.uint64) for s in sets]
+    size = np.array([len(s) for s in sets])
+    maps = [ngram_join.parity(s) for s in arrays]
+    maybe = ngram_join.maybe_linked((size, size[::2]), (maps, maps[::2]), threshold)
+    linked = np.array([[q * len(a & b) >= p * len(a | b) for b in sets[::2]] for a in sets])
+    assert not (linked & ~maybe).any()
+    assert linked.sum() > len(sets) and maybe.mean() < 0.6
+
+
+def test_distinct():
+    rng = np.random.default_rng(1)
+    for k in (1, 2, 50):
+        for high in (1, 3, 2**63):
+            x = rng.integers(0, high, k).astype(np.uint64)
+            assert ngram_join.distinct(x).tolist() == sorted(set(x.tolist()))
+    assert ngram_join.distinct(np.zeros(0, dtype=np.uint64)).tolist() == []
+
+
 def test_jaccard_join_counts_links_of_nothing(none):
     assert ngram_join.jaccard_join(none, links=True).collect() == []
 
