@@ -11,6 +11,7 @@ from urllib.parse import urlparse
 from pyspark.sql import DataFrame, SparkSession
 
 FOLDER = "diffscope-llm"
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # shuffle files go when their statement has ended
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -25,10 +26,23 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back: cuts lineage, survives lost executors, computes once."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write `df` to the shared folder and read it back: cuts lineage, survives lost executors, computes once.
+
+    The shuffles of that write are used by nothing else; their files are removed after it, not when the driver next
+    collects garbage, so the disk in use is that of one step at a time.
+    """
+    spark = df.sparkSession
+    path = shared_folder(spark, name)
+    before = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN)
+        else:
+            spark.conf.set(CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 class Files:

@@ -9,7 +9,9 @@ their full length and compared; of equal windows all but the first lose their wo
 Documents are ordered by (id, null ids last); rows with equal id and equal words are one document. Of documents with
 equal words all but the first lose everything (if they have a window at all), so only the first is searched: copies cost
 one digest each. Anchors and windows that repeat inside a task are settled there; only one of them is shuffled by its
-hash, so a passage that a third of all documents share does not meet in one task.
+hash, so a passage that a third of all documents share does not meet in one task. Their rows, most of what is shuffled,
+name a text by the first 64 bits of its digest (`tag`). Anchors of texts with equal tags are joined to each of them, which
+only adds windows to compare; windows name the id as well.
 
 Defined cases: null or empty text has no words; texts shorter than a window lose nothing; repeated rows each get the
 result of their document; null ids are kept; an empty table gives an empty result.
@@ -42,6 +44,17 @@ def _ids(words) -> list[bytes]:
             for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist())]
 
 
+def _tags(ids: list[bytes]) -> np.ndarray:
+    """The first 64 bits of digests, in the order of the digests."""
+    first = np.frombuffer(b"".join(x[:8] for x in ids), dtype=">u8").astype(np.uint64)
+    return signed(first ^ np.uint64(1 << 63))
+
+
+def _marked(at: np.ndarray, sure: np.ndarray) -> pa.Array:
+    """Word positions and flags as one number, in the order of the positions."""
+    return pa.array((at * 2 + sure).astype(np.int32))
+
+
 def _sequences(texts: DataFrame) -> DataFrame:
     def run(batches):
         hasher = BlockHasher()
@@ -51,10 +64,11 @@ def _sequences(texts: DataFrame) -> DataFrame:
                 words = hasher.words(data, offsets)
                 ids += _ids(words)
                 sizes += words.counts.tolist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64())],
-                                             ["doc_id", "words", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(ids, pa.binary()), pa.array(_tags(ids)), pa.array(sizes, pa.int64())],
+                ["doc_id", "words", "tag", "n"])
 
-    return texts.mapInArrow(run, "doc_id long, words binary, n long")
+    return texts.mapInArrow(run, "doc_id long, words binary, tag long, n long")
 
 
 def _settle(keys: list[np.ndarray], spread: np.ndarray, rank: np.ndarray):
@@ -74,7 +88,7 @@ def _settle(keys: list[np.ndarray], spread: np.ndarray, rank: np.ndarray):
 
 
 def _anchors(texts: DataFrame, length: int, cover: tuple[int, ...], period: int) -> DataFrame:
-    """(key, words, at, sure): cover positions of each different text; `sure` if a task has already seen a repeat."""
+    """(key, tag, mark): cover positions of each different text; marked `sure` if a task has already seen a repeat."""
     k = length - period + 1
     on = np.isin(np.arange(period), cover)
 
@@ -88,9 +102,8 @@ def _anchors(texts: DataFrame, length: int, cover: tuple[int, ...], period: int)
             at = np.concatenate([x[2] for x in held])
             spread = mixed(doc.astype(np.uint64) * np.uint64(1 << 32) + at.astype(np.uint64), 11) ^ h
             index, key, _, some = _settle([h], spread, np.arange(len(h)))
-            names = pa.array(ids, pa.binary()).take(pa.array(doc[index]))
-            return pa.RecordBatch.from_arrays([pa.array(signed(key)), names, pa.array(at[index].astype(np.int32)),
-                                               pa.array(some)], ["key", "words", "at", "sure"])
+            return pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(_tags(ids)[doc[index]]),
+                                               _marked(at[index], some)], ["key", "tag", "mark"])
 
         for b in batches:
             for _, data, offsets in chunks(b.column(0)):
@@ -114,43 +127,43 @@ def _anchors(texts: DataFrame, length: int, cover: tuple[int, ...], period: int)
         if count:
             yield flush()
 
-    return texts.select("text").mapInArrow(run, "key long, words binary, at int, sure boolean")
+    return texts.select("text").mapInArrow(run, "key long, tag long, mark int")
 
 
 def _repeated(anchors: DataFrame) -> DataFrame:
-    """(words, at) of the anchors whose key two different places share, or that are sure already."""
+    """(tag, at) of the anchors whose key two different places share, or that are sure already."""
 
     def run(batches):
-        last = None  # the row before: key, words, at, and whether its key has two places so far
+        last = None  # the row before: key, tag, at, and whether its key has two places so far
         for b in batches:
             if b.num_rows == 0:
                 continue
-            key, at, sure = b.column(0).to_numpy(), b.column(2).to_numpy(), b.column(3).to_numpy(zero_copy_only=False)
-            codes = b.column(1).dictionary_encode().indices.to_numpy()
+            key, tag, mark = (b.column(i).to_numpy() for i in range(3))
+            at, sure = mark >> 1, (mark & 1).astype(bool)
             new_key = np.concatenate(([True], key[1:] != key[:-1]))
-            new = new_key | np.concatenate(([True], (codes[1:] != codes[:-1]) | (at[1:] != at[:-1])))
+            new = new_key | np.concatenate(([True], (tag[1:] != tag[:-1]) | (at[1:] != at[:-1])))
             joins = last is not None and last[0] == key[0]
             if joins:
                 new_key[0] = False
-                new[0] = last[1:3] != (b.column(1)[0].as_py(), int(at[0]))
+                new[0] = last[1:3] != (int(tag[0]), int(at[0]))
             run_no = np.cumsum(new_key) - new_key[0]
             places = np.bincount(run_no, weights=new, minlength=run_no[-1] + 1)
             if joins:
                 if not last[3] and places[0] > 0:
-                    yield pa.RecordBatch.from_arrays([pa.array([last[1]], pa.binary()), pa.array([last[2]], pa.int32())],
-                                                     ["words", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array([last[1]], pa.int64()), pa.array([last[2]], pa.int32())],
+                                                     ["tag", "at"])
                 places[0] += 2 if last[3] else 1
             keep = sure | (new & (places[run_no] > 1))
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2)], ["words", "at"]).filter(pa.array(keep))
-            last = (int(key[-1]), b.column(1)[b.num_rows - 1].as_py(), int(at[-1]), bool(places[run_no[-1]] > 1))
+            yield pa.RecordBatch.from_arrays([pa.array(tag[keep]), pa.array(at[keep])], ["tag", "at"])
+            last = (int(key[-1]), int(tag[-1]), int(at[-1]), bool(places[run_no[-1]] > 1))
 
-    return anchors.repartition("key").sortWithinPartitions("key", "words", "at").mapInArrow(run, "words binary, at int")
+    return anchors.repartition("key").sortWithinPartitions("key", "tag", "mark").mapInArrow(run, "tag long, at int")
 
 
 def _windows(flagged: DataFrame, length: int, period: int) -> DataFrame:
-    """(key, other, place, start, words, sure): windows around repeated anchors of documents (place, words, text, marks).
+    """(key, other, place, tag, mark): windows around repeated anchors of documents (place, words, text, marks).
 
-    Two hashes name a window. `sure`: an earlier equal window was found in the same task.
+    Two hashes name a window. Marked `sure`: an earlier equal window was found in the same task.
     """
 
     def run(batches):
@@ -159,17 +172,15 @@ def _windows(flagged: DataFrame, length: int, period: int) -> DataFrame:
 
         def flush():
             h1, h2, place, start, doc = (np.concatenate([x[i] for x in held]) for i in range(5))
-            names = pa.array(ids, pa.binary())
-            by_name = np.argsort(np.argsort(np.array(ids, dtype=object), kind="stable"), kind="stable")
-            rank = np.lexsort((start, by_name[doc], place))
+            tag = _tags(ids)[doc]
+            rank = np.lexsort((start, tag, place))
             ranks = np.empty(len(rank), dtype=np.int64)
             ranks[rank] = np.arange(len(rank))
             spread = mixed(place.astype(np.uint64) * np.uint64(31) + start.astype(np.uint64), 12) ^ h1
             index, key, later, _ = _settle([h1, h2], spread, ranks)
             return pa.RecordBatch.from_arrays(
-                [pa.array(signed(key)), pa.array(signed(h2[index])), pa.array(place[index]),
-                 names.take(pa.array(doc[index])), pa.array(start[index].astype(np.int32)), pa.array(later)],
-                ["key", "other", "place", "words", "start", "sure"])
+                [pa.array(signed(key)), pa.array(signed(h2[index])), pa.array(place[index]), pa.array(tag[index]),
+                 _marked(start[index], later)], ["key", "other", "place", "tag", "mark"])
 
         for b in batches:
             places = b.column(0).to_numpy()
@@ -199,44 +210,39 @@ def _windows(flagged: DataFrame, length: int, period: int) -> DataFrame:
             yield flush()
 
     return flagged.mapInArrow(
-        run, "key long, other long, place long, words binary, start int, sure boolean")
+        run, "key long, other long, place long, tag long, mark int")
 
 
 def _later(windows: DataFrame) -> DataFrame:
-    """(place, words, start) of the windows that are not the first of their sequence."""
+    """(place, tag, start) of the windows that are not the first of their sequence."""
 
     def run(batches):
         last = None  # name of the sequence, and its first place
         for b in batches:
             if b.num_rows == 0:
                 continue
-            key, other = b.column(0).to_numpy(), b.column(1).to_numpy()
+            key, other, place, tag, mark = (b.column(i).to_numpy() for i in range(5))
+            start, sure = mark >> 1, (mark & 1).astype(bool)
             new = np.concatenate(([True], (key[1:] != key[:-1]) | (other[1:] != other[:-1])))
             if last is not None and last[:2] == (int(key[0]), int(other[0])):
                 new[0] = False
             # rows that repeat the first row of their sequence are the same window of the same document
-            place, start = b.column(2).to_numpy(), b.column(4).to_numpy()
-            codes = b.column(3)
             run_no = np.cumsum(new)
             heads = np.flatnonzero(new)
-            index = np.arange(len(key))
-            head = np.where(run_no > 0, heads[np.maximum(run_no - 1, 0)] if len(heads) else 0, 0)
-            dictionary = codes.dictionary_encode().indices.to_numpy()
-            equal = (place == place[head]) & (start == start[head]) & (dictionary == dictionary[head]) & (run_no > 0)
+            head = heads[np.maximum(run_no - 1, 0)] if len(heads) else np.zeros(len(key), dtype=np.int64)
+            equal = (place == place[head]) & (start == start[head]) & (tag == tag[head]) & (run_no > 0)
             if last is not None:
-                held = (run_no == 0)
-                for i in index[held]:
-                    equal[i] = (int(place[i]), codes[i].as_py(), int(start[i])) == last[2:]
-            sure = b.column(5).to_numpy(zero_copy_only=False)
+                held = run_no == 0
+                equal[held] = (place[held] == last[2]) & (tag[held] == last[3]) & (start[held] == last[4])
             keep = ~equal | sure
-            yield pa.RecordBatch.from_arrays([b.column(2), b.column(3), b.column(4)],
-                                             ["place", "words", "start"]).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([pa.array(place[keep]), pa.array(tag[keep]), pa.array(start[keep])],
+                                             ["place", "tag", "start"])
             if len(heads):
                 i = int(heads[-1])
-                last = (int(key[i]), int(other[i]), int(place[i]), codes[i].as_py(), int(start[i]))
+                last = (int(key[i]), int(other[i]), int(place[i]), int(tag[i]), int(start[i]))
 
-    return windows.repartition("key").sortWithinPartitions("key", "other", "place", "words", "start").mapInArrow(
-        run, "place long, words binary, start int")
+    return windows.repartition("key").sortWithinPartitions("key", "other", "place", "tag", "mark").mapInArrow(
+        run, "place long, tag long, start int")
 
 
 def _kept(rows: DataFrame, length: int, keep_text: bool) -> DataFrame:
@@ -248,16 +254,15 @@ def _kept(rows: DataFrame, length: int, keep_text: bool) -> DataFrame:
             for low, data, offsets in chunks(texts):
                 words = hasher.words(data, offsets)
                 raw = data.tobytes()
-                for d, name in enumerate(_ids(words)):
+                names = _ids(words)
+                for d, (name, tag) in enumerate(zip(names, _tags(names).tolist())):
                     n = int(words.counts[d])
                     parts = raw[offsets[d]:offsets[d + 1]].split()
                     removed = 0
                     for mark in b.column(2)[low + d].as_py() or ():
-                        if mark["words"] != name:
-                            continue
-                        if mark["copy"]:
+                        if mark["words"] == name:  # a copy
                             parts, removed = [], n
-                        elif mark["starts"]:
+                        elif mark["tag"] == tag and removed < n:
                             starts = np.array(mark["starts"])
                             step = np.zeros(n + 1, dtype=np.int64)
                             np.add.at(step, starts, 1)
@@ -272,10 +277,10 @@ def _kept(rows: DataFrame, length: int, keep_text: bool) -> DataFrame:
                         kept_texts.append(kept.decode())
             columns = [b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
                        pa.array(digests, pa.string())]
-            names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+            fields = ["doc_id", "n_words", "n_removed", "kept_sha256"]
             if keep_text:
-                columns, names = [*columns, pa.array(kept_texts, pa.string())], [*names, "kept_text"]
-            yield pa.RecordBatch.from_arrays(columns, names)
+                columns, fields = [*columns, pa.array(kept_texts, pa.string())], [*fields, "kept_text"]
+            yield pa.RecordBatch.from_arrays(columns, fields)
 
     more = ", kept_text string" if keep_text else ""
     return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + more)
@@ -289,19 +294,20 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
         raise ValueError("cover must give every difference modulo the period, and the period be at most the length")
     texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     place = F.coalesce("doc_id", F.lit(LAST)).alias("place")
-    sequences = written(_sequences(texts), "sequences").select(place, "words", "n")
-    firsts = sequences.groupBy("words").agg(F.min("place").alias("place"))
-    found = _repeated(_anchors(texts, length, cover, period)).groupBy("words").agg(F.collect_list("at").alias("marks"))
-    marked = written(found.join(firsts, "words"), "marked")
+    sequences = written(_sequences(texts), "sequences").select(place, "words", "tag", "n")
+    firsts = sequences.groupBy("words", "tag").agg(F.min("place").alias("place"))
+    found = _repeated(_anchors(texts, length, cover, period)).groupBy("tag").agg(F.collect_list("at").alias("marks"))
+    marked = written(found.join(firsts, "tag").select("place", "words", "marks"), "marked")
     flagged = texts.select(place, "text").join(marked, "place").select("place", "words", "text", "marks")
-    starts = _later(_windows(flagged, length, period)).groupBy("place", "words").agg(
+    starts = _later(_windows(flagged, length, period)).groupBy("place", "tag").agg(
         F.collect_list("start").alias("starts"))
     # per id: what happens to each of its texts; texts that keep everything are left out
     copies = sequences.where(F.col("n") >= length).distinct().join(
         firsts.select("words", F.col("place").alias("first")), "words").where("place != first")
-    fate = starts.select("place", "words", F.lit(False).alias("copy"), "starts").unionByName(
-        copies.select("place", "words", F.lit(True).alias("copy"), F.expr("cast(null as array<int>)").alias("starts")))
-    fates = written(fate.groupBy("place").agg(F.collect_list(F.struct("words", "copy", "starts")).alias("fates")), "fates")
+    fate = starts.select("place", F.expr("cast(null as binary)").alias("words"), "tag", "starts").unionByName(
+        copies.select("place", "words", F.expr("cast(null as long)").alias("tag"),
+                      F.expr("cast(null as array<int>)").alias("starts")))
+    fates = written(fate.groupBy("place").agg(F.collect_list(F.struct("words", "tag", "starts")).alias("fates")), "fates")
     rows = texts.withColumn("place", place).join(fates, "place", "left").select("doc_id", "text", "fates")
     return _kept(rows, length, keep_text)
 

@@ -1,8 +1,11 @@
 """Operators against brute force on small tables with the hard cases."""
 
+import glob
 import hashlib
+import os
 import random
-
+import tempfile
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -15,7 +18,7 @@ from tokenizers import Tokenizer
 
 from diffscope.llm import decontaminate, imatch, ngram_join, packing, quality, queries, secrets, substring_dedup, toxicity
 from diffscope.llm import training, warc, wavelet
-from diffscope.llm.store import Files
+from diffscope.llm.store import CLEAN, Files, written
 from diffscope.llm.words import NOT_ALPHANUMERIC, BlockHasher, Hasher, chunks
 from tests.llm import cases
 
@@ -239,6 +242,49 @@ def test_remove_repeats_in_small_groups(spark, monkeypatch):
     assert got(found, "doc_id", "n_words", "n_removed", "kept_sha256") == want(cases.unrepeated(rows))
 
 
+def test_remove_repeats_shuffles_short_rows(spark, monkeypatch):
+    """Anchors and windows are numbers only, and runs of them go on from batch to batch."""
+    rng = random.Random(4)
+    passage = cases.prose(rng, 40)
+    rows = [(i, f"{cases.prose(rng, 9)} {passage} {cases.prose(rng, i % 7)} {passage}") for i in range(12)]
+    rows += [(None, f"{passage} {cases.prose(rng, 5)}") for _ in range(3)]
+    docs = cases.table(spark, rows)
+    texts = docs.select("doc_id", "text")
+    anchors = substring_dedup._anchors(texts, 20, substring_dedup.COVER, substring_dedup.PERIOD)
+    flagged = texts.selectExpr("doc_id AS place", "cast(null as binary) AS words", "text", "array(0) AS marks")
+    for rows_sent in (anchors, substring_dedup._windows(flagged, 20, 13)):
+        assert {kind for _, kind in rows_sent.dtypes} <= {"bigint", "int"}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        found = got(substring_dedup.remove_repeats(docs), "doc_id", "n_words", "n_removed", "kept_sha256")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert found == want(cases.unrepeated(rows))
+
+
+def test_tags_keep_the_order_of_digests():
+    ids = [hashlib.blake2b(bytes([i]), digest_size=16).digest() for i in range(200)]
+    tags = substring_dedup._tags(ids)
+    assert np.argsort(tags).tolist() == sorted(range(200), key=ids.__getitem__)
+    assert len(substring_dedup._tags([])) == 0
+
+
+def test_written_leaves_no_shuffle_files(spark):
+    def files():
+        top = spark.sparkContext._conf.get("spark.local.dir", None) or tempfile.gettempdir()
+        tops = os.environ.get("SPARK_LOCAL_DIRS", top).split(",")
+        return {f for t in tops for f in glob.glob(f"{t}/**/shuffle_*.data", recursive=True)}
+
+    before, setting = files(), spark.conf.get(CLEAN, None)
+    found = written(spark.range(1000).selectExpr("id % 7 AS k").repartition(3).groupBy("k").count(), "counts")
+    end = time.time() + 20
+    while files() - before and time.time() < end:  # they are removed in the background
+        time.sleep(0.2)
+    assert not files() - before
+    assert found.count() == 7 and spark.conf.get(CLEAN, None) == setting
+
+
 def test_remove_repeats_empty_and_bad_cover(none):
     assert substring_dedup.remove_repeats(none).collect() == []
     with pytest.raises(ValueError):
