@@ -17,6 +17,7 @@ repeated rows are stored as often as they occur; an empty table gives a manifest
 from __future__ import annotations
 
 import json
+import string
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from diffscope.llm.ranges import cuts, dealt, place, shard_of
 from diffscope.llm.store import Files, shared_folder, written
-from diffscope.llm.words import BlockHasher, chunks
+from diffscope.llm.words import BlockHasher, Words, chunks
 
 MAGIC = b"WAVELET2"
 BLOCK = 1 << 16  # bits of a compressed block
@@ -36,6 +37,13 @@ LEVEL = 1
 END_ID = 2
 # What may part words in a joined call, a control character that is one id, else a special token.
 MARKS = ("\x01", "\x02", "\x1e", "\x7f", "<|startoftext|>")
+# The rules by which words fall into parts that are encoded on their own, in either case of their letters.
+PARTED = ({"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+         "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]})
 
 
 class Plane:
@@ -226,20 +234,55 @@ class WaveletMatrix:
 
 
 class Encoder:
-    """Ids of texts. White space parts words for this tokenizer, so each different word is encoded once per task."""
+    """Ids of texts. White space parts words for this tokenizer, so each different word is encoded once per task.
+
+    A tokenizer with the rules of `PARTED` also parts ASCII letters and digits from the signs next to them (not from an
+    apostrophe, nor inside its added tokens) and reads A-Z as a-z. For it a word is such a part, known in either case; those
+    of ASCII letters alone go to its model without the steps before it, which would only lower them.
+    """
 
     def __init__(self, path: str, most_words: int = 2_000_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.text, self.mark = next((m, ids[0]) for m in MARKS if len(ids := self._ids(m)) == 1
                                     and self._ids(f"a {m} b") == [*self._ids("a"), *ids, *self._ids("b")])
-        self.hasher, self.most = BlockHasher(), most_words
+        self.most = most_words
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.parted = (rules["normalizer"], rules["pre_tokenizer"]) == PARTED and not any(t.isalnum() for t in self.added)
+        self.hasher, self.exact = BlockHasher(fold=self.parted), BlockHasher()
+        # by the suffix of a word's last id the words of a call are told apart; each letter must have an id with and without
+        names, suffix = self.tokenizer.get_vocab(with_added_tokens=False), rules["model"].get("end_of_word_suffix")
+        letters = string.ascii_lowercase
+        self.letters = None
+        if self.parted and suffix and all(x in names and x + suffix in names for x in letters):
+            self.letters = Tokenizer(self.tokenizer.model)
+            self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            self.last = np.zeros(max(names.values()) + 1, dtype=bool)
+            self.last[[i for name, i in names.items() if name.endswith(suffix)]] = True
+        kinds = np.zeros(256, dtype=np.uint8)  # 1: letter or digit, 2: sign
+        for i in range(0x21, 0x7F):
+            kinds[i] = 1 if chr(i).isalnum() else 2 * (i not in b"'" + b"".join(self.added))
+        self.kinds = kinds.tobytes()
         self._forget()
 
+    def _words(self, data: np.ndarray, offsets: np.ndarray) -> Words:
+        if not self.parted:
+            return self.exact.words(data, offsets)
+        raw = data.tobytes()
+        kinds = np.frombuffer(raw.translate(self.kinds), dtype=np.uint8)
+        cuts = np.flatnonzero(kinds[1:] + kinds[:-1] == 3) + 1
+        small = raw.lower()  # added tokens are found in their own case only
+        hasher = self.exact if any(t.lower() in small for t in self.added) else self.hasher
+        words = hasher.words(data, np.concatenate((offsets, cuts)))
+        words.first = np.searchsorted(words.start, offsets)
+        return words
+
     def _forget(self) -> None:
         self.known = np.zeros(0, dtype=np.uint64)  # sorted word hashes
         self.slot = np.zeros(0, dtype=np.int64)
@@ -250,8 +293,19 @@ class Encoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
-        parts = [texts[low:low + 200] for low in range(0, len(texts), 200)]
+        base, order = len(self.start) - 1, np.arange(len(texts))
         flat, counts = [self.flat], []
+        if self.letters:
+            plain = np.array([x.isascii() and x.isalpha() for x in texts])
+            order = np.concatenate((np.flatnonzero(plain), np.flatnonzero(~plain)))
+            texts = [texts[i] for i in order.tolist()]
+            plain_texts, texts = texts[:int(plain.sum())], texts[int(plain.sum()):]
+            joined = [" ".join(plain_texts[low:low + 200]).lower() for low in range(0, len(plain_texts), 200)]
+            for found in self.letters.encode_batch_fast(joined, add_special_tokens=False):
+                ids = np.array(found.ids, dtype=np.uint16)
+                counts.append(np.diff(np.flatnonzero(self.last[ids]), prepend=-1))
+                flat.append(ids)
+        parts = [texts[low:low + 200] for low in range(0, len(texts), 200)]
         joined = [f" {self.text} ".join(part) for part in parts]
         for part, found in zip(parts, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
             ids = np.array(found.ids, dtype=np.uint16)
@@ -263,7 +317,8 @@ class Encoder:
                 alone = [self._ids(x) for x in part]
                 counts.append(np.array([len(x) for x in alone], dtype=np.int64))
                 flat.append(np.array([i for x in alone for i in x], dtype=np.uint16))
-        slots = len(self.start) - 1 + np.arange(len(texts))
+        slots = np.empty(len(hashes), dtype=np.int64)
+        slots[order] = base + np.arange(len(hashes))
         self.flat = np.concatenate(flat)
         self.start = np.concatenate((self.start, self.start[-1] + np.cumsum(np.concatenate(counts))))
         place = np.searchsorted(self.known, hashes)
@@ -272,7 +327,7 @@ class Encoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts with the end id after each, number of ids of each text)."""
-        words = self.hasher.words(data, offsets)
+        words = self._words(data, offsets)
         different, first, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
         if len(self.known) > self.most:
             self._forget()

@@ -536,6 +536,28 @@ def test_words_are_encoded_as_in_their_text():
             assert ids.tolist() == [x for e in expected for x in e] and counts.tolist() == [len(e) for e in expected]
 
 
+def test_parts_of_words_are_encoded_as_in_their_text(monkeypatch):
+    texts = ["word word, WORD. (Word) word-word,word... 'word' word's, WORD'S it's'll x's.t a,'s 'stop'd,ll a',s",
+             "e\u0301, =\u0338 a=\u0338b <\u0338c a.\u0301b 3.14, 2nd a_b a@b.c \u00e9. \u00e9,b \u4e2d.a \u212a. \u03a3. \u0130, x\u00a0,y",
+             "<|endoftext|>, <|ENDOFTEXT|> a<|startoftext|>,b <|EndOfText|>. <|endoftext|>", "<|,|> a<|b |endoftext| endoftext",
+             "a\x01,b \x01. ,\x01 A\x01", "", None, "..", ",", "a"]
+    rng = random.Random(6)
+    signs = ["a", "B", "s", "'", "'", "l", "ll", "1", ",", ".", "-", "<", "|", ">", "\u0301", "\u00c9", "\u00e9", "\u4e2d", "!", " "]
+    texts += ["".join(rng.choice(signs) for _ in range(rng.randint(1, 30))) for _ in range(3000)]
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    for some in ([[t] for t in texts], [texts]):  # one text in each call, and all in one call
+        encoder, learnt = wavelet.Encoder(TOKENIZER), []
+        learn = encoder._learn
+        monkeypatch.setattr(encoder, "_learn", lambda hashes, words: (learnt.extend(words), learn(hashes, words)))
+        for part in some:
+            for low, data, offsets in chunks(pa.array(part, pa.string())):
+                ids, counts = encoder.encode(data, offsets, 2)
+                expected = [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for t in part]
+                assert ids.tolist() == [x for e in expected for x in e] and counts.tolist() == [len(e) for e in expected]
+        if len(some) > 1:  # one spelling of a word, whatever stands beside it
+            assert [w for w in learnt if w.lower().strip(".,()-") == "word"] == ["word"]
+
+
 @pytest.mark.parametrize("n", [0, 1, 7, 8, 511, 512, 513, 3000])
 def test_wavelet_matrix(n):
     rng = np.random.default_rng(n)
